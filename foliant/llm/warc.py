@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts_of, shared_path, table, written
+from .common import shared_path, table, written
 
 CRLF = "\r\n"
 #: Characters of a segment's block, bytes of an HTTP chunk, and records to a file.
@@ -114,7 +114,7 @@ def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
     light = light.where((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull())
     last = light.groupBy(F.col("payload_digest").alias("d")).agg(F.max("page_id").alias("refers_to"))
     again = light.join(last, (light.payload_digest == last.d) & (light.page_id < last.refers_to)).select(F.col("page_id").alias("p"), "d", "refers_to").distinct()
-    dealt = with_digest(pages.repartition(parts_of(spark), "page_id", F.when(F.col("page_id").isNull(), F.xxhash64("html"))))
+    dealt = with_digest(pages)
     joined = dealt.join(again, (dealt.page_id == again.p) & (dealt.payload_digest == again.d), "left").select("page_id", "url", "html", "payload_bytes", "payload_digest", "refers_to")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,34 +157,39 @@ def split_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, url, record_type, refers_to, payload binary, payload_bytes, payload_digest) of the archives under path.
 
-    Records in one segment are decoded where they are read; only those in several are shuffled, by origin id, each segment one row,
-    ordered by segment number. A block digest, total length, framing or payload digest that does not hold raises an error. For a
+    The archives are read twice: records in one segment are decoded where they lie; only those in several are shuffled, by origin id,
+    each segment one row, ordered by segment number. A block digest, total length, framing or payload digest that does not hold raises an error. For a
     revisit the payload is null, and length and digest are those declared.
     """
     segment = "origin string, number int, total long, page_id long, url string, record_type string, refers_to long, declared_bytes long, declared_digest string, block binary"
     names = [x.split()[0] for x in segment.split(", ")]
     schema = pa.schema([(x.split()[0], {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]]) for x in segment.split(", ")])
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def records(batches: Iterator[pa.RecordBatch], several: bool) -> Iterator[list[dict]]:
+        """The records that stand alone, or the segments of the others, a few megabytes at a time."""
         for b in batches:
             for content in b.column("content"):
-                rows: list[tuple] = []
+                rows: list[dict] = []
                 size = 0
                 for head, block in split_records(gzip.decompress(content.as_py())):
+                    if ("WARC-Segment-Number" in head) != several:
+                        continue
                     if head["WARC-Block-Digest"] != "sha1:" + sha1_base32(block):
                         raise ValueError("block digest of " + head["WARC-Record-ID"])
-                    number = int(head.get("WARC-Segment-Number", 0))
-                    refers = head.get("WARC-Refers-To")
-                    page = head.get("X-Page-ID")
-                    rows.append((head.get("WARC-Segment-Origin-ID", head["WARC-Record-ID"]), number, int(head["WARC-Segment-Total-Length"]) if "WARC-Segment-Total-Length" in head else None, int(page) if page else None, head["WARC-Target-URI"], head["WARC-Type"], int(refers[10:-1]) if refers else None, int(head.get("X-Payload-Bytes", -1)), head.get("WARC-Payload-Digest", "sha1:")[5:], block))
+                    refers, page, total = head.get("WARC-Refers-To"), head.get("X-Page-ID"), head.get("WARC-Segment-Total-Length")
+                    values = (head.get("WARC-Segment-Origin-ID", head["WARC-Record-ID"]), int(head.get("WARC-Segment-Number", 0)), int(total) if total else None, int(page) if page else None, head["WARC-Target-URI"], head["WARC-Type"], int(refers[10:-1]) if refers else None, int(head.get("X-Payload-Bytes", -1)), head.get("WARC-Payload-Digest", "sha1:")[5:], block)
+                    rows.append(dict(zip(names, values)))
                     size += len(block)
                     if size > 1 << 22:
-                        yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema)
+                        yield rows
                         rows, size = [], 0
-                yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema)
+                yield rows
+
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in records(batches, True):
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
     result = "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string"
-    fields = [x.split()[0] for x in result.split(", ")]
     out_schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
 
     def decoded(first: dict, block: bytes) -> dict:
@@ -199,8 +204,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         return row | {"payload": payload, "payload_bytes": len(payload), "payload_digest": digest}
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_pylist([decoded(r, r["block"]) for r in b.to_pylist()], out_schema)
+        for rows in records(batches, False):
+            yield pa.RecordBatch.from_pylist([decoded(r, r["block"]) for r in rows], out_schema)
 
     def whole(key: tuple, t: pa.Table) -> pa.Table:
         rows = sorted(t.to_pylist(), key=lambda r: r["number"])
@@ -212,8 +217,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         return pa.Table.from_pylist([decoded(rows[0], block)] * copies, out_schema)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    segments = written(files.mapInArrow(parse, segment), "segments")
-    return segments.where("number = 0").mapInArrow(single, result).select(*fields).unionByName(segments.where("number > 0").groupBy("origin").applyInArrow(whole, result))
+    return files.mapInArrow(single, result).unionByName(files.mapInArrow(segments, segment).groupBy("origin").applyInArrow(whole, result))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
