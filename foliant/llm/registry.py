@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, simhash, topk, warc
+from . import chat, pieces, simhash, topk, toxicity, warc
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
     "op2_simhash": simhash.op2_simhash,
+    "op4_pieces": pieces.op4_pieces,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op8_chat": chat.op8_chat,
     "op9_warc": warc.op9_warc,
 }
