@@ -353,10 +353,10 @@ def encode(docs: DataFrame, path: str = MODEL, verify: bool = True) -> DataFrame
     """Adds ids array<int>, n_tokens int and, where `verify`, round_trip boolean (the ids decode to the very text) to docs(.., text).
 
     Every row is kept with its columns; columns of those names are replaced. A null text encodes as empty. The vocabulary (some
-    hundred kilobytes, by the file) goes to the tasks as a broadcast.
+    hundred kilobytes, by the file) goes to the tasks as a broadcast of plain values.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(vocabulary(path))
+    shared = spark.sparkContext.broadcast(tuple(vars(vocabulary(path)).values()))
     keep = docs.drop("ids", "n_tokens", "round_trip")
     columns = keep.columns
     added = [("ids", T.ArrayType(T.IntegerType())), ("n_tokens", T.IntegerType())] + ([("round_trip", T.BooleanType())] if verify else [])
@@ -366,7 +366,7 @@ def encode(docs: DataFrame, path: str = MODEL, verify: bool = True) -> DataFrame
     at = columns.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = Encoder(Vocabulary(*shared.value))
         for whole in batches:
             for lo in range(0, whole.num_rows, 1000):
                 b = whole.slice(lo, 1000)
@@ -383,13 +383,13 @@ def encode(docs: DataFrame, path: str = MODEL, verify: bool = True) -> DataFrame
 
 def decode(tokens: DataFrame, path: str = MODEL) -> DataFrame:
     """Adds text, decoded from tokens(.., ids array<int>), in place of a column of that name. Null ids decode to the empty text."""
-    shared = tokens.sparkSession.sparkContext.broadcast(vocabulary(path))
+    shared = tokens.sparkSession.sparkContext.broadcast(tuple(vars(vocabulary(path)).values()))
     keep = tokens.drop("text")
     columns = keep.columns
     at = columns.index("ids")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = Encoder(Vocabulary(*shared.value))
         for b in batches:
             texts = [encoder.decode(np.array(i.as_py() or [], np.int32)) for i in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*columns, "text"])
