@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, pieces, simhash, topk, toxicity, warc
+from . import chat, decontamination, html, lengths, pieces, simhash, topk, toxicity, warc
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
     "op2_simhash": simhash.op2_simhash,
+    "op3_html": html.op3_html,
     "op4_pieces": pieces.op4_pieces,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_decontamination": decontamination.op6_decontamination,
     "op8_chat": chat.op8_chat,
     "op9_warc": warc.op9_warc,
+    "op10_lengths": lengths.op10_lengths,
 }
 SQL = {"op1_topk": topk.ORACLE_SQL, "op8_chat": chat.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL}
