@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, html, lengths, pieces, simhash, topk, toxicity, warc
+from . import chat, decontamination, html, lengths, licenses, pieces, simhash, topk, toxicity, warc
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_pieces": pieces.op4_pieces,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_decontamination": decontamination.op6_decontamination,
+    "op7_licenses": licenses.op7_licenses,
     "op8_chat": chat.op8_chat,
     "op9_warc": warc.op9_warc,
     "op10_lengths": lengths.op10_lengths,
