@@ -80,8 +80,9 @@ def _variants(fps: np.ndarray, budget: np.ndarray, low_bits: int) -> Iterator[tu
         yield (fps[own][:, None] ^ flips[None, :]).ravel(), np.repeat(own, len(flips))
 
 
-def _joined(fps: np.ndarray, cell: int, cell_bits: int, bits: int, half: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of fingerprints that meet on a variant whose leading cell_bits are `cell`; neighbours in each meeting."""
+def _joined(fps: np.ndarray, cell: int, cell_bits: int, bits: int, half: int, reach: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of fingerprints that meet on a variant whose leading cell_bits are `cell`: in each meeting, those up to `reach`
+    places apart, which connects all of them."""
     low = bits - cell_bits
     lead = fps >> np.uint64(low) if low < 64 else np.zeros(len(fps), np.uint64)
     away = np.bitwise_count(lead ^ np.uint64(cell)).astype(np.int64)
@@ -90,15 +91,15 @@ def _joined(fps: np.ndarray, cell: int, cell_bits: int, bits: int, half: int) ->
         return np.empty(0, np.int64), np.empty(0, np.int64)
     budget = half - away[keep]
     if low > 1 and sum(int((budget == b).sum()) * sum(math.comb(low, j) for j in range(b + 1)) for b in range(half + 1)) > _MOST_VARIANTS and len(keep) > 1000:
-        found = [_joined(fps[keep], (cell << 1) | side, cell_bits + 1, bits, half) for side in (0, 1)]
+        found = [_joined(fps[keep], (cell << 1) | side, cell_bits + 1, bits, half, reach) for side in (0, 1)]
         return keep[np.concatenate([f[0] for f in found])], keep[np.concatenate([f[1] for f in found])]
     rest = fps[keep] & np.uint64((1 << low) - 1)
     parts = list(_variants(rest, budget, low))
     values, owners = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    order = np.argsort(values)
+    order = np.argsort(values, kind="stable" if reach > 1 else None)
     values, owners = values[order], owners[order]
-    same = np.flatnonzero(values[1:] == values[:-1])
-    return keep[owners[same]], keep[owners[same + 1]]
+    same = [(i, np.flatnonzero(values[i:] == values[:-i])) for i in range(1, min(reach, len(values) - 1) + 1)]
+    return keep[owners[np.concatenate([s for _, s in same])]], keep[owners[np.concatenate([s + i for i, s in same])]]
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

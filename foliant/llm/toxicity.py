@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
@@ -279,6 +280,20 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return out.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs(.., text) with a column of that name added; every row and other column stays."""
+    columns = docs.columns
+    at = columns.index("text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = _Flags(model.learned)
+        for b in batches:
+            x = np.array([features(t.as_py(), flags) for t in b.column(at)], float).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(x), pa.float64())], names=[*columns, name])
+
+    return docs.mapInArrow(work, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
