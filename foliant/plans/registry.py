@@ -1,4 +1,309 @@
 """All queries of the document operators and their SQL, for __spark_entry__.py."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foliant.functions import attributes as A
+from foliant.functions import text as X
+from foliant.operators import documents as D
+from foliant.operators import parts as P
+from foliant.operators import tables as T
+
+from . import sql as S
+from .fixtures import fixture, values
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    """Registers a function (spark, sf_dir) under its own name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Documents
+
+
+@query(S.RECORD_LINES)
+def record_lines(spark, sf_dir):
+    return D.record_lines(table(spark, sf_dir, "documents"))
+
+
+@query(f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS seq, 'par-s0-p' || (i - 1) AS path, l[i] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) AS u(i)")
+def para_split(spark, sf_dir):
+    return D.paragraphs(table(spark, sf_dir, "documents"))
+
+
+@query(f"SELECT doc_id, {S.clean('text')} AS cleaned, {S.visible('text')} AS visible FROM documents")
+def clean_text_docs(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.clean_text(F.col("text")).alias("cleaned"), X.visible(F.col("text")).alias("visible"))
+
+
+@query(f"SELECT id, {S.clean('x')} AS cleaned, {S.visible('x')} AS visible, regexp_replace(x, '^(?:그림|표|Figure|Table) [.] ', '') AS caption FROM {values('snippet')}")
+def clean_text_v(spark, sf_dir):
+    x = F.col("x")
+    return fixture(spark, "snippet").select("id", X.clean_text(x).alias("cleaned"), X.visible(x).alias("visible"), X.strip_caption_label(x).alias("caption"))
+
+
+@query(f"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents) SELECT doc_id, count(*) AS lines, count({S.text_level('x')}) AS headings, count({S.box_level('x')}) AS boxes FROM l GROUP BY doc_id")
+def heading_prefix_docs(spark, sf_dir):
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("l"))
+    known = lambda f: F.size(F.filter("l", lambda x: f(x).isNotNull())).cast("long")
+    return lines.select("doc_id", F.size("l").cast("long").alias("lines"), known(X.text_heading_level).alias("headings"), known(X.box_heading_level).alias("boxes"))
+
+
+@query(f"SELECT id, {S.text_level('x')} AS level, {S.box_level('x')} AS box FROM {values('snippet')}")
+def heading_prefix_v(spark, sf_dir):
+    return fixture(spark, "snippet").select("id", X.text_heading_level(F.col("x")).alias("level"), X.box_heading_level(F.col("x")).alias("box"))
+
+
+@query(f"SELECT par, coalesce({S.style_level('name')}, {S.style_level('english')}) AS level FROM {values('styled')} p LEFT JOIN {values('style')} s USING (style_id)")
+def style_heading(spark, sf_dir):
+    joined = fixture(spark, "styled").join(fixture(spark, "style"), "style_id", "left")
+    return joined.select("par", X.style_heading_level(F.col("name"), F.col("english")).alias("level"))
+
+
+@query(f"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents) SELECT doc_id, count(*) FILTER (WHERE {S.numeric('x')}) AS numeric_lines FROM l GROUP BY doc_id")
+def numeric_ratio(spark, sf_dir):
+    lines = F.split("text", "\n")
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.filter(lines, X.is_mostly_numeric)).cast("long").alias("numeric_lines"))
+
+
+@query(f"SELECT id, {S.numeric('x')} AS numeric, {S.time_token('x')} AS time_token, {S.visible(S.untagged('x'))} <> '' AS has_body FROM {values('snippet')}")
+def text_predicates(spark, sf_dir):
+    x = F.col("x")
+    return fixture(spark, "snippet").select("id", X.is_mostly_numeric(x).alias("numeric"), X.is_time_token(x).alias("time_token"), X.has_visible_body(x).alias("has_body"))
+
+
+@query(f"SELECT id, {S.atx_level('x')} AS level, regexp_replace(x, '^#{{1,6}} ', '') AS plain FROM {values('snippet')}")
+def atx_heading(spark, sf_dir):
+    return fixture(spark, "snippet").select("id", X.atx_level(F.col("x")).alias("level"), X.atx_text(F.col("x")).alias("plain"))
+
+
+@query(f"WITH r AS (SELECT doc_id, {S.escape_record('text')} AS escaped, text FROM documents) SELECT doc_id, escaped, true AS same FROM r")
+def escape_roundtrip(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("escaped", X.escape_record(F.col("text")))
+    return docs.select("doc_id", "escaped", (X.unescape_record(F.col("escaped")) == F.col("text")).alias("same"))
+
+
+@query("SELECT page_id, " + S.escapes("html", "&#39;") + " AS as_html, " + S.escapes("html", "&apos;") + " AS as_xml FROM pages")
+def html_escape(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", X.escape_html(F.col("html")).alias("as_html"), X.escape_xml(F.col("html")).alias("as_xml"))
+
+
+@query(f"SELECT id, {S.markdown_kind('x')} AS kind FROM {values('markdown')}")
+def md_dispatch(spark, sf_dir):
+    return fixture(spark, "markdown").select("id", X.markdown_kind(F.col("x")).alias("kind"))
+
+
+@query(f"""WITH l AS (SELECT doc_id, l, i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) AS u(i)),
+h AS (SELECT doc_id, i, {S.text_level('l[i]')} AS level FROM l)
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS seq, coalesce(last_value(level IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i), 0) AS depth FROM h""")
+def chapter_depth(spark, sf_dir):
+    lines = D.paragraphs(table(spark, sf_dir, "documents")).withColumn("level", X.text_heading_level(F.col("text")))
+    return D.chapter_depth(lines).select("doc_id", "seq", "depth")
+
+
+@query(S.SUMMARY)
+def ir_summary(spark, sf_dir):
+    return D.summary(table(spark, sf_dir, "documents"))
+
+
+@query(f"SELECT par, start, lead(start) OVER w AS stop, char_shape_id FROM (SELECT *, lag(char_shape_id) OVER (PARTITION BY par ORDER BY start) AS b FROM {values('run')}) WHERE b IS NULL OR b <> char_shape_id WINDOW w AS (PARTITION BY par ORDER BY start)")
+def run_bounds(spark, sf_dir):
+    return D.run_bounds(fixture(spark, "run"))
+
+
+# Records
+
+
+@query(S.RECORD_ATTRS)
+def record_attrs(spark, sf_dir):
+    line = F.col("line")
+    own = fixture(spark, "record").withColumn("a", D.attributes(line))
+    return own.select("id", F.explode_outer("a").alias("k", "v"), D.text_body(line).alias("body"))
+
+
+@query(S.RECORD_PARSE)
+def record_parse(spark, sf_dir):
+    back = D.parsed_records(D.record_lines(table(spark, sf_dir, "documents")))
+    return back.groupBy("doc_id").agg(F.count_if(F.col("kind") == "PARAGRAPH").alias("paragraphs"), F.count_if(F.col("kind") == "TEXT").alias("texts"), F.coalesce(F.sum(F.length("body")), F.lit(0)).alias("characters"))
+
+
+@query(f"SELECT id, CASE WHEN level > 0 THEN level ELSE coalesce({S.atx_level('text')}, 0) END AS resolved, CASE WHEN level > 0 THEN text ELSE regexp_replace(text, '^#{{1,6}} ', '') END AS plain FROM {values('heading_line')}")
+def resolve_heading(spark, sf_dir):
+    return D.resolved_headings(fixture(spark, "heading_line")).select("id", "resolved", "plain")
+
+
+@query(S.LAYOUT)
+def lineseg_codec(spark, sf_dir):
+    return fixture(spark, "layout").withColumn("s", A.line_segments(F.col("x"))).select("id", F.size("s").cast("long").alias("segments"), A.line_segments_text(F.col("s")).alias("encoded"))
+
+
+# Tables
+
+
+@query(S.BG_TONE)
+def bg_tone(spark, sf_dir):
+    c = [F.col(x) for x in "rgb"]
+    return fixture(spark, "fill").select("slot", A.luminance(*c).alias("luminance"), A.tone(*c, F.col("a")).alias("tone"))
+
+
+@query(S.CELL_ROLES)
+def cell_roles(spark, sf_dir):
+    roles = T.cell_roles(T.fingerprints(fixture(spark, "cell"), fixture(spark, "fill")))
+    return roles.select("tbl", "row", "col", "tone", "role", T.editable(F.col("role"), F.col("paragraphs"), F.col("controls"), F.col("text")).alias("editable"))
+
+
+@query(S.KEYWORD_COUNT)
+def keyword_count(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", *[X.substring_count(F.lower("text"), F.lit(w)).cast("long").alias(f"n_{w}") for w in S.COUNTED])
+
+
+@query(S.TABLE_DOMAIN)
+def table_domain(spark, sf_dir):
+    return T.table_domain(fixture(spark, "cell"), fixture(spark, "tbl"))
+
+
+@query(S.GRID_SLOTS)
+def grid_slots(spark, sf_dir):
+    return T.grid_slots(fixture(spark, "cell"), fixture(spark, "tbl"))
+
+
+@query(None)
+def grid_fold(spark, sf_dir):
+    return T.markdown_grid(fixture(spark, "cell"), fixture(spark, "tbl"))
+
+
+@query("""WITH n AS (SELECT n_regionkey AS tbl, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS row, n_nationkey AS k, n_name AS s FROM nation)
+SELECT tbl, '| ' || max(k) FILTER (WHERE row = 0) || ' | ' || max(s) FILTER (WHERE row = 0) || ' |' || chr(10) || '| --- | --- |' || chr(10)
+  || coalesce(string_agg('| ' || k || ' | ' || s || ' |' || chr(10), '' ORDER BY row) FILTER (WHERE row > 0), '') || chr(10) AS markdown FROM n GROUP BY tbl""")
+def gfm_table(spark, sf_dir):
+    from pyspark.sql import Window
+
+    n = table(spark, sf_dir, "nation").withColumn("row", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")) - 1)
+    cells = n.select(F.col("n_regionkey").alias("tbl"), "row", F.posexplode(F.array(F.col("n_nationkey").cast("string"), "n_name")).alias("col", "text")).withColumns({"row_span": F.lit(1), "col_span": F.lit(1), "controls": F.lit(0)})
+    return T.markdown_grid(cells, cells.groupBy("tbl").agg((F.max("row") + 1).alias("rows"), F.lit(2).alias("cols")))
+
+
+@query(f"""WITH e AS (SELECT tbl, row, col, col - row_number() OVER (PARTITION BY tbl, row ORDER BY col) AS i FROM {values('cell')} WHERE row_span = 1 AND col_span = 1 AND controls = 0 AND {S.clean('text')} = '')
+SELECT tbl, row, min(col) AS first_col, max(col) AS last_col FROM e GROUP BY tbl, row, i HAVING max(col) > min(col)""")
+def empty_runs(spark, sf_dir):
+    return T.empty_runs(fixture(spark, "cell"))
+
+
+@query(S.TABLE_FORM)
+def table_form(spark, sf_dir):
+    return T.table_form(fixture(spark, "cell"), fixture(spark, "tbl"))
+
+
+@query(f"""WITH j AS (SELECT c.*, cols FROM {values('cell')} c JOIN {values('tbl')} USING (tbl)),
+w AS (SELECT *, CASE WHEN width = 0 THEN 42000 // greatest(cols, 1) * col_span ELSE width END AS w2 FROM j)
+SELECT tbl, row, col, w2 AS width, CASE WHEN height = 0 THEN 1500 * row_span ELSE height END AS height, CASE WHEN text_width = 0 THEN greatest(w2 - 200, 0) ELSE text_width END AS text_width FROM w""")
+def cell_sizes(spark, sf_dir):
+    return T.with_default_sizes(fixture(spark, "cell"), fixture(spark, "tbl")).select("tbl", "row", "col", "width", "height", "text_width")
+
+
+@query(f"""WITH r AS (SELECT tbl, row, max(height) AS h, CASE WHEN row = 0 THEN sum(width) END AS w FROM {values('cell')} GROUP BY tbl, row)
+SELECT tbl, CAST(greatest(coalesce(sum(w), 0), 1) AS BIGINT) AS width, CAST(greatest(sum(h), 1) AS BIGINT) AS height FROM r GROUP BY tbl""")
+def table_extent(spark, sf_dir):
+    return T.table_extent(fixture(spark, "cell"))
+
+
+# Parts, pictures and references
+
+
+@query(f"""WITH e AS (SELECT *, {S.entry_number('id')} AS n FROM {values('entry')}), f AS (SELECT doc_id, n, arg_min(id, ord) AS b FROM e GROUP BY doc_id, n)
+SELECT p.doc_id, seq, CAST(row_number() OVER (PARTITION BY p.doc_id ORDER BY seq) AS INTEGER) AS number, bin_id, b AS binary, coalesce(lower(regexp_extract(b, '[.]([^.]*)$', 1)), 'bin') AS extension
+FROM {values('picture')} p LEFT JOIN f ON p.doc_id = f.doc_id AND bin_id = n""")
+def bin_lookup(spark, sf_dir):
+    return P.pictures_with_binary(fixture(spark, "picture"), fixture(spark, "entry"))
+
+
+@query(f"""WITH f AS (SELECT doc_id, bin_id, min(seq) AS first FROM {values('picture')} GROUP BY ALL)
+SELECT e.doc_id, id, CAST(row_number() OVER (PARTITION BY e.doc_id ORDER BY first NULLS LAST, ord) AS INTEGER) AS place FROM {values('entry')} e LEFT JOIN f ON e.doc_id = f.doc_id AND {S.entry_number('id')} = bin_id""")
+def picture_order(spark, sf_dir):
+    return P.binaries_in_picture_order(fixture(spark, "picture"), fixture(spark, "entry"))
+
+
+@query(f"""SELECT doc_id, kind, ref, CASE WHEN coalesce(n, 0) = 0 THEN ref WHEN ref >= n THEN CASE WHEN kind = 'border_fill' AND n >= 2 THEN 1 ELSE 0 END ELSE ref END AS clamped
+FROM {values('ref')} LEFT JOIN {values('bound')} USING (doc_id, kind)""")
+def dangling_refs(spark, sf_dir):
+    return P.clamped(fixture(spark, "ref"), fixture(spark, "bound"))
+
+
+@query(f"""SELECT coalesce(a.name, b.name) AS name, CASE WHEN b.name IS NULL THEN 'missing' WHEN a.name IS NULL THEN 'extra' WHEN a.body = b.body THEN 'equal' ELSE 'differing' END AS state,
+CAST(octet_length(encode(a.body)) AS INTEGER) AS left_bytes, CAST(octet_length(encode(b.body)) AS INTEGER) AS right_bytes FROM {values('part_a')} a FULL JOIN {values('part_b')} b ON a.name = b.name""")
+def stream_diff(spark, sf_dir):
+    own = lambda n: fixture(spark, n).select("name", F.col("body").cast("binary").alias("bytes"))
+    return P.stream_difference(own("part_a"), own("part_b"))
+
+
+@query(f"""WITH d AS (SELECT 1 AS doc_id, name, body FROM {values('part_a')}) SELECT * FROM d WHERE regexp_matches(name, '{P.PACKAGE_PATHS}')
+UNION ALL SELECT 1, name, body FROM {values('part_b')} b WHERE regexp_matches(name, '{P.PACKAGE_PATHS}') AND NOT EXISTS (SELECT 1 FROM d WHERE d.name = b.name)""")
+def package_parts(spark, sf_dir):
+    return P.kept_parts(P.with_missing_parts(fixture(spark, "part_a").select(F.lit(1).alias("doc_id"), "name", "body"), fixture(spark, "part_b")))
+
+
+@query(f"""SELECT name, regexp_matches(name, '^Contents/section[0-9]+[.]xml$') AS is_section, CAST(nullif(regexp_extract(name, '([0-9]+)', 1), '') AS INTEGER) AS number,
+nullif(regexp_extract(name, '^/?BinData/([^/]+)$', 1), '') AS binary_id FROM {values('part_b')}""")
+def part_names(spark, sf_dir):
+    n = F.col("name")
+    return fixture(spark, "part_b").select("name", P.is_section(n).alias("is_section"), P.section_number(n).alias("number"), P.binary_id(n).alias("binary_id"))
+
+
+@query("""WITH c AS (SELECT source AS style, count(*) AS uses FROM documents GROUP BY source HAVING count(*) >= 2)
+SELECT style, uses, 's' || (row_number() OVER (ORDER BY uses DESC, style) - 1) AS class FROM c""")
+def style_hoist(spark, sf_dir):
+    return P.hoisted_styles(table(spark, sf_dir, "documents").select(F.col("source").alias("style")))
+
+
+@query(f"""WITH r AS (SELECT doc_id, slot, sum(n) OVER (PARTITION BY doc_id ORDER BY slot) - n AS a, sum(n) OVER (PARTITION BY doc_id ORDER BY slot) AS b FROM {values('slot_count')})
+SELECT f.doc_id, slot, CAST(ord - a AS INTEGER) AS idx, name FROM {values('face')} f JOIN r ON f.doc_id = r.doc_id AND ord >= a AND ord < b""")
+def font_slots(spark, sf_dir):
+    return P.font_slots(fixture(spark, "slot_count"), fixture(spark, "face"))
+
+
+# Attributes
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(floor(CAST(l_partkey * 37 AS DOUBLE) * 25.4 / 7200 + 0.5) AS INTEGER) AS mm FROM lineitem")
+def hwpunit_mm(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", A.to_mm(F.col("l_partkey") * 37).alias("mm"))
+
+
+@query(S.COLOUR_HEX)
+def color_hex(spark, sf_dir):
+    own = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") * 7919 % 16777216).alias("n")).withColumn("hex", A.colour_hex(F.col("n")))
+    return own.select("p_partkey", "hex", A.colour_number(F.col("hex")).cast("long").alias("back"))
+
+
+@query("SELECT o_orderkey, " + ", ".join(f"CAST((o_orderkey * 2654435 >> {a}) & {(1 << w) - 1} AS INTEGER) AS {n}" for n, (a, w) in {**A.CHAR_BITS, **A.PARA_BITS}.items()) + " FROM orders")
+def attr_bits(spark, sf_dir):
+    x = F.col("o_orderkey") * 2654435
+    return table(spark, sf_dir, "orders").select("o_orderkey", *A.bit_columns(x, A.CHAR_BITS), *A.bit_columns(x, A.PARA_BITS))
+
+
+@query(f"SELECT doc_id, id, {S.entry_number('id')} AS number, {S.mime('id')} AS mime FROM {values('entry')}")
+def entry_ids(spark, sf_dir):
+    return fixture(spark, "entry").select("doc_id", "id", A.entry_number(F.col("id")).alias("number"), A.mime_of(F.col("id"), "application/octet-stream").alias("mime"))
+
+
+@query("SELECT page_id, 'data:text/html;base64,' || base64(encode(html)) AS uri FROM pages")
+def data_uri(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", A.data_uri(F.lit("text/html"), F.encode("html", "UTF-8")).alias("uri"))
