@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -307,3 +308,66 @@ def entry_ids(spark, sf_dir):
 @query("SELECT page_id, 'data:text/html;base64,' || base64(encode(html)) AS uri FROM pages")
 def data_uri(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", A.data_uri(F.lit("text/html"), F.encode("html", "UTF-8")).alias("uri"))
+
+
+# Decoders and encoders, by Arrow-batched Python; tests hold them against round trips
+
+
+@query(None)
+def latex(spark, sf_dir):
+    from foliant.functions.formula import to_latex, to_tokens
+
+    return fixture(spark, "equation").select("id", to_latex("script").alias("latex"), to_tokens("script").alias("tokens"))
+
+
+@query(None)
+def gfm_import(spark, sf_dir):
+    from foliant.sources.markdown import import_blocks
+
+    return import_blocks(table(spark, sf_dir, "documents"))
+
+
+@query("SELECT conv_id, CAST(count(*) AS BIGINT) AS paragraphs, true AS same FROM conversations GROUP BY conv_id")
+def package_roundtrip(spark, sf_dir):
+    """Each conversation as a section of paragraphs, written as a package, read again and compared."""
+    from foliant.sources import packages as Z
+
+    rows = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("doc_id"), F.lit(0).alias("section"), F.col("turn").cast("int").alias("ord"), F.concat(F.lit("p"), F.col("turn").cast("string")).alias("path"), F.lit("paragraph").alias("kind"),
+        F.create_map(F.lit("style"), F.lit("1"), F.lit("runs"), F.lit("0:2|3:4")).alias("attrs"), "text",
+    )
+    back = Z.section_nodes(Z.parts(Z.packages(Z.sections(rows)))).select(F.col("doc_id").alias("conv_id"), "ord", F.col("text").alias("t"))
+    own = rows.select(F.col("doc_id").alias("conv_id"), "ord", "text")
+    return own.join(back, ["conv_id", "ord"], "full").groupBy("conv_id").agg(F.count("*").alias("paragraphs"), F.bool_and(F.col("text").eqNullSafe(F.col("t"))).alias("same"))
+
+
+@query("SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS records, text FROM documents")
+def record_roundtrip(spark, sf_dir):
+    """Each document's lines as paragraph-text records in a deflated stream, split and decoded again."""
+    from pyspark.sql import types as PT
+
+    from foliant.sources import records as R
+
+    @F.pandas_udf(PT.BinaryType())
+    def stream(lines: pd.Series) -> pd.Series:
+        return lines.map(lambda text: R.deflate(R.join([(R.TAGS["PARA_TEXT"], 1, R.text_record(x)) for x in text.split("\n")])))
+
+    @F.pandas_udf(PT.StringType())
+    def decoded(data: pd.Series) -> pd.Series:
+        return data.map(R.paragraph_text)
+
+    own = table(spark, sf_dir, "documents").select("doc_id", F.lit("BodyText/Section0").alias("stream"), stream("text").alias("bytes"))
+    rows = R.records(own).select("doc_id", "seq", decoded("data").alias("line"))
+    lines = rows.groupBy("doc_id").agg(F.count("*").alias("records"), F.array_sort(F.collect_list(F.struct("seq", "line"))).alias("l"))
+    return lines.select("doc_id", "records", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
+
+
+@query(None)
+def align_edit(spark, sf_dir):
+    """Each conversation against itself with every third turn reworded and a new one after each fifth."""
+    from foliant.operators.edit import merged
+
+    own = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("section"), F.col("turn").cast("int").alias("seq"), "text", F.lit(1).alias("style_id"), (F.col("turn") == 2).alias("page_break"))
+    typed = own.withColumns({"text": F.when(F.col("seq") % 3 == 1, F.concat(F.lit("new "), "text")).otherwise(F.col("text")), "style_id": F.lit(0), "page_break": F.lit(False)})
+    added = own.where("seq % 5 = 4").select("section", (F.col("seq") * 1000 + 1).alias("seq"), F.lit("added").alias("text"), F.lit(3).alias("style_id"), F.lit(False).alias("page_break"))
+    return merged(own, typed.withColumn("seq", F.col("seq") * 1000).unionByName(added))
