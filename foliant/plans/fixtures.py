@@ -63,3 +63,28 @@ def values(name: str) -> str:
 def fixture(spark: SparkSession, name: str) -> DataFrame:
     columns, rows = FIXTURES[name]
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t({columns})")
+
+
+#: A package's tree: headings, a table with a span, a nested paragraph and a picture.
+NODES = [
+    (1, 0, 0, "p0", "paragraph", {"style": "1"}, "1. 개요"),
+    (1, 0, 1, "p1", "paragraph", {"style": "0"}, "a <b> & c"),
+    (1, 0, 2, "p2", "paragraph", {}, "￼"),
+    (1, 0, 3, "p2/t0", "table", {"rows": "2", "cols": "2"}, ""),
+    (1, 0, 4, "p2/t0/c0", "cell", {"row": "0", "col": "0", "row_span": "1", "col_span": "2"}, ""),
+    (1, 0, 5, "p2/t0/c0/p0", "paragraph", {}, "head|er"),
+    (1, 0, 6, "p2/t0/c1", "cell", {"row": "1", "col": "0", "row_span": "1", "col_span": "1"}, ""),
+    (1, 0, 7, "p2/t0/c1/p0", "paragraph", {}, "x"),
+    (1, 0, 8, "p2/t0/c1/p1", "paragraph", {}, "y"),
+    (1, 0, 9, "p2/t0/c2", "cell", {"row": "1", "col": "1", "row_span": "1", "col_span": "1"}, ""),
+    (1, 0, 10, "p3", "paragraph", {}, ""),
+    (1, 0, 11, "p3/i0", "picture", {"bin": "image1"}, ""),
+    (1, 1, 0, "p0", "paragraph", {}, "1.2 next"),
+    (2, 0, 0, "p0", "paragraph", {}, "only"),
+]
+
+
+def nodes(spark: SparkSession) -> DataFrame:
+    from foliant.sources.packages import NODE
+
+    return spark.createDataFrame(NODES, NODE)

@@ -13,7 +13,7 @@ from foliant.operators import parts as P
 from foliant.operators import tables as T
 
 from . import sql as S
-from .fixtures import fixture, values
+from .fixtures import fixture, nodes, values
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -310,6 +310,44 @@ def data_uri(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", A.data_uri(F.lit("text/html"), F.encode("html", "UTF-8")).alias("uri"))
 
 
+# Emission
+
+
+def conversation_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as a one-section document of paragraphs."""
+    rows = table(spark, sf_dir, "conversations")
+    return rows.select(F.col("conv_id").alias("doc_id"), F.lit(0).alias("section"), F.col("turn").cast("int").alias("ord"), F.concat(F.lit("p"), F.col("turn").cast("string")).alias("path"), F.lit("paragraph").alias("kind"), F.create_map(F.lit("role"), F.col("role")).alias("attrs"), "text")
+
+
+@query(f"SELECT conv_id AS doc_id, string_agg(CASE WHEN {S.text_level('text')} IS NULL THEN '' ELSE repeat('#', {S.text_level('text')}) || ' ' END || {S.clean('text')}, chr(10) || chr(10) ORDER BY turn) FILTER (WHERE {S.clean('text')} <> '') AS markdown FROM conversations GROUP BY conv_id HAVING count(*) FILTER (WHERE {S.clean('text')} <> '') > 0")
+def markdown_emit(spark, sf_dir):
+    from foliant.operators.emit import to_markdown
+
+    return to_markdown(conversation_nodes(spark, sf_dir))
+
+
+@query(f"""WITH t AS (SELECT *, {S.clean('text')} AS c, coalesce('h' || ({S.text_level('text')}), 'p') AS tag FROM conversations)
+SELECT conv_id AS doc_id, '<article>' || string_agg('<' || tag || '>' || {S.escapes('c', '&#39;')} || '</' || tag || '>', '' ORDER BY turn) || '</article>' AS html FROM t WHERE c <> '' GROUP BY conv_id""")
+def html_emit(spark, sf_dir):
+    from foliant.operators.emit import to_html
+
+    return to_html(conversation_nodes(spark, sf_dir))
+
+
+@query(f"""SELECT conv_id AS doc_id, string_agg('PARAGRAPH[id=s0-p' || turn || ',role=' || role || ']' || CASE WHEN text <> '' THEN chr(10) || 'TEXT: ' || {S.escape_record('text')} ELSE '' END, chr(10) ORDER BY turn) AS records FROM conversations GROUP BY conv_id""")
+def record_emit(spark, sf_dir):
+    from foliant.operators.emit import to_records
+
+    return to_records(conversation_nodes(spark, sf_dir))
+
+
+@query("""SELECT * FROM (VALUES (1, 2, 8, 1, 3, 1), (2, 1, 1, 0, 0, 0)) AS t(doc_id, sections, paragraphs, tables, cells, pictures)""")
+def document_summary(spark, sf_dir):
+    from foliant.operators.emit import document_summary as summary
+
+    return summary(nodes(spark))
+
+
 # Decoders and encoders, by Arrow-batched Python; tests hold them against round trips
 
 

@@ -113,3 +113,29 @@ def test_align():
     assert align(["a", "old", "b"], ["a", "edited", "b"]) == [(0, 0), (1, 1), (2, 2)]
     assert align([], ["x"]) == [(None, 0)]
     assert align(["x"], []) == []
+
+
+def test_emission(spark):
+    from foliant.operators.emit import to_html, to_markdown, to_records
+    from foliant.plans.fixtures import nodes
+
+    tree = nodes(spark)
+    md = {r.doc_id: r.markdown for r in to_markdown(tree).collect()}
+    assert md == {1: "# 1. 개요\n\na <b> & c\n\n| head\\|er | |\n| --- | --- |\n| x y |  |\n\n\n## 1.2 next", 2: "only"}
+    html = {r.doc_id: r.html for r in to_html(tree).collect()}
+    assert html[1] == '<article><h1>1. 개요</h1><p>a &lt;b&gt; &amp; c</p><table><tr><td colspan="2">head|er</td></tr><tr><td>x y</td><td></td></tr></table><h2>1.2 next</h2></article>'
+    assert {r.doc_id: r.records for r in to_records(tree).collect()}[2] == "PARAGRAPH[id=s0-p0]\nTEXT: only"
+
+
+def test_package_stream(spark, tmp_path):
+    from foliant.streaming.folder import package_stream
+
+    body = packages.section_xml([("p0", "paragraph", {"runs": "0:1"}, "streamed")])
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.hwpx").write_bytes(packages.zip_parts([("mimetype", packages.MIMETYPE), ("Contents/section0.xml", body)]))
+    q = package_stream(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("nodes_seen").option("checkpointLocation", str(tmp_path / "ck")).start()
+    try:
+        q.processAllAvailable()
+        assert [r.text for r in spark.sql("SELECT text FROM nodes_seen").collect()] == ["streamed"]
+    finally:
+        q.stop()
