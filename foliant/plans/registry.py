@@ -409,3 +409,16 @@ def align_edit(spark, sf_dir):
     typed = own.withColumns({"text": F.when(F.col("seq") % 3 == 1, F.concat(F.lit("new "), "text")).otherwise(F.col("text")), "style_id": F.lit(0), "page_break": F.lit(False)})
     added = own.where("seq % 5 = 4").select("section", (F.col("seq") * 1000 + 1).alias("seq"), F.lit("added").alias("text"), F.lit(3).alias("style_id"), F.lit(False).alias("page_break"))
     return merged(own, typed.withColumn("seq", F.col("seq") * 1000).unionByName(added))
+
+
+@query("SELECT conv_id, turn AS seq, text, length(text) AS n_chars FROM conversations")
+def binary_roundtrip(spark, sf_dir):
+    """Each conversation as the paragraphs of a binary document, written as a compound file and scanned again."""
+    from pyspark.sql import Window
+
+    from foliant.sources import binary as B
+
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.lit(0).alias("section"), F.col("turn").alias("seq"), "text")
+    back = B.paragraphs(B.record_rows(B.streams(B.documents(rows))))
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("section", "seq")) - 1
+    return back.select(F.col("doc_id").alias("conv_id"), number.cast("long").alias("seq"), "text", F.length("text").cast("long").alias("n_chars"))

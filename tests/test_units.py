@@ -139,3 +139,16 @@ def test_package_stream(spark, tmp_path):
         assert [r.text for r in spark.sql("SELECT text FROM nodes_seen").collect()] == ["streamed"]
     finally:
         q.stop()
+
+
+def test_typed_records(spark):
+    from foliant.sources import binary
+
+    style = {"name": "바탕글", "english_name": "Normal", "properties": 0, "next_style_id": 1, "lang_id": 1042, "para_shape_id": 2, "char_shape_id": 3}
+    info = records.join([(records.TAGS["STYLE"], 0, records.encode("STYLE", style)), (records.TAGS["BIN_DATA"], 0, b"xx"), (records.TAGS["STYLE"], 0, records.encode("STYLE", style | {"name": "본문"}))])
+    held = {"/FileHeader": binary.file_header(), "/DocInfo": records.deflate(info), "/BinData/BIN0001.png": b"\x89PNG"}
+    files = spark.createDataFrame([(7, bytearray(compound.write(held)))], "doc_id long, content binary")
+    streams = binary.streams(files)
+    assert {(r.stream, r.flags) for r in streams.collect()} == {("/FileHeader", 1), ("/DocInfo", 1), ("/BinData/BIN0001.png", 1)}
+    got = binary.typed(binary.record_rows(streams), "STYLE").orderBy("slot").collect()
+    assert [(r.slot, r.name, r.lang_id) for r in got] == [(0, "바탕글", 1042), (1, "본문", 1042)]
