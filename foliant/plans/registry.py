@@ -186,7 +186,7 @@ def grid_slots(spark, sf_dir):
     return T.grid_slots(fixture(spark, "cell"), fixture(spark, "tbl"))
 
 
-@query(None)
+@query(S.GRID_FOLD)
 def grid_fold(spark, sf_dir):
     return T.markdown_grid(fixture(spark, "cell"), fixture(spark, "tbl"))
 

@@ -170,3 +170,12 @@ SELECT tbl, form, CASE WHEN form = 'heading' THEN lv END AS level, CASE WHEN for
 COLOUR_HEX = """
 WITH n AS (SELECT p_partkey, p_partkey * 7919 % 16777216 AS n FROM part)
 SELECT p_partkey, format('#{:02X}{:02X}{:02X}', n & 255, (n >> 8) & 255, (n >> 16) & 255) AS hex, n AS back FROM n"""
+
+GRID_FOLD = f"""
+WITH p AS (SELECT tbl, row, col + i AS c, CASE WHEN i = 0 THEN replace(replace({clean('text')}, '|', '\\|'), chr(10), ' ') ELSE '' END AS x, row_span, controls
+  FROM {values('cell')}, unnest(range(greatest(col_span, 1))) AS u(i)),
+k AS (SELECT t.tbl, rows, cols FROM {values('tbl')} t JOIN p USING (tbl) GROUP BY t.tbl, rows, cols HAVING max(row_span) <= 1 AND sum(controls) = 0
+  AND count(*) = rows * cols AND count(DISTINCT (row, c)) = rows * cols AND min(row) >= 0 AND min(c) >= 0 AND max(row) < rows AND max(c) < cols),
+l AS (SELECT tbl, row, cols, '| ' || string_agg(x, ' | ' ORDER BY c) || ' |' || chr(10) AS line FROM p JOIN k USING (tbl) GROUP BY tbl, row, cols)
+SELECT tbl, max(line) FILTER (WHERE row = 0) || '|' || repeat(' --- |', cols) || chr(10) || coalesce(string_agg(line, '' ORDER BY row) FILTER (WHERE row > 0), '') || chr(10) AS markdown
+FROM l GROUP BY tbl, cols"""
