@@ -97,12 +97,14 @@ def at_limits(sums: DataFrame, limits: DataFrame) -> DataFrame:
         lim.select(F.col("context_limit").alias("length"), "context_limit", *[F.lit(None).cast("long").alias(c) for c in ("docs_longer", "tokens_longer", "docs_fitting", "tokens_fitting")])
     )
     w = Window.orderBy("length", F.col("context_limit").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = sums.agg(F.sum("n_docs").alias("all_docs"), F.sum(F.col("n_docs") * F.col("length")).alias("all_tokens"))
-    seen = both.select("context_limit", *[F.last(c, True).over(w).alias(c) for c in ("docs_longer", "tokens_longer", "docs_fitting", "tokens_fitting")]).where("context_limit IS NOT NULL")
+    every = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    seen = both.select(
+        "context_limit", *[F.last(c, True).over(w).alias(c) for c in ("docs_longer", "tokens_longer", "docs_fitting", "tokens_fitting")],
+        F.max(F.col("docs_longer") + F.col("docs_fitting")).over(every).alias("all_docs"), F.max(F.col("tokens_longer") + F.col("tokens_fitting")).over(every).alias("all_tokens"),
+    ).where("context_limit IS NOT NULL")
     z = F.lit(0).cast("long")
-    out = seen.join(F.broadcast(total), F.lit(True))
     docs, tokens = F.coalesce("docs_longer", "all_docs", z), F.coalesce("tokens_longer", "all_tokens", z)
-    return out.select(
+    return seen.select(
         "context_limit", F.coalesce("docs_fitting", z).alias("docs_fitting"), docs.alias("docs_longer"),
         (F.coalesce("tokens_fitting", z) + docs * F.col("context_limit")).alias("truncated_total"), (tokens - docs * F.col("context_limit")).alias("tokens_cut"),
     )
