@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import removed, written_at
 
 
 def _step(edges: DataFrame, large: bool) -> DataFrame:
@@ -27,12 +27,15 @@ def connected_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """(u long, v long) edges to (node, component): component is the smallest node reachable. Nodes without an edge are absent.
 
     Each round ends in a written table, so the lineage stays short and an executor may be lost. Rounds stop when the edges no
-    longer change. An empty edge table gives an empty result.
+    longer change. A table is deleted once the next is written. An empty edge table gives an empty result.
     """
-    edges = written(edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u <> v").distinct(), "edges")
+    spark = edges.sparkSession
+    edges, path = written_at(edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u <> v").distinct(), "edges")
     before = None
     for _ in range(most_rounds):
-        edges = written(_step(_step(edges, True), False), "edges")
+        edges, last = written_at(_step(_step(edges, True), False), "edges")
+        removed(spark, path)
+        path = last
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
