@@ -32,11 +32,13 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _BOILERPLATE = frozenset("nav footer aside form dialog button head menu fieldset".split())
 _ARTICLE = frozenset("article main".split())
 _NAMED = re.compile(
-    r"""(?:class|id|role|aria-label)\s*=\s*["']?[^"'>]*?(?<![a-z])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|"""
-    r"""signup|login|share|sharing|social|follow|sidebar|side-bar|widget|menu|nav|navbar|navigation|breadcrumbs?|toolbar|topbar|masthead|header|site-header|page-header|footer|site-footer|"""
+    r"""(?:class|id|role|aria-label)\s*=\s*["']?[^"'>]*?(?<![a-z])(?<!has-)(?<!with-)(?<!no-)(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|"""
+    r"""signup|login|share|sharing|social|follow|sidebar|side-bar|widget|menu|nav|navbar|navigation|breadcrumbs?|toolbar|topbar|masthead|site-header|page-header|footer|site-footer|"""
     r"""comments?|comment-\w+|replies|reply|disqus|respond|related|recommended|read-more|trending|popular|pagination|pager|skip-link|copyright|complementary|contentinfo|search)(?![a-z])""",
     re.I,
 )
+#: Headers count as boilerplate outside an article only; inside, they hold its title.
+_HEADER = re.compile(r"""(?:class|id|role)\s*=\s*["']?[^"'>]*?(?<![a-z])(?:header|banner)(?![a-z])""", re.I)
 _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _SPACE = re.compile(r"\s+")
 #: Where a line stands.
@@ -95,7 +97,7 @@ def page_lines(page: str | None) -> list[tuple[int, str]]:
         elif skip:
             if name == skip and not rest.endswith("/"):
                 depth += 1
-        elif name in _BOILERPLATE or named or (name == "header" and not inside):
+        elif name in _BOILERPLATE or named or (not inside and (name == "header" or (rest and _HEADER.search(rest)))):
             if not rest.endswith("/"):
                 skip, depth = name, 1
     if at < len(page):
