@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import parts_of, shingle_parts, table, written
-from .components import connected_components
+from .components import connected_components, forest
 
 #: Byte j of entry v is bit j of v: adding entries adds eight bit counters at once, up to 255 of them.
 _SPREAD = np.array([sum(((v >> j) & 1) << (8 * j) for j in range(8)) for v in range(256)], np.uint64)
@@ -102,22 +102,6 @@ def _joined(fps: np.ndarray, cell: int, cell_bits: int, bits: int, half: int, re
     return keep[owners[np.concatenate([s for _, s in same])]], keep[owners[np.concatenate([s + i for i, s in same])]]
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (node, smallest node of its part) that join what the pairs join."""
-    label = np.arange(n)
-    while len(a):
-        la, lb = label[a], label[b]
-        low = np.minimum(la, lb)
-        if (la == lb).all():
-            break
-        np.minimum.at(label, la, low)
-        np.minimum.at(label, lb, low)
-        while (label[label] != label).any():
-            label = label[label]
-    own = np.flatnonzero(label != np.arange(n))
-    return own, label[own]
-
-
 def ball_links(fps: DataFrame, radius: int = 4, bits: int = 64) -> DataFrame:
     """Edges (u, v) between the nodes of fps(node, fp), enough to connect all that differ in at most `radius` bits.
 
@@ -141,7 +125,7 @@ def ball_links(fps: DataFrame, radius: int = 4, bits: int = 64) -> DataFrame:
             pairs = np.unique(np.minimum(a, b) * len(nodes) + np.maximum(a, b))
             a, b = pairs // len(nodes), pairs % len(nodes)
             right = np.bitwise_count(values[a] ^ values[b]) <= radius
-            a, b = _forest(len(nodes), a[right], b[right])
+            a, b = forest(len(nodes), a[right], b[right])
         return pa.table({"u": pa.array(nodes[a], pa.int64()), "v": pa.array(nodes[b], pa.int64())})
 
     return sent.repartition(parts_of(fps.sparkSession), "cell").groupBy("cell").applyInArrow(work, "u long, v long")
