@@ -1,13 +1,17 @@
-"""Near-duplicate groups at a shingle similarity, by SimHash in several tables.
+"""Near-duplicate groups at a shingle similarity, exactly: fingerprints link the plain cases, a prefix filter finds all others.
 
-One fingerprint with a small radius finds only texts that are almost equal: at Jaccard similarity 0.8 two 64-bit fingerprints
-differ in about ten bits. So a text gets a long SimHash of WIDTH words, and each table takes BITS of its bits, in a fixed random
-choice. In each table texts meet by ball hashing (see simhash). A meeting pair is a candidate if the angle between the long
-fingerprints allows the similarity, and candidates are verified on their whole shingle sets. For that, the sets of the texts that are
-connected by candidates are brought together once, in blocks of bounded size, not once for each pair.
+A first round links the texts whose long SimHash fingerprints leave no doubt: texts that meet by ball hashing (see simhash) in one of
+TABLES tables, each over BITS of the fingerprint's bits in a fixed random choice. It only makes dense groups small; nothing rests on
+what it misses.
 
-A first round over SURE_TABLES tables links the texts whose fingerprints leave no doubt. In the second round, over all tables, members of
-one part meet as one, so a dense group of thousands of near copies gives few candidates there.
+The rest is found by a prefix filter. All shingles stand in one order, the commonest last. Of two sets at Jaccard similarity s or more,
+each has at least s of its own shingles in common with the other, so the first n - ceil(s n) + 1 of each have one in common. All texts of
+different parts that share such a shingle are compared: by size, then by the parity of their shingles in 1,024 hash classes, which can
+differ in no more classes than the sets do in shingles. Neither drops a pair that reaches s. What is left is verified on the
+whole shingle sets, which are brought together once for all pairs, in blocks of bounded size.
+
+Pairs are taken in two steps: first those of a least spanning forest of each task, so that true groups become one part, then all that are
+still in different parts.
 """
 
 from __future__ import annotations
@@ -21,20 +25,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import parts_of, shingle_parts, written
-from .components import connected_components
+from .components import connected_components, forest
 from .simhash import _MOST_VARIANTS, _joined, _masks, _mixed, bit_counts
 
-#: 64-bit words of the long fingerprint, tables, bits of a table and the radius in it. A pair at similarity 0.8 meets in a table with
-#: probability 0.13, so it is missed by all with probability 0.006; at 0.9 with less than 0.0001.
-WIDTH, TABLES, BITS, RADIUS = 16, 36, 32, 2
-#: What the estimate from the angle may lack in similarity: four standard errors. Sets of fewer shingles skip it.
+#: 64-bit words of the long fingerprint, tables of the first round, bits of a table and the radius in it.
+WIDTH, TABLES, BITS, RADIUS = 16, 6, 32, 2
+#: Texts are linked without their sets if the estimate from the angle lies this far above the limit, four standard errors, and both sets
+#: have as many shingles as SMALL.
 SLACK, SMALL = 0.1, 48
 #: Texts whose shingle sets meet in one task.
 BLOCK = 10_000
-#: Tables of the first round.
-SURE_TABLES = 6
-#: Neighbours that a text is compared with in each meeting, in either direction.
-NEIGHBOURS = 2
+#: Texts that the common shingles are counted in, least count, and most shingles that are ranked by it. The order decides the cost only.
+SAMPLE, COMMON, RANKED = 20_000, 3, 200_000
+#: Hash classes of the parity, prefix rows of a task's cell, and pairs it holds before it thins them.
+CLASSES, CELL, HELD = 1024, 100_000, 1 << 20
 
 
 def _choices() -> np.ndarray:
@@ -47,14 +51,44 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if len(parts) > 1 else parts[0] if parts else np.empty(0, np.uint64)
 
 
-def signatures(docs: DataFrame, words: int = 5) -> DataFrame:
-    """(doc_id, h, n, long binary, fps array<int>) of docs(doc_id, text): text digest, number of distinct shingles, long fingerprint and
-    the tables' fingerprints. A null text counts as empty."""
+def _common_last(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes in rising order that are common in a sample of docs(doc_id, text), and how often each is."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), words).view(np.int64), pa.int64())], names=["token"])
+
+    some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, docs.count() // SAMPLE))) == 0).select("text")
+    counts = some.mapInArrow(work, "token long").groupBy("token").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "token").limit(RANKED).toArrow()
+    tokens, often = counts.column("token").to_numpy().view(np.uint64), counts.column("count").to_numpy()
+    order = np.argsort(tokens)
+    return tokens[order], often[order]
+
+
+def _prefix(hashes: np.ndarray, similarity: float, tokens: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The first shingles, by frequency in the sample and then by hash, of which two sets at that similarity share one."""
+    if not len(hashes):
+        return hashes
+    size = len(hashes) - math.ceil(similarity * len(hashes) - 1e-6) + 1
+    if not len(tokens):
+        return hashes[:size]
+    at = np.minimum(np.searchsorted(tokens, hashes), len(tokens) - 1)
+    rank = np.where(tokens[at] == hashes, often[at], 0)
+    return hashes[np.argsort(rank, kind="stable")[:size]]
+
+
+def signatures(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, h, n, long binary, fps array<int>, parity binary, prefix binary) of docs(doc_id, text): text digest, number of distinct
+    shingles, long fingerprint, the tables' fingerprints, parity of the shingles in each hash class, and the shingles of the prefix. A
+    null text counts as empty."""
     choices = _choices()
+    tokens, often = _common_last(docs, words)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "h", "n", "long", "fps", "parity", "prefix"]
         for b in batches:
-            n, long, fps = [], [], []
+            n, long, fps, parity, prefix = [], [], [], [], []
             for t in b.column(2):
                 hashes = shingle_set(t.as_py(), words)
                 total = np.zeros(64 * WIDTH, np.int64)
@@ -64,12 +98,15 @@ def signatures(docs: DataFrame, words: int = 5) -> DataFrame:
                 n.append(len(hashes))
                 long.append(np.packbits(bits).tobytes())
                 fps.append(np.packbits(bits[choices], axis=1).view(">u4").ravel().astype(np.uint32).view(np.int32))
+                parity.append(np.packbits((np.bincount((hashes % np.uint64(CLASSES)).astype(np.int64), minlength=CLASSES) & 1).astype(bool)).tobytes())
+                prefix.append(_prefix(hashes, similarity, tokens, often).tobytes())
             flat = np.concatenate(fps) if fps else np.empty(0, np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * TABLES), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(long, pa.binary()), lists], names=["doc_id", "h", "n", "long", "fps"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(long, pa.binary()), lists, pa.array(parity, pa.binary()), pa.array(prefix, pa.binary())], names=names)
 
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text.cast("binary")).alias("h"), text).mapInArrow(work, "doc_id long, h string, n int, long binary, fps array<int>")
+    schema = "doc_id long, h string, n int, long binary, fps array<int>, parity binary, prefix binary"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text.cast("binary")).alias("h"), text).mapInArrow(work, schema)
 
 
 def _estimates(a: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -106,22 +143,21 @@ def _verified(pairs: pa.Table, sets: pa.Table, least: float) -> tuple[np.ndarray
     return nodes[a[right]], nodes[b[right]]
 
 
-def _candidates(nodes: DataFrame, n: int, tables: int, reach: int) -> DataFrame:
-    """Distinct pairs (a, b) of nodes(node, part, fps) that meet in one of the first `tables` tables and lie in different parts. In a
-    meeting, the members of a part stand side by side, and those up to `reach` places apart are paired."""
+def _plain_pairs(nodes: DataFrame, n: int) -> DataFrame:
+    """Distinct pairs (a, b) of nodes(node, fps), each with the next one in every meeting of a table."""
     half = RADIUS // 2
     each = sum(math.comb(BITS, j) for j in range(half + 1))
     cell_bits = min(20, max(4, math.ceil(math.log2(max(1, n * each / _MOST_VARIANTS)))))
     masks = F.array(*[F.lit(m) for m in _masks(cell_bits, half)])
-    met = nodes.select("node", "part", F.posexplode(F.slice("fps", 1, tables)).alias("t", "fp"))
-    met = met.select("node", "part", "fp", F.explode(F.transform(masks, lambda m: F.col("t") * (1 << cell_bits) + F.shiftrightunsigned("fp", BITS - cell_bits).bitwiseXOR(m))).alias("cell"))
+    met = nodes.select("node", F.posexplode("fps").alias("t", "fp"))
+    met = met.select("node", "fp", F.explode(F.transform(masks, lambda m: F.col("t") * (1 << cell_bits) + F.shiftrightunsigned("fp", BITS - cell_bits).bitwiseXOR(m))).alias("cell"))
 
     def work(key: tuple, t: pa.Table) -> pa.Table:
-        node, part, fps = t.column("node").to_numpy(), t.column("part").to_numpy(), t.column("fp").to_numpy().view(np.uint32).astype(np.uint64)
-        order = np.lexsort((node, part))
-        node, part, fps = node[order], part[order], fps[order]
-        a, b = _joined(fps, key[0].as_py() & ((1 << cell_bits) - 1), cell_bits, BITS, half, reach)
-        right = (np.bitwise_count(fps[a] ^ fps[b]) <= RADIUS) & (part[a] != part[b])
+        node, fps = t.column("node").to_numpy(), t.column("fp").to_numpy().view(np.uint32).astype(np.uint64)
+        order = np.argsort(node)
+        node, fps = node[order], fps[order]
+        a, b = _joined(fps, key[0].as_py() & ((1 << cell_bits) - 1), cell_bits, BITS, half)
+        right = np.bitwise_count(fps[a] ^ fps[b]) <= RADIUS
         a, b = node[a[right]], node[b[right]]
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
         return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
@@ -129,6 +165,113 @@ def _candidates(nodes: DataFrame, n: int, tables: int, reach: int) -> DataFrame:
     return met.repartition(parts_of(nodes.sparkSession), "cell").groupBy("cell").applyInArrow(work, "a long, b long").distinct()
 
 
+def _prefix_rows(nodes: DataFrame, cells: int) -> DataFrame:
+    """(cell, token, node, part): one row for each shingle in the prefix of each of nodes(node, part, prefix)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1000):
+                b = whole.slice(lo, 1000)
+                held = [np.frombuffer(p, np.uint64) for p in b.column(2).to_pylist()]
+                token, sizes = np.concatenate(held), np.array([len(h) for h in held])
+                cell = ((token >> np.uint64(20)) % np.uint64(cells)).astype(np.int32)
+                columns = [pa.array(cell), pa.array(token.view(np.int64)), *(pa.array(np.repeat(b.column(i).to_numpy(), sizes)) for i in (0, 1))]
+                yield pa.RecordBatch.from_arrays(columns, names=["cell", "token", "node", "part"])
+
+    return nodes.select("node", "part", "prefix").mapInArrow(work, "cell int, token long, node long, part long")
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """(cell, token, node) of the rows (cell, token, node, part) whose token stands in more than one part."""
+
+    def work(t: pa.Table) -> pa.Table:
+        token, part = t.column("token").to_numpy(), t.column("part").to_numpy()
+        order = np.argsort(token)
+        heads = np.flatnonzero(np.concatenate(([True], token[order][1:] != token[order][:-1])))
+        several = np.minimum.reduceat(part[order], heads) != np.maximum.reduceat(part[order], heads)
+        return t.select(["cell", "token", "node"]).take(pa.array(order[np.repeat(several, np.diff(np.append(heads, len(order))))]))
+
+    return rows.repartition(parts_of(rows.sparkSession), "cell").groupBy("cell").applyInArrow(work, "cell int, token long, node long")
+
+
+def _least_forest(u: np.ndarray, v: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Which of the edges make a spanning forest of least weight."""
+    names, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    key = np.empty(len(u), np.int64)
+    key[np.argsort(weight, kind="stable")] = np.arange(len(u))
+    at = np.argsort(key)
+    label, kept = np.arange(len(names)), []
+    live = np.arange(len(u))
+    while len(live := live[label[a[live]] != label[b[live]]]):
+        best = np.full(len(names), len(u))
+        np.minimum.at(best, label[a[live]], key[live])
+        np.minimum.at(best, label[b[live]], key[live])
+        chosen = at[np.unique(best[best < len(u)])]
+        kept.append(chosen)
+        own, to = forest(len(names), label[a[chosen]], label[b[chosen]])
+        joined = np.arange(len(names))
+        joined[own] = to
+        label = joined[label]
+    return np.unique(np.concatenate(kept)) if kept else np.empty(0, np.int64)
+
+
+def _meeting(token: np.ndarray, node: np.ndarray, part: np.ndarray, n: np.ndarray, parity: np.ndarray, similarity: float, thin: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes of different parts that share a token and whose sizes and parities allow the similarity: all of them, or if `thin`
+    a forest over the parts that prefers pairs whose parities differ least."""
+    order = np.lexsort((n, token))
+    token, node, part, n, parity = token[order], node[order], part[order], n[order], parity[order]
+    found = [np.empty((4, 0), np.int64)]
+    size = least = 0
+
+    def fewer() -> np.ndarray:
+        both = np.concatenate(found, axis=1)
+        if thin:
+            lo, hi = np.minimum(part[both[0]], part[both[1]]), np.maximum(part[both[0]], part[both[1]])
+            return both[:, _least_forest(lo, hi, both[2])]
+        return both[:, np.unique(both[3], return_index=True)[1]]
+
+    names = np.unique(node)
+    number = np.searchsorted(names, node)
+    live = np.arange(len(token))
+    for shift in range(1, len(token)):
+        live = live[: np.searchsorted(live, len(token) - shift)]
+        far = live + shift
+        live = live[(token[live] == token[far]) & (n[live] >= similarity * n[far] - 1e-6)]
+        if not len(live):
+            break
+        a = live[part[live] != part[live + shift]]
+        for lo in range(0, len(a), 1 << 16):
+            x = a[lo : lo + (1 << 16)]
+            y = x + shift
+            apart = np.bitwise_count(parity[x] ^ parity[y]).sum(axis=1, dtype=np.int64)
+            total = n[x] + n[y]
+            right = apart <= total - 2 * np.ceil(similarity / (1 + similarity) * total - 1e-6)
+            x, y, apart = x[right], y[right], apart[right]
+            i, j = np.minimum(number[x], number[y]), np.maximum(number[x], number[y])
+            found.append(np.stack([x, y, apart, i * len(names) + j]))
+            size += len(x)
+        if size > max(HELD, 2 * least):
+            found = [fewer()]
+            size = least = found[0].shape[1]
+    kept = fewer()
+    a, b = node[kept[0]], node[kept[1]]
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _possible_pairs(shared: DataFrame, nodes: DataFrame, similarity: float, thin: bool) -> DataFrame:
+    """Distinct pairs (a, b) of nodes(node, part, n, parity) as _meeting gives them, over the cells of shared(cell, token, node)."""
+
+    def work(t: pa.Table) -> pa.Table:
+        token, node, part, n = (t.column(c).to_numpy() for c in ("token", "node", "part", "n"))
+        parity = np.frombuffer(b"".join(t.column("parity").to_pylist()), np.uint64).reshape(-1, CLASSES // 64)
+        a, b = _meeting(token, node, part, n.astype(np.int64), parity, similarity, thin)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    met = shared.join(nodes.select("node", "part", "n", "parity"), "node")
+    return met.repartition(parts_of(shared.sparkSession), "cell").groupBy("cell").applyInArrow(work, "a long, b long").distinct()
+
+
 def _sifted(nodes: DataFrame, pairs: DataFrame, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """The pairs that are wanted by estimated similarity and size of the smaller set."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("long").alias(f"long_{x}"))
@@ -178,24 +321,32 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
 
     Documents belong together if their texts are equal or linked, directly or through others, at Jaccard similarity `similarity` or
     more over distinct `words`-word shingles. Of each group the one with the smallest doc_id stays (ties: the smallest digest; a null
-    id comes last). Texts without a word are alike only to equal texts, so white-space variants each stay. Copies are one node, and in
-    a meeting of many texts each is compared with its neighbours in order, never all pairs; a member of a dense group still meets
-    others in every table. An empty table gives an empty result.
+    id comes last). Texts without a word are alike only to equal texts, so white-space variants each stay. Copies are one node, and
+    every pair of texts that may reach the limit is compared unless others join them. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    rows = written(signatures(docs, words), "signatures")
+    rows = written(signatures(docs, words, similarity), "signatures")
     first = F.min(F.coalesce("doc_id", F.lit(2**63 - 1))).alias("first")
-    nodes = rows.groupBy("h").agg(first, F.any_value("n").alias("n"), F.any_value("long").alias("long"), F.any_value("fps").alias("fps"))
+    nodes = rows.groupBy("h").agg(first, *(F.any_value(c).alias(c) for c in ("n", "long", "fps", "parity", "prefix")))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "texts")
-    n = nodes.count()
-    alone = nodes.where("n > 0").select("node", F.col("node").alias("part"), "fps")
+    n, tokens = nodes.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("prefix")) / 8, F.lit(0.0))).first()
+    some = nodes.where("n > 0")
+    edges = lambda pairs: pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+    def parted(links: DataFrame) -> DataFrame:
+        parts = connected_components(links).select(F.col("node").alias("_n"), "component")
+        return some.join(parts, F.col("node") == F.col("_n"), "left").withColumn("part", F.coalesce("component", "node"))
+
     doubtless = lambda est, size: (est >= similarity + SLACK) & (size >= SMALL)
-    sure = written(_sifted(nodes, _candidates(alone, n, SURE_TABLES, 1), doubtless), "sure")
-    parts = connected_components(sure.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    joined = alone.join(parts.select(F.col("node").alias("_n"), "component"), F.col("node") == F.col("_n"), "left").select("node", F.coalesce("component", "part").alias("part"), "fps")
-    possible = lambda est, size: (est >= similarity - SLACK) | (size < SMALL)
-    maybe = written(_sifted(nodes, _candidates(joined, n, TABLES, NEIGHBOURS), possible), "candidates")
-    links = _exact_links(docs, nodes, maybe, words, similarity).unionByName(sure.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    links = edges(written(_sifted(nodes, _plain_pairs(some, n), doubtless), "sure"))
+    own = parted(links)
+    shared = written(_shared(_prefix_rows(own, max(parts_of(spark), math.ceil(tokens / CELL)))), "prefixes")
+    near = written(_possible_pairs(shared, own, similarity, True), "candidates")
+    links = written(links.unionByName(_exact_links(docs, nodes, near, words, similarity)), "links")
+    own = written(parted(links).select("node", "part", "n", "parity"), "parts")
+    rest = _shared(shared.join(own.select("node", "part"), "node").select("cell", "token", "node", "part"))
+    rest = written(_possible_pairs(rest, own, similarity, False).join(near, ["a", "b"], "left_anti"), "candidates")
+    links = links.unionByName(_exact_links(docs, nodes, rest, words, similarity))
     labels = connected_components(links)
     known = nodes.select("h", "first", "node").join(labels, "node", "left").select("h", "first", "node", F.coalesce("component", "node").alias("component"))
     keepers = known.groupBy("component").agg(F.min(F.struct("first", "h")).alias("k")).select("component", "k.*").select(F.col("component").alias("c"), F.col("first").alias("kept"), F.col("h").alias("kept_h"))
