@@ -16,6 +16,18 @@ def together(spark, texts):
     return {r.doc_id: r.component for r in neardup.groups(rows).collect()}
 
 
+def test_no_pair_at_the_limit_is_missed(spark):
+    """400 pairs of 304 words: 300 shingles each, of which 267 in common, so 267/333 = 0.802; and as many with 266, at 0.796."""
+    rng = random.Random(5)
+    texts = []
+    for common in (267, 266):
+        for _ in range(400):
+            text = words(rng, 304)
+            texts += [" ".join(text), " ".join(text[: common + 4] + words(rng, 300 - common))]
+    own = together(spark, texts)
+    assert [own[i] == own[i + 1] for i in range(0, 1600, 2)] == [True] * 400 + [False] * 400
+
+
 def test_crowded_meetings(spark):
     """300 pairs at 0.81 whose texts share three quarters of their words with all others, below the limit."""
     rng = random.Random(6)
