@@ -26,9 +26,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops every document with a passage that holds question and answer of a benchmark item."""
-    hits = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hits, docs["doc_id"].cast("long").eqNullSafe(hits["_hit"]), "left_anti")
+    """Drops every row whose text has a passage that holds question and answer of a benchmark item. Each row is decided by its own text,
+    so null or repeated ids drop no other row."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -180,6 +181,28 @@ def verified(question: float, answer: float, q: int, a: int) -> bool:
     return (question >= QUESTION and answer >= ANSWER) or (question * q + answer * a) / max(1, q + a) >= TOTAL
 
 
+def _indexes(spark: SparkSession, benchmark: DataFrame) -> Iterator[Broadcast]:
+    """The fields of the index of each SHARD items, sent to the tasks."""
+    shards = max(1, -(-benchmark.count() // SHARD))
+    for s in range(shards):
+        rows = benchmark.where(F.col("item_id").isNotNull() & (F.pmod(F.xxhash64("item_id"), F.lit(shards)) == s)).select(F.col("item_id").cast("long"), F.coalesce("text", F.lit(""))).collect()
+        index = build_index(sorted(tuple(r) for r in rows))
+        yield spark.sparkContext.broadcast(tuple(vars(index).values()))
+
+
+def _hits(index: Index, texts: pa.Array) -> Iterator[tuple[int, int, float, float, float, int]]:
+    """(number of the text, item_id, score, question overlap, answer overlap, passage start) of every verified passage."""
+    parts = ((i, offset, words) for i, t in enumerate(texts) for offset, words in word_parts(t.as_py(), max(1, index.span)))
+    while group := list(islice(parts, 400)):
+        docs = [p[2] for p in group]
+        for d, start, j, share in retrieve(index, docs):
+            q, a = index.words[j]
+            passage = docs[d][start : start + 2 * index.span]
+            qo, ao = overlap(q, passage), overlap(a, passage)
+            if verified(qo, ao, len(q), len(a)):
+                yield group[d][0], index.items[j], share, qo, ao, group[d][1] + start
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap, passage_start) of every verified document and item, with the best
     passage of each: highest score, then question and answer overlap, then the earliest.
@@ -188,15 +211,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     gives its rows once for each distinct doc_id; a null doc_id is a key like another. The index of at most SHARD items is built on
     the driver and sent to the tasks; larger benchmarks take one pass for each SHARD items, in item order.
     """
-    spark = docs.sparkSession
-    n = benchmark.count()
-    shards = max(1, -(-n // SHARD))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
-    for s in range(shards):
-        rows = benchmark.where(F.col("item_id").isNotNull() & (F.pmod(F.xxhash64("item_id"), F.lit(shards)) == s)).select(F.col("item_id").cast("long"), F.coalesce("text", F.lit(""))).collect()
-        index = build_index(sorted(tuple(r) for r in rows))
-        shared = spark.sparkContext.broadcast(tuple(vars(index).values()))
+    for shared in _indexes(docs.sparkSession, benchmark):
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = Index(*shared.value)
@@ -204,16 +221,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 for lo in range(0, whole.num_rows, 400):
                     b = whole.slice(lo, 400)
                     ids = b.column(0).to_pylist()
-                    hits = []
-                    parts = ((i, offset, words) for i, t in zip(ids, b.column(1)) for offset, words in word_parts(t.as_py(), max(1, index.span)))
-                    while group := list(islice(parts, 400)):
-                        docs = [p[2] for p in group]
-                        for d, start, j, share in retrieve(index, docs):
-                            q, a = index.words[j]
-                            passage = docs[d][start : start + 2 * index.span]
-                            qo, ao = overlap(q, passage), overlap(a, passage)
-                            if verified(qo, ao, len(q), len(a)):
-                                hits.append((group[d][0], index.items[j], share, qo, ao, group[d][1] + start))
+                    hits = [(ids[i], *hit) for i, *hit in _hits(index, b.column(1))]
                     columns = list(zip(*hits)) or [()] * 6
                     kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "passage_start"])
@@ -224,5 +232,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
 
 
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs(.., text), with all their columns, whose own text holds no verified passage; no other row decides."""
+    at = docs.columns.index("text")
+    for shared in _indexes(docs.sparkSession, benchmark):
+
+        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = Index(*shared.value)
+            for whole in batches:
+                for lo in range(0, whole.num_rows, 400):
+                    b = whole.slice(lo, 400)
+                    hit = {h[0] for h in _hits(index, b.column(at))}
+                    yield b.filter(pa.array([i not in hit for i in range(b.num_rows)], pa.bool_()))
+
+        docs = docs.mapInArrow(work, docs.schema)
+    return docs
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

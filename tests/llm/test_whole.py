@@ -4,7 +4,9 @@ import random
 
 import numpy as np
 
+import corpus_pipeline
 from foliant.llm import neardup
+from foliant.llm.common import table
 
 
 def words(rng, n):
@@ -53,3 +55,12 @@ def test_meetings_hold_every_possible_pair():
     similar = {(i, j) for i in range(150) for j in range(i) if part[i] != part[j] and len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j]))}
     a, b = neardup._meeting(np.zeros(150, np.int64), np.arange(150), part, n, parity, 0.8, False)
     assert similar and similar == {(j, i) for i, j in zip(a.tolist(), b.tolist())}
+
+
+def test_contaminated_rows_decide_for_themselves(spark, sf_dir):
+    item = table(spark, sf_dir, "benchmark").first().text
+    rows = [(None, item, "en", "s", 1), (None, "clean words of one row", "en", "s", 1), (7, "more clean words", "en", "s", 1), (7, f"x {item} y", "en", "s", 1), (7, None, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, table(spark, sf_dir, "documents").schema)
+    kept = corpus_pipeline.decontaminate(spark, docs, sf_dir)
+    assert kept.columns == docs.columns
+    assert sorted(r.text or "" for r in kept.collect()) == ["", "clean words of one row", "more clean words"]
