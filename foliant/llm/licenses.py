@@ -1,17 +1,18 @@
 """License scans by conditional compression.
 
-A text is cut into blocks; those that hold a license word are candidates. Each candidate is compressed with zstandard twice for
-every template: alone, and with the template as a raw dictionary. The relative saving in size ranks the templates. The winner is
-then confirmed by exact word differences: template words missing from the block, and block words that the template lacks,
-after slots such as years and holders are set aside.
+Around each license word of a text, a window of words is a candidate, across line breaks and comment marks. It is compressed with zstandard
+alone and with each template as a raw dictionary, unless the window lacks too many of the template's words; the relative saving in size
+ranks the templates. The winner is then confirmed by exact word differences: template words missing from the window, and words within
+the match that the template lacks, after slots such as years and holders are set aside. The words before and after it are searched again.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
-from difflib import SequenceMatcher
+from difflib import Match, SequenceMatcher
 
 import pyarrow as pa
 import zstandard
@@ -49,13 +50,12 @@ TEMPLATES = (
     ("Proprietary", "notice", "All rights reserved."),
     ("Proprietary", "notice", "Copyright {year} {holder}. All rights reserved."),
 )
-#: A block is a candidate if it holds one of these, in any case.
+#: A window of words is a candidate if it holds one of these, in any case.
 GATE = ("licens", "licenc", "copyright", "©", "(c)", "spdx", "redistribut", "permission", "public domain", "free software", "creative commons", "cc by", "cc-by", "cc0", "rights reserved", "lizenz", "derechos reservados", "tous droits", "urheberrecht")
 _GATE = re.compile("|".join(map(re.escape, GATE)), re.I)
 _WORD = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
-_SENTENCE_END = re.compile(r"(?<=[.:;!?])\s+")
-#: Blocks are compared with windows of the text around a gate word: this many characters more than the longest template on either side.
-MARGIN = 64
+_END = re.compile(r"[^\w\s]*")
+_IDENTIFIER = "spdx-license-identifier"
 #: Least share of the template's words that must be there.
 COVERAGE = 0.85
 LEVEL = 3
@@ -83,38 +83,18 @@ def templates() -> list[Template]:
     return out
 
 
-def candidate_blocks(text: str | None, longest: int) -> Iterator[tuple[int, str]]:
-    """(start, block) of every line, or run of a line around its gate words, that may hold a license. A short line is one block; of
-    a longer line, the stretches within `longest` characters of a gate word are, those that touch as one."""
-    text = text or ""
-    low = text.lower()
-    if not any(g in low for g in GATE):
-        return
-    end = -1
-    for m in _GATE.finditer(text):
-        if m.start() < end:
-            continue
-        begin = text.rfind("\n", 0, m.start()) + 1
-        stop = text.find("\n", m.end())
-        stop = len(text) if stop < 0 else stop
-        if stop - begin <= 2 * longest:
-            end = stop
-            yield begin, text[begin:stop]
-            continue
-        first, last = max(begin, m.start() - longest), min(stop, m.end() + longest)
-        for n in _GATE.finditer(text, m.end(), stop):
-            if n.start() > last:
-                break
-            last = min(stop, n.end() + longest)
-        end = last
-        yield first, text[first:last]
-
-
-def differences(template: list[str], block: list[str]) -> tuple[list[str], list[str], int, int]:
-    """(template words missing, block words added within the match, first and last matched block word) by exact alignment."""
+def differences(template: list[str], block: list[str], most: int | None = None) -> tuple[list[str], list[str], int, int]:
+    """(template words missing, block words added within the match, first and last matched block word) by exact alignment. Single runs at
+    either end, such as a `the` far off, are left out while more than `most` words are added."""
     pairs = [m for m in SequenceMatcher(None, template, block, autojunk=False).get_matching_blocks() if m.size]
     if not pairs:
         return list(template), [], 0, 0
+
+    def added(pairs: list[Match]) -> int:
+        return pairs[-1].b + pairs[-1].size - pairs[0].b - sum(m.size for m in pairs)
+
+    while most is not None and len(pairs) > 1 and added(pairs) > most:
+        pairs = pairs[1:] if pairs[0].size <= pairs[-1].size else pairs[:-1]
     first, last = pairs[0].b, pairs[-1].b + pairs[-1].size
     held = {i for m in pairs for i in range(m.a, m.a + m.size)}
     there = {j for m in pairs for j in range(m.b, m.b + m.size)}
@@ -122,49 +102,101 @@ def differences(template: list[str], block: list[str]) -> tuple[list[str], list[
 
 
 def best_match(block: str, known: list[Template], plain: zstandard.ZstdCompressor) -> tuple | None:
-    """(template, saving, missing, added) of the confirmed winner. Templates are tried in the order of their saving, until one is
-    confirmed; equal savings go to the one with fewer differences, then to the earlier one."""
-    data = block.lower().encode("utf-8", "surrogatepass")
-    words = _words(block)
+    """(template, saving, missing, added) of the confirmed winner in a block of text."""
+    got = _confirmed(_words(block), known, plain)
+    return got and got[:4]
+
+
+def _confirmed(words: list[str], known: list[Template], plain: zstandard.ZstdCompressor) -> tuple | None:
+    """(template, saving, missing, added, first, last) of the confirmed winner, which is that with the fewest differences, then the longest.
+    Templates are tried in the order of their saving, those of less than half the winner's saving not at all."""
+    there = set(words)
+    few = [i for i, t in enumerate(known) if sum(w not in there for w in t.words) <= (1 - COVERAGE) * len(t.words)]
+    if not few:
+        return None
+    data = " ".join(words).encode("utf-8", "surrogatepass")
     alone = len(plain.compress(data))
-    ranked = sorted(((1 - len(t.dictionary.compress(data)) / alone, -i) for i, t in enumerate(known)), reverse=True)
+    ranked = sorted(((1 - len(known[i].dictionary.compress(data)) / alone, -i) for i in few), reverse=True)
     best = None
     for saving, i in ranked:
         t = known[-i]
-        # A notice inside a long line saves little of the whole; the words it can save are what counts.
+        # A notice inside a long window saves little of the whole; the words it can save are what counts.
         if saving <= 0 or (best and saving < 0.5 * best[1]):
             break
-        missing, added, first, last = differences(t.words, words)
-        if 1 - len(missing) / len(t.words) < COVERAGE or len(added) > max(4 * t.slots, len(t.words) // 4):
+        most = max(4 * t.slots, len(t.words) // 4)
+        missing, added, first, last = differences(t.words, words, most)
+        if 1 - len(missing) / len(t.words) < COVERAGE or len(added) > most:
             continue
-        found = (t, saving, missing, added)
+        found = (t, saving, missing, added, first, last)
         if best is None or (len(missing) + len(added), -len(t.words)) < (len(best[2]) + len(best[3]), -len(best[0].words)):
             best = found
     return best
 
 
+def licenses_in(text: str | None, known: list[Template], plain: zstandard.ZstdCompressor) -> Iterator[tuple]:
+    """(start, template, saving, missing, added, block) of every license that is confirmed in the text. Windows hold half as many words
+    again as the longest template on either side of a gate word. Every known identifier of an SPDX line counts."""
+    text = text or ""
+    low = text.lower()
+    if not any(g in low for g in GATE):
+        return
+    found = list(_WORD.finditer(text))
+    if not found:
+        return
+    words, starts = [m[0].lower() for m in found], [m.start() for m in found]
+    gates = sorted({max(0, bisect_right(starts, m.start()) - 1) for m in _GATE.finditer(text)})
+    reach = 3 * max(len(t.words) for t in known) // 2
+    lines = {t.words[1]: t for t in known if t.form == "identifier"}
+
+    def within(gates: list[int], low: int, high: int) -> Iterator[tuple]:
+        i = 0
+        while i < len(gates):
+            g = gates[i]
+            if g < low:
+                i += 1
+                continue
+            lo, hi = max(low, g - reach), min(high, g + reach + 1)
+            if words[g] == _IDENTIFIER:
+                stop = text.find("\n", starts[g])
+                end = bisect_right(starts, stop if stop >= 0 else len(text))
+                for j in range(g + 1, min(end, high)):
+                    if words[j] in lines:
+                        t = lines[words[j]]
+                        data = f"{_IDENTIFIER}: {words[j]}".encode()
+                        yield starts[g], t, 1 - len(t.dictionary.compress(data)) / len(plain.compress(data)), [], [], text[starts[g] : found[j].end()]
+                low, i = min(end, high), i + 1
+                continue
+            got = _confirmed(words[lo:hi], known, plain)
+            if not got:
+                i += 1
+                continue
+            t, saving, missing, added, first, last = got
+            first, last = lo + first, lo + last
+            yield from within([x for x in gates[i:] if x < first], low, first)
+            yield starts[first], t, saving, missing, added, text[starts[first] : _END.match(text, found[last - 1].end()).end()]
+            low = last
+
+    yield from within(gates, 0, len(words))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, start, license, form, match, saving, missing, added, block) of every confirmed license in docs(doc_id, text).
 
-    match is `exact` if no word differs, else `modified`; missing and added hold the words that differ. One row for each block that
-    holds a license, in the whole of each text; texts that are null, empty or without a license give none; repeated rows give
-    their rows again. start counts characters from 0.
+    match is `exact` if no word differs, else `modified`; missing and added hold the words that differ. One row for each license that
+    a text names, however many stand side by side; texts that are null, empty or without a license give none; repeated rows give
+    their rows again. block is the text of the match, start its place in characters from 0.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = templates()
-        longest = max(len(t[2]) for t in TEMPLATES) + MARGIN
         plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False)
         names = ["doc_id", "start", "license", "form", "match", "saving", "missing", "added", "block"]
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string())
         for b in batches:
             rows = []
             for doc, text in zip(b.column(0), b.column(1)):
-                for start, block in candidate_blocks(text.as_py(), longest):
-                    for at, part in split_block(start, block):
-                        if got := best_match(part, known, plain):
-                            t, saving, missing, added = got
-                            rows.append((doc.as_py(), at, t.spdx, t.form, "modified" if missing or added else "exact", saving, missing, added, part))
+                for start, t, saving, missing, added, block in licenses_in(text.as_py(), known, plain):
+                    rows.append((doc.as_py(), start, t.spdx, t.form, "modified" if missing or added else "exact", saving, missing, added, block))
             columns = list(zip(*rows)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
@@ -172,18 +204,5 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, schema)
 
 
-def split_block(start: int, block: str) -> Iterator[tuple[int, str]]:
-    """A block of several sentences whole if it is short, else by sentences that hold a gate word, each with the sentence after it."""
-    if len(block) <= 240:
-        yield start, block
-        return
-    cuts = [0, *(m.end() for m in _SENTENCE_END.finditer(block)), len(block)]
-    at = 0
-    for i in range(len(cuts) - 1):
-        if cuts[i] >= at and _GATE.search(block, cuts[i], cuts[i + 1]):
-            at = cuts[min(i + 2, len(cuts) - 1)] if cuts[i + 1] - cuts[i] > 120 else cuts[i + 1]
-            yield start + cuts[i], block[cuts[i] : at].strip()
-
-
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))

@@ -1,11 +1,13 @@
 """Cases that a shortcut would lose."""
 
 import random
+import textwrap
 
 import numpy as np
+import zstandard
 
 import corpus_pipeline
-from foliant.llm import neardup
+from foliant.llm import licenses, neardup
 from foliant.llm.common import table
 
 
@@ -64,3 +66,21 @@ def test_contaminated_rows_decide_for_themselves(spark, sf_dir):
     kept = corpus_pipeline.decontaminate(spark, docs, sf_dir)
     assert kept.columns == docs.columns
     assert sorted(r.text or "" for r in kept.collect()) == ["", "clean words of one row", "more clean words"]
+
+
+def found(text):
+    plain = zstandard.ZstdCompressor(level=licenses.LEVEL, write_content_size=False, write_checksum=False)
+    return [(t.spdx, not missing and not added) for _, t, _, missing, added, _ in licenses.licenses_in(text, licenses.templates(), plain)]
+
+
+def test_wrapped_notices():
+    around = " ".join(["the terms of a work are free of any other use and"] * 30)
+    for spdx, form, text in licenses.TEMPLATES:
+        if form == "identifier":  # one line by its nature
+            continue
+        text = text.replace("{year}", "2021").replace("{holder}", "A B")
+        for mark in ("", "# ", " * ", "// ", "    "):
+            for width in (40, 72):
+                lines = textwrap.wrap(text, width, break_long_words=False, break_on_hyphens=False)
+                block = "\n".join(mark + x for x in lines)
+                assert [f[0] for f in found(f"{around}\n{block}\n{around}")] == [spdx], block
