@@ -50,6 +50,7 @@ TEMPLATES = (
     ("Proprietary", "notice", "All rights reserved."),
     ("Proprietary", "notice", "Copyright {year} {holder}. All rights reserved."),
 )
+TEMPLATES += tuple((spdx, "identifier", f"SPDX-License-Identifier: {spdx}") for spdx in dict.fromkeys(t[0] for t in TEMPLATES) if spdx != "Proprietary")
 #: A window of words is a candidate if it holds one of these, in any case.
 GATE = ("licens", "licenc", "copyright", "©", "(c)", "spdx", "redistribut", "permission", "public domain", "free software", "creative commons", "cc by", "cc-by", "cc0", "rights reserved", "lizenz", "derechos reservados", "tous droits", "urheberrecht")
 _GATE = re.compile("|".join(map(re.escape, GATE)), re.I)

@@ -84,3 +84,12 @@ def test_wrapped_notices():
                 lines = textwrap.wrap(text, width, break_long_words=False, break_on_hyphens=False)
                 block = "\n".join(mark + x for x in lines)
                 assert [f[0] for f in found(f"{around}\n{block}\n{around}")] == [spdx], block
+
+
+def test_several_licenses_side_by_side():
+    names = lambda text: [f[0] for f in found(text)]
+    assert names("Released under the MIT License. Licensed under the Apache License, Version 2.0.") == ["MIT", "Apache-2.0"]
+    assert names("Licensed under CC BY 4.0. All rights reserved.") == ["CC-BY-4.0", "Proprietary"]
+    assert names("// SPDX-License-Identifier: Apache-2.0\nx") == ["Apache-2.0"]
+    assert names("# SPDX-License-Identifier: (MIT OR GPL-2.0-or-later)\nLicensed under the BSD 2-Clause License.") == ["MIT", "GPL-2.0-or-later", "BSD-2-Clause"]
+    assert names("Licensed under the MIT License. " * 50) == ["MIT"] * 50
