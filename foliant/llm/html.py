@@ -3,24 +3,28 @@
 A page is cut into lines, one for each run of text between block-level tags, each with the place it stands in: inside an article
 container, inside boilerplate that says so itself (navigation, footer, form, advert, comments ..), or neither. Pages are then sorted
 by host and URL path, each is paired with the neighbour whose path shares the longest beginning, and the two pages' lines are
-aligned by longest common subsequence. Lines that both have are the host's template and go. Lines inside an article container
-are kept even if the neighbour has them, since two articles may share a passage; that is the only limit to the deletion.
+aligned by longest common subsequence. Lines that both have are the host's template and go, wherever they stand; lines inside
+an article container are kept, since two articles may share a passage. Copies of a page are passed over: the neighbours
+are the nearest pages of the host before and after it that differ from it, in whatever task they are.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts_of, table
+from .common import parts_of, table, written
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|textarea|select|object|iframe|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -163,60 +167,145 @@ _HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?(?:(?:www|m|mobile|amp)\
 _PATH = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*([^?#]*)"
 
 
+def _line_hashes(texts: list[str]) -> list[int]:
+    return [xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in texts]
+
+
+def _digest(places: list[int], hashes: list[int]) -> bytes:
+    return hashlib.md5(bytes(places) + np.array(hashes, np.uint64).tobytes()).digest()
+
+
+def _rank(host: str, path: str, page_id: int | None, digest: bytes) -> tuple:
+    """Orders pages as Spark does."""
+    return host.encode("utf-8", "surrogatepass"), path.encode("utf-8", "surrogatepass"), page_id is not None, page_id or 0, digest
+
+
+def _borders(own: DataFrame) -> tuple[list[tuple], list[tuple]]:
+    """(first rank, (before, after)) of each range of the pages in order: before is the last earlier page that differs from the range's
+    first one, after the next page that differs from its last one, each as (host, path, line hashes) or None."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            digests = []
+            for page in b.column(4):
+                got = page_lines(page.as_py())
+                digests.append(_digest([g[0] for g in got], _line_hashes([g[1] for g in got])))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(digests, pa.binary())], names=["page_id", "host", "path", "digest"])
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads, tails = [], []  # first pages of the first two runs of copies, last pages of the last two
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if tails and (tails[-1][1], tails[-1][3]) == (row[1], row[3]):
+                    tails[-1] = row
+                    continue
+                tails = [*tails[-1:], row]
+                if len(heads) < 2:
+                    heads.append(row)
+        rows = [(TaskContext.get().partitionId(), i, *r) for i, r in [*enumerate(heads), *enumerate(tails, 4 - len(tails))]]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["p", "i", "page_id", "host", "path", "digest"])
+
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.binary())
+    order = ("host", "path", "page_id", "digest")
+    known = written(own.mapInArrow(keys, "page_id long, host string, path string, digest binary"), "page-keys")
+    found = known.repartitionByRange(parts_of(own.sparkSession), *order).sortWithinPartitions(*order).mapInArrow(ends, "p int, i int, page_id long, host string, path string, digest binary").collect()
+    ranges: dict[int, dict[int, tuple]] = defaultdict(dict)
+    for p, i, page_id, host, path, digest in found:
+        ranges[p][i] = (page_id, host, path, bytes(digest))
+    ranges = [ranges[p] for p in sorted(ranges)]
+    content = lambda row: (row[1], row[3])
+
+    def walk(row: tuple, ahead: list[dict[int, tuple]], near: int, far: int) -> tuple | None:
+        for r in ahead:
+            if content(r[near]) != content(row):
+                return r[near]
+            if far in r:
+                return r[far]
+        return None
+
+    around = [(walk(r[0], ranges[:k][::-1], 3, 2), walk(r[3], ranges[k + 1 :], 0, 1)) for k, r in enumerate(ranges)]
+    wanted = {x[3] for pair in around for x in pair if x}
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for page in b.column(4):
+                got = page_lines(page.as_py())
+                own = _line_hashes([g[1] for g in got])
+                digest = _digest([g[0] for g in got], own)
+                if digest in wanted:
+                    yield pa.RecordBatch.from_arrays([pa.array([digest], pa.binary()), pa.array([np.array(own, np.uint64).tobytes()], pa.binary())], names=["digest", "hashes"])
+
+    ids = {x[0] for pair in around for x in pair if x}
+    some = own.where(F.col("page_id").isin([i for i in ids if i is not None]) | (F.col("page_id").isNull() if None in ids else F.lit(False)))
+    held = {bytes(d): np.frombuffer(h, np.uint64).tolist() for d, h in some.mapInArrow(hashes, "digest binary, hashes binary").distinct().collect()} if wanted else {}
+    return [_rank(r[0][1], r[0][2], r[0][0], r[0][3]) for r in ranges], [tuple(x and (x[1], x[2], held[x[3]]) for x in pair) for pair in around]
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of pages(page_id, url, html).
 
     Null or empty html gives the empty text. A null or odd url has an empty host and path and sorts first. Repeated rows each give a
-    row. Pages are range-partitioned by (host, path, page_id), so a host of any size is spread over tasks, and each page is compared
-    with the pages just before and after it in that order; the first page of a task has only the one after it, the last only the
-    one before. The html itself is not shuffled, only its lines.
+    row. Pages are dealt out in ranges of (host, path, page_id), so a host of any size is spread over tasks. Each page is compared with
+    the nearest pages of its host before and after it that differ from it; where those lie in other ranges, they are sent along, so
+    the ranges don't change any text. The html itself is not shuffled, only its lines.
     """
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["page_id", "url", "host", "path", "places", "lines"]
+        names = ["page_id", "url", "host", "path", "places", "lines", "p", "digest"]
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 b = whole.slice(lo, 256)
-                places, texts = [], []
-                for page in b.column(4):
-                    got = page_lines(page.as_py())
+                places, texts, ranges, digests = [], [], [], []
+                for page_id, host, path, page in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4))):
+                    got = page_lines(page)
                     places.append(bytes(g[0] for g in got))
                     texts.append([g[1] for g in got])
-                yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(places, pa.binary()), pa.array(texts, pa.list_(pa.string()))], names=names)
+                    digests.append(_digest(places[-1], _line_hashes(texts[-1])))
+                    ranges.append(max(0, bisect_right(firsts, _rank(host, path, page_id, digests[-1])) - 1))
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(places, pa.binary()), pa.array(texts, pa.list_(pa.string())), pa.array(ranges, pa.int32()), pa.array(digests, pa.binary())], names=names)
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
+        def runs() -> Iterator[tuple]:
+            """(before, pages (page_id, url, path), host, places, lines, line hashes, after) of each run of copies."""
+            key = before = run = None
             for b in batches:
-                for page_id, url, host, path, places, texts in zip(*(c for c in b.columns)):
+                for page_id, url, host, path, places, texts, p, digest in zip(*(c for c in b.columns)):
+                    page, now = (page_id.as_py(), url.as_py(), path.as_py()), (p.as_py(), host.as_py(), digest.as_py())
+                    if now == key:
+                        run[0].append(page)
+                        continue
                     texts = texts.as_py()
-                    yield page_id.as_py(), url.as_py(), host.as_py(), path.as_py(), list(places.as_py()), texts, [xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in texts]
-
-        def triples() -> Iterator[tuple]:
-            before = now = None
-            for after in rows():
-                if now:
-                    yield before, now, after
-                before, now = now, after
-            if now:
-                yield before, now, None
+                    new = ([page], now[1], list(places.as_py()), texts, _line_hashes(texts))
+                    if run:
+                        yield before, *run, (new[1], page[2], new[4]) if now[0] == key[0] else around[key[0]][1]
+                    before = (run[1], run[0][-1][2], run[4]) if run and now[0] == key[0] else around[now[0]][0]
+                    key, run = now, new
+            if run:
+                yield before, *run, around[key[0]][1]
 
         done: list[tuple] = []
-        for before, now, after in triples():
-            near = [x for x in (before, after) if x and x[2] == now[2] and now[2]]
-            near.sort(key=lambda x: -_alike(x[3], now[3]))
-            text = main_text(now[4], now[5], now[6], [x[6] for x in near])
-            done.append((now[0], now[1], text, len(text)))
-            if len(done) == 512:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), kinds)], names=fields)
-                done = []
+        for before, own, host, places, texts, hashes, after in runs():
+            known: dict[tuple, str] = {}
+            for page_id, url, path in own:
+                near = [(x, i) for i, x in enumerate((before, after)) if x and x[0] == host and host]
+                near.sort(key=lambda x: -_alike(x[0][1], path))
+                which = tuple(i for _, i in near)
+                if which not in known:
+                    known[which] = main_text(places, texts, hashes, [x[2] for x, _ in near])
+                done.append((page_id, url, known[which], len(known[which])))
+                if len(done) == 512:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), kinds)], names=fields)
+                    done = []
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), kinds)], names=fields)
 
     fields, kinds = ["page_id", "url", "text", "n_chars"], (pa.int64(), pa.string(), pa.string(), pa.int64())
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.lower(F.regexp_extract(url, _HOST, 1)).alias("host"), F.regexp_extract(url, _PATH, 1).alias("path"), F.col("html").cast("string").alias("html"))
-    cut = own.mapInArrow(lines, "page_id long, url string, host string, path string, places binary, lines array<string>")
-    dealt = cut.repartitionByRange(parts_of(pages.sparkSession), "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
+    firsts, around = _borders(own)
+    cut = own.mapInArrow(lines, "page_id long, url string, host string, path string, places binary, lines array<string>, p int, digest binary")
+    dealt = cut.repartitionById(parts_of(pages.sparkSession), F.col("p")).sortWithinPartitions("p", "host", "path", "page_id", "digest")
     return dealt.mapInArrow(differ, "page_id long, url string, text string, n_chars long")
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import zstandard
 
 import corpus_pipeline
-from foliant.llm import licenses, neardup
+from foliant.llm import html, licenses, neardup
 from foliant.llm.common import table
 
 
@@ -93,3 +93,19 @@ def test_several_licenses_side_by_side():
     assert names("// SPDX-License-Identifier: Apache-2.0\nx") == ["Apache-2.0"]
     assert names("# SPDX-License-Identifier: (MIT OR GPL-2.0-or-later)\nLicensed under the BSD 2-Clause License.") == ["MIT", "GPL-2.0-or-later", "BSD-2-Clause"]
     assert names("Licensed under the MIT License. " * 50) == ["MIT"] * 50
+
+
+def texts_of(spark, rows, parts):
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        return sorted((r.page_id, r.text) for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_copies_and_borders_do_not_hide_the_template(spark):
+    page = lambda body: f"<div>Site name</div><p>{body}</p><div>All about us</div>"
+    rows = [(i, f"http://h.com/a/{i:03}", page(f"own {i // 7}")) for i in range(60)] + [(100 + i, f"http://two.com/{i}", page(f"two {i}")) for i in range(2)]
+    want = sorted([(i, f"own {i // 7}") for i in range(60)] + [(100, "two 0"), (101, "two 1")])
+    for parts in (1, 3, 40):
+        assert texts_of(spark, rows, parts) == want
