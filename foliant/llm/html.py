@@ -3,8 +3,8 @@
 A page is cut into lines, one for each run of text between block-level tags, each with the place it stands in: inside an article
 container, inside boilerplate that says so itself (navigation, footer, form, advert, comments ..), or neither. Pages are then sorted
 by host and URL path, each is paired with the neighbour whose path shares the longest beginning, and the two pages' lines are
-aligned by longest common subsequence. Lines that both have are the host's template and go, wherever they stand; lines inside
-an article container are kept, since two articles may share a passage. Copies of a page are passed over: the neighbours
+aligned by longest common subsequence. Lines that both have are the host's template and go, wherever they stand; body paragraphs inside
+an article container alone are kept, since two articles may share a passage. Copies of a page are passed over: the neighbours
 are the nearest pages of the host before and after it that differ from it, in whatever task they are.
 """
 
@@ -47,6 +47,9 @@ _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none|aria
 _SPACE = re.compile(r"\s+")
 #: Where a line stands.
 INSIDE, OUTSIDE, BOILERPLATE = 0, 1, 2
+#: A line is a body paragraph if it ends as a sentence does, or has so many characters.
+_SENTENCE = re.compile(r"[.!?\u2026\u3002\uff01\uff1f][\"'\u2019\u201d\u00bb)\]]*$")
+BODY = 40
 
 
 def page_lines(page: str | None) -> list[tuple[int, str]]:
@@ -143,17 +146,17 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
 
 
 def main_text(places: list[int], lines: list[str], own: list[int], others: list[list[int]]) -> str:
-    """The lines kept, joined by spaces. others: the line hashes of the neighbours, nearest first. A page with an article container
-    keeps what is inside; one without keeps what no template and no neighbour accounts for. If the nearest neighbour accounts for
-    everything (a copy of the page), the next one is asked; if that does so too, nothing is deleted for being shared."""
-    if INSIDE in places:
-        return " ".join(t for p, t in zip(places, lines) if p == INSIDE)
-    free = [i for i, p in enumerate(places) if p == OUTSIDE]
+    """The lines kept, joined by spaces. others: the line hashes of the neighbours, nearest first. Lines that the nearest neighbour has as
+    well go, but for body paragraphs in an article container. If it accounts for everything, the next one is asked; if that does so
+    too, nothing is deleted for being shared. A page without neighbours keeps its container's lines, or all if it has none."""
+    free = [i for i, p in enumerate(places) if p != BOILERPLATE]
     for other in others:
         shared = set(common_lines(own, other))
-        left = [i for i in free if i not in shared]
+        left = [i for i in free if i not in shared or (places[i] == INSIDE and (len(lines[i]) >= BODY or _SENTENCE.search(lines[i])))]
         if left:
             return " ".join(lines[i] for i in left)
+    if not others and INSIDE in places:
+        free = [i for i in free if places[i] == INSIDE]
     return " ".join(lines[i] for i in free)
 
 

@@ -109,3 +109,9 @@ def test_copies_and_borders_do_not_hide_the_template(spark):
     want = sorted([(i, f"own {i // 7}") for i in range(60)] + [(100, "two 0"), (101, "two 1")])
     for parts in (1, 3, 40):
         assert texts_of(spark, rows, parts) == want
+
+
+def test_containers_are_compared_as_well(spark):
+    page = lambda i: f"<div>Site name</div><div>Teaser {i}</div><article><h1>Title {i}</h1><div>Tell a friend</div><p>A passage that both share.</p><p>Own words {i}</p></article>"
+    got = texts_of(spark, [(i, f"http://h.com/{i}", page(i)) for i in range(5)], 2)
+    assert got == [(i, f"Teaser {i} Title {i} A passage that both share. Own words {i}") for i in range(5)]
