@@ -191,11 +191,11 @@ def test_chat_parts_and_reversal(spark):
     schema = f"conv_id long, turn long, role string, parts array<{chat.PART}>"
     out = {r.conv_id: r for r in chat.chat_format(spark.createDataFrame(turns, schema)).withColumn("back", chat.parsed(chat.F.col("formatted"))).collect()}
     one = out[1]
-    assert [(b.role, b.text) for b in one.back] == [("user", nasty + "<|image_1|> then <|audio_2|>"), ("assistant", nasty), ("assistant", "<|document_1|>ok")]
-    assert [(a.turn, a.ordinal, a.kind, a.ref, a.tokens) for a in one.attachments] == [(0, 1, "image", "i.png", 3), (0, 2, "audio", "a.wav", 38), (2, 1, "document", "d.pdf", 512)]
+    assert [(b.role, b.text) for b in one.back] == [("user", nasty + "<|image_1|> then <|audio_2|>"), ("assistant", "<|document_1|>ok"), ("assistant", nasty)]
+    assert [(a.turn, a.ordinal, a.kind, a.ref, a.tokens) for a in one.attachments] == [(0, 1, "image", "i.png", 3), (0, 2, "audio", "a.wav", 38), (1, 1, "document", "d.pdf", 512)]
     assert one.attachment_tokens == 553
     loss = [one.formatted[s.start : s.start + s.length] for s in one.spans]
-    assert loss[1] == "<|document_1|>ok" and len(loss) == 2
+    assert loss[0] == "<|document_1|>ok" and len(loss) == 2
     assert [(b.role, b.text) for b in out[2].back] == [("ro\nle<|", "")]
     assert [(b.role, b.text) for b in out[None].back] == [("", "")]
 
