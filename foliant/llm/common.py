@@ -2,24 +2,37 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of the Arrow batches that go to Python functions, at most, and of the texts that such a function takes up at once.
+BATCH_BYTES, SLICE_BYTES = 16 << 20, 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. Arrow batches of the session are bounded by BATCH_BYTES, so that long documents don't add up."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(limit, "64m").rstrip("b").replace("m", "0" * 6)) > BATCH_BYTES:
+        spark.conf.set(limit, str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, which driver and executors share; a local one only where that is unset."""
+    """The folder named by spark.checkpoint.dir, which driver and executors share; a local one only where that is unset and the master is
+    local, as in tests. A cluster without the setting is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not where:
         where = spark.sparkContext.getCheckpointDir()
+    if not where and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not where:
         where = "file://" + tempfile.mkdtemp(prefix="foliant-")
         spark.sparkContext.setCheckpointDir(where)
@@ -49,6 +62,32 @@ def removed(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def trimmed() -> None:
+    """Gives freed memory back to the system: Python workers live on and would carry it into the tasks of later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function on batches, with the worker's freed memory given back at the end of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        trimmed()
+
+    return run
+
+
+def row_slices(batch: pa.RecordBatch, rows: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most so many rows, and of about so many bytes if its rows are alike in size."""
+    step = max(1, min(rows, batch.num_rows * size // max(1, batch.nbytes)))
+    for lo in range(0, batch.num_rows, step):
+        yield batch.slice(lo, step)
+
+
 def slices(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
     """Cuts a long text at ASCII white space into parts of about `size` bytes, so that no step holds all words of a huge text."""
     if len(data) <= size:

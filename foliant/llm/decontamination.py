@@ -3,8 +3,8 @@
 The test items are the indexed collection and every passage of every document is a query. A passage's score for an item is its
 BM25 score as a share of the item's best (the item queried with itself). As in WAND, a passage is scored only while upper bounds
 allow the threshold. The most common terms, which together can't reach it, count by their most for any item. The other terms of a
-passage add their best shares over all items, then their best shares in each block of items; what may still reach the threshold
-is scored exactly in the surviving blocks. A batch of documents goes through each step at once in numpy.
+passage add their best shares over all items, then their best shares in each block of their postings; what may still reach the
+threshold is scored exactly from the postings of the surviving blocks. A batch of documents goes through each step at once in numpy.
 """
 
 from __future__ import annotations
@@ -20,15 +20,15 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, row_slices, table, written
 
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+$")
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage must reach; words of an overlap; shares of question and answer that must be found.
 THRESHOLD, GRAM, QUESTION, ANSWER, TOTAL = 0.5, 5, 0.6, 0.5, 0.8
-#: Items in a block, and items in one index. A larger collection is searched index by index.
-BLOCK, SHARD = 16, 20_000
+#: Items in a block, words of the items in one index, and posting blocks opened at once. A larger collection is searched index by index.
+BLOCK, SHARD_WORDS, HELD = 16, 1_000_000, 1 << 20
 
 
 def words_of(text: str | None) -> list[str]:
@@ -63,52 +63,88 @@ def question_and_answer(text: str | None) -> tuple[list[str], list[str]]:
 
 @dataclass
 class Index:
-    """Terms by number; impact[term, item] is the term's part of the item's own score; block and list maxima of it. essential holds
-    the terms without the commonest ones; rest[item] is what those add up to."""
+    """Postings of the terms that items hold, in the order of (term, item): item and impact, the term's part of the item's own score.
+
+    Postings of a term are cut into blocks of BLOCK neighbouring items; block_of and block_max name a posting block's place among the
+    items' blocks and its highest impact. first and block_first are where a term's postings and blocks begin. essential holds the terms
+    without the commonest ones; rest[item] is what those add up to.
+    """
 
     terms: dict[str, int]
     essential: dict[str, int]
     rest: np.ndarray
     items: list[int]
+    item: np.ndarray
     impact: np.ndarray
+    first: np.ndarray
+    block_of: np.ndarray
     block_max: np.ndarray
+    block_start: np.ndarray
+    block_first: np.ndarray
     list_max: np.ndarray
     words: list[tuple[list[str], list[str]]]
     span: int
 
 
-def build_index(rows: list[tuple[int, str]]) -> Index:
-    """Of (item_id, text); items without a word are left out."""
-    split = [(i, *question_and_answer(t)) for i, t in rows]
-    split = [s for s in split if s[1] or s[2]]
+def collection(rows: list[tuple[int, list[str], list[str]]]) -> tuple[int, float, int, dict[str, int]]:
+    """Number of items, their mean and greatest length, and in how many each word stands, of (item_id, question, answer)."""
+    df: dict[str, int] = {}
+    for _, q, a in rows:
+        for w in set(q + a):
+            df[w] = df.get(w, 0) + 1
+    sizes = [len(q) + len(a) for _, q, a in rows]
+    return len(rows), sum(sizes) / max(1, len(rows)), max(sizes, default=0), df
+
+
+def build_index(rows: list[tuple[int, list[str], list[str]]], whole: tuple[int, float, int, dict[str, int]] | None = None) -> Index:
+    """Of (item_id, question words, answer words), each with a word at least. whole: the collection that the rows are a part of."""
+    n, mean, span, frequency = whole or collection(rows)
     terms: dict[str, int] = {}
     bags: list[dict[int, int]] = []
-    for _, q, a in split:
+    for _, q, a in rows:
         bag: dict[int, int] = {}
         for w in q + a:
             t = terms.setdefault(w, len(terms))
             bag[t] = bag.get(t, 0) + 1
         bags.append(bag)
-    n = len(split)
-    length = np.array([len(q) + len(a) for _, q, a in split], float)
-    df = np.zeros(len(terms))
-    for bag in bags:
-        df[list(bag)] += 1
+    df = np.array([frequency[w] for w in terms], float)
     idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-    impact = np.zeros((len(terms), n), np.float32)
-    for j, bag in enumerate(bags):
-        t = np.array(list(bag))
-        tf = np.array([bag[x] for x in t], float)
-        score = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[j] / length.mean()))
-        impact[t, j] = score / score.sum()
-    most, common = np.zeros(n), set()
+    size = np.array([len(b) for b in bags], np.int64)
+    item = np.repeat(np.arange(len(rows)), size)
+    term = np.fromiter((t for b in bags for t in b), np.int64, int(size.sum()))
+    tf = np.fromiter((c for b in bags for c in b.values()), float, int(size.sum()))
+    length = np.array([len(q) + len(a) for _, q, a in rows], float)[item]
+    impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(mean, 1e-9)))
+    impact /= np.bincount(item, impact, len(rows))[item]
+    order = np.lexsort((item, term))
+    item, term, impact = item[order], term[order], impact[order]
+    first = np.searchsorted(term, np.arange(len(terms) + 1))
+    most, common = np.zeros(len(rows)), set()
     for t in np.argsort(-df, kind="stable").tolist():
-        if (most + impact[t]).max(initial=0) > THRESHOLD / 2:
+        own = slice(first[t], first[t + 1])
+        if (most[item[own]] + impact[own]).max(initial=0) > THRESHOLD / 2:
             break
-        most += impact[t]
+        most[item[own]] += impact[own]
         common.add(t)
-    blocks = np.maximum.reduceat(impact, np.arange(0, n, BLOCK), axis=1) if n else np.zeros((0, 0), np.float32)
-    return Index(terms, {w: t for w, t in terms.items() if t not in common}, most, [s[0] for s in split], impact, blocks, impact.max(axis=1) if n else np.zeros(0, np.float32), [(q, a) for _, q, a in split], int(length.max()) if n else 0)
+    start = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (item[1:] // BLOCK != item[:-1] // BLOCK)))) if len(term) else np.empty(0, np.int64)
+    block_max = np.maximum.reduceat(impact, start) if len(start) else np.empty(0)
+    return Index(
+        terms, {w: t for w, t in terms.items() if t not in common}, most, [r[0] for r in rows], item, impact, first, item[start] // BLOCK, block_max, np.append(start, len(term)),
+        np.searchsorted(term[start], np.arange(len(terms) + 1)), np.maximum.reduceat(impact, first[:-1]) if len(terms) else np.empty(0), [(q, a) for _, q, a in rows], span,
+    )
+
+
+def _ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the range, place) of all places of the ranges, one range after another."""
+    size = stop - start
+    who = np.repeat(np.arange(len(size)), size)
+    return who, np.arange(len(who)) + np.repeat(start - np.cumsum(size) + size, size)
+
+
+def _sums(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sum of each one's values."""
+    names, place = np.unique(key, return_inverse=True)
+    return names, np.bincount(place, value, len(names))
 
 
 def retrieve(index: Index, docs: list[list[str]]) -> list[tuple[int, int, int, float]]:
@@ -132,37 +168,43 @@ def retrieve(index: Index, docs: list[list[str]]) -> list[tuple[int, int, int, f
     term, doc, part = np.concatenate(flat), np.concatenate(doc), np.concatenate(part)
     # Half-windows numbered over all documents; a window is a half and the next one, so each word is in at most two.
     halves = np.array([max(1, -(-len(d) // span)) for d in docs])
-    first = np.cumsum(halves) - halves
-    here, n = first[doc] + part, len(index.terms)
+    start = np.cumsum(halves) - halves
+    here, n = start[doc] + part, len(index.terms)
     keys = np.unique(np.concatenate([here * n + term, (here[part > 0] - 1) * n + term[part > 0]]))
     window, term = keys // n, keys % n
     heads = np.flatnonzero(np.concatenate(([True], window[1:] != window[:-1])))
     counts = np.diff(np.append(heads, len(keys)))
-
-    def bounds(windows: np.ndarray, impact: np.ndarray) -> np.ndarray:
-        """Sums of impact rows over the essential terms of each window."""
-        c = counts[windows]
-        cut = np.cumsum(c) - c
-        return np.add.reduceat(impact[term[np.repeat(heads[windows] - cut, c) + np.arange(c.sum())]], cut, axis=0)
-
-    least = np.float32(THRESHOLD - 1e-4)
-    bar = least - np.float32(index.rest.max())
+    least = THRESHOLD - 1e-4
+    bar = least - index.rest.max()
+    blocks = -(-len(index.items) // BLOCK)
     alive = np.flatnonzero(np.add.reduceat(index.list_max[term], heads) >= bar)
+    # Posting blocks that each window would open: windows are taken up so many at a time that these stay bounded.
+    work = np.cumsum(np.add.reduceat(index.block_first[term + 1] - index.block_first[term], heads)[alive])
     found: list[tuple[int, int, int, float]] = []
-    for lo in range(0, len(alive), 1024):
-        some = alive[lo : lo + 1024]
-        reach = bounds(some, index.block_max) >= bar
-        for block in np.flatnonzero(reach.any(axis=0)):
-            windows = some[reach[:, block]]
-            items = slice(block * BLOCK, (block + 1) * BLOCK)
-            for w, j in zip(*np.nonzero(bounds(windows, index.impact[:, items]) + index.rest[items] >= least)):
-                number = window[heads[windows[w]]]
-                d = int(np.searchsorted(first, number, side="right")) - 1
-                start, item = int(number - first[d]) * span, int(block) * BLOCK + int(j)
-                held = [index.terms[x] for x in set(docs[d][start : start + 2 * span]) if x in index.terms]
-                share = float(index.impact[held, item].sum(dtype=float))
-                if share >= THRESHOLD:
-                    found.append((d, start, item, share))
+    for some in np.split(alive, np.flatnonzero(np.diff(work // HELD)) + 1) if len(alive) else []:
+        who, place = _ranges(heads[some], heads[some] + counts[some])
+        terms = term[place]
+        pair, block = _ranges(index.block_first[terms], index.block_first[terms + 1])
+        key = who[pair] * blocks + index.block_of[block]
+        names, reach = _sums(key, index.block_max[block])
+        open_ = names[reach >= bar]
+        if not len(open_):
+            continue
+        at = np.minimum(np.searchsorted(open_, key), len(open_) - 1)
+        chosen = open_[at] == key
+        entry, posting = _ranges(index.block_start[block[chosen]], index.block_start[block[chosen] + 1])
+        names, reach = _sums(who[pair[chosen]][entry] * len(index.items) + index.item[posting], index.impact[posting])
+        for name in names[reach + index.rest[names % len(index.items)] >= least].tolist():
+            number, item = int(window[heads[some[name // len(index.items)]]]), name % len(index.items)
+            d = int(np.searchsorted(start, number, side="right")) - 1
+            begin = int(number - start[d]) * span
+            passage = set(docs[d][begin : begin + 2 * span])
+            share = 0.0
+            for w in sorted(passage.intersection(index.words[item][0] + index.words[item][1])):
+                t = index.terms[w]
+                share += float(index.impact[index.first[t] + np.searchsorted(index.item[index.first[t] : index.first[t + 1]], item)])
+            if share >= THRESHOLD - 1e-9:
+                found.append((d, begin, item, share))
     return found
 
 
@@ -181,12 +223,35 @@ def verified(question: float, answer: float, q: int, a: int) -> bool:
     return (question >= QUESTION and answer >= ANSWER) or (question * q + answer * a) / max(1, q + a) >= TOTAL
 
 
+def _split_items(benchmark: DataFrame) -> DataFrame:
+    """(item_id, question array<string>, answer array<string>) of benchmark(item_id, text); items without an id or a word are left out."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(i.as_py(), *question_and_answer(t.as_py())) for i, t in zip(b.column(0), b.column(1))]
+            rows = [r for r in rows if r[1] or r[2]]
+            columns = list(zip(*rows)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.list_(pa.string()), pa.list_(pa.string())))], names=["item_id", "question", "answer"])
+
+    own = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
+    return own.mapInArrow(work, "item_id long, question array<string>, answer array<string>")
+
+
 def _indexes(spark: SparkSession, benchmark: DataFrame) -> Iterator[Broadcast]:
-    """The fields of the index of each SHARD items, sent to the tasks."""
-    shards = max(1, -(-benchmark.count() // SHARD))
+    """The fields of each part's index, sent to the tasks. Frequencies, mean and span are those of all items, so that the parts give what one
+    index of all would; a part's words add up to about SHARD_WORDS."""
+    items = written(_split_items(benchmark), "items")
+    size = F.size("question") + F.size("answer")
+    n, mean, span, total = items.agg(F.count("*"), F.coalesce(F.avg(size), F.lit(0.0)), F.coalesce(F.max(size), F.lit(0)), F.coalesce(F.sum(size), F.lit(0))).first()
+    shards = max(1, -(-total // SHARD_WORDS))
+    words = lambda rows: rows.select(F.explode(F.array_distinct(F.concat("question", "answer"))).alias("word"))
+    df = words(items).groupBy("word").agg(F.count("*").alias("df"))
+    df = written(df, "frequencies") if shards > 1 else df
     for s in range(shards):
-        rows = benchmark.where(F.col("item_id").isNotNull() & (F.pmod(F.xxhash64("item_id"), F.lit(shards)) == s)).select(F.col("item_id").cast("long"), F.coalesce("text", F.lit(""))).collect()
-        index = build_index(sorted(tuple(r) for r in rows))
+        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == s)
+        own = df.join(words(part).distinct(), "word", "left_semi") if shards > 1 else df
+        rows = sorted((r.item_id, list(r.question), list(r.answer)) for r in part.collect())
+        index = build_index(rows, (n, mean, span, {r.word: r.df for r in own.collect()}))
         yield spark.sparkContext.broadcast(tuple(vars(index).values()))
 
 
@@ -208,8 +273,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     passage of each: highest score, then question and answer overlap, then the earliest.
 
     docs(doc_id, text) may have other columns. Null or empty texts and items without words match nothing; a repeated document row
-    gives its rows once for each distinct doc_id; a null doc_id is a key like another. The index of at most SHARD items is built on
-    the driver and sent to the tasks; larger benchmarks take one pass for each SHARD items, in item order.
+    gives its rows once for each distinct doc_id; a null doc_id is a key like another. The index is built on the driver and sent to the tasks;
+    a benchmark of more than SHARD_WORDS words is dealt into parts by a hash of item_id and takes one pass for each, with the
+    frequencies of the whole, so that the parts don't change any row.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
@@ -218,15 +284,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = Index(*shared.value)
             for whole in batches:
-                for lo in range(0, whole.num_rows, 400):
-                    b = whole.slice(lo, 400)
+                for b in row_slices(whole, 400):
                     ids = b.column(0).to_pylist()
                     hits = [(ids[i], *hit) for i, *hit in _hits(index, b.column(1))]
                     columns = list(zip(*hits)) or [()] * 6
                     kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "passage_start"])
 
-        got = own.mapInArrow(work, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, passage_start long")
+        got = own.mapInArrow(lean(work), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, passage_start long")
         out = got if out is None else out.unionByName(got)
     best = F.max_by(F.struct("score", "question_overlap", "answer_overlap", "passage_start"), F.struct("score", "question_overlap", "answer_overlap", -F.col("passage_start")))
     return out.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
@@ -240,12 +305,11 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = Index(*shared.value)
             for whole in batches:
-                for lo in range(0, whole.num_rows, 400):
-                    b = whole.slice(lo, 400)
+                for b in row_slices(whole, 400):
                     hit = {h[0] for h in _hits(index, b.column(at))}
                     yield b.filter(pa.array([i not in hit for i in range(b.num_rows)], pa.bool_()))
 
-        docs = docs.mapInArrow(work, docs.schema)
+        docs = docs.mapInArrow(lean(work), docs.schema)
     return docs
 
 
