@@ -52,18 +52,21 @@ def _cost(p: Column) -> Column:
 def flattened(turns: DataFrame) -> DataFrame:
     """Adds content (string) and attachments (array of turn-level ordinal, kind, ref, tokens) to turns(.., parts array<PART>).
 
-    Text parts are escaped and joined as they stand; an attachment leaves `<|kind_n|>`, n counting that turn's attachments from 1.
-    Parts of an unknown kind, and null parts, leave nothing. Null parts or null texts count as empty.
+    Text parts that follow one another are joined and then escaped as one, so that no control string can be put together from several;
+    an attachment leaves `<|kind_n|>`, n counting that turn's attachments from 1. Parts of an unknown kind, and null parts, leave nothing.
+    Null parts or null texts count as empty.
     """
     parts = F.filter(F.coalesce("parts", F.array().cast(f"array<{PART}>")), lambda p: p.isNotNull())
     known = F.filter(parts, lambda p: p["kind"].isin("text", "image", "audio", "document"))
-    ordinal = lambda i: F.size(F.filter(F.slice(F.col("_known"), F.lit(1), i + 1), lambda p: p["kind"] != "text"))
-    shown = F.transform(
-        "_known",
-        lambda p, i: F.when(p["kind"] == "text", escaped(F.coalesce(p["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), p["kind"], F.lit("_"), ordinal(i).cast("string"), F.lit("|>"))),
+    # The visitor's state: what is written, the text since the last attachment, and the number of attachments.
+    state = lambda out, text, n: F.struct(out.alias("out"), text.alias("text"), n.alias("n"))
+    placeholder = lambda p, n: F.concat(F.lit("<|"), p["kind"], F.lit("_"), n.cast("string"), F.lit("|>"))
+    visit = lambda s, p: F.when(p["kind"] == "text", state(s["out"], F.concat(s["text"], F.coalesce(p["text"], F.lit(""))), s["n"])).otherwise(
+        state(F.concat(s["out"], escaped(s["text"]), placeholder(p, s["n"] + 1)), F.lit(""), s["n"] + 1)
     )
+    shown = F.aggregate("_known", state(F.lit(""), F.lit(""), F.lit(0)), visit, lambda s: F.concat(s["out"], escaped(s["text"])))
     refs = F.transform(F.filter("_known", lambda p: p["kind"] != "text"), lambda p, i: F.struct((i + 1).alias("ordinal"), p["kind"].alias("kind"), p["ref"].alias("ref"), _cost(p).alias("tokens")))
-    return turns.withColumn("_known", known).withColumns({"content": F.array_join(shown, ""), "attachments": refs}).drop("_known")
+    return turns.withColumn("_known", known).withColumns({"content": shown, "attachments": refs}).drop("_known")
 
 
 def chat_format(turns: DataFrame) -> DataFrame:
@@ -94,8 +97,10 @@ def parsed(formatted: Column) -> Column:
     """The turns of a formatted string, read back: array of (role, text), both unescaped, placeholders as they stand."""
     pieces = F.filter(F.split(formatted, r"<\|im_end\|>\n"), lambda p: p != "")
     body = lambda p: F.substring(p, F.lit(len(START) + 1), F.length(p))
-    head = r"(?s)^((?:[^\\\n]|\\.)*)\n(.*)$"
-    return F.transform(pieces, lambda p: F.struct(unescaped(F.regexp_extract(body(p), head, 1)).alias("role"), unescaped(F.regexp_extract(body(p), head, 2)).alias("text")))
+    # The role ends at the first line feed that no backslash escapes: pairs of a backslash and what it escapes are blotted out first.
+    blotted = lambda x: F.replace(F.replace(x, F.lit("\\\\"), F.lit("\x00\x00")), F.lit("\\\n"), F.lit("\x00\x00"))
+    ends = F.transform(pieces, lambda p: F.struct(body(p).alias("x"), F.instr(blotted(body(p)), "\n").alias("at")))
+    return F.transform(ends, lambda e: F.struct(unescaped(F.substring(e["x"], F.lit(1), e["at"] - 1)).alias("role"), unescaped(F.substring(e["x"], e["at"] + 1, F.length(e["x"]))).alias("text")))
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
