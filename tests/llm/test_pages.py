@@ -86,3 +86,23 @@ def test_sql(spark, sf_dir, name):
     df = registry.QUERIES[name](spark, sf_dir)
     columns, want = sql_rows(registry.SQL[name], sf_dir)
     assert sorted(df.columns) == columns and spark_rows(df) == want
+
+
+def test_archives_name_records_and_are_checked(spark, tmp_path):
+    path = "file://" + str(tmp_path / "warc")
+    long = "long text " * 40_000
+    rows = [(1, "u", "same"), (2, "u", "same"), (2, "u", "same"), (3, "v", long), (3, "v", long), (4, "w", long), (None, "n", long), (None, "n", long), (None, None, None), (None, None, None)]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), path)
+    records = [r for f in (tmp_path / "warc").glob("*.gz") for r in warc.split_records(warc.unpacked(f.read_bytes()))]
+    ids = {h["WARC-Record-ID"] for h, _ in records}
+    named = [h["WARC-Record-ID"] for h, _ in records if "none-" in h["WARC-Record-ID"]]
+    assert len(named) == len(set(named)) and all(h["WARC-Refers-To"] in ids for h, _ in records if "WARC-Refers-To" in h)
+    got = warc.read_archives(spark, path).collect()
+    assert len(got) == len(rows) and sum(r.record_type == "revisit" for r in got) == 3
+    assert all(bytes(r.payload).decode() in ("same", long, "") for r in got if r.record_type == "response")
+    data = b"".join(x.read_bytes() for x in (tmp_path / "warc").glob("*.gz"))
+    assert len(list(warc.split_records(warc.unpacked(data)))) == len(records)
+    with pytest.raises(ValueError):
+        list(warc.split_records(warc.unpacked(data[:-9])))
+    with pytest.raises(ValueError):
+        list(warc.split_records(iter([b"WARC/1.1\r\nContent-Length: 5\r\n\r\nab"])))
