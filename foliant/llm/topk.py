@@ -30,14 +30,35 @@ def _statistics(x: np.ndarray, segments: int) -> np.ndarray:
     return np.hstack([mean * np.sqrt(w), np.sqrt(square)])
 
 
+#: Bytes of the vectors that are multiplied at once, and queries that are tried together.
+_HELD, _TOGETHER = 1 << 25, 256
+
+
 def _exact(q: np.ndarray, x: np.ndarray, qi: np.ndarray, xi: np.ndarray) -> np.ndarray:
+    """Inner products of the pairs of rows, in float64 where that is exact and in integers where it may not be."""
     out = np.empty(len(qi), np.int64)
-    for at in range(0, len(qi), 1 << 17):
-        s = slice(at, at + (1 << 17))
+    step = max(1, _HELD // (16 * max(1, x.shape[1])))
+    if float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * x.shape[1] < 2.0**52:
+        q, x = q.astype(np.float64), x.astype(np.float64)
+    for at in range(0, len(qi), step):
+        s = slice(at, at + step)
         out[s] = np.einsum("ij,ij->i", q[qi[s]], x[xi[s]])
     return out
 
 
+def _survivors(q: np.ndarray, x: np.ndarray, alive: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of the pairs left: pair by pair, or as one matrix product where many rows are left for many queries."""
+    columns = np.flatnonzero(alive.any(axis=0))
+    qi, at = np.nonzero(alive[:, columns])
+    whole = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * x.shape[1] < 2.0**52
+    if not whole or 8 * len(qi) < alive.shape[0] * len(columns):
+        return qi, columns[at], _exact(q, x, qi, columns[at])
+    score, step = np.empty((len(q), len(columns))), max(1, _HELD // (8 * max(1, x.shape[1])))
+    for lo in range(0, len(columns), step):
+        score[:, lo : lo + step] = q.astype(np.float64) @ x[columns[lo : lo + step]].astype(np.float64).T
+    return qi, columns[at], score[qi, at].astype(np.int64)
+
+
 def search_block(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
     """(query id, vector id, score) of each query's k best of these vectors, its own id left out; ties to smaller ids."""
     order = np.argsort(x_ids, kind="stable")
@@ -47,8 +68,8 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndar
     stats = [(_statistics(qf, s), _statistics(xf, s)) for s in LEVELS]
     # Exact scores of the most promising vectors by the coarse ceiling give each query its bar.
     found: list[tuple[np.ndarray, ...]] = []
-    for at in range(0, len(q), 256):
-        rows = slice(at, min(len(q), at + 256))
+    for at in range(0, len(q), _TOGETHER):
+        rows = slice(at, min(len(q), at + _TOGETHER))
         n = rows.stop - rows.start
         ceiling = stats[0][0][rows] @ stats[0][1].T
         ceiling[q_ids[rows][:, None] == x_ids[None, :]] = -np.inf
@@ -61,8 +82,7 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndar
         for fine in stats[1:]:
             columns = np.flatnonzero(alive.any(axis=0))
             alive[:, columns] &= fine[0][rows] @ fine[1][columns].T >= bar[:, None].astype(np.float64) - slack
-        qi, xi = np.nonzero(alive)
-        score = _exact(q, x, qi + at, xi)
+        qi, xi, score = _survivors(q[rows], x, alive)
         keep = score >= bar[qi]
         qi, xi, score = qi[keep], xi[keep], score[keep]
         rank = np.lexsort((x_ids[xi], -score, qi))
