@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts_of, shingle_parts, written
+from .common import lean, parts_of, removed, shingle_parts, trimmed, written, written_at
 from .components import connected_components, forest
 from .simhash import _MOST_VARIANTS, _joined, _masks, _mixed, bit_counts
 
@@ -33,8 +33,8 @@ WIDTH, TABLES, BITS, RADIUS = 16, 6, 32, 2
 #: Texts are linked without their sets if the estimate from the angle lies this far above the limit, four standard errors, and both sets
 #: have as many shingles as SMALL.
 SLACK, SMALL = 0.1, 48
-#: Texts whose shingle sets meet in one task.
-BLOCK = 10_000
+#: Shingles of the texts whose sets meet in one task, of each of two blocks, on average.
+BLOCK = 1_500_000
 #: Texts that the common shingles are counted in, least count, and most shingles that are ranked by it. The order decides the cost only.
 SAMPLE, COMMON, RANKED = 20_000, 3, 200_000
 #: Hash classes of the parity, prefix rows of a task's cell, and pairs it holds before it thins them.
@@ -60,7 +60,7 @@ def _common_last(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), words).view(np.int64), pa.int64())], names=["token"])
 
     some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, docs.count() // SAMPLE))) == 0).select("text")
-    counts = some.mapInArrow(work, "token long").groupBy("token").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "token").limit(RANKED).toArrow()
+    counts = some.mapInArrow(lean(work), "token long").groupBy("token").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "token").limit(RANKED).toArrow()
     tokens, often = counts.column("token").to_numpy().view(np.uint64), counts.column("count").to_numpy()
     order = np.argsort(tokens)
     return tokens[order], often[order]
@@ -106,7 +106,7 @@ def signatures(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Data
 
     text = F.coalesce("text", F.lit(""))
     schema = "doc_id long, h string, n int, long binary, fps array<int>, parity binary, prefix binary"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text.cast("binary")).alias("h"), text).mapInArrow(work, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text.cast("binary")).alias("h"), text).mapInArrow(lean(work), schema)
 
 
 def _estimates(a: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -120,11 +120,15 @@ def _estimates(a: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 def _verified(pairs: pa.Table, sets: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray]:
     """The pairs (a, b) whose shingle sets reach the Jaccard similarity, thinned to a forest."""
-    nodes = sets.column("node").to_numpy()
-    order = np.argsort(nodes)
-    nodes = nodes[order]
-    held = sets.column("s").to_pylist()
-    held = [np.frombuffer(held[i], np.uint64) for i in order]
+    nodes, order = np.unique(sets.column("node").to_numpy(), return_index=True)  # repeated rows bring a set again
+    held: dict[int, np.ndarray] = {}
+    column = sets.column("s")
+
+    def set_of(i: int) -> np.ndarray:
+        if i not in held:
+            held[i] = np.frombuffer(column[int(order[i])].as_buffer(), np.uint64)
+        return held[i]
+
     a, b = (np.searchsorted(nodes, pairs.column(c).to_numpy()) for c in ("a", "b"))
     right = np.zeros(len(a), bool)
     label = np.arange(len(nodes))
@@ -135,7 +139,7 @@ def _verified(pairs: pa.Table, sets: pa.Table, least: float) -> tuple[np.ndarray
             label[y] = y = label[label[y]]
         if x == y:  # joined already through others
             continue
-        p, q = held[a[i]], held[b[i]]
+        p, q = set_of(int(a[i])), set_of(int(b[i]))
         common = len(np.intersect1d(p, q, assume_unique=True))
         if common >= least * (len(p) + len(q) - common) - 1e-9:
             right[i] = True
@@ -288,32 +292,39 @@ def _sifted(nodes: DataFrame, pairs: DataFrame, wanted: Callable[[np.ndarray, np
 def _exact_links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
     """Links (u, v) among the candidate pairs (a, b), by their texts' shingle sets.
 
-    Texts connected by candidates make a family, a family is cut into blocks of about BLOCK texts, and each set goes to the pairs of
-    blocks that its own takes part in: once, unless the family is very large.
+    Texts connected by candidates make a family, a family is cut into blocks of about BLOCK shingles, and each set goes to those pairs of
+    blocks in which it has a partner: once, unless the family is very large. The links are written, so that no stage holds two Python
+    functions at once.
     """
     family = connected_components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    sizes = family.groupBy(F.col("component").alias("f")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = written(family.join(sizes, family.component == sizes.f).select("node", "f", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")), "families")
-    own = nodes.join(placed, "node").select("h", "first", "node", "f", "blocks", "block")
+    family = family.join(nodes.select(F.col("node").alias("_n"), "n"), F.col("node") == F.col("_n")).select("node", "component", "n")
+    sizes = family.groupBy(F.col("component").alias("f")).agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / BLOCK)).cast("int").alias("blocks"))
+    placed, path = written_at(family.join(sizes, family.component == sizes.f).select("node", "f", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")), "families")
+    end = lambda c: placed.select(F.col("node").alias(c), F.col("f").alias(f"f_{c}"), F.col("block").alias(f"k_{c}"))
+    met = pairs.join(end("a"), "a").join(end("b"), "b").select("a", "b", F.col("f_a").alias("f"), F.least("k_a", "k_b").alias("x"), F.greatest("k_a", "k_b").alias("y"))
+    met, meetings = written_at(met, "meetings")
+    ends = met.select(F.explode(F.array("a", "b")).alias("node"), "f", F.struct("x", "y").alias("p"))
+    own = nodes.join(ends.groupBy("node", "f").agg(F.collect_set("p").alias("places")), "node").select("h", "first", "node", "f", "places")
     text = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("h"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("first"))
-    texts = text.join(own, ["h", "first"]).select("node", "f", "blocks", "block", "text")
+    texts = text.join(own, ["h", "first"]).select("node", "f", "places", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([shingle_set(t.as_py(), words).tobytes() for t in b.column(4)], pa.binary())], names=["node", "f", "blocks", "block", "s"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([shingle_set(t.as_py(), words).tobytes() for t in b.column(3)], pa.binary())], names=["node", "f", "places", "s"])
 
-    sets = texts.mapInArrow(work, "node long, f long, blocks int, block int, s binary")
-    # A pair of blocks (x, y) with x <= y: a set of block k belongs to (k, y) for y >= k and (x, k) for x < k.
-    spread = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, "block").alias("x"), F.greatest(i, "block").alias("y")))
-    sets = sets.withColumn("p", F.explode(spread)).select("node", "s", "f", "p.x", "p.y")
-    end = lambda c: placed.select(F.col("node").alias(c), F.col("f").alias(f"f_{c}"), F.col("block").alias(f"k_{c}"))
-    met = pairs.join(end("a"), "a").join(end("b"), "b").select("a", "b", F.col("f_a").alias("f"), F.least("k_a", "k_b").alias("x"), F.greatest("k_a", "k_b").alias("y"))
+    sets = texts.mapInArrow(lean(work), "node long, f long, places array<struct<x:int,y:int>>, s binary")
+    sets = sets.withColumn("p", F.explode("places")).select("node", "s", "f", "p.x", "p.y")
 
     def verify(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        u, v = _verified(pairs, sets.group_by("node").aggregate([("s", "min")]).rename_columns(["node", "s"]), similarity) if pairs.num_rows else (np.empty(0, np.int64),) * 2
+        u, v = _verified(pairs, sets, similarity) if pairs.num_rows else (np.empty(0, np.int64),) * 2
+        if sets.nbytes > 1 << 22:
+            trimmed()
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    return met.groupBy("f", "x", "y").cogroup(sets.groupBy("f", "x", "y")).applyInArrow(verify, "u long, v long")
+    links = written(met.groupBy("f", "x", "y").cogroup(sets.groupBy("f", "x", "y")).applyInArrow(verify, "u long, v long"), "links")
+    removed(docs.sparkSession, path)
+    removed(docs.sparkSession, meetings)
+    return links
 
 
 def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -332,22 +343,31 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
     n, tokens = nodes.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("prefix")) / 8, F.lit(0.0))).first()
     some = nodes.where("n > 0")
     edges = lambda pairs: pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    passing: list[str] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        """Written until the groups are known."""
+        df, path = written_at(df, name)
+        passing.append(path)
+        return df
 
     def parted(links: DataFrame) -> DataFrame:
         parts = connected_components(links).select(F.col("node").alias("_n"), "component")
         return some.join(parts, F.col("node") == F.col("_n"), "left").withColumn("part", F.coalesce("component", "node"))
 
     doubtless = lambda est, size: (est >= similarity + SLACK) & (size >= SMALL)
-    links = edges(written(_sifted(nodes, _plain_pairs(some, n), doubtless), "sure"))
+    links = edges(kept(_sifted(nodes, _plain_pairs(some, n), doubtless), "sure"))
     own = parted(links)
-    shared = written(_shared(_prefix_rows(own, max(parts_of(spark), math.ceil(tokens / CELL)))), "prefixes")
-    near = written(_possible_pairs(shared, own, similarity, True), "candidates")
-    links = written(links.unionByName(_exact_links(docs, nodes, near, words, similarity)), "links")
-    own = written(parted(links).select("node", "part", "n", "parity"), "parts")
+    shared = kept(_shared(_prefix_rows(own, max(parts_of(spark), math.ceil(tokens / CELL)))), "prefixes")
+    near = kept(_possible_pairs(shared, own, similarity, True), "candidates")
+    links = kept(links.unionByName(_exact_links(docs, nodes, near, words, similarity)), "links")
+    own = kept(parted(links).select("node", "part", "n", "parity"), "parts")
     rest = _shared(shared.join(own.select("node", "part"), "node").select("cell", "token", "node", "part"))
-    rest = written(_possible_pairs(rest, own, similarity, False).join(near, ["a", "b"], "left_anti"), "candidates")
+    rest = kept(_possible_pairs(rest, own, similarity, False).join(near, ["a", "b"], "left_anti"), "candidates")
     links = links.unionByName(_exact_links(docs, nodes, rest, words, similarity))
     labels = connected_components(links)
+    for path in passing:
+        removed(spark, path)
     known = nodes.select("h", "first", "node").join(labels, "node", "left").select("h", "first", "node", F.coalesce("component", "node").alias("component"))
     keepers = known.groupBy("component").agg(F.min(F.struct("first", "h")).alias("k")).select("component", "k.*").select(F.col("component").alias("c"), F.col("first").alias("kept"), F.col("h").alias("kept_h"))
     held = known.join(keepers, known.component == keepers.c).select(F.col("h").alias("g"), "component", "kept", "kept_h")

@@ -18,14 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import table
+from .common import lean, row_slices, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _MARK = "▁"
 _CHUNK = re.compile(r" *[^ \n\t]+| +|[\n\t]")
-#: Bytes of chunks whose paths are found together; chunks longer than LONG go one by one; chunks that a task remembers.
-_TOGETHER, _LONG, _MEMO = 1 << 19, 4096, 250_000
-_UNIGRAM, _NORMAL, _UNKNOWN, _BYTE = 1, 1, 2, 6
+#: Bytes of chunks whose paths are found together; chunks longer than LONG are cut where no piece crosses; chunks, and their characters,
+#: that a task remembers.
+_TOGETHER, _LONG, _MEMO, _MEMO_CHARS = 1 << 17, 4096, 200_000, 8 << 20
+_UNIGRAM, _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 1, 2, 4, 6
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -116,7 +117,9 @@ def _double_array(keys: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray
 @lru_cache(maxsize=2)
 def vocabulary(path: str = MODEL) -> Vocabulary:
     """Reads a .model file on the driver. A unigram model's scores are taken as they are. Another kind has merge ranks only; a
-    piece of rank r then has the log probability of Zipf and Mandelbrot's law, -log(r + 2.7) less the log of the sum over all."""
+    piece of rank r then has the log probability of Zipf and Mandelbrot's law, -log(r + 2.7) less the log of the sum over all. Texts
+    are encoded as they stand, without the model's normaliser, so that decoding gives them back; a model with user-defined pieces,
+    which would be cut out before the search, is refused."""
     pieces, scores, kinds, model, prefix = [], [], [], _UNIGRAM, True
     with open(path, "rb") as f:
         for number, value in _fields(f.read()):
@@ -130,6 +133,8 @@ def vocabulary(path: str = MODEL) -> Vocabulary:
             elif number == 3:
                 prefix = bool(dict(_fields(value)).get(3, 1))
     score, kind = np.array(scores, float), np.array(kinds)
+    if (kind == _USER).any():
+        raise ValueError("user-defined pieces")
     normal = kind == _NORMAL
     if model != _UNIGRAM:
         rank = np.empty(int(normal.sum()))
@@ -158,6 +163,7 @@ class Encoder:
 
     def forget(self) -> None:
         self.memo: dict[str, int] = {}
+        self.chars = 0
         self.pending: list[str] = []
         self.pool = np.empty(0, np.int32)
         self.starts = np.zeros(1, np.int64)
@@ -236,8 +242,32 @@ class Encoder:
             ids, who = out, np.repeat(who, lens)
         return ids.astype(np.int32), np.bincount(who, minlength=len(chunks))
 
+    def _stretches(self, data: bytes) -> Iterator[bytes]:
+        """A long chunk in parts that every path goes through: cut before characters that no piece from an earlier one reaches over."""
+        v, n, start, reach = self.v, len(data), 0, 0
+        buf = np.frombuffer(data, np.uint8)
+        for lo in range(0, n, _TOGETHER):
+            lead = lo + np.flatnonzero((buf[lo : lo + _TOGETHER] & 0xC0) != 0x80)
+            far = np.append(lead[1:], min(n, lo + _TOGETHER))
+            at, state, who = lead, np.zeros(len(lead), np.int64), np.arange(len(lead))
+            while len(at):
+                inside = at < n
+                at, state, who = at[inside], state[inside], who[inside]
+                step = v.base[state].astype(np.int64) + buf[at]
+                ok = (v.check[step] == state) & (step > 0)
+                at, state, who = at[ok] + 1, step[ok], who[ok]
+                hit = v.value[state] >= 0
+                far[who[hit]] = np.maximum(far[who[hit]], at[hit])
+            before = np.maximum.accumulate(np.concatenate(([reach], far)))
+            for cut in lead[before[:-1] <= lead].tolist():
+                if cut - start >= 32:
+                    yield data[start:cut]
+                    start = cut
+            reach = int(before[-1])
+        yield data[start:]
+
     def _long(self, data: bytes) -> list[int]:
-        """The path of one long chunk, position by position: memory in proportion to its length."""
+        """The path of one long chunk that can't be cut, position by position: memory in proportion to its length."""
         v, n = self.v, len(data)
         base, check, value, scores = v.base, v.check, v.value, v.scores
         best, came, by = [float("-inf")] * (n + 1), [-1] * (n + 1), [-1] * (n + 1)
@@ -282,18 +312,29 @@ class Encoder:
                 counts.append(n)
                 group, size = [], 0
 
+        def add(data: bytes) -> None:
+            nonlocal size
+            group.append(data)
+            size += len(data)
+            if size > _TOGETHER:
+                flush()
+
         for c in self.pending:
             data = c.encode("utf-8", "surrogatepass")
             if len(data) > _LONG:
                 flush()
-                got = self._long(data)
-                ids.append(np.array(got, np.int32))
-                counts.append(np.array([len(got)], np.int64))
-                continue
-            group.append(data)
-            size += len(data)
-            if size > _TOGETHER:
+                before = len(counts)
+                for part in self._stretches(data):
+                    if len(part) <= _LONG:
+                        add(part)
+                        continue
+                    flush()
+                    ids.append(np.array(self._long(part), np.int32))
+                    counts.append(np.array([len(ids[-1])], np.int64))
                 flush()
+                counts[before:] = [np.array([sum(int(n.sum()) for n in counts[before:])], np.int64)]
+                continue
+            add(data)
         flush()
         self.pending = []
         self.pool = np.concatenate(ids)
@@ -314,7 +355,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; of a null or empty one, none."""
-        if len(self.memo) > _MEMO:
+        if len(self.memo) > _MEMO or self.chars > _MEMO_CHARS:
             self.forget()
         memo, pending = self.memo, self.pending
         found: list[list[np.ndarray]] = []
@@ -327,6 +368,7 @@ class Encoder:
                     for c in chunks:
                         if c not in memo:
                             memo[c] = len(memo)
+                            self.chars += len(c)
                             pending.append(c)
                     parts.append(np.fromiter(map(memo.__getitem__, chunks), np.int64, len(chunks)))
             found.append(parts)
@@ -368,8 +410,7 @@ def encode(docs: DataFrame, path: str = MODEL, verify: bool = True) -> DataFrame
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(Vocabulary(*shared.value))
         for whole in batches:
-            for lo in range(0, whole.num_rows, 1000):
-                b = whole.slice(lo, 1000)
+            for b in row_slices(whole, 1000):
                 texts = b.column(at).to_pylist()
                 ids = encoder.encode(texts)
                 ends = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
@@ -378,7 +419,7 @@ def encode(docs: DataFrame, path: str = MODEL, verify: bool = True) -> DataFrame
                     new.append(pa.array([encoder.decode(i) == (t or "") for i, t in zip(ids, texts)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*columns, *(a[0] for a in added)])
 
-    return keep.mapInArrow(work, result)
+    return keep.mapInArrow(lean(work), result)
 
 
 def decode(tokens: DataFrame, path: str = MODEL) -> DataFrame:
@@ -394,7 +435,7 @@ def decode(tokens: DataFrame, path: str = MODEL) -> DataFrame:
             texts = [encoder.decode(np.array(i.as_py() or [], np.int32)) for i in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*columns, "text"])
 
-    return keep.mapInArrow(work, T.StructType([*keep.schema.fields, T.StructField("text", T.StringType())]))
+    return keep.mapInArrow(lean(work), T.StructType([*keep.schema.fields, T.StructField("text", T.StringType())]))
 
 
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import lean, table
 
 #: Labelled rows that a model is fitted on at most: those with the smallest hash of their doc_id.
 MAX_TRAINING_ROWS = 12_000
@@ -44,8 +44,8 @@ _MARKS = np.array([33 <= i <= 47 or 58 <= i <= 64 or 91 <= i <= 96 or 123 <= i <
 _ODD = np.array([chr(i) in "*#@$%&+=~^|\\<>_" for i in range(256)])
 
 
-#: Tokens that a task remembers at most before it starts anew.
-_MEMO = 300_000
+#: Tokens that a task remembers at most before it starts anew, and the longest token that it remembers at all.
+_MEMO, _TOKEN = 200_000, 64
 #: The learned lexicon holds whole words, marked with a final $, and word beginnings of these lengths.
 STEMS = (4, 5, 6)
 
@@ -74,7 +74,8 @@ class _Flags(dict):
             flags |= 16
         if _STRETCHED.search(low):
             flags |= 32
-        self[token] = flags
+        if len(token) <= _TOKEN:
+            self[token] = flags
         return flags
 
 
@@ -252,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS) -> Mo
                 x = [features(t.as_py(), flags) for t in b.column(1)]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
-        got = rows.mapInArrow(work, "doc_id long, y int, x array<double>").orderBy("doc_id").toPandas()
+        got = rows.mapInArrow(lean(work), "doc_id long, y int, x array<double>").orderBy("doc_id").toPandas()
     finally:
         rows.unpersist()
     x = np.array(got["x"].tolist(), float).reshape(-1, len(FEATURES))
@@ -276,7 +277,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             x = np.array([features(t.as_py(), flags) for t in b.column(1)], float).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(x), pa.float64())], names=["doc_id", "score"])
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, score double")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(work), "doc_id long, score double")
     return out.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -291,7 +292,7 @@ def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
             x = np.array([features(t.as_py(), flags) for t in b.column(at)], float).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(x), pa.float64())], names=[*columns, name])
 
-    return docs.mapInArrow(work, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return docs.mapInArrow(lean(work), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
