@@ -152,3 +152,33 @@ def test_typed_records(spark):
     assert {(r.stream, r.flags) for r in streams.collect()} == {("/FileHeader", 1), ("/DocInfo", 1), ("/BinData/BIN0001.png", 1)}
     got = binary.typed(binary.record_rows(streams), "STYLE").orderBy("slot").collect()
     assert [(r.slot, r.name, r.lang_id) for r in got] == [(0, "바탕글", 1042), (1, "본문", 1042)]
+
+
+def test_align_against_brute_force():
+    import random
+    from functools import lru_cache
+
+    from foliant.operators.edit import _names, _shown, anchors
+
+    rng = random.Random(7)
+    for _ in range(300):
+        frozen, typed = ([rng.choice(["a", "b", "c\nd", "c", "", " ", "e"]) for _ in range(rng.randrange(9))] for _ in range(2))
+
+        @lru_cache(None)
+        def longest(i, j):
+            if i == len(frozen) or j == len(typed):
+                return 0
+            hit = 1 + longest(i + 1, j + 1) if _shown(typed[j]) in _names(frozen[i]) else 0
+            return max(hit, longest(i + 1, j), longest(i, j + 1))
+
+        assert len(anchors(frozen, typed)) == longest(0, 0)
+        got = align(frozen, typed)
+        old, new = ([p[k] for p in got if p[k] is not None] for k in (0, 1))
+        assert old == sorted(set(old)) and new == list(range(len(typed)))
+        assert set(anchors(frozen, typed)) <= set(got)
+        put_back = [i for i, j in got if j is None]
+        assert all(not _shown(frozen[i]) for i in put_back)
+        dropped = [i for i in range(len(frozen)) if i not in old]
+        assert all(_shown(frozen[i]) for i in dropped if old and i < old[-1])
+    assert align(["x", ""], ["", "y"]) == [(None, 0), (0, 1), (1, None)]
+    assert align(["a", "x", "b"], ["a", "", "b"]) == [(0, 0), (1, 1), (2, 2)]
