@@ -7,8 +7,9 @@ what it misses.
 The rest is found by a prefix filter. All shingles stand in one order, the commonest last. Of two sets at Jaccard similarity s or more,
 each has at least s of its own shingles in common with the other, so the first n - ceil(s n) + 1 of each have one in common. All texts of
 different parts that share such a shingle are compared: by size, then by the parity of their shingles in 1,024 hash classes, which can
-differ in no more classes than the sets do in shingles. Neither drops a pair that reaches s. What is left is verified on the
-whole shingle sets, which are brought together once for all pairs, in blocks of bounded size.
+differ in no more classes than the sets do in shingles. Long texts fill 1,024 classes, so the pairs left are compared once more by
+parities in twice as many classes as a text has shingles. None of this drops a pair that reaches s. What is left is verified on the
+whole shingle sets, which are brought together in blocks of bounded size.
 
 Pairs are taken in two steps: first those of a least spanning forest of each task, so that true groups become one part, then all that are
 still in different parts.
@@ -37,8 +38,8 @@ SLACK, SMALL = 0.1, 48
 BLOCK = 1_500_000
 #: Texts that the common shingles are counted in, least count, and most shingles that are ranked by it. The order decides the cost only.
 SAMPLE, COMMON, RANKED = 20_000, 3, 200_000
-#: Hash classes of the parity, prefix rows of a task's cell, and pairs it holds before it thins them.
-CLASSES, CELL, HELD = 1024, 100_000, 1 << 20
+#: Hash classes of the parity, those of the longest wide one, prefix rows of a task's cell, and pairs it holds before it thins them.
+CLASSES, WIDEST, CELL, HELD = 1024, 1 << 17, 100_000, 1 << 20
 
 
 def _choices() -> np.ndarray:
@@ -78,17 +79,29 @@ def _prefix(hashes: np.ndarray, similarity: float, tokens: np.ndarray, often: np
     return hashes[np.argsort(rank, kind="stable")[:size]]
 
 
+def _parity(hashes: np.ndarray) -> bytes:
+    """Parity of the shingles in each class, of at least twice as many classes as shingles, a power of two."""
+    classes = min(WIDEST, max(CLASSES, 1 << (2 * len(hashes) - 1).bit_length())) if len(hashes) else CLASSES
+    return np.packbits((np.bincount((hashes % np.uint64(classes)).astype(np.int64), minlength=classes) & 1).astype(bool)).tobytes()
+
+
+def _folded(parity: bytes, size: int) -> np.ndarray:
+    """The parity in the classes of `size` bytes."""
+    out = np.frombuffer(parity, np.uint8)
+    return np.bitwise_xor.reduce(out.reshape(-1, size), axis=0) if len(out) > size else out
+
+
 def signatures(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, h, n, long binary, fps array<int>, parity binary, prefix binary) of docs(doc_id, text): text digest, number of distinct
-    shingles, long fingerprint, the tables' fingerprints, parity of the shingles in each hash class, and the shingles of the prefix. A
-    null text counts as empty."""
+    """(doc_id, h, n, long binary, fps array<int>, parity binary, wide binary, prefix binary) of docs(doc_id, text): text digest, number of
+    distinct shingles, long fingerprint, the tables' fingerprints, parity of the shingles in each hash class, the same in more classes
+    for long texts, and the shingles of the prefix. A null text counts as empty."""
     choices = _choices()
     tokens, often = _common_last(docs, words)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "h", "n", "long", "fps", "parity", "prefix"]
+        names = ["doc_id", "h", "n", "long", "fps", "parity", "wide", "prefix"]
         for b in batches:
-            n, long, fps, parity, prefix = [], [], [], [], []
+            n, long, fps, parity, wide, prefix = [], [], [], [], [], []
             for t in b.column(2):
                 hashes = shingle_set(t.as_py(), words)
                 total = np.zeros(64 * WIDTH, np.int64)
@@ -98,14 +111,15 @@ def signatures(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Data
                 n.append(len(hashes))
                 long.append(np.packbits(bits).tobytes())
                 fps.append(np.packbits(bits[choices], axis=1).view(">u4").ravel().astype(np.uint32).view(np.int32))
-                parity.append(np.packbits((np.bincount((hashes % np.uint64(CLASSES)).astype(np.int64), minlength=CLASSES) & 1).astype(bool)).tobytes())
+                wide.append(_parity(hashes))
+                parity.append(_folded(wide[-1], CLASSES // 8).tobytes())
                 prefix.append(_prefix(hashes, similarity, tokens, often).tobytes())
             flat = np.concatenate(fps) if fps else np.empty(0, np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * TABLES), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(long, pa.binary()), lists, pa.array(parity, pa.binary()), pa.array(prefix, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(long, pa.binary()), lists, pa.array(parity, pa.binary()), pa.array(wide, pa.binary()), pa.array(prefix, pa.binary())], names=names)
 
     text = F.coalesce("text", F.lit(""))
-    schema = "doc_id long, h string, n int, long binary, fps array<int>, parity binary, prefix binary"
+    schema = "doc_id long, h string, n int, long binary, fps array<int>, parity binary, wide binary, prefix binary"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text.cast("binary")).alias("h"), text).mapInArrow(lean(work), schema)
 
 
@@ -289,6 +303,25 @@ def _sifted(nodes: DataFrame, pairs: DataFrame, wanted: Callable[[np.ndarray, np
     return paired.mapInArrow(sift, "a long, b long")
 
 
+def _alike(nodes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose wide parities allow the similarity."""
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("wide").alias(f"w_{x}"))
+    paired = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "w_a", "w_b")
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            total = b.column(2).to_numpy().astype(np.int64) + b.column(3).to_numpy()
+            most = total - 2 * np.ceil(similarity / (1 + similarity) * total - 1e-6)
+            apart = np.empty(b.num_rows, np.int64)
+            for i, (x, y) in enumerate(zip(b.column(4), b.column(5))):
+                x, y = x.as_buffer(), y.as_buffer()
+                size = min(x.size, y.size)
+                apart[i] = np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum()
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(apart <= most))
+
+    return paired.mapInArrow(lean(sift), "a long, b long")
+
+
 def _exact_links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
     """Links (u, v) among the candidate pairs (a, b), by their texts' shingle sets.
 
@@ -338,7 +371,7 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
     spark = docs.sparkSession
     rows = written(signatures(docs, words, similarity), "signatures")
     first = F.min(F.coalesce("doc_id", F.lit(2**63 - 1))).alias("first")
-    nodes = rows.groupBy("h").agg(first, *(F.any_value(c).alias(c) for c in ("n", "long", "fps", "parity", "prefix")))
+    nodes = rows.groupBy("h").agg(first, *(F.any_value(c).alias(c) for c in ("n", "long", "fps", "parity", "wide", "prefix")))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "texts")
     n, tokens = nodes.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("prefix")) / 8, F.lit(0.0))).first()
     some = nodes.where("n > 0")
@@ -359,11 +392,11 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
     links = edges(kept(_sifted(nodes, _plain_pairs(some, n), doubtless), "sure"))
     own = parted(links)
     shared = kept(_shared(_prefix_rows(own, max(parts_of(spark), math.ceil(tokens / CELL)))), "prefixes")
-    near = kept(_possible_pairs(shared, own, similarity, True), "candidates")
+    near = kept(_alike(nodes, _possible_pairs(shared, own, similarity, True), similarity), "candidates")
     links = kept(links.unionByName(_exact_links(docs, nodes, near, words, similarity)), "links")
     own = kept(parted(links).select("node", "part", "n", "parity"), "parts")
     rest = _shared(shared.join(own.select("node", "part"), "node").select("cell", "token", "node", "part"))
-    rest = kept(_possible_pairs(rest, own, similarity, False).join(near, ["a", "b"], "left_anti"), "candidates")
+    rest = kept(_alike(nodes, _possible_pairs(rest, own, similarity, False).join(near, ["a", "b"], "left_anti"), similarity), "candidates")
     links = links.unionByName(_exact_links(docs, nodes, rest, words, similarity))
     labels = connected_components(links)
     for path in passing:
