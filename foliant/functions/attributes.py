@@ -95,3 +95,68 @@ def name_of(number: Column, names: tuple[str, ...], default: str) -> Column:
     for i, n in enumerate(names[1:], 1):
         out = out.when(number == i, n)
     return out.otherwise(default)
+
+
+#: Bits of a fill's kind, and the kinds of an embedded binary by their numbers.
+FILL_BITS = {"is_color": (0, 1), "is_gradation": (1, 1), "is_image": (2, 1)}
+BINARY_KINDS = ("link", "embedding", "storage")
+#: First bytes of image files, in hex.
+IMAGE_MAGIC = ("89504E47", "FFD8FF", "47494638", "424D", "49492A00", "4D4D002A", "52494646", "3C737667", "D7CDC69A", "01000000")
+#: Extensions that browsers show.
+WEB_NATIVE = ("png", "jpg", "jpeg", "gif", "webp", "svg")
+
+
+def to_points(hundredths: Column) -> Column:
+    """Hundredths of a point, as lengths and character sizes are stored, to points."""
+    return hundredths.cast("double") / 100
+
+
+def binary_kind(properties: Column) -> Column:
+    """Number of an embedded binary's kind."""
+    return bits(properties, 0, 4)
+
+
+def binary_kind_columns(properties: Column) -> list[Column]:
+    return [(binary_kind(properties) == i).alias(f"is_{name}") for i, name in enumerate(BINARY_KINDS)]
+
+
+def char_count(stored: Column) -> Column:
+    """Characters of a paragraph, without the marker in the top bit of 32."""
+    return stored.cast("long").bitwiseAND(F.lit(0x7FFFFFFF))
+
+
+def has_marker(stored: Column) -> Column:
+    return stored.cast("long").bitwiseAND(F.lit(0x80000000)) != 0
+
+
+def looks_like_image(content: Column) -> Column:
+    """Whether four bytes at least begin as an image file does; null counts as no content."""
+    head = F.hex(F.substring(content, 1, 4))
+    begins = F.lit(False)
+    for magic in IMAGE_MAGIC:
+        begins = begins | head.startswith(magic)
+    return F.coalesce((F.octet_length(content) >= 4) & begins, F.lit(False))
+
+
+def safe_entry_id(entry: Column) -> Column:
+    """The id of a binary as a file name; null where it is empty, hidden, or would leave its folder."""
+    unsafe = (entry == "") | entry.startswith(".") | entry.contains("/") | entry.contains("\\") | entry.contains("\x00")
+    return F.when(~unsafe, entry)
+
+
+def is_web_native(ext: Column) -> Column:
+    return F.lower(ext).isin(*WEB_NATIVE)
+
+
+def png_id(entry: Column) -> Column:
+    """The id with its extension, or none, replaced by png."""
+    return F.concat(F.regexp_replace(entry, r"(?s)\.[^.]*\z", ""), F.lit(".png"))
+
+
+def css_font(name: Column) -> Column:
+    return F.translate(name, "'\\", "")
+
+
+def json_text(x: Column) -> Column:
+    """Backslashes and quotes escaped."""
+    return F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))

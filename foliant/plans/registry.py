@@ -288,6 +288,24 @@ def hwpunit_mm(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", A.to_mm(F.col("l_partkey") * 37).alias("mm"))
 
 
+@query(S.STORED_NUMBERS)
+def stored_numbers(spark, sf_dir):
+    n = (F.col("l_orderkey") * 2654435761 + F.col("l_partkey")) % 4294967296
+    own = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", n.alias("n"))
+    points = A.to_points(F.col("n") % 100000).alias("points")
+    return own.select("l_orderkey", "l_linenumber", points, *A.bit_columns(F.col("n"), A.FILL_BITS), A.binary_kind(F.col("n")).alias("kind"), *A.binary_kind_columns(F.col("n")), A.char_count(F.col("n")).alias("chars"), A.has_marker(F.col("n")).alias("marker"))
+
+
+@query(S.ASSET_NAMES)
+def asset_names(spark, sf_dir):
+    k = F.col("p_partkey")
+    name = F.concat(F.element_at(F.array(*map(F.lit, S.NAME_STEMS)), (k % len(S.NAME_STEMS)).cast("int") + 1), k.cast("string"), F.element_at(F.array(*map(F.lit, S.NAME_ENDS)), (k % len(S.NAME_ENDS)).cast("int") + 1))
+    content = F.unhex(F.concat(F.element_at(F.array(*map(F.lit, S.HEADS)), (k % len(S.HEADS)).cast("int") + 1), F.lpad(F.hex(k), 4, "0")))
+    own = table(spark, sf_dir, "part").select("p_partkey", name.alias("name"), content.alias("content"))
+    x = F.col("name")
+    return own.select("p_partkey", A.safe_entry_id(x).alias("safe"), A.png_id(x).alias("png"), A.is_web_native(A.extension(x)).alias("web"), A.css_font(x).alias("font"), A.json_text(x).alias("json"), A.looks_like_image(F.col("content")).alias("image"))
+
+
 @query(S.COLOUR_HEX)
 def color_hex(spark, sf_dir):
     own = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") * 7919 % 16777216).alias("n")).withColumn("hex", A.colour_hex(F.col("n")))

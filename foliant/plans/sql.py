@@ -179,3 +179,32 @@ k AS (SELECT t.tbl, rows, cols FROM {values('tbl')} t JOIN p USING (tbl) GROUP B
 l AS (SELECT tbl, row, cols, '| ' || string_agg(x, ' | ' ORDER BY c) || ' |' || chr(10) AS line FROM p JOIN k USING (tbl) GROUP BY tbl, row, cols)
 SELECT tbl, max(line) FILTER (WHERE row = 0) || '|' || repeat(' --- |', cols) || chr(10) || coalesce(string_agg(line, '' ORDER BY row) FILTER (WHERE row > 0), '') || chr(10) AS markdown
 FROM l GROUP BY tbl, cols"""
+
+STORED_NUMBERS = """
+WITH t AS (SELECT l_orderkey, l_linenumber, CAST((l_orderkey * 2654435761 + l_partkey) % 4294967296 AS BIGINT) AS n FROM lineitem)
+SELECT l_orderkey, l_linenumber, (n % 100000) / 100.0::DOUBLE AS points, CAST(n & 1 AS INTEGER) AS is_color, CAST((n >> 1) & 1 AS INTEGER) AS is_gradation,
+  CAST((n >> 2) & 1 AS INTEGER) AS is_image, CAST(n % 16 AS INTEGER) AS kind, n % 16 = 0 AS is_link, n % 16 = 1 AS is_embedding, n % 16 = 2 AS is_storage,
+  n % 2147483648 AS chars, n >= 2147483648 AS marker
+FROM t
+"""
+#: Parts that the names and contents of asset_names are made of.
+NAME_STEMS = ("", ".", "BIN", "a/b", "a\\b", "it's", 'say "x"', "image")
+NAME_ENDS = (".png", ".JPG", "", ".bmp", ".tar.gif", ".webp", ".", ".svg", ".emf")
+HEADS = ("89504E47", "FFD8FF", "474946", "47494638", "424D", "49492A", "52494646", "3C737667", "", "D7CDC69A", "01000000", "00000001")
+
+
+def _one_of(items: tuple[str, ...]) -> str:
+    listed = ", ".join("'" + x.replace("'", "''") + "'" for x in items)
+    return f"([{listed}])[p_partkey % {len(items)} + 1]"
+
+
+ASSET_NAMES = rf"""
+WITH t AS (
+  SELECT p_partkey, {_one_of(NAME_STEMS)} || p_partkey || {_one_of(NAME_ENDS)} AS name, {_one_of(HEADS)} || printf('%04X', p_partkey) AS h FROM part)
+SELECT p_partkey, CASE WHEN name <> '' AND NOT regexp_matches(name, '^[.]|[/\\]') THEN name END AS safe,
+  CASE WHEN contains(name, '.') THEN left(name, length(name) - length(split_part(name, '.', -1)) - 1) ELSE name END || '.png' AS png,
+  lower(CASE WHEN contains(name, '.') THEN split_part(name, '.', -1) ELSE '' END) IN ('png', 'jpg', 'jpeg', 'gif', 'webp', 'svg') AS web,
+  replace(replace(name, '''', ''), '\', '') AS font, replace(replace(name, '\', '\\'), '"', '\"') AS json,
+  length(h) >= 8 AND regexp_matches(h, '^(89504E47|FFD8FF|47494638|424D|49492A00|4D4D002A|52494646|3C737667|D7CDC69A|01000000)') AS image
+FROM t
+"""
