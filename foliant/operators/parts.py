@@ -59,10 +59,16 @@ def stream_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     return l.join(r, l.ln == r.rn, "full").select(F.coalesce("ln", "rn").alias("name"), state.alias("state"), F.octet_length("lb").alias("left_bytes"), F.octet_length("rb").alias("right_bytes"))
 
 
+#: Parts of the skeleton of one package, at most.
+MOST_DEFAULTS = 256
+
+
 def with_missing_parts(parts: DataFrame, defaults: DataFrame) -> DataFrame:
     """parts(doc_id, name, body) and, for each document, the default parts(name, body) that it lacks. The defaults are a fixed handful
-    of rows carried in the plan as one array."""
-    rows = [(r["name"], r["body"]) for r in defaults.collect()]
+    of rows carried in the plan as one array; more than MOST_DEFAULTS of them are an error."""
+    rows = [(r["name"], r["body"]) for r in defaults.limit(MOST_DEFAULTS + 1).collect()]
+    if len(rows) > MOST_DEFAULTS:
+        raise ValueError(f"more than {MOST_DEFAULTS} default parts")
     docs = parts.select("doc_id").distinct()
     offered = docs.select("doc_id", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(b).alias("body")) for n, b in rows])).alias("p")).select("doc_id", "p.*")
     return parts.select("doc_id", "name", "body").unionByName(offered.join(parts.select("doc_id", "name"), ["doc_id", "name"], "left_anti"))
@@ -73,9 +79,12 @@ def kept_parts(parts: DataFrame) -> DataFrame:
 
 
 def hoisted_styles(uses: DataFrame) -> DataFrame:
-    """(style, uses, class): styles used twice or more, named s0, s1 .. by falling use and then by text."""
-    counts = uses.groupBy("style").agg(F.count("*").alias("uses")).where("uses >= 2")
-    return counts.withColumn("class", F.concat(F.lit("s"), (F.row_number().over(Window.orderBy(F.desc("uses"), "style")) - 1).cast("string")))
+    """(style, uses, class): styles used twice or more, named s0, s1 .. by falling use and then by text. Where uses has a doc_id, each
+    document has its own names, numbered in its own group, and the result has the doc_id too."""
+    by = [c for c in ("doc_id",) if c in uses.columns]
+    counts = uses.groupBy(*by, "style").agg(F.count("*").alias("uses")).where("uses >= 2")
+    order = Window.partitionBy(*by).orderBy(F.desc("uses"), "style")
+    return counts.withColumn("class", F.concat(F.lit("s"), (F.row_number().over(order) - 1).cast("string")))
 
 
 def font_slots(counts: DataFrame, faces: DataFrame) -> DataFrame:

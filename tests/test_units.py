@@ -182,3 +182,11 @@ def test_align_against_brute_force():
         assert all(_shown(frozen[i]) for i in dropped if old and i < old[-1])
     assert align(["x", ""], ["", "y"]) == [(None, 0), (0, 1), (1, None)]
     assert align(["a", "x", "b"], ["a", "", "b"]) == [(0, 0), (1, 1), (2, 2)]
+
+
+def test_styles_are_named_within_documents(spark):
+    from foliant.operators.parts import hoisted_styles
+
+    uses = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "b"), (2, "b"), (2, "a"), (2, "a"), (2, "a")], "doc_id long, style string")
+    assert {tuple(r) for r in hoisted_styles(uses).collect()} == {(1, "a", 2, "s0"), (2, "a", 3, "s0"), (2, "b", 2, "s1")}
+    assert {tuple(r) for r in hoisted_styles(uses.drop("doc_id")).collect()} == {("a", 5, "s0"), ("b", 3, "s1")}
