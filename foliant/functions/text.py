@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Unicode white space as a character class, the same for Java and RE2.
 SPACE = r"\t-\r\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: The same characters one by one.
+WHITE = "".join(map(chr, [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Private-use bullets (two blocks of twenty) stand for the circled numbers 1 to 20.
 BULLETS_FROM = "".join(chr(c) for start in (0xF02B1, 0xF2B1) for c in range(start, start + 20))
 BULLETS_TO = 2 * "".join(chr(0x2460 + i) for i in range(20))
@@ -16,18 +18,28 @@ CAPTION_LABELS = ("그림", "표", "Figure", "Table")
 
 
 def trim_all(x: Column) -> Column:
-    return F.regexp_replace(x, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(x, F.lit(WHITE))
+
+
+def plain_spaces(x: Column) -> Column:
+    """clean_text without its trimming."""
+    plain = F.translate(x, BULLETS_FROM + "\u00a0\u2003\ufffc\u00ad", BULLETS_TO + "  ")
+    return F.regexp_replace(plain, "  +", " ")
 
 
 def clean_text(x: Column) -> Column:
     """Object and soft-hyphen marks go, hard and em spaces become spaces, bullets become circled numbers, runs of spaces one."""
-    plain = F.translate(x, BULLETS_FROM + "\u00a0\u2003\ufffc\u00ad", BULLETS_TO + "  ")
-    return trim_all(F.regexp_replace(plain, " +", " "))
+    return trim_all(plain_spaces(x))
+
+
+def clean_lines(text: Column) -> Column:
+    """The array of a text's lines, each as clean_text gives it: marks and spaces are replaced in the whole text. Null: null."""
+    return F.transform(F.split(plain_spaces(text), "\n"), trim_all)
 
 
 def visible(x: Column) -> Column:
     """Without white space and object marks."""
-    return F.regexp_replace(x, f"[{SPACE}\\x{{FFFC}}]", "")
+    return F.translate(x, WHITE + "\ufffc", "")
 
 
 def strip_caption_label(x: Column) -> Column:
@@ -42,13 +54,17 @@ def box_heading_level(x: Column) -> Column:
 
 def text_heading_level(x: Column) -> Column:
     """Number of parts of a leading `1.2.3` that white space follows, at most 6; null for long lines and for prose."""
-    text = clean_text(x)
-    parts = F.regexp_extract(text, rf"^([0-9.]*[0-9][0-9.]*)[{SPACE}]", 1)
-    count = F.size(F.filter(F.split(parts, r"\."), lambda p: p != ""))
+    return cleaned_heading_level(clean_text(x))
+
+
+def cleaned_heading_level(text: Column) -> Column:
+    """text_heading_level of what is clean already. The number is looked for first, since few lines have one."""
+    number = rf"^([0-9.]*[0-9][0-9.]*)[{SPACE}]"
+    count = F.size(F.filter(F.split(F.regexp_extract(text, number, 1), r"\."), lambda p: p != ""))
     prose = F.lit(False)
     for ending in PROSE_ENDINGS:
         prose = prose | F.endswith(text, F.lit(ending))
-    return F.when((F.length(text) <= 100) & (parts != "") & ~prose, F.least(count, F.lit(6)))
+    return F.when(text.rlike(number) & (F.length(text) <= 100) & ~prose, F.least(count, F.lit(6)))
 
 
 def style_heading_level(name: Column, english: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.functions.text import atx_level, atx_text, clean_text, escape_record, text_heading_level
+from foliant.functions.text import atx_level, atx_text, clean_lines, cleaned_heading_level, escape_record
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
@@ -16,16 +16,16 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 def record_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, n_paragraphs, records): each paragraph a PARAGRAPH line with id and heading level, and a TEXT line if it has text.
 
-    A document's lines never leave its row: no shuffle, however long the text."""
+    A document's lines never leave its row: no shuffle, however long the text. Lines are cleaned once, before any of them is read."""
 
     def record(line: Column, i: Column) -> Column:
-        level = text_heading_level(line)
-        text = escape_record(clean_text(line))
+        level = cleaned_heading_level(line)
         head = F.concat(F.lit("PARAGRAPH[id=par-s0-p"), i.cast("string"), F.coalesce(F.concat(F.lit(",level="), level.cast("string")), F.lit("")), F.lit("]"))
-        return F.concat(head, F.when(text != "", F.concat(F.lit("\nTEXT: "), text)).otherwise(""))
+        return F.concat(head, F.when(line != "", F.concat(F.lit("\nTEXT: "), escape_record(line))).otherwise(""))
 
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    return docs.select("doc_id", F.size(lines).alias("n_paragraphs"), F.concat(F.lit("SECTION[id=sec-0]\n"), F.array_join(F.transform(lines, record), "\n"), F.lit("\n")).alias("records"))
+    lines = F.col("lines")
+    own = docs.select("doc_id", clean_lines(F.coalesce("text", F.lit(""))).alias("lines"))
+    return own.select("doc_id", F.size(lines).alias("n_paragraphs"), F.concat(F.lit("SECTION[id=sec-0]\n"), F.array_join(F.transform(lines, record), "\n"), F.lit("\n")).alias("records"))
 
 
 def parsed_records(records: DataFrame) -> DataFrame:
@@ -34,6 +34,15 @@ def parsed_records(records: DataFrame) -> DataFrame:
     return lines.select("doc_id", "line_no", F.regexp_extract("line", "^([A-Z_]+(?: TABLE)?)", 1).alias("kind"), attributes(F.col("line")).alias("attrs"), text_body(F.col("line")).alias("body"))
 
 
+def record_counts(records: DataFrame) -> DataFrame:
+    """(doc_id, paragraphs, texts, characters) of records(doc_id, records): PARAGRAPH and TEXT lines, and the length of all text as
+    written. A document's lines stay in its row: no shuffle."""
+    lines = records.select("doc_id", F.split(F.coalesce("records", F.lit("")), "\n").alias("lines"))
+    headed = F.filter("lines", lambda x: x.rlike(r"^PARAGRAPH(?![A-Z_])"))
+    parsed = lines.select("doc_id", F.size(headed).cast("long").alias("paragraphs"), F.filter(F.transform("lines", text_body), lambda x: x.isNotNull()).alias("bodies"))
+    return parsed.select("doc_id", "paragraphs", F.size("bodies").cast("long").alias("texts"), F.aggregate("bodies", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("characters"))
+
+
 def attributes(line: Column) -> Column:
     """The map of `KIND[k=v,k=v]`; what lies after the first `]` doesn't count, nor does a part without `=`."""
     inside = F.regexp_extract(line, r"^[^\[:]*\[([^\]]*)", 1)
@@ -58,6 +67,18 @@ def chapter_depth(lines: DataFrame) -> DataFrame:
     return lines.withColumn("depth", F.coalesce(F.last("level", ignorenulls=True).over(w), F.lit(0)))
 
 
+def chapter_depths(docs: DataFrame) -> DataFrame:
+    """(doc_id, seq, depth) of whole texts, as chapter_depth of their lines: each row parts its lines at its headings, so there is
+    neither shuffle nor window. A null text has no lines."""
+    lines = docs.where("text IS NOT NULL").select("doc_id", clean_lines(F.col("text")).alias("lines"))
+    place = lambda x, i: F.struct(i.alias("at"), cleaned_heading_level(x).alias("level"))
+    marks = F.concat(F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("level"))), F.filter(F.transform("lines", place), lambda h: h["level"].isNotNull()))
+    marked = lines.select("doc_id", F.size("lines").alias("n"), marks.alias("marks"))
+    last = lambda i: F.coalesce(F.get("marks", i + 1)["at"], F.col("n")) - 1
+    spans = F.filter(F.transform("marks", lambda h, i: F.struct(h["at"].alias("first"), last(i).alias("last"), h["level"].alias("depth"))), lambda s: s["last"] >= s["first"])
+    return marked.select("doc_id", F.inline(spans)).select("doc_id", F.explode(F.sequence("first", "last")).alias("seq"), "depth")
+
+
 def run_bounds(runs: DataFrame) -> DataFrame:
     """(par, start, stop, char_shape_id): equal neighbours are one run, and a run ends where the next begins, the last at null."""
     w = Window.partitionBy("par").orderBy("start")
@@ -68,10 +89,10 @@ def run_bounds(runs: DataFrame) -> DataFrame:
 
 def summary(docs: DataFrame) -> DataFrame:
     """(doc_id, paragraphs, blank, characters, utf16_units, widest) of each document's lines, in its own row."""
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    text = F.coalesce("text", F.lit(""))
     total = lambda f: F.aggregate(F.transform("lines", f), F.lit(0), lambda a, x: a + x)
-    own = docs.select("doc_id", lines.alias("lines"))
+    own = docs.select("doc_id", F.split(text, "\n").alias("lines"), clean_lines(text).alias("cleaned"))
     return own.select(
-        "doc_id", F.size("lines").alias("paragraphs"), F.size(F.filter("lines", lambda x: clean_text(x) == "")).alias("blank"), total(F.length).alias("characters"),
+        "doc_id", F.size("lines").alias("paragraphs"), F.size(F.filter("cleaned", lambda x: x == "")).alias("blank"), total(F.length).alias("characters"),
         total(lambda x: (F.octet_length(F.encode(x, "UTF-16LE")) / 2).cast("int")).alias("utf16_units"), F.array_max(F.transform("lines", F.length)).alias("widest"),
     )

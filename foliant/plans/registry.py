@@ -62,9 +62,9 @@ def clean_text_v(spark, sf_dir):
 
 @query(f"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents) SELECT doc_id, count(*) AS lines, count({S.text_level('x')}) AS headings, count({S.box_level('x')}) AS boxes FROM l GROUP BY doc_id")
 def heading_prefix_docs(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("l"))
-    known = lambda f: F.size(F.filter("l", lambda x: f(x).isNotNull())).cast("long")
-    return lines.select("doc_id", F.size("l").cast("long").alias("lines"), known(X.text_heading_level).alias("headings"), known(X.box_heading_level).alias("boxes"))
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("l"), X.clean_lines(F.col("text")).alias("c"))
+    known = lambda a, f: F.size(F.filter(a, lambda x: f(x).isNotNull())).cast("long")
+    return lines.select("doc_id", F.size("l").cast("long").alias("lines"), known("c", X.cleaned_heading_level).alias("headings"), known("l", X.box_heading_level).alias("boxes"))
 
 
 @query(f"SELECT id, {S.text_level('x')} AS level, {S.box_level('x')} AS box FROM {values('snippet')}")
@@ -115,8 +115,7 @@ def md_dispatch(spark, sf_dir):
 h AS (SELECT doc_id, i, {S.text_level('l[i]')} AS level FROM l)
 SELECT doc_id, CAST(i - 1 AS INTEGER) AS seq, coalesce(last_value(level IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i), 0) AS depth FROM h""")
 def chapter_depth(spark, sf_dir):
-    lines = D.paragraphs(table(spark, sf_dir, "documents")).withColumn("level", X.text_heading_level(F.col("text")))
-    return D.chapter_depth(lines).select("doc_id", "seq", "depth")
+    return D.chapter_depths(table(spark, sf_dir, "documents"))
 
 
 @query(S.SUMMARY)
@@ -141,8 +140,7 @@ def record_attrs(spark, sf_dir):
 
 @query(S.RECORD_PARSE)
 def record_parse(spark, sf_dir):
-    back = D.parsed_records(D.record_lines(table(spark, sf_dir, "documents")))
-    return back.groupBy("doc_id").agg(F.count_if(F.col("kind") == "PARAGRAPH").alias("paragraphs"), F.count_if(F.col("kind") == "TEXT").alias("texts"), F.coalesce(F.sum(F.length("body")), F.lit(0)).alias("characters"))
+    return D.record_counts(D.record_lines(table(spark, sf_dir, "documents")))
 
 
 @query(f"SELECT id, CASE WHEN level > 0 THEN level ELSE coalesce({S.atx_level('text')}, 0) END AS resolved, CASE WHEN level > 0 THEN text ELSE regexp_replace(text, '^#{{1,6}} ', '') END AS plain FROM {values('heading_line')}")

@@ -190,3 +190,22 @@ def test_styles_are_named_within_documents(spark):
     uses = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "b"), (2, "b"), (2, "a"), (2, "a"), (2, "a")], "doc_id long, style string")
     assert {tuple(r) for r in hoisted_styles(uses).collect()} == {(1, "a", 2, "s0"), (2, "a", 3, "s0"), (2, "b", 2, "s1")}
     assert {tuple(r) for r in hoisted_styles(uses.drop("doc_id")).collect()} == {("a", 5, "s0"), ("b", 3, "s1")}
+
+
+def test_lines_cleaned_whole_equal_lines_cleaned_alone(spark):
+    from pyspark.sql import functions as F
+
+    from foliant.functions import text as X
+    from foliant.operators import documents as D
+
+    space = "\t\x0b\r \x85   　"
+    texts = [None, "", "\n", " \n ", "a  b\n\n 1. x \n", f"{space}\n{space}1.2 a{space}\nb{space}", "\n\t\n\r\n1.\tx다.\n­1 ­ y", "\x1d a \x1d\n" + "\t" * 50_000 + "x\n" + " " * 50_000, "2 a\n\n3.1 b\nc\n4.1.2 d"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    alone = F.transform(F.split("text", "\n"), X.clean_text)
+    levels = F.transform(F.split("text", "\n"), X.text_heading_level)
+    got = docs.select(X.clean_lines(F.col("text")).alias("a"), alone.alias("b"), F.transform(X.clean_lines(F.col("text")), X.cleaned_heading_level).alias("c"), levels.alias("d")).collect()
+    assert all(r.a == r.b and r.c == r.d for r in got)
+    lines = D.paragraphs(docs).withColumn("level", X.text_heading_level(F.col("text")))
+    assert sorted(D.chapter_depth(lines).select("doc_id", "seq", "depth").collect()) == sorted(D.chapter_depths(docs).collect())
+    parsed = D.parsed_records(D.record_lines(docs)).groupBy("doc_id").agg(F.count_if(F.col("kind") == "PARAGRAPH"), F.count_if(F.col("kind") == "TEXT"), F.coalesce(F.sum(F.length("body")), F.lit(0)))
+    assert sorted(map(tuple, parsed.collect())) == sorted(map(tuple, D.record_counts(D.record_lines(docs)).collect()))
