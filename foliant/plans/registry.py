@@ -11,6 +11,7 @@ from foliant.functions import text as X
 from foliant.operators import documents as D
 from foliant.operators import parts as P
 from foliant.operators import tables as T
+from foliant.sources import headers as H
 
 from . import sql as S
 from .fixtures import fixture, nodes, values
@@ -278,6 +279,114 @@ def font_slots(spark, sf_dir):
     return P.font_slots(fixture(spark, "slot_count"), fixture(spark, "face"))
 
 
+# Headers: the parts of the sample data as the shapes of fifty documents, written as header parts into packages and read from these
+
+
+def header_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    k = F.col("p_partkey")
+    own = table(spark, sf_dir, "part").select((k % 50).alias("doc_id"), k.alias("id"), "p_name", "p_brand")
+    n = F.col("id")
+    seven = lambda m, a: F.array(*[((n * (i + 3)) % m + a).cast("int") for i in range(7)])
+    attr = sum((F.when(n % m == 0, F.lit(1 << A.CHAR_BITS[b][0])).otherwise(0) for b, m in S.HEADER_BITS.items()), F.lit(0))
+    colour = lambda f: n * f % 16777216
+    return {
+        "fonts": own.select("doc_id", F.element_at(F.array(*map(F.lit, H.SLOTS)), (F.floor(n / 50) % 7 + 1).cast("int")).alias("slot"), n.alias("idx"), F.concat("p_brand", F.lit(" & <"), n.cast("string")).alias("name")),
+        "fills": own.select("doc_id", "id", F.when(n % 3 > 0, colour(7919)).alias("face")),
+        "chars": own.select(
+            "doc_id", "id", attr.alias("attr"), (n % 4000 + 1).alias("height"), colour(31).alias("color"), F.when(n % 2 == 0, colour(77)).otherwise(0).alias("shade"), F.when(n % 5 > 0, n % 9).alias("border_fill"),
+            colour(5).alias("underline_color"), colour(11).alias("strike_color"), seven(90, 0).alias("fonts"), seven(200, 1).alias("ratios"), seven(150, 1).alias("sizes"), seven(200, -100).alias("spacings"), seven(60, -30).alias("offsets"),
+        ),
+        "paras": own.select("doc_id", "id", (n % 6).cast("int").alias("align")),
+        "styles": own.select("doc_id", "id", (n % 4 == 0).alias("is_char"), F.concat(F.lit("개요 "), (n % 9).cast("string")).alias("name"), F.concat(F.col("p_name"), F.lit("'\"&")).alias("english"), (n % 11).alias("para_shape"), (n % 13).alias("char_shape"), (n % 7).alias("next_style"), (n % 1042).cast("int").alias("lang")),
+    }
+
+
+def stored_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.sources import packages as Z
+
+    t = header_tables(spark, sf_dir)
+    return H.headers(Z.parts(Z.packages(H.header_parts(t["fonts"], t["fills"], t["chars"], t["paras"], t["styles"]))))
+
+
+@query(S.HEADER_FONTS)
+def header_fonts(spark, sf_dir):
+    return H.fonts(stored_headers(spark, sf_dir))
+
+
+@query("SELECT p_partkey % 50 AS doc_id, p_partkey AS id, CASE WHEN p_partkey % 3 > 0 AND p_partkey * 7919 % 16777216 <> 16777215 THEN p_partkey * 7919 % 16777216 END AS face FROM part")
+def header_fills(spark, sf_dir):
+    return H.border_fills(stored_headers(spark, sf_dir))
+
+
+@query(S.HEADER_CHARS)
+def header_chars(spark, sf_dir):
+    return H.char_shapes(stored_headers(spark, sf_dir))
+
+
+@query("SELECT p_partkey % 50 AS doc_id, p_partkey AS id, CAST(p_partkey % 6 AS INTEGER) AS align FROM part")
+def header_paras(spark, sf_dir):
+    return H.para_shapes(stored_headers(spark, sf_dir))
+
+
+@query("""SELECT p_partkey % 50 AS doc_id, p_partkey AS id, p_partkey % 4 = 0 AS is_char, '개요 ' || p_partkey % 9 AS name, p_name || chr(39) || '"&' AS english, p_partkey % 11 AS para_shape, p_partkey % 13 AS char_shape, p_partkey % 7 AS next_style, CAST(p_partkey % 1042 AS INTEGER) AS lang FROM part""")
+def header_styles(spark, sf_dir):
+    return H.styles(stored_headers(spark, sf_dir))
+
+
+def shaped_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as paragraphs whose style is their conversation's number, with two runs, read from packages."""
+    from foliant.sources import packages as Z
+
+    c, n = F.col("conv_id"), F.col("turn")
+    half = F.floor(F.length("text") / 2).cast("string")
+    runs = F.when(F.length("text") > 1, F.concat(F.lit("0:"), n.cast("string"), F.lit("|"), half, F.lit(":"), (n + 50).cast("string"))).otherwise(F.concat(F.lit("0:"), n.cast("string")))
+    own = table(spark, sf_dir, "conversations").select(c.alias("doc_id"), F.lit(0).alias("section"), n.cast("int").alias("ord"), F.concat(F.lit("p"), n.cast("string")).alias("path"), F.lit("paragraph").alias("kind"), F.create_map(F.lit("style"), (c + 50 * n).cast("string"), F.lit("runs"), runs).alias("attrs"), "text")
+    return Z.section_nodes(Z.parts(Z.packages(Z.sections(own))))
+
+
+@query(f"""SELECT conv_id AS doc_id, CAST(turn AS INTEGER) AS ord, coalesce(CASE WHEN (conv_id + 50 * turn) % 9 BETWEEN 1 AND 6 THEN CAST((conv_id + 50 * turn) % 9 AS INTEGER) END, {S.text_level('text')}) AS level
+FROM conversations WHERE conv_id > 0 AND conv_id < 50 AND (conv_id + 50 * turn) % 4 <> 0 AND conv_id + 50 * turn <= (SELECT max(p_partkey) FROM part)""")
+def styled_headings(spark, sf_dir):
+    """Paragraphs of fifty packages whose paragraph style the header knows, with the levels that the style's names give."""
+    nodes = shaped_nodes(spark, sf_dir).where("doc_id > 0 AND doc_id < 50")
+    styles = H.styles(stored_headers(spark, sf_dir)).where("NOT is_char")
+    known = styles.select("doc_id", F.col("id").cast("string").alias("_s"))
+    listed = nodes.withColumn("_s", F.col("attrs")["style"]).join(known, ["doc_id", "_s"], "left_semi").drop("_s")
+    return H.with_heading_levels(listed, styles).select("doc_id", "ord", "level")
+
+
+# Assets
+
+
+def page_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.operators import assets as E
+
+    page = F.col("page_id")
+    own = table(spark, sf_dir, "pages").select(page.alias("doc_id"), F.encode("html", "UTF-8").alias("bytes"), "url")
+    binaries = own.select("doc_id", F.lit(0).alias("ord"), F.concat(F.lit("image"), page_number(F.col("doc_id")), F.lit(".png")).alias("id"), "bytes")
+    sections = own.where("doc_id % 2 = 0").select("doc_id", F.lit(0).alias("section"), "bytes")
+    streams = own.where("doc_id % 3 = 0").select("doc_id", F.lit("Preview/PrvText.txt").alias("name"), F.encode("url", "UTF-8").alias("bytes"))
+    return E.assets_block(binaries, sections, streams)
+
+
+def page_number(x):
+    return (x % 1000).cast("string")
+
+
+@query(S.ASSETS)
+def assets_footer(spark, sf_dir):
+    return page_assets(spark, sf_dir)
+
+
+@query(S.ASSET_ROWS)
+def assets_import(spark, sf_dir):
+    """The footer of each page, read again."""
+    from foliant.operators import assets as E
+
+    rows = E.asset_rows(page_assets(spark, sf_dir))
+    return rows.select("doc_id", "kind", "name", "mime", F.octet_length("bytes").cast("long").alias("n"), F.md5("bytes").alias("digest"))
+
+
 # Attributes
 
 

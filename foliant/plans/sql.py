@@ -208,3 +208,30 @@ SELECT p_partkey, CASE WHEN name <> '' AND NOT regexp_matches(name, '^[.]|[/\\]'
   length(h) >= 8 AND regexp_matches(h, '^(89504E47|FFD8FF|47494638|424D|49492A00|4D4D002A|52494646|3C737667|D7CDC69A|01000000)') AS image
 FROM t
 """
+
+
+#: Bits of the character shapes that the header queries set, each on the numbers that it divides.
+HEADER_BITS = {"italic": 2, "bold": 3, "underline_kind": 5, "strike": 7}
+_SLOT_NAMES = "'hangul', 'latin', 'hanja', 'japanese', 'other', 'symbol', 'user'"
+
+
+def _seven(m: int, a: int) -> str:
+    return "[" + ", ".join(f"CAST(p_partkey * {i + 3} % {m} + {a} AS INTEGER)" for i in range(7)) + "]"
+
+
+HEADER_FONTS = f"""WITH f AS (SELECT p_partkey % 50 AS doc_id, [{_SLOT_NAMES}][(p_partkey // 50) % 7 + 1] AS slot, p_partkey AS k, p_brand || ' & <' || p_partkey AS name FROM part)
+SELECT doc_id, slot, CAST(row_number() OVER (PARTITION BY doc_id, slot ORDER BY k) - 1 AS INTEGER) AS idx, name FROM f"""
+HEADER_CHARS = f"""SELECT p_partkey % 50 AS doc_id, p_partkey AS id,
+CAST({" + ".join(f"CASE WHEN p_partkey % {m} = 0 THEN {bit} ELSE 0 END" for bit, m in zip((1, 2, 4, 1 << 21), HEADER_BITS.values()))} AS INTEGER) AS attr,
+p_partkey % 4000 + 1 AS height, p_partkey * 31 % 16777216 AS color, CASE WHEN p_partkey % 2 = 0 THEN p_partkey * 77 % 16777216 ELSE 0 END AS shade, CASE WHEN p_partkey % 5 > 0 THEN p_partkey % 9 END AS border_fill,
+CASE WHEN p_partkey % 5 = 0 THEN p_partkey * 5 % 16777216 ELSE 0 END AS underline_color, CASE WHEN p_partkey % 7 = 0 THEN p_partkey * 11 % 16777216 END AS strike_color,
+{_seven(90, 0)} AS fonts, {_seven(200, 1)} AS ratios, {_seven(150, 1)} AS sizes, {_seven(200, -100)} AS spacings, {_seven(60, -30)} AS offsets FROM part"""
+
+_OCTETS = "'data:application/octet-stream;base64,'"
+ASSETS = f"""WITH r AS (SELECT page_id, 0 AS place, 'ASSET[id=asset-' || page_id % 1000 || ',bin_id=' || page_id % 1000 || ',mime=image/png,source_id=image' || page_id % 1000 || '.png]' || chr(10) || 'DATA: data:image/png;base64,' || base64(encode(html)) AS line FROM pages WHERE html <> ''
+UNION ALL SELECT page_id, 1, 'SECTION_BYTES[id=section-0,len=' || octet_length(encode(html)) || ']' || chr(10) || 'DATA: ' || {_OCTETS} || base64(encode(html)) FROM pages WHERE page_id % 2 = 0 AND html <> ''
+UNION ALL SELECT page_id, 2, 'UNKNOWN_STREAM[name=Preview/PrvText.txt,len=' || octet_length(encode(url)) || ']' || chr(10) || 'DATA: ' || {_OCTETS} || base64(encode(url)) FROM pages WHERE page_id % 3 = 0 AND url <> '')
+SELECT page_id AS doc_id, '<!-- foliant:assets v1 -->' || chr(10) || chr(10) || string_agg(line || chr(10) || chr(10), '' ORDER BY place) AS assets FROM r GROUP BY page_id"""
+ASSET_ROWS = """SELECT page_id AS doc_id, 'ASSET' AS kind, 'image' || page_id % 1000 || '.png' AS name, 'image/png' AS mime, octet_length(encode(html)) AS n, md5(html) AS digest FROM pages WHERE html <> ''
+UNION ALL SELECT page_id, 'SECTION_BYTES', 'section-0', 'application/octet-stream', octet_length(encode(html)), md5(html) FROM pages WHERE page_id % 2 = 0 AND html <> ''
+UNION ALL SELECT page_id, 'UNKNOWN_STREAM', 'Preview/PrvText.txt', 'application/octet-stream', octet_length(encode(url)), md5(url) FROM pages WHERE page_id % 3 = 0 AND url <> ''"""

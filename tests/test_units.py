@@ -209,3 +209,62 @@ def test_lines_cleaned_whole_equal_lines_cleaned_alone(spark):
     assert sorted(D.chapter_depth(lines).select("doc_id", "seq", "depth").collect()) == sorted(D.chapter_depths(docs).collect())
     parsed = D.parsed_records(D.record_lines(docs)).groupBy("doc_id").agg(F.count_if(F.col("kind") == "PARAGRAPH"), F.count_if(F.col("kind") == "TEXT"), F.coalesce(F.sum(F.length("body")), F.lit(0)))
     assert sorted(map(tuple, parsed.collect())) == sorted(map(tuple, D.record_counts(D.record_lines(docs)).collect()))
+
+
+def test_headers_of_odd_packages(spark):
+    from pyspark.sql import functions as F
+
+    from foliant.sources import headers as H
+
+    xml = """<?xml version="1.0"?><h:head xmlns:h="x" xmlns:c="y"><h:refList>
+<h:fontfaces><h:fontface lang="LATIN"><h:font face="A&amp;B"/><h:font face="C"><h:substFont face="no"/></h:font></h:fontface><h:fontface lang="KLINGON"><h:font/></h:fontface></h:fontfaces>
+<h:borderFills><h:borderFill id="1"/><h:borderFill id="3"><c:fillBrush><c:winBrush faceColor="none"/></c:fillBrush></h:borderFill><h:borderFill id="4"><c:fillBrush><c:winBrush faceColor="#6E6E6E"/></c:fillBrush></h:borderFill></h:borderFills>
+<h:charProperties><h:charPr id="2" height="900" textColor="#FF0000" shadeColor="none"><h:bold/><h:underline shape="none" color="#00FF00"/><h:strikeout shape="SOLID" color="#0000FF"/><h:ratio hangul="90" latin="999"/><h:spacing hangul="-5"/></h:charPr>
+<h:charPr id="2" height="x"><h:italic/><h:underline/></h:charPr><h:charPr/></h:charProperties>
+<h:paraProperties><h:paraPr id="0"><h:align horizontal="center"/></h:paraPr><h:paraPr id="1"><h:align horizontal="UP"/></h:paraPr><h:paraPr id="2"/></h:paraProperties>
+<h:styles><h:style id="0" type="PARA" name="개요 2" engName="" langID="9999999"/><h:style id="7" type="CHAR" name="x"/></h:styles></h:refList></h:head>"""
+    rows = [(1, H.PART, xml.encode()), (2, H.PART, b"<h:head><broken"), (3, H.PART, b""), (4, H.PART, None), (5, "other.xml", b"<a/>"), (6, H.PART, b"<head><refList/></head>")]
+    head = H.headers(spark.createDataFrame(rows, "doc_id long, name string, bytes binary"))
+    assert {tuple(r) for r in H.fonts(head).collect()} == {(1, "latin", 0, "A&B"), (1, "latin", 1, "C"), (1, "other", 0, "")}
+    fills = H.border_fills(head)
+    assert {tuple(r) for r in fills.collect()} == {(1, 1, None), (1, 3, None), (1, 4, 0x6E6E6E)}
+    shapes = H.char_shapes(head)
+    got = {r.id: r for r in shapes.collect()}
+    assert set(got) == {0, 2} and (got[2].attr, got[2].height, got[2].underline_color) == (1 | 4, 1000, 0) and got[0].ratios == [100] * 7 and got[0].attr == 0
+    assert {tuple(r) for r in H.para_shapes(head).collect()} == {(1, 0, 3), (1, 1, 1), (1, 2, 0)}
+    styles = H.styles(head)
+    assert {(r.id, r.is_char, r.lang) for r in styles.collect()} == {(0, False, 0), (7, True, 0)}
+
+    nodes = [
+        (1, 0, 0, "p0", "paragraph", {"style": "0", "runs": "0:2|3:9"}, "a\U0001d54fbc"), (1, 0, 1, "p1", "paragraph", {}, None), (1, 0, 2, "p1/t0", "table", {}, ""), (1, 0, 3, "p1/t0/c0", "cell", {"border": "4"}, ""),
+        (1, 0, 4, "p1/t0/c1", "cell", {"border": "3"}, ""), (9, 0, 0, "p0", "paragraph", {"style": "0"}, "1.2 x"),
+    ]
+    nodes = spark.createDataFrame(nodes, "doc_id long, section int, ord int, path string, kind string, attrs map<string,string>, text string")
+    assert {(r.doc_id, r.path, r.level) for r in H.with_heading_levels(nodes, styles).collect() if r.level} == {(1, "p0", 2), (1, "p1", 2), (9, "p0", 2)}
+    assert {tuple(r)[2:] for r in H.cell_tones(nodes, fills).collect()} == {("p1/t0/c0", "#6E6E6E", "dark"), ("p1/t0/c1", None, "none")}
+    runs = {(r.doc_id, r.path, r.run): (r.text, r.italic, r.bold, r.height) for r in H.text_runs(nodes, shapes).collect()}
+    assert runs == {(1, "p0", 0): ("a\U0001d54f", True, False, 1000), (1, "p0", 1): ("bc", False, False, 1000), (1, "p1", 0): ("", False, False, 1000), (9, "p0", 0): ("1.2 x", False, False, 1000)}
+
+    one = spark.range(1).select(F.lit(3).alias("id"), F.lit(9).alias("align"))
+    kinds = [H.para_shape_xml(spacing=F.lit(v), spacing_kind=F.lit(k)) for v, k in ((0, 0), (0, 1), (5, 2), (150, None))]
+    found = one.select(*kinds, H.border_xml("leftBorder", F.lit(7), F.lit(0), F.lit(255))).collect()[0]
+    assert [x.split("lineSpacing ")[1].split(" unit")[0] for x in found[:4]] == ['type="PERCENT" value="160"', 'type="FIXED" value="0"', 'type="BETWEEN_LINE" value="5"', 'type="PERCENT" value="150"']
+    assert all('horizontal="LEFT"' in x for x in found[:4]) and found[4] == '<hh:leftBorder type="DOUBLE" width="0.10 mm" color="#FF0000"/>'
+
+
+def test_assets_of_odd_documents(spark):
+    from foliant.operators import assets as E
+
+    binaries = spark.createDataFrame([(1, 0, "BIN000A.png", b"x"), (1, 1, "logo", b"\x00\xff"), (1, 2, "empty.png", b""), (2, 0, "a.png", None)], "doc_id long, ord int, id string, bytes binary")
+    sections = spark.createDataFrame([(1, 10, b"s10"), (1, 9, b"s9"), (3, 0, None)], "doc_id long, section int, bytes binary")
+    streams = spark.createDataFrame([(4, "META-INF/container.rdf", b"r" * 500)], "doc_id long, name string, bytes binary")
+    block = E.assets_block(binaries, sections, streams)
+    rows = {(r.doc_id, r.kind, r.name, r.mime, bytes(r.bytes)) for r in E.asset_rows(block).collect()}
+    assert rows == {
+        (1, "ASSET", "BIN000A.png", "image/png", b"x"), (1, "ASSET", "logo", E.OCTETS, b"\x00\xff"), (1, "SECTION_BYTES", "section-9", E.OCTETS, b"s9"),
+        (1, "SECTION_BYTES", "section-10", E.OCTETS, b"s10"), (4, "UNKNOWN_STREAM", "META-INF/container.rdf", E.OCTETS, b"r" * 500),
+    }
+    text = {r.doc_id: r.assets for r in block.collect()}
+    assert set(text) == {1, 4} and text[1].index("bin_id=10,") < text[1].index("bin_id=logo,") < text[1].index("section-9,") < text[1].index("section-10,")
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "ASSET[id=a,source_id=b.png]\nDATA: data:image/png;base64,!!"), (4, "ASSET[id=a]\nno data\nASSET[id=b]")], "doc_id long, assets string")
+    assert [tuple(r) for r in E.asset_rows(odd).collect()] == [(3, "ASSET", "b.png", "image/png", None)]
