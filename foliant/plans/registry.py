@@ -144,6 +144,34 @@ def record_parse(spark, sf_dir):
     return D.record_counts(D.record_lines(table(spark, sf_dir, "documents")))
 
 
+@query(f"""WITH l AS (SELECT doc_id, i, {S.clean('l[i]')} AS c, {S.text_level('l[i]')} AS level FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) AS u(i))
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS ord, 'p' || (i - 1) AS path, CAST(coalesce(level, {S.atx_level('c')}, 0) AS INTEGER) AS level, CASE WHEN level IS NULL THEN regexp_replace(c, '^#{{1,6}} ', '') ELSE c END AS text FROM l""")
+def record_import(spark, sf_dir):
+    """The records of all documents as node rows."""
+    from foliant.operators import outline as O
+
+    rows = O.nodes(D.record_lines(table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "ord", "path", F.col("attrs")["style"].cast("int").alias("level"), "text")
+
+
+@query("""SELECT p_partkey AS doc_id, 2 AS rows, 2 AS cols, 6 AS cells, 'nested ' || p_name AS deepest, 2 AS pictures, p_name AS heading FROM part""")
+def record_tree(spark, sf_dir):
+    """A heading, a table with a table inside and two figures for each part, as records, as nodes, and as records and nodes again."""
+    from foliant.operators import outline as O
+
+    line = F.concat(
+        F.lit("SECTION[id=sec-0]\nPARAGRAPH[id=x,para_shape=4]\nTEXT: ## "), "p_name", F.lit("\nPARAGRAPH[id=y,page_break=1]\nTABLE[id=t,border_fill=2]\nCELL[id=c,row=0,col=0,colspan=2]\nTEXT: head\nTEXT[par-z,char_shape=3]: more\nCELL[id=d,row=1,col=0]\nTABLE[id=u]\nCELL[row=0,col=0]\nTEXT: nested "), "p_name",
+        F.lit("\nCELL[row=0,col=1]\nFIGURE[id=f,bin_id=3,width_mm=10,height_mm=20]\nCELL[row=1,col=0]\nEND TABLE[u]\nCELL[row=1,col=1]\nEND TABLE[t]\nFIGURE[id=g,bin_id=4]\n"),
+    )
+    first = O.nodes(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), line.alias("records")))
+    back = O.nodes(O.to_records(first))
+    of = lambda path, x: F.max(F.when(F.col("path") == path, x))
+    return back.groupBy("doc_id").agg(
+        of("p1/t0", F.col("attrs")["rows"].cast("int")).alias("rows"), of("p1/t0", F.col("attrs")["cols"].cast("int")).alias("cols"), F.count_if(F.col("kind") == "cell").cast("int").alias("cells"),
+        of("p1/t0/c1/p0/t0/c0/p0", F.col("text")).alias("deepest"), F.count_if(F.col("kind") == "picture").cast("int").alias("pictures"), of("p0", F.col("text")).alias("heading"),
+    )
+
+
 @query(f"SELECT id, CASE WHEN level > 0 THEN level ELSE coalesce({S.atx_level('text')}, 0) END AS resolved, CASE WHEN level > 0 THEN text ELSE regexp_replace(text, '^#{{1,6}} ', '') END AS plain FROM {values('heading_line')}")
 def resolve_heading(spark, sf_dir):
     return D.resolved_headings(fixture(spark, "heading_line")).select("id", "resolved", "plain")

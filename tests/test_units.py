@@ -268,3 +268,42 @@ def test_assets_of_odd_documents(spark):
     assert set(text) == {1, 4} and text[1].index("bin_id=10,") < text[1].index("bin_id=logo,") < text[1].index("section-9,") < text[1].index("section-10,")
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "ASSET[id=a,source_id=b.png]\nDATA: data:image/png;base64,!!"), (4, "ASSET[id=a]\nno data\nASSET[id=b]")], "doc_id long, assets string")
     assert [tuple(r) for r in E.asset_rows(odd).collect()] == [(3, "ASSET", "b.png", "image/png", None)]
+
+
+def test_record_trees(spark):
+    import random
+
+    from foliant.operators import outline as O
+
+    r = random.Random(7)
+
+    def lines(depth: int) -> list[str]:
+        out = [f"TABLE[id=t,border_fill={r.randrange(4)},cell_spacing={r.randrange(2)}]"]
+        for i in range(r.randrange(4)):
+            out.append(f"CELL[row={i},col={r.randrange(3)},rowspan={r.randrange(3)},colspan=2,width={r.randrange(9)}]")
+            for _ in range(r.randrange(4)):
+                out += [lambda: [f"TEXT[par-x,para_shape={r.randrange(3)},char_shape={r.randrange(3)}]: c\\\\{r.random()}\\ty"], lambda: lines(depth + 1) if depth < 3 else ["TEXT:"], lambda: [f"FIGURE[bin_id={r.randrange(9)},width_mm=12]"]][r.randrange(3)]()
+        return [*out, "END TABLE[t]"] if r.random() < 0.9 or depth else out
+
+    def section() -> list[str]:
+        out = ["SECTION[id=s]"]
+        for _ in range(r.randrange(6)):
+            head = f"PARAGRAPH[id=p,para_shape={r.randrange(3)},char_shape={r.randrange(3)},page_break={r.randrange(2)}" + r.choice(["", ",level=3", ",lineseg=1:2:3:4:5:6:7:8:9"]) + "]"
+            out += [head, *r.choice([[], ["TEXT: plain"], ["TEXT: ### atx"], ["TEXT: line\\nbreak"]])] if r.random() < 0.6 else r.choice([lambda: [head, *lines(0)], lambda: lines(0), lambda: ["FIGURE[bin_id=2]"]])()
+        return out
+
+    texts = ["\n".join(x for _ in range(r.randrange(1, 4)) for x in section()) for _ in range(150)]
+    odd = [None, "", "nothing", "END TABLE[x]\nCELL[row=0]\nTEXT: loose", "TABLE[a]\nTEXT: dropped\nFIGURE[bin_id=1]\nTABLE[lost]\nCELL[row=9999999999999999999999,col=-4]", "PARAGRAPH[level=99]\nTEXT: x", "PARAGRAPH[id=a", "TEXT[a]", "SECTION[a]\nSECTION[b]\nTEXT: one"]
+    docs = spark.createDataFrame(list(enumerate(odd + texts)), "doc_id long, records string")
+    first = O.nodes(docs)
+    rows = lambda d: sorted((x.doc_id, x.section, x.ord, x.path, x.kind, sorted(x.attrs.items()), x.text.replace("\n", " ")) for x in d.collect())
+    got = rows(first)
+    assert len(got) > 1000 and any(x[3].count("t") > 2 for x in got)
+    held = {d: [(x[1], x[3], x[4], x[6]) for x in got if x[0] == d] for d in range(len(odd))}
+    assert [held[i] for i in (0, 1, 2, 6, 7)] == [[]] * 2 + [[]] + [[]] * 2
+    assert held[3] == [(0, "p0", "paragraph", "loose")] and held[8] == [(0, "p0", "paragraph", "one")] and held[5] == [(0, "p0", "paragraph", "x")]
+    assert held[4] == [(0, "p0", "paragraph", O.ANCHOR), (0, "p0/t0", "table", ""), (0, "p0/t0/c0", "cell", ""), (0, "p0/t0/c0/p0", "paragraph", "")]
+    written = O.to_records(first)
+    assert got == rows(O.nodes(written))
+    counts = {d.doc_id: d.records.count("\nEND TABLE[") for d in written.collect()}
+    assert all(counts[d] == sum(x[0] == d and x[4] == "table" for x in got) for d in counts)
