@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,24 @@ def binary_id(path: Column) -> Column:
     return F.when(leaf != "", leaf)
 
 
+def first_difference(left: Column, right: Column) -> Column:
+    """The offset of the first byte in which two contents differ; where one begins with the other, the shorter one's length; null where they
+    are equal or one is null."""
+
+    @F.pandas_udf("long")
+    def offset(a: pd.Series, b: pd.Series) -> pd.Series:
+        def one(x: bytes | None, y: bytes | None) -> int | None:
+            if x is None or y is None or x == y:
+                return None
+            n = min(len(x), len(y))
+            other = np.flatnonzero(np.frombuffer(x, np.uint8, n) != np.frombuffer(y, np.uint8, n))
+            return int(other[0]) if len(other) else n
+
+        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="Int64")
+
+    return offset(left, right)
+
+
 def pictures_with_binary(pictures: DataFrame, binaries: DataFrame) -> DataFrame:
     """pictures(doc_id, seq, bin_id) with the first binary of that number, and its number within the document's pictures."""
     found = binaries.withColumn("_n", entry_number(F.col("id"))).groupBy(F.col("doc_id").alias("_d"), "_n").agg(F.min_by("id", "ord").alias("binary"))

@@ -575,3 +575,131 @@ def binary_roundtrip(spark, sf_dir):
     back = B.paragraphs(B.record_rows(B.streams(B.documents(rows))))
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("section", "seq")) - 1
     return back.select(F.col("doc_id").alias("conv_id"), number.cast("long").alias("seq"), "text", F.length("text").cast("long").alias("n_chars"))
+
+
+# Binary documents: customers as tables of a hundred rows, parts as the tables of a DocInfo, pages as binaries
+
+
+def customer_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each hundred customers a document: a paragraph with a table of names and segments, and one with a picture and two runs."""
+    k = F.col("c_custkey")
+    own = table(spark, sf_dir, "customer").select(F.floor(k / 100).cast("long").alias("doc_id"), (k % 100).cast("int").alias("row"), "c_name", "c_mktsegment")
+    text = lambda **a: F.create_map(*[x for n, v in a.items() for x in (F.lit(n), v.cast("string"))])
+    no = F.lit("")
+    pairs = own.select("doc_id", "row", F.posexplode(F.array("c_name", "c_mktsegment")).alias("col", "text"))
+    place = F.col("row") * 2 + F.col("col")
+    path = F.concat(F.lit("p0/t0/c"), place.cast("string"))
+    cells = pairs.select("doc_id", (place * 2 + 2).alias("ord"), path.alias("path"), F.lit("cell").alias("kind"), text(row=F.col("row"), col=F.col("col"), border=F.col("col") + 1).alias("attrs"), no.alias("text"))
+    inner = pairs.select("doc_id", (place * 2 + 3).alias("ord"), F.concat(path, F.lit("/p0")).alias("path"), F.lit("paragraph").alias("kind"), text(style=F.col("col")).alias("attrs"), "text")
+    one = own.select("doc_id").distinct()
+    d = F.col("doc_id")
+    fixed = (
+        (0, "p0", "paragraph", text(style=F.lit(0)), F.lit("\ufffc")),
+        (1, "p0/t0", "table", text(rows=F.lit(100), cols=F.lit(2)), no),
+        (1000, "p1", "paragraph", text(style=F.lit(1), runs=F.concat(F.lit("0:1|3:"), (d % 7 + 2).cast("string"))), F.concat(F.lit("fig\ufffc"), d.cast("string"))),
+        (1001, "p1/i0", "picture", text(bin=d % 1000, width=d % 999 + 1, height=d % 777 + 1), no),
+    )
+    frames = [cells, inner, *(one.select("doc_id", F.lit(o).alias("ord"), F.lit(p).alias("path"), F.lit(kind).alias("kind"), a.alias("attrs"), t.alias("text")) for o, p, kind, a, t in fixed)]
+    rows = frames[0]
+    for f in frames[1:]:
+        rows = rows.unionByName(f)
+    return rows.withColumn("section", F.lit(0))
+
+
+def stored_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.sources import binary as B
+    from foliant.sources import records as R
+
+    return B.nodes(B.streams(B.files(R.streams(B.section_records(customer_nodes(spark, sf_dir))))))
+
+
+@query("""SELECT c_custkey // 100 AS doc_id, CAST(c_custkey % 100 AS INTEGER) AS row, 0 AS col, 0 AS style, 1 AS border, c_name AS text FROM customer
+UNION ALL SELECT c_custkey // 100, CAST(c_custkey % 100 AS INTEGER), 1, 1, 2, c_mktsegment FROM customer""")
+def binary_tables(spark, sf_dir):
+    """The cells of tables that were written into binary documents, with the text of their paragraphs."""
+    rows = stored_nodes(spark, sf_dir)
+    number = lambda a, n: F.col(a)[n].cast("int").alias(n)
+    cells = rows.where("kind = 'cell'").select("doc_id", "path", number("attrs", "row"), number("attrs", "col"), number("attrs", "border"))
+    inner = rows.where("kind = 'paragraph' AND path LIKE '%/c%'").select("doc_id", F.regexp_replace("path", "/p[0-9]+$", "").alias("path"), number("attrs", "style"), "text")
+    return cells.join(inner, ["doc_id", "path"]).drop("path")
+
+
+@query("""SELECT DISTINCT c_custkey // 100 AS doc_id, CAST(c_custkey // 100 % 1000 AS INTEGER) AS bin, CAST(c_custkey // 100 % 999 + 1 AS INTEGER) AS width, CAST(c_custkey // 100 % 777 + 1 AS INTEGER) AS height,
+'0:1|3:' || (c_custkey // 100 % 7 + 2) AS runs, 'fig' || chr(65532) || (c_custkey // 100) AS text FROM customer""")
+def binary_pictures(spark, sf_dir):
+    """Pictures of binary documents with the text and the runs of the paragraphs that hold them."""
+    rows = stored_nodes(spark, sf_dir)
+    number = lambda n: F.col("attrs")[n].cast("int").alias(n)
+    pictures = rows.where("kind = 'picture'").select("doc_id", F.regexp_replace("path", "/i[0-9]+$", "").alias("path"), number("bin"), number("width"), number("height"))
+    return pictures.join(rows.select("doc_id", "path", F.col("attrs")["runs"].alias("runs"), "text"), ["doc_id", "path"]).drop("path")
+
+
+def info_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DocInfo records of fifty documents: properties, counts, and a binary for each part, every third one a link."""
+    from foliant.sources import binary as B
+    from foliant.sources import records as R
+
+    k = F.col("p_partkey")
+    own = table(spark, sf_dir, "part").select((k % 50).alias("doc_id"), k.alias("k"), "p_name", "p_brand")
+    row = lambda df, seq, name, values: df.select("doc_id", F.lit("/DocInfo").alias("stream"), seq.alias("seq"), F.lit(R.TAGS[name]).alias("tag"), F.lit(0).alias("level"), B.encoded(name, values).alias("data"))
+    link, held = own.where("k % 3 = 0"), own.where("k % 3 > 0")
+    per = own.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("p_name")).alias("chars"))
+    numbers = F.struct(F.lit(1).alias("sections"), *[F.lit(i).alias(f"first_{w}") for i, w in enumerate(("page", "footnote", "endnote", "picture", "table", "equation"))], F.col("chars").alias("characters"), F.col("n").alias("pages"))
+    counts = F.struct(F.array(F.col("n"), *[F.col("doc_id") + i for i in range(7)], *[F.lit(0).cast("long")] * 7).alias("counts"))
+    zero = F.lit(0).cast("long")
+    return (
+        row(per, zero, "DOCUMENT_PROPERTIES", numbers).unionByName(row(per, zero + 1, "ID_MAPPINGS", counts))
+        .unionByName(row(link, F.col("k") + 2, "BIN_DATA", F.struct(F.lit(0x10).alias("property"), F.col("p_name").alias("absolute_path"), F.col("p_brand").alias("relative_path"))))
+        .unionByName(row(held, F.col("k") + 2, "BIN_DATA", F.struct((F.col("k") % 3).alias("property"), (F.col("k") % 60000).alias("bin_id"), F.col("p_brand").alias("extension"))))
+    )
+
+
+def stored_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.sources import binary as B
+    from foliant.sources import records as R
+
+    return B.record_rows(B.streams(B.files(R.streams(info_records(spark, sf_dir)))))
+
+
+@query("""SELECT p_partkey % 50 AS doc_id, row_number() OVER (PARTITION BY p_partkey % 50 ORDER BY p_partkey) - 1 AS slot, CASE WHEN p_partkey % 3 = 0 THEN 16 ELSE p_partkey % 3 END AS property,
+CASE WHEN p_partkey % 3 = 0 THEN p_name END AS absolute_path, CASE WHEN p_partkey % 3 = 0 THEN p_brand END AS relative_path, CASE WHEN p_partkey % 3 > 0 THEN p_partkey % 60000 END AS bin_id, CASE WHEN p_partkey % 3 > 0 THEN p_brand END AS extension FROM part""")
+def info_binaries(spark, sf_dir):
+    from foliant.sources import binary as B
+
+    rows = B.typed(stored_info(spark, sf_dir), "BIN_DATA")
+    return rows.select("doc_id", F.col("slot").cast("long").alias("slot"), "property", "absolute_path", "relative_path", "bin_id", "extension")
+
+
+@query("""SELECT p_partkey % 50 AS doc_id, CAST(count(*) AS BIGINT) AS pages, CAST(sum(length(p_name)) AS BIGINT) AS characters, CAST(4 AS BIGINT) AS first_table, CAST(7 * (p_partkey % 50) + 21 AS BIGINT) AS fonts FROM part GROUP BY p_partkey % 50""")
+def info_properties(spark, sf_dir):
+    from foliant.sources import binary as B
+
+    rows = stored_info(spark, sf_dir)
+    counts = B.typed(rows, "ID_MAPPINGS").select("doc_id", B.font_count(F.col("counts")).alias("fonts"))
+    return B.typed(rows, "DOCUMENT_PROPERTIES").select("doc_id", "pages", "characters", "first_table").join(counts, "doc_id")
+
+
+@query("""SELECT page_id AS doc_id, page_id % 2 = 0 AS image, CASE WHEN page_id % 2 = 0 THEN md5(unhex('89504E47') || encode(coalesce(html, ''))) END AS digest FROM pages""")
+def stored_binaries(spark, sf_dir):
+    """Each page as a deflated binary of a binary document; what inflates to an image is read inflated."""
+    from foliant.sources import binary as B
+    from foliant.sources import records as R
+
+    @F.pandas_udf("binary")
+    def deflated(data: pd.Series) -> pd.Series:
+        return data.map(R.deflate)
+
+    even = F.col("page_id") % 2 == 0
+    content = F.concat(F.when(even, F.unhex(F.lit("89504E47"))).otherwise(F.unhex(F.lit("00"))), F.encode(F.coalesce("html", F.lit("")), "UTF-8"))
+    own = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit("/BinData/BIN0001.png").alias("stream"), deflated(content).alias("bytes"))
+    rows = B.binaries(B.streams(B.files(own)))
+    image = A.looks_like_image(F.col("bytes"))
+    return rows.select("doc_id", image.alias("image"), F.when(image, F.md5("bytes")).alias("digest"))
+
+
+@query("""SELECT doc_id, CASE WHEN length(text) > 3 AND substr(text, length(text) // 2 + 1, 1) <> '~' THEN octet_length(encode(substr(text, 1, length(text) // 2))) END AS offset FROM documents""")
+def first_difference(spark, sf_dir):
+    """Where each document begins to differ from itself with its middle character changed."""
+    x, half = F.col("text"), F.floor(F.length("text") / 2).cast("int")
+    other = F.when(F.length(x) > 3, F.concat(F.substring(x, F.lit(1), half), F.lit("~"), F.substring(x, half + 2, F.length(x)))).otherwise(x)
+    return table(spark, sf_dir, "documents").select("doc_id", P.first_difference(F.encode(x, "UTF-8"), F.encode(other, "UTF-8")).alias("offset"))

@@ -8,12 +8,16 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import compound
+from foliant.functions.attributes import looks_like_image
+from foliant.operators.parts import binary_id
+
+from . import body, compound
 from . import records as R
+from .packages import NODE
 
 #: The signature of the file header, its size, and its flag bits.
 SIGNATURE = b"HWP Document File"
@@ -55,8 +59,8 @@ def record_rows(streams: DataFrame) -> DataFrame:
 
 def typed(records: DataFrame, name: str) -> DataFrame:
     """The records of one kind with a slot number in record order and their fields as columns: integers, lists of integers and texts."""
-    fields = [f for f in R.LAYOUTS[name] if f]
-    schema = T.StructType([T.StructField(k, T.StringType() if c == "T" else T.ArrayType(T.LongType()) if c[0].isdigit() else T.LongType()) for k, c in fields])
+    fields = R.columns_of(name)
+    schema = T.StructType([T.StructField(k, T.StringType() if c == "T" else T.ArrayType(T.LongType()) if c[0].isdigit() or "*" in c else T.LongType()) for k, c in fields])
 
     @F.pandas_udf(schema)
     def fields_of(data: pd.Series) -> pd.DataFrame:
@@ -68,6 +72,23 @@ def typed(records: DataFrame, name: str) -> DataFrame:
     return own.select("doc_id", "stream", "slot", "seq", fields_of("data").alias("f")).select("doc_id", "stream", "slot", "seq", "f.*")
 
 
+def encoded(name: str, values: Column) -> Column:
+    """The record data of one kind from a struct of its fields; the way back of typed. Null fields end a record's optional ones."""
+
+    @F.pandas_udf(T.BinaryType())
+    def data_of(rows: pd.DataFrame) -> pd.Series:
+        plain = lambda v: [int(x) for x in v] if hasattr(v, "__len__") and not isinstance(v, str) else v if isinstance(v, str) else int(v)
+        held = ({k: plain(v) for k, v in zip(rows.columns, r) if hasattr(v, "__len__") or pd.notna(v)} for r in rows.itertuples(index=False, name=None))
+        return pd.Series([R.encode(name, v) for v in held], dtype=object)
+
+    return data_of(values)
+
+
+def font_count(counts: Column) -> Column:
+    """The number of font faces in all seven slots, of the counts of an ID_MAPPINGS record."""
+    return F.aggregate(F.slice(counts, 2, 7), F.lit(0).cast("long"), lambda a, n: a + n)
+
+
 def paragraphs(records: DataFrame) -> DataFrame:
     """(doc_id, section, seq, level, text) of the section records: a paragraph begins at each PARA_HEADER record and has the text of the
     first PARA_TEXT after it; without one it is empty. A paragraph's own records are found by a running count, not by a join."""
@@ -84,6 +105,68 @@ def paragraphs(records: DataFrame) -> DataFrame:
     return held.select("doc_id", F.regexp_extract("stream", _SECTION.pattern, 1).cast("int").alias("section"), "seq", "level", F.coalesce(text_of(data), F.lit("")).alias("text"))
 
 
+def nodes(streams: DataFrame) -> DataFrame:
+    """The sections of inflated streams as rows of packages.NODE: paragraphs, tables, cells, pictures and other controls."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string())
+        for b in batches:
+            for doc, name, data in zip(*b.columns):
+                section = int(_SECTION.match(name.as_py())[1])
+                rows = [(doc.as_py(), section, i, path, kind, list(attrs.items()), text) for i, (path, kind, attrs, text) in enumerate(body.nodes_of(R.split(data.as_py() or b"")))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 7, kinds)], names=["doc_id", "section", "ord", "path", "kind", "attrs", "text"])
+
+    own = streams.where(F.col("stream").rlike(_SECTION.pattern))
+    return own.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "stream", "bytes").mapInArrow(work, NODE)
+
+
+def section_records(nodes: DataFrame) -> DataFrame:
+    """(doc_id, stream, seq, tag, level, data) of NODE rows: the inverse of nodes, one task to a section."""
+
+    def work(key: tuple, t: pa.Table) -> pa.Table:
+        rows = body.records_of([(r["path"], r["kind"], dict(r["attrs"] or []), r["text"] or "") for r in t.sort_by("ord").to_pylist()])
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
+        held = dict(zip(("seq", "tag", "level", "data"), (pa.array(c, k) for c, k in zip(zip(*((i, *r) for i, r in enumerate(rows))) if rows else [()] * 4, kinds))))
+        same = {"doc_id": pa.array([key[0].as_py()] * len(rows), pa.int64()), "stream": pa.array([f"/BodyText/Section{key[1].as_py()}"] * len(rows), pa.string())}
+        return pa.table(same | held)
+
+    own = nodes.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(section AS INT) AS section", "ord", "path", "kind", "attrs", "text")
+    return own.groupBy("doc_id", "section").applyInArrow(work, "doc_id long, stream string, seq int, tag int, level int, data binary")
+
+
+def is_written_anew(path: Column) -> Column:
+    """Whether a stream comes from rows when a document is written: the header, DocInfo, sections and binaries. Others are kept as they are."""
+    return path.isin("/FileHeader", "/DocInfo") | path.rlike(_SECTION.pattern) | path.startswith("/BinData/")
+
+
+def files(streams: DataFrame, compressed: bool = True) -> DataFrame:
+    """(doc_id, content) of inflated streams(doc_id, stream, bytes), one task to a document. DocInfo and the sections are deflated; the file
+    header is written anew; DocInfo is empty where it lacks. Of two streams of one name the first by content is taken."""
+
+    def work(key: tuple, t: pa.Table) -> pa.Table:
+        held = dict(sorted(((r["stream"], r["bytes"] or b"") for r in t.to_pylist()), reverse=True))
+        held.setdefault("/DocInfo", b"")
+        out = {n: R.deflate(x) if compressed and (n == "/DocInfo" or _SECTION.match(n)) else x for n, x in held.items()}
+        out["/FileHeader"] = file_header(COMPRESSED if compressed else 0)
+        return pa.table({"doc_id": pa.array([key[0].as_py()], pa.int64()), "content": pa.array([compound.write(out)], pa.binary())})
+
+    return streams.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "stream", "bytes").groupBy("doc_id").applyInArrow(work, "doc_id long, content binary")
+
+
+def binaries(streams: DataFrame) -> DataFrame:
+    """(doc_id, id, bytes) of the streams of binaries. In a compressed document the bytes are inflated if that gives an image; else they
+    stay as they are."""
+
+    @F.pandas_udf(T.BinaryType())
+    def inflated(data: pd.Series) -> pd.Series:
+        return data.map(R.inflated_or_none, na_action="ignore")
+
+    own = streams.select("doc_id", binary_id(F.col("stream")).alias("id"), "bytes", "flags").where("id IS NOT NULL")
+    plain = F.when(F.col("flags").bitwiseAND(COMPRESSED) != 0, inflated("bytes"))
+    held = own.withColumn("_p", plain)
+    return held.select("doc_id", "id", F.when(looks_like_image(F.col("_p")), F.col("_p")).otherwise(F.col("bytes")).alias("bytes"))
+
+
 def documents(paragraphs: DataFrame) -> DataFrame:
     """(doc_id, content) of paragraphs(doc_id, section, seq, text): compound files with a header, an empty DocInfo and deflated sections.
     A text that can't be written, since it holds an object mark or a bare control, raises an error."""

@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame
 #: Record tags.
 TAGS = {
     "DOCUMENT_PROPERTIES": 0x10, "ID_MAPPINGS": 0x11, "BIN_DATA": 0x12, "FACE_NAME": 0x13, "BORDER_FILL": 0x14, "CHAR_SHAPE": 0x15, "PARA_SHAPE": 0x19, "STYLE": 0x1A,
-    "PARA_HEADER": 0x42, "PARA_TEXT": 0x43, "PARA_CHAR_SHAPE": 0x44, "PARA_LINE_SEG": 0x45, "CTRL_HEADER": 0x47, "LIST_HEADER": 0x48, "PAGE_DEF": 0x49, "TABLE": 0x4D, "PICTURE": 0x55,
+    "PARA_HEADER": 0x42, "PARA_TEXT": 0x43, "PARA_CHAR_SHAPE": 0x44, "PARA_LINE_SEG": 0x45, "CTRL_HEADER": 0x47, "LIST_HEADER": 0x48, "PAGE_DEF": 0x49, "SHAPE_COMPONENT": 0x4C, "TABLE": 0x4D, "PICTURE": 0x55,
 }
-#: Fields of the records by tag, little-endian struct codes; T is a counted UTF-16 text. Fields after a None may be absent.
+#: Fields of the records by tag, little-endian struct codes; T is a counted UTF-16 text, n*code a list as long
+#: as the field n says. Fields after a None may be absent.
 LAYOUTS: dict[str, list[tuple[str, str] | None]] = {
     "CHAR_SHAPE": [("font_ids", "7H"), ("ratios", "7B"), ("char_spacings", "7b"), ("rel_sizes", "7B"), ("char_offsets", "7b"), ("base_size", "i"), ("attr", "I"), ("shadow_offset_x", "b"), ("shadow_offset_y", "b"), ("color", "I"), ("underline_color", "I"), ("shade_color", "I"), ("shadow_color", "I"), None, ("border_fill_id", "H"), ("strike_color", "I")],
     "PARA_SHAPE": [("attribute", "I"), ("left_margin", "i"), ("right_margin", "i"), ("indent", "i"), ("top_space", "i"), ("bottom_space", "i"), ("line_space_legacy", "i"), ("tab_def_id", "H"), ("heading_id", "H"), ("border_fill_id", "H"), ("border_spaces", "4h"), None, ("attribute2", "I"), ("attribute3", "I"), ("line_spacing", "I")],
@@ -27,9 +28,14 @@ LAYOUTS: dict[str, list[tuple[str, str] | None]] = {
     "PARA_HEADER": [("char_count", "I"), ("control_mask", "I"), ("para_shape_id", "H"), ("style_id", "B"), ("divide_sort", "B"), ("char_shape_count", "H"), ("range_tag_count", "H"), ("line_align_count", "H"), ("instance_id", "I"), None, ("tracked", "H")],
     "LIST_HEADER": [("para_count", "i"), ("property", "I"), ("col", "H"), ("row", "H"), ("col_span", "H"), ("row_span", "H"), ("width", "I"), ("height", "I"), ("padding", "4H"), ("border_fill_id", "H"), ("text_width", "I")],
     "PAGE_DEF": [("width", "I"), ("height", "I"), ("margins", "7I"), ("attribute", "I")],
+    "DOCUMENT_PROPERTIES": [("sections", "H"), ("first_page", "H"), ("first_footnote", "H"), ("first_endnote", "H"), ("first_picture", "H"), ("first_table", "H"), ("first_equation", "H"), ("characters", "I"), ("pages", "I"), None, ("caret", "3I")],
+    "TABLE": [("attribute", "I"), ("rows", "H"), ("cols", "H"), ("spacing", "h"), ("padding", "4h"), ("counts", "rows*H"), ("border_fill_id", "H"), None, ("zone_count", "H"), ("zones", "zone_count*5H")],
 }
-#: Size field value that announces a longer size; units of an inline control.
-_LONG, _UNITS = 0xFFF, 8
+#: BIN_DATA by the low four bits of its property: a link, or a stream of the file, embedded or stored.
+_STREAM_FIELDS = [("property", "H"), ("bin_id", "H"), ("extension", "T")]
+BIN_DATA = {0: [("property", "H"), ("absolute_path", "T"), ("relative_path", "T")], 1: _STREAM_FIELDS, 2: _STREAM_FIELDS}
+#: Size field value that announces a longer size; units of an inline control; the unit that marks a drawn one.
+_LONG, _UNITS, _OBJECT = 0xFFF, 8, 11
 _READ = {0x18: "\u00ad", 0x1E: "\u00a0", 0x1F: "\u2003"}
 _WRITE = {v: chr(k) for k, v in _READ.items()}
 
@@ -38,6 +44,13 @@ def inflate(data: bytes) -> bytes:
     return zlib.decompressobj(-15).decompress(data)
 
 
+def inflated_or_none(data: bytes) -> bytes | None:
+    try:
+        return inflate(data)
+    except zlib.error:
+        return None
+
+
 def deflate(data: bytes) -> bytes:
     c = zlib.compressobj(wbits=-15)
     return c.compress(data) + c.flush()
@@ -70,15 +83,33 @@ def join(records: list[tuple[int, int, bytes]]) -> bytes:
     return b"".join(out)
 
 
+def columns_of(name: str) -> list[tuple[str, str]]:
+    """All fields that a record of this kind may have."""
+    if name == "BIN_DATA":
+        return list(dict(f for fields in BIN_DATA.values() for f in fields).items())
+    return [f for f in LAYOUTS[name] if f]
+
+
+def _fields(name: str, kind: int | None) -> list[tuple[str, str] | None]:
+    if name != "BIN_DATA":
+        return LAYOUTS[name]
+    if kind is None or kind & 15 not in BIN_DATA:
+        raise ValueError(f"BIN_DATA of kind {kind}")
+    return BIN_DATA[kind & 15]
+
+
 def decode(name: str, data: bytes) -> dict:
     """Field values by name, optional ones only if present, and `tail`; raises ValueError if a required field is missing."""
     out: dict = {}
     at, optional = 0, False
-    for field in LAYOUTS[name]:
+    for field in _fields(name, struct.unpack_from("<H", data)[0] if len(data) > 1 else None):
         if field is None:
             optional = True
             continue
         key, code = field
+        if "*" in code:
+            count, code = code.split("*")
+            code = f"{out[count] * int(code[:-1] or 1)}{code[-1]}"
         if code == "T":
             n = 2 + 2 * struct.unpack_from("<H", data, at)[0] if at + 2 <= len(data) else len(data) + 1
         else:
@@ -98,13 +129,15 @@ def decode(name: str, data: bytes) -> dict:
 
 def encode(name: str, values: dict) -> bytes:
     out = []
-    for field in LAYOUTS[name]:
+    for field in _fields(name, values.get("property")):
         if field is None:
             continue
         key, code = field
         if key not in values:
             break
         v = values[key]
+        if "*" in code:
+            code = f"{len(v)}{code[-1]}"
         if code == "T":
             raw = v.encode("utf-16-le", "surrogatepass")
             out.append(struct.pack("<H", len(raw) // 2) + raw)
@@ -136,11 +169,15 @@ def paragraph_text(data: bytes) -> str:
     return b"".join(out).decode("utf-16-le")
 
 
-def text_record(text: str) -> bytes | None:
-    """Inverse of paragraph_text; null where the text holds an object mark or a bare control, whose units are not known."""
-    if re.search("[\x00-\x08\x0b-\x1f￼]", text):
+def text_record(text: str, controls: list[bytes] | None = None) -> bytes | None:
+    """Inverse of paragraph_text; null where the text holds a bare control, or more object marks than the codes of controls that are given."""
+    if re.search("[\x00-\x08\x0b-\x1f]", text):
+        return None
+    first, *rest = ("".join(_WRITE.get(c, c) for c in part).encode("utf-16-le", "surrogatepass") for part in text.split("\ufffc"))
+    if len(rest) > len(controls or []):
         return None
-    return "".join(_WRITE.get(c, c) for c in text).encode("utf-16-le", "surrogatepass")
+    mark = struct.pack("<H", _OBJECT)
+    return first + b"".join(mark + code + bytes(8) + mark + part for code, part in zip(controls or [], rest))
 
 
 def records(streams: DataFrame, compressed: bool = True) -> DataFrame:
@@ -156,3 +193,14 @@ def records(streams: DataFrame, compressed: bool = True) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 6, kinds)], names=["doc_id", "stream", "seq", "tag", "level", "data"])
 
     return streams.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "stream", "bytes").mapInArrow(work, "doc_id long, stream string, seq int, tag int, level int, data binary")
+
+
+def streams(records: DataFrame) -> DataFrame:
+    """(doc_id, stream, bytes) of records(doc_id, stream, seq, tag, level, data): the way back, not deflated, one task to a stream."""
+
+    def work(key: tuple, t: pa.Table) -> pa.Table:
+        rows = t.sort_by("seq").to_pylist()
+        body = join([(r["tag"], r["level"], r["data"] or b"") for r in rows])
+        return pa.table({"doc_id": pa.array([key[0].as_py()], pa.int64()), "stream": pa.array([key[1].as_py()], pa.string()), "bytes": pa.array([body], pa.binary())})
+
+    return records.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "stream", "seq", "tag", "level", "data").groupBy("doc_id", "stream").applyInArrow(work, "doc_id long, stream string, bytes binary")

@@ -56,7 +56,9 @@ def test_long_and_broken_records():
 @pytest.mark.parametrize("name", list(records.LAYOUTS))
 def test_layouts_are_inverse(name):
     rng = random.Random(name)
-    if name in ("STYLE", "FACE_NAME"):
+    if name == "TABLE":
+        values = {"attribute": 1, "rows": 2, "cols": 3, "spacing": -4, "padding": [1, 2, 3, 4], "counts": [3, 2], "border_fill_id": 5, "zone_count": 1, "zones": [1, 2, 3, 4, 5], "tail": b"z"}
+    elif name in ("STYLE", "FACE_NAME"):
         values = {k: "이름 x" if c == "T" else 3 for k, c in records.LAYOUTS[name]} | {"tail": b"zz"}
     else:
         values = records.decode(name, bytes(rng.randrange(256) for _ in range(90)))
@@ -307,3 +309,88 @@ def test_record_trees(spark):
     assert got == rows(O.nodes(written))
     counts = {d.doc_id: d.records.count("\nEND TABLE[") for d in written.collect()}
     assert all(counts[d] == sum(x[0] == d and x[4] == "table" for x in got) for d in counts)
+
+
+def test_binary_data_records():
+    for values in ({"property": 0x10, "absolute_path": "C:\\x", "relative_path": "", "tail": b""}, {"property": 0x21, "bin_id": 7, "extension": "png", "tail": b"t"}, {"property": 2, "bin_id": 0, "extension": "", "tail": b""}):
+        assert records.decode("BIN_DATA", records.encode("BIN_DATA", values)) == values
+    for broken in (b"\x03\x00\x00\x00", b"", b"\x01\x00\x07\x00\x09\x00a"):
+        with pytest.raises(ValueError):
+            records.decode("BIN_DATA", broken)
+
+
+def random_section(rng, depth=0):
+    """Random records of paragraphs at a level, as the writer orders them: text, runs, lines, other records, controls."""
+    T, out = records.TAGS, []
+    level = 2 * depth
+    for _ in range(rng.randrange(1, 4)):
+        head = dict(records.decode("PARA_HEADER", bytes(22))) | {"para_shape_id": rng.randrange(9), "style_id": rng.randrange(9), "divide_sort": rng.randrange(8), "char_count": 1 << 31}
+        out.append((T["PARA_HEADER"], level, records.encode("PARA_HEADER", head)))
+        words = rng.choice([b"", "a\r".encode("utf-16-le"), "가b".encode("utf-16-le"), records.text_record("x￼y", [b" lbt"])])
+        own = [("PARA_TEXT", words), ("PARA_CHAR_SHAPE", b"".join(rng.randrange(99).to_bytes(4, "little") for _ in range(2 * rng.randrange(3)))), ("PARA_LINE_SEG", bytes(36 * rng.randrange(3)))]
+        out += [(T[n], level + 1, data) for n, data in own if data]
+        if rng.random() < 0.3:
+            out += [(0x46, level + 1, b"range"), (0x60, level + 3, b"deep")]
+        for kind in rng.choices(["table", "picture", "line", "note"], k=rng.randrange(3)):
+            if kind == "table":
+                out += [(T["CTRL_HEADER"], level + 1, b" lbtdata"), *([(T["LIST_HEADER"], level + 2, b"caption")] if rng.random() < 0.3 else [])]
+                out.append((T["TABLE"], level + 2, records.encode("TABLE", {"attribute": 3, "rows": 1, "cols": 2, "spacing": 0, "padding": [1] * 4, "counts": [2], "border_fill_id": 4})))
+                for col in range(2):
+                    inner = random_section(rng, depth + 1) if depth < 2 else []
+                    n = sum(r[0] == T["PARA_HEADER"] and r[1] == level + 2 for r in inner)
+                    cell = records.decode("LIST_HEADER", bytes(47)) | {"para_count": n, "col": col, "row_span": 1, "border_fill_id": 9, "padding": [col] * 4}
+                    out.append((T["LIST_HEADER"], level + 2, records.encode("LIST_HEADER", cell)))
+                    out += inner
+            elif kind == "note":
+                out += [(T["CTRL_HEADER"], level + 1, b"  nf"), (T["LIST_HEADER"], level + 2, b"x"), (T["PARA_HEADER"], level + 2, bytes(22)), (T["PARA_TEXT"], level + 3, b"n\0")]
+            else:
+                out += [(T["CTRL_HEADER"], level + 1, b" osg" + bytes(36)), (T["LIST_HEADER"], level + 2, b""), (T["PARA_HEADER"], level + 2, bytes(22)), (T["PARA_TEXT"], level + 3, " cap ".encode("utf-16-le"))]
+                out += [(T["SHAPE_COMPONENT"], level + 2, b"cip$more" if kind == "picture" else b"nil$"), (T["PICTURE"], level + 3, bytes(71) + b"\x05\x01zz")]
+    return out
+
+
+def test_section_trees_of_random_records():
+    from foliant.sources import body
+
+    rng = random.Random(11)
+    kinds = set()
+    for i in range(200):
+        rows = ([(0x4A, 0, b"prelude"), (0x49, 1, b"page")] if i % 3 == 0 else []) + random_section(rng)
+        nodes = body.nodes_of(rows)
+        assert body.records_of(nodes) == rows
+        assert len({n[0] for n in nodes}) == len(nodes)
+        kinds |= {n[1] for n in nodes}
+        shapes = [n for n in nodes if n[2].get("code") == "gso "]
+        assert all(n[2]["caption"] == "cap" for n in shapes)
+        assert all((n[2]["bin"], n[2]["width"]) == ("261", "0") for n in shapes if n[1] == "picture")
+        # Every paragraph header outside notes and captions is a paragraph node.
+        hidden = sum(r[0] == records.TAGS["CTRL_HEADER"] and r[2][:4] in (b"  nf", b" osg") for r in rows)
+        assert sum(n[1] == "paragraph" for n in nodes) == sum(r[0] == records.TAGS["PARA_HEADER"] for r in rows) - hidden
+    assert kinds == {"loose", "paragraph", "table", "cell", "picture", "control"}
+
+
+def test_edited_section_trees():
+    from foliant.sources import body
+
+    nodes = [("p0", "paragraph", {"page_break": "1"}, "new\xa0text"), ("p1", "paragraph", {}, "￼￼"), ("p1/t0", "table", {"rows": "1", "cols": "1"}, ""), ("p1/t0/c0", "cell", {}, ""), ("p1/t0/c0/p0", "paragraph", {"runs": "0:3|2:4"}, "abc"), ("p1/i0", "picture", {"bin": "12", "width": "3"}, "")]
+    back = body.nodes_of(records.split(records.join(body.records_of(nodes))))
+    assert [(n[0], n[1], n[3]) for n in back] == [(n[0], n[1], n[3]) for n in nodes]
+    assert back[0][2]["page_break"] == "1" and back[4][2]["runs"] == "0:3|2:4" and back[5][2]["bin"] == "12"
+    back[0] = (*back[0][:3], "edited")
+    back[5] = (*back[5][:2], back[5][2] | {"bin": "700", "height": "8"}, "")
+    again = body.nodes_of(body.records_of(back))
+    assert again[0][3] == "edited" and (again[5][2]["bin"], again[5][2]["width"], again[5][2]["height"]) == ("700", "3", "8")
+    assert body.records_of([]) == [] and body.nodes_of([]) == []
+    for bad in ("￼", "\x01"):
+        with pytest.raises(ValueError):
+            body.records_of([("p0", "paragraph", {}, bad)])
+    with pytest.raises(ValueError):
+        body.nodes_of([(records.TAGS["PARA_HEADER"], 0, bytes(22)), (records.TAGS["PARA_LINE_SEG"], 1, bytes(35))])
+
+
+def test_first_difference(spark):
+    from foliant.operators.parts import first_difference
+
+    rows = [(b"abc", b"abd"), (b"ab", b"abc"), (b"", b""), (b"", b"x"), (None, b"x"), (b"same", b"same")]
+    df = spark.createDataFrame([tuple(bytearray(x) if x is not None else None for x in r) for r in rows], "a binary, b binary")
+    assert [r.x for r in df.select(first_difference(df.a, df.b).alias("x")).collect()] == [2, 2, None, 0, None, None]
