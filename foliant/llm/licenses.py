@@ -1,8 +1,8 @@
 """License scans by conditional compression.
 
-Around each license word of a text, a window of words is a candidate, across line breaks and comment marks. It is compressed with zstandard
-alone and with each template as a raw dictionary, unless the window lacks too many of the template's words; the relative saving in size
-ranks the templates. The winner is then confirmed by exact word differences: template words missing from the window, and words within
+Around each license word of a text, a window of words is a candidate, across line breaks and comment marks, as wide as each template needs. It
+is compressed with zstandard alone and with the template as a raw dictionary, unless it lacks too many of the template's words; the bytes
+saved rank the templates. The winner is then confirmed by exact word differences: template words missing from the window, and words within
 the match that the template lacks, after slots such as years and holders are set aside. The words before and after it are searched again.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Short license notices, by SPDX identifier and form. {..} marks a slot for free words.
+#: Whole short licenses and notices of these and longer ones, by SPDX identifier and form. {..} marks a slot for free words.
 TEMPLATES = (
     ("MIT", "notice", "Released under the MIT License."),
     ("MIT", "notice", "Licensed under the MIT License."),
@@ -39,6 +39,10 @@ TEMPLATES = (
     ("BSD-2-Clause", "notice", "Licensed under the BSD 2-Clause License."),
     ("BSD-3-Clause", "grant", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     ("ISC", "grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("MIT", "text", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("ISC", "text", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("BSD-2-Clause", "text", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("BSD-3-Clause", "text", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
     ("CC-BY-4.0", "notice", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "notice", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "notice", "Licensed under CC BY-NC 4.0."),
@@ -60,6 +64,8 @@ _IDENTIFIER = "spdx-license-identifier"
 #: Least share of the template's words that must be there.
 COVERAGE = 0.85
 LEVEL = 3
+#: Share and bytes by which a saving may fall short of the best one and still count as equal.
+NEAR = (0.1, 3)
 
 
 @dataclass
@@ -79,7 +85,7 @@ def templates() -> list[Template]:
     out = []
     for spdx, form, text in TEMPLATES:
         plain = re.sub(r"\{\w+\}", " ", text)
-        data = zstandard.ZstdCompressionDict(plain.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        data = zstandard.ZstdCompressionDict(" ".join(_words(plain)).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         out.append(Template(spdx, form, _words(plain), text.count("{"), zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False)))
     return out
 
@@ -104,32 +110,41 @@ def differences(template: list[str], block: list[str], most: int | None = None)
 
 def best_match(block: str, known: list[Template], plain: zstandard.ZstdCompressor) -> tuple | None:
     """(template, saving, missing, added) of the confirmed winner in a block of text."""
-    got = _confirmed(_words(block), known, plain)
+    got = _confirmed(_words(block), None, known, plain)
     return got and got[:4]
 
 
-def _confirmed(words: list[str], known: list[Template], plain: zstandard.ZstdCompressor) -> tuple | None:
-    """(template, saving, missing, added, first, last) of the confirmed winner, which is that with the fewest differences, then the longest.
-    Templates are tried in the order of their saving, those of less than half the winner's saving not at all."""
+def _confirmed(words: list[str], at: int | None, known: list[Template], plain: zstandard.ZstdCompressor) -> tuple | None:
+    """(template, saving, missing, added, first, last) of the confirmed winner among the words around words[at], or among all.
+
+    Each template's candidate block holds half as many words again as the template on either side. Templates are ranked by the bytes
+    that their dictionary saves on their block; the first whose wording holds wins. Those that save nearly as much (NEAR) say the
+    same to the compressor; of these the one with the fewest differences is taken, then the longest, then the first. saving is the
+    share of the block."""
     there = set(words)
-    few = [i for i, t in enumerate(known) if sum(w not in there for w in t.words) <= (1 - COVERAGE) * len(t.words)]
-    if not few:
-        return None
-    data = " ".join(words).encode("utf-8", "surrogatepass")
-    alone = len(plain.compress(data))
-    ranked = sorted(((1 - len(known[i].dictionary.compress(data)) / alone, -i) for i in few), reverse=True)
-    best = None
-    for saving, i in ranked:
-        t = known[-i]
-        # A notice inside a long window saves little of the whole; the words it can save are what counts.
-        if saving <= 0 or (best and saving < 0.5 * best[1]):
+    ranked, alone = [], {}
+    for i, t in enumerate(known):
+        if sum(w not in there for w in t.words) > (1 - COVERAGE) * len(t.words):
+            continue
+        reach = 3 * len(t.words) // 2
+        lo, hi = (0, len(words)) if at is None else (max(0, at - reach), min(len(words), at + reach + 1))
+        data = " ".join(words[lo:hi]).encode("utf-8", "surrogatepass")
+        if (lo, hi) not in alone:
+            alone[lo, hi] = len(plain.compress(data))
+        ranked.append((len(t.dictionary.compress(data)) - alone[lo, hi], i, lo, hi))
+    best, bar = None, 0
+    for size, i, lo, hi in sorted(ranked):
+        if size >= bar:
             break
+        t = known[i]
         most = max(4 * t.slots, len(t.words) // 4)
-        missing, added, first, last = differences(t.words, words, most)
+        missing, added, first, last = differences(t.words, words[lo:hi], most)
         if 1 - len(missing) / len(t.words) < COVERAGE or len(added) > most:
             continue
-        found = (t, saving, missing, added, first, last)
-        if best is None or (len(missing) + len(added), -len(t.words)) < (len(best[2]) + len(best[3]), -len(best[0].words)):
+        found = (t, -size / alone[lo, hi], missing, added, lo + first, lo + last)
+        if best is None:
+            best, bar = found, min(0, (1 - NEAR[0]) * size + NEAR[1])
+        elif (len(missing) + len(added), -len(t.words)) < (len(best[2]) + len(best[3]), -len(best[0].words)):
             best = found
     return best
 
@@ -167,7 +182,7 @@ def licenses_in(text: str | None, known: list[Template], plain: zstandard.ZstdCo
                         yield starts[g], t, 1 - len(t.dictionary.compress(data)) / len(plain.compress(data)), [], [], text[starts[g] : found[j].end()]
                 low, i = min(end, high), i + 1
                 continue
-            got = _confirmed(words[lo:hi], known, plain)
+            got = _confirmed(words[lo:hi], g - lo, known, plain)
             if not got:
                 i += 1
                 continue

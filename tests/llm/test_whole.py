@@ -115,3 +115,34 @@ def test_containers_are_compared_as_well(spark):
     page = lambda i: f"<div>Site name</div><div>Teaser {i}</div><article><h1>Title {i}</h1><div>Tell a friend</div><p>A passage that both share.</p><p>Own words {i}</p></article>"
     got = texts_of(spark, [(i, f"http://h.com/{i}", page(i)) for i in range(5)], 2)
     assert got == [(i, f"Teaser {i} Title {i} A passage that both share. Own words {i}") for i in range(5)]
+
+
+def test_planted_licenses_are_found_with_their_differences():
+    """Templates with words dropped (none that makes a candidate) and added, in random text with random breaks: each is found, alone, with
+    those very words."""
+    import random
+
+    import zstandard
+
+    from foliant.llm import licenses
+
+    known = licenses.templates()
+    plain = zstandard.ZstdCompressor(level=licenses.LEVEL, write_content_size=False, write_checksum=False)
+    rng = random.Random(5)
+    filler = "alpha beta gamma delta system data value table river stone".split()
+    long = [t for t in licenses.TEMPLATES if len(t[2].split()) >= 20 and "{" not in t[2]]
+    for spdx, form, text in long * 12:
+        words, dropped, added = text.split(), [], []
+        for at in sorted(rng.sample(range(2, len(words) - 2), rng.randrange(3)), reverse=True):
+            if rng.random() < 0.5 and words.count(words[at]) == 1 and not licenses._GATE.search(words[at]):
+                dropped = licenses._words(words.pop(at)) + dropped
+            else:
+                word = f"zz{len(added)}"
+                words.insert(at, word)
+                added.insert(0, word)
+        before, after = (" ".join(rng.choices(filler, k=rng.randrange(400))) for _ in range(2))
+        body = "".join(w + rng.choice([" ", " ", "\n", "\n * "]) for w in words)
+        found = list(licenses.licenses_in(f"{before}. {body} {after}", known, plain))
+        assert [(t.spdx, t.form, missing, more) for _, t, _, missing, more, _ in found] == [(spdx, form, dropped, added)], (text, words)
+    for _ in range(20):
+        assert not list(licenses.licenses_in(" ".join(rng.choices([*filler, "license", "copyright", "permission"], k=300)), known, plain))
