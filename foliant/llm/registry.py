@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, html, lengths, lexical, licenses, pieces, repair, simhash, topk, toxicity, warc
+from . import chat, decontamination, html, lengths, lexical, licenses, pieces, quality, repair, simhash, topk, toxicity, warc
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_lengths": lengths.op10_lengths,
     "op11_lexical": lexical.op11_lexical,
     "op12_repair": repair.op12_repair,
+    "op13_quality": quality.op13_quality,
 }
-SQL = {"op1_topk": topk.ORACLE_SQL, "op8_chat": chat.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL, "op11_lexical": lexical.ORACLE_SQL, "op12_repair": repair.ORACLE_SQL}
+SQL = {"op1_topk": topk.ORACLE_SQL, "op8_chat": chat.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL, "op11_lexical": lexical.ORACLE_SQL, "op12_repair": repair.ORACLE_SQL, "op13_quality": quality.ORACLE_SQL}
