@@ -48,17 +48,24 @@ def _with(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def _repeated() -> Column:
-    """Words of column `words` that stand in a three-word window found twice or more. If the windows' hashes all differ there is none; else they are
-    sorted with their places, so that equal ones are neighbours, and compared word by word."""
-    words, n = F.col("words"), F.size("words")
-    windows = F.slice(F.arrays_zip(words, F.slice(words, 2, n), F.slice(words, 3, n), F.sequence(F.lit(1), n)), 1, n - 2)
-    same = lambda a, b: (a["words"] == b["words"]) & (a["1"] == b["1"]) & (a["2"] == b["2"])
-    places = lambda s: F.transform(s, lambda x, i: _with(F.get(s, i - 1), lambda before: F.when(same(before, x), F.array(before["3"], x["3"]))))
-    held = _with(F.sort_array(windows), lambda s: F.flatten(F.filter(places(s), lambda p: p.isNotNull())))
-    covered = F.array_distinct(F.flatten(F.transform(held, lambda p: F.array(p, p + 1, p + 2))))
-    hashes = F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
-    return F.when((n < 4) | (F.size(F.array_distinct(hashes)) == n), 0).otherwise(F.size(covered))
+def _repeated(words: Column) -> Column:
+    """Words that stand in a three-word window found twice or more. If the windows' hashes all differ there is none; else they are sorted with their
+    places, so that equal ones are neighbours, and compared word by word.
+
+    The words are bound once: a filter on the count, which moves below the projection that made them, doesn't make them anew for each word."""
+    same = lambda a, b: (a["0"] == b["0"]) & (a["1"] == b["1"]) & (a["2"] == b["2"])
+    pair = lambda s, x, i: _with(F.get(s, i - 1), lambda before: F.when(same(before, x), F.array(before["3"], x["3"])))
+    places = lambda s: F.filter(F.transform(s, lambda x, i: pair(s, x, i)), lambda p: p.isNotNull())
+
+    def found(w: Column) -> Column:
+        n = F.size(w)
+        windows = F.slice(F.arrays_zip(F.slice(w, 1, n), F.slice(w, 2, n), F.slice(w, 3, n), F.sequence(F.lit(1), n)), 1, n - 2)
+        held = _with(F.sort_array(windows), lambda s: F.flatten(places(s)))
+        covered = F.array_distinct(F.flatten(F.transform(held, lambda p: F.array(p, p + 1, p + 2))))
+        hashes = F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
+        return F.when((n < 4) | (F.size(F.array_distinct(hashes)) == n), 0).otherwise(F.size(covered))
+
+    return _with(words, found)
 
 
 def counted(docs: DataFrame, *carried: Column) -> DataFrame:
@@ -74,7 +81,7 @@ def counted(docs: DataFrame, *carried: Column) -> DataFrame:
         "word_chars": F.length(F.regexp_replace("text", f"[{_WHITE}]+", "")),
         "n_symbols": F.regexp_count("text", F.lit("[#*$%&|<>]")),
         "line_counts": _with(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("own"))),
-        "n_repeat_words": _repeated(),
+        "n_repeat_words": _repeated(F.col("words")),
     }
     out = own.withColumns({n: c if n == "line_counts" else c.cast("long") for n, c in counts.items()})
     long = lambda c: F.expr(c).cast("long")

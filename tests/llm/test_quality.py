@@ -101,3 +101,15 @@ def test_clean_keeps_every_column(spark):
     d = spark.createDataFrame([(1, clean_text(r), "a", 5), (1, clean_text(r), "b", 6), (2, "bad", "c", 7)], "doc_id long, text string, row string, `n words` int")
     got = quality.clean(d)
     assert got.columns == d.columns and sorted(x["row"] for x in got.collect()) == ["a", "b"]
+
+
+def test_filters_on_counts_stay_linear(spark):
+    """A filter moves below the projection that makes the words; a text of 40,000 words must not be split once for each."""
+    import time
+
+    text = " ".join(f"w{i % 9_000}" for i in range(40_000))
+    d = spark.createDataFrame([(1, text)] * 4, DOCS).repartition(1)
+    start = time.perf_counter()
+    assert quality.counted(d).where("n_repeat_words > 0 AND n_words > 50").count() == 4
+    assert quality.clean(d).count() == 0
+    assert time.perf_counter() - start < 60
