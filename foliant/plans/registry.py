@@ -703,3 +703,7 @@ def first_difference(spark, sf_dir):
     x, half = F.col("text"), F.floor(F.length("text") / 2).cast("int")
     other = F.when(F.length(x) > 3, F.concat(F.substring(x, F.lit(1), half), F.lit("~"), F.substring(x, half + 2, F.length(x)))).otherwise(x)
     return table(spark, sf_dir, "documents").select("doc_id", P.first_difference(F.encode(x, "UTF-8"), F.encode(other, "UTF-8")).alias("offset"))
+
+
+# Queries of their own module register themselves
+from . import rendering  # noqa: E402, F401

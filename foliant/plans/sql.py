@@ -235,3 +235,129 @@ SELECT page_id AS doc_id, '<!-- foliant:assets v1 -->' || chr(10) || chr(10) ||
 ASSET_ROWS = """SELECT page_id AS doc_id, 'ASSET' AS kind, 'image' || page_id % 1000 || '.png' AS name, 'image/png' AS mime, octet_length(encode(html)) AS n, md5(html) AS digest FROM pages WHERE html <> ''
 UNION ALL SELECT page_id, 'SECTION_BYTES', 'section-0', 'application/octet-stream', octet_length(encode(html)), md5(html) FROM pages WHERE page_id % 2 = 0 AND html <> ''
 UNION ALL SELECT page_id, 'UNKNOWN_STREAM', 'Preview/PrvText.txt', 'application/octet-stream', octet_length(encode(url)), md5(url) FROM pages WHERE page_id % 3 = 0 AND url <> ''"""
+
+#: Styled turns, character by character: each character's shape is that of the last listed run that has begun at its UTF-16 offset, and tags close and open
+#: where the shape changes.
+STYLED = rf"""
+WITH source AS (
+  SELECT conv_id AS doc_id, turn, replace(text, '. ', '.' || chr(160) || ' ' || chr(65532) || '<b>&' || chr(39) || '"') AS text,
+    [(3 * conv_id + 5 * turn + k * (conv_id // 4)) % 14 FOR k IN range(0, 4)] AS s, [(length(text) * k) // 4 FOR k IN range(0, 4)] AS a FROM conversations),
+listed AS (
+  SELECT *, CASE WHEN turn % 5 = 4 THEN [] WHEN turn % 5 = 3 THEN [{{'p': a[3], 'shape': s[1]}}, {{'p': a[2], 'shape': s[2]}}]
+    ELSE [{{'p': a[1], 'shape': s[1]}}, {{'p': a[2], 'shape': s[2]}}, {{'p': a[3], 'shape': s[3]}}, {{'p': a[4], 'shape': s[4]}}] END AS runs FROM source),
+chars AS (SELECT doc_id, turn, runs, i, text[i] AS c FROM listed, unnest(range(1, length(text) + 1)) AS u(i)),
+placed AS (SELECT *, sum(CASE WHEN unicode(c) > 65535 THEN 2 ELSE 1 END) OVER (PARTITION BY doc_id, turn ORDER BY i) - CASE WHEN unicode(c) > 65535 THEN 2 ELSE 1 END AS pos FROM chars),
+active AS (SELECT *, list_filter(runs, lambda r: r.p <= pos)[-1].shape AS shape FROM placed),
+catalogue AS (
+  SELECT DISTINCT conv_id AS doc_id, id, id % 4 = 0 AS strike, id % 2 = 0 AS bold, id % 3 = 0 AS italic,
+    CASE WHEN id % 5 = 0 THEN 1000 ELSE 800 + id * 37 + conv_id % 50 END AS height, CASE WHEN id % 2 = 0 THEN 0 ELSE (conv_id * 7919 + id * 65537) % 16777216 END AS colour, id % 4 AS font
+  FROM conversations, unnest(range(0, 12)) AS u(id)),
+css AS (
+  SELECT *, array_to_string(list_filter([
+    CASE WHEN colour <> 0 THEN printf('color:#%02x%02x%02x', colour % 256, colour // 256 % 256, colour // 65536) END,
+    CASE WHEN height <> 1000 THEN 'font-size:' || CASE WHEN CAST(CAST(height / 100 AS FLOAT) AS DOUBLE) % 1 < CAST(CAST(0.05 AS FLOAT) AS DOUBLE) THEN CAST(height // 100 AS VARCHAR) ELSE printf('%.1f', CAST(CAST(height / 100 AS FLOAT) AS DOUBLE)) END || 'pt' END,
+    CASE WHEN font < 2 THEN 'font-family:' || chr(39) || 'OFont &amp; Co ' || font || chr(39) END], lambda x: x IS NOT NULL), ';') AS css FROM catalogue),
+marks AS (
+  SELECT doc_id, id, CASE WHEN strike THEN '~~' ELSE '' END || CASE WHEN bold THEN '**' ELSE '' END || CASE WHEN italic THEN '*' ELSE '' END AS mo,
+    CASE WHEN italic THEN '*' ELSE '' END || CASE WHEN bold THEN '**' ELSE '' END || CASE WHEN strike THEN '~~' ELSE '' END AS mc,
+    CASE WHEN css <> '' THEN '<span style="' || css || '">' ELSE '' END || CASE WHEN strike THEN '<s>' ELSE '' END || CASE WHEN bold THEN '<strong>' ELSE '' END || CASE WHEN italic THEN '<em>' ELSE '' END AS ho,
+    CASE WHEN italic THEN '</em>' ELSE '' END || CASE WHEN bold THEN '</strong>' ELSE '' END || CASE WHEN strike THEN '</s>' ELSE '' END || CASE WHEN css <> '' THEN '</span>' ELSE '' END AS hc FROM css),
+swept AS (
+  SELECT doc_id, turn, i, c, shape, len(runs) = 0 AS plain, shape IS DISTINCT FROM lag(shape) OVER w AS opens, lead(i) OVER w IS NULL OR lead(shape) OVER w IS DISTINCT FROM shape AS closes
+  FROM active WINDOW w AS (PARTITION BY doc_id, turn ORDER BY i)),
+written AS (
+  SELECT w.*, CASE WHEN unicode(c) IN (160, 8195) THEN ' ' WHEN unicode(c) IN (65532, 173) THEN '' ELSE c END AS x,
+    CASE WHEN opens THEN coalesce(mo, '') ELSE '' END AS mo, CASE WHEN closes THEN coalesce(mc, '') ELSE '' END AS mc, CASE WHEN opens THEN coalesce(ho, '') ELSE '' END AS ho, CASE WHEN closes THEN coalesce(hc, '') ELSE '' END AS hc
+  FROM swept w LEFT JOIN marks m ON w.doc_id = m.doc_id AND w.shape = m.id),
+lines AS (
+  SELECT doc_id, turn, any_value(plain) AS plain, string_agg(mo || x || mc, '' ORDER BY i) AS m, string_agg(ho || {escapes('x', '&#39;')} || hc, '' ORDER BY i) AS h, string_agg(c, '' ORDER BY i) AS raw FROM written GROUP BY doc_id, turn),
+whole AS (
+  SELECT s.doc_id, s.turn, {trim("regexp_replace(coalesce(m, ''), ' +', ' ', 'g')")} AS markdown, CASE WHEN len(s.runs) = 0 THEN {escapes(clean('s.text'), '&#39;')} ELSE coalesce(h, '') END AS html
+  FROM listed s LEFT JOIN lines l ON s.doc_id = l.doc_id AND s.turn = l.turn),
+looks AS (
+  SELECT *, array_to_string(list_filter([CASE WHEN turn % 3 > 0 THEN 'padding-left:' || turn % 3 || 'em' END,
+    CASE turn % 7 WHEN 2 THEN 'text-align:right' WHEN 3 THEN 'text-align:center' WHEN 1 THEN NULL WHEN 6 THEN NULL ELSE 'text-align:justify' END], lambda x: x IS NOT NULL), ';') AS style FROM whole)
+SELECT doc_id, 'p' || turn AS path, markdown,
+  CASE WHEN {visible(untagged('html'))} <> '' THEN '<p' || CASE WHEN style <> '' THEN ' style="' || style || '"' ELSE '' END || '>' || html || '</p>' END AS block FROM looks
+"""
+
+#: Customers as trees: `spot` sorts as the tree is walked, `level` counts the tables around, `deep` those that don't merely wrap a table.
+TREE = rf"""
+WITH RECURSIVE facts AS (
+  SELECT c_custkey AS k, c_custkey // 2 AS q, c_custkey % 2 AS i, 'tel ' || c_nationkey AS phone,
+    CASE WHEN c_custkey % 5 = 0 THEN '' WHEN c_custkey % 7 = 0 THEN '2. ' || c_name ELSE c_mktsegment || '  <' || c_custkey || '> & |' END AS text FROM customer),
+posed AS (
+  SELECT *, q % 10 = 5 AS apart, q % 3 = 0 AND q % 10 <> 5 AS tall, CASE WHEN q % 10 = 5 THEN 0 WHEN q % 3 = 1 THEN 1 - i ELSE i END AS j, CASE WHEN q % 10 = 5 THEN i ELSE 0 END AS t FROM facts),
+celled AS (
+  SELECT *, CASE WHEN tall THEN j ELSE 0 END AS r, CASE WHEN tall THEN 0 ELSE j END AS c, CASE WHEN q % 6 = 1 AND j = 1 THEN 2 ELSE 1 END AS span,
+    '/t' || t || '/c' || CASE WHEN apart THEN 0 ELSE i END AS tail FROM posed),
+tree AS (
+  SELECT k, k AS doc_id, 'p0' AS path, 'p0' AS spot, 's0-p0' AS place, 0 AS level FROM celled WHERE k < 16
+  UNION ALL
+  SELECT x.k, p.doc_id, p.path || x.tail || '/p0', p.spot || 't' || x.t || 'r' || x.r || 'c' || x.c || 'p0', p.place || '-c' || x.t || '-r' || x.r || 'c' || x.c || '-p0', p.level + 1
+  FROM tree p JOIN celled x ON x.q = p.k AND x.k >= 16),
+cells AS (
+  SELECT x.*, p.doc_id, p.path, p.spot, p.place, p.level, h.path || '/t' || x.t AS tbl, h.spot || 't' || x.t AS tspot, h.place || '-c' || x.t AS tplace
+  FROM celled x JOIN tree p USING (k) JOIN tree h ON h.k = x.q WHERE x.k >= 16),
+tables AS (
+  SELECT doc_id, tbl AS path, any_value(tspot) AS spot, any_value(tplace) AS place, any_value(level) AS level, any_value(q) AS q, CAST(CASE WHEN bool_or(tall) THEN 2 ELSE 1 END AS INTEGER) AS rows,
+    CAST(CASE WHEN bool_or(tall OR apart) THEN 1 ELSE 2 END AS INTEGER) AS cols FROM cells GROUP BY doc_id, tbl),
+paras AS (
+  SELECT doc_id, path, spot, place, level, k, text FROM tree JOIN facts USING (k)
+  UNION ALL SELECT doc_id, regexp_replace(path, '0$', '1'), regexp_replace(spot, '0$', '1'), regexp_replace(place, '0$', '1'), level, k, phone FROM tree JOIN facts USING (k) WHERE k % 4 = 1)
+"""
+TREE_CORPUS = """, ranked AS (
+  SELECT p.*, c.tbl, row_number() OVER (PARTITION BY c.doc_id, c.tbl ORDER BY c.r, c.c, p.spot) AS rank FROM paras p JOIN cells c USING (k)),
+inside AS (
+  SELECT doc_id, path AS root, path AS tbl, CAST(0 AS BIGINT) AS spent FROM tables
+  UNION ALL SELECT i.doc_id, i.root, t.path, i.spent + r.rank FROM inside i JOIN ranked r ON r.doc_id = i.doc_id AND r.tbl = i.tbl AND i.spent + r.rank <= 7
+    JOIN tables t ON t.doc_id = r.doc_id AND t.q = r.k AND ends_with(r.path, 'p0'))
+SELECT i.doc_id, i.root AS path, string_agg(r.text || chr(10), '' ORDER BY r.spot) AS corpus FROM inside i JOIN ranked r ON r.doc_id = i.doc_id AND r.tbl = i.tbl AND i.spent + r.rank <= 7 GROUP BY i.doc_id, i.root
+"""
+TREE_HTML = rf""", seen AS (
+  SELECT p.*, {escapes(clean('text'), '&#39;')} AS body, {text_level('text')} AS lv FROM paras p),
+deep AS (SELECT doc_id, max(lv) FILTER (WHERE spot = 'p0') AS lv0, coalesce(max(lv) FILTER (WHERE spot = 'p1'), max(lv) FILTER (WHERE spot = 'p0')) AS lv1 FROM seen WHERE level = 0 GROUP BY doc_id),
+events AS (
+  SELECT s.doc_id, spot, CASE WHEN lv IS NOT NULL THEN CASE WHEN spot = 'p1' AND lv0 >= lv THEN '</section>' || chr(10) ELSE '' END || '<section class="chapter lv-' || lv || '" id="sec-' || place || '">' || chr(10) ELSE '' END
+      || CASE WHEN {visible('body')} <> '' THEN '<' || CASE WHEN lv IS NOT NULL THEN 'h' || lv ELSE 'p' END || ' id="par-' || place || '"'
+        || CASE WHEN coalesce(lv - 1, CASE WHEN spot = 'p0' THEN lv0 ELSE lv1 END, 0) > 0 THEN ' style="padding-left:' || coalesce(lv - 1, CASE WHEN spot = 'p0' THEN lv0 ELSE lv1 END) || 'em"' ELSE '' END
+        || '>' || body || '</' || CASE WHEN lv IS NOT NULL THEN 'h' || lv ELSE 'p' END || '>' || chr(10) ELSE '' END AS x FROM seen s JOIN deep d USING (doc_id) WHERE level = 0
+  UNION ALL SELECT doc_id, '', '<section id="sec-0">' || chr(10) FROM deep
+  UNION ALL SELECT d.doc_id, '~', repeat('</section>' || chr(10), 1 + (SELECT count(*) FROM seen s WHERE s.doc_id = d.doc_id AND s.level = 0 AND lv IS NOT NULL AND NOT EXISTS (SELECT 1 FROM seen o WHERE o.doc_id = s.doc_id AND o.level = 0 AND o.spot > s.spot AND o.lv <= s.lv)))
+    FROM deep d
+  UNION ALL SELECT s.doc_id, s.spot, CASE WHEN ends_with(s.spot, 'p1') AND EXISTS (SELECT 1 FROM seen o WHERE o.k = s.k AND o.spot < s.spot AND {visible('o.body')} <> '') THEN '<br>' ELSE '' END || body
+    FROM seen s WHERE level > 0 AND {visible('body')} <> ''
+  UNION ALL SELECT t.doc_id, t.spot, CASE WHEN level = 1 AND lv0 > 0 THEN '<div class="indent" style="padding-left:' || lv0 || 'em">' ELSE '' END || '<table id="tbl-' || place || '">' || chr(10) FROM tables t JOIN deep USING (doc_id)
+  UNION ALL SELECT t.doc_id, t.spot || '~', '</table>' || chr(10) || CASE WHEN level = 1 AND lv0 > 0 THEN '</div>' || chr(10) ELSE '' END FROM tables t JOIN deep USING (doc_id)
+  UNION ALL SELECT doc_id, spot || 'r' || i, '  <tr>' || chr(10) FROM tables, unnest(range(0, rows)) AS u(i)
+  UNION ALL SELECT doc_id, spot || 'r' || i || '~', '  </tr>' || chr(10) FROM tables, unnest(range(0, rows)) AS u(i)
+  UNION ALL SELECT doc_id, tspot || 'r' || r || 'c' || c, '    <td id="cell-' || tplace || '-r' || r || 'c' || c || '"' || CASE WHEN span > 1 THEN ' colspan="' || span || '"' ELSE '' END || '>' FROM cells
+  UNION ALL SELECT doc_id, tspot || 'r' || r || 'c' || c || '~', '</td>' || chr(10) FROM cells)
+SELECT doc_id, '<article>' || chr(10) || string_agg(x, '' ORDER BY spot) || '</article>' || chr(10) AS html FROM events GROUP BY doc_id
+"""
+TREE_MARKDOWN = rf""", texts AS (SELECT p.*, {clean('text')} AS x FROM paras p),
+filled AS (
+  SELECT c.*, (SELECT string_agg(x, ' · ' ORDER BY o.spot) FROM texts o WHERE o.k = c.k AND x <> '') AS inline, {clean("(SELECT string_agg(x, ' ' ORDER BY o.spot) FROM texts o WHERE o.k = c.k)")} AS said,
+    (SELECT count(*) FROM tables t WHERE t.q = c.k) AS inner_tables FROM cells c),
+formed AS (
+  SELECT t.*, n, f, m, s, wide, CASE WHEN n = 1 AND f = 0 AND m = 1 THEN 'unwrap' WHEN f = 1 AND m = 0 AND length(s) <= 80 AND {box_level('s')} IS NOT NULL THEN 'heading' END AS form
+  FROM tables t JOIN (SELECT doc_id, tbl AS path, count(*) AS n, count(inline) AS f, CAST(sum(inner_tables) AS BIGINT) AS m, max(said) FILTER (WHERE said <> '') AS s, sum(span) AS wide FROM filled GROUP BY doc_id, tbl) USING (doc_id, path)),
+nested AS (
+  SELECT f.*, (SELECT count(*) FROM formed o WHERE o.doc_id = f.doc_id AND f.path LIKE o.path || '/%' AND o.form IS DISTINCT FROM 'unwrap') AS deep FROM formed f),
+shaped AS (
+  SELECT *, CASE WHEN form IS NOT NULL THEN form WHEN f = 1 AND m = 0 AND deep = 0 AND rows = 1 AND length(s) <= 100 AND NOT contains(s, chr(10)) THEN 'passage' WHEN m = 0 AND wide = rows * cols AND n = rows * cols THEN 'grid' ELSE 'list' END AS how FROM nested),
+lines AS (
+  SELECT c.doc_id, c.tbl, c.r, '| ' || string_agg(replace(replace(said, '|', '\|'), chr(10), ' '), ' | ' ORDER BY c.c) || ' |' || chr(10) AS line FROM filled c GROUP BY c.doc_id, c.tbl, c.r),
+grids AS (
+  SELECT l.doc_id, l.tbl, string_agg(CASE WHEN r = 0 THEN line || '|' || repeat(' --- |', cols) || chr(10) ELSE line END, '' ORDER BY r) || chr(10) AS grid FROM lines l JOIN tables t ON t.doc_id = l.doc_id AND t.path = l.tbl GROUP BY l.doc_id, l.tbl),
+idle AS (SELECT doc_id, tbl, r, min(c) AS first, max(c) AS last FROM filled WHERE inline IS NULL AND span = 1 AND inner_tables = 0 GROUP BY doc_id, tbl, r HAVING count(*) > 1),
+events AS (
+  SELECT doc_id, spot, CASE WHEN {text_level('text')} IS NOT NULL THEN repeat('#', {text_level('text')}) || ' ' ELSE '' END || x || chr(10) || chr(10) AS x FROM texts WHERE level = 0 AND x <> ''
+  UNION ALL SELECT h.doc_id, spot, CASE how WHEN 'unwrap' THEN '' WHEN 'heading' THEN repeat('#', {box_level('s')}) || ' ' || s || chr(10) || chr(10) WHEN 'passage' THEN s || chr(10) || chr(10) WHEN 'grid' THEN grid
+    ELSE repeat('  ', deep) || '<!-- table ' || rows || '×' || cols || ' (ragged/merged) -->' || chr(10) END FROM shaped h JOIN grids g ON g.doc_id = h.doc_id AND g.tbl = h.path
+  UNION ALL SELECT doc_id, spot || '~', chr(10) FROM shaped WHERE how = 'list'
+  UNION ALL SELECT c.doc_id, c.tspot || 'r' || c.r || 'c' || c.c, repeat('  ', deep) || '- [' || c.r || ',' || c.c || CASE WHEN first IS NOT NULL THEN '..' || last || ']: (empty)' || chr(10) ELSE ']' || CASE WHEN span <> 1 THEN ' span 1×' || span ELSE '' END
+      || ':' || coalesce(' ' || replace(inline, chr(10), ' '), '') || chr(10) END
+    FROM filled c JOIN shaped h ON h.doc_id = c.doc_id AND h.path = c.tbl AND how = 'list' LEFT JOIN idle e ON e.doc_id = c.doc_id AND e.tbl = c.tbl AND e.r = c.r AND c.c BETWEEN first AND last WHERE first IS NULL OR first = c.c)
+SELECT doc_id, string_agg(x, '' ORDER BY spot) AS markdown FROM events GROUP BY doc_id
+"""
