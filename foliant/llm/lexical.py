@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import lean, slices, table, written
 
 #: Documents of a block; documents and dictionary entries that a task orders at once; blocks that set a query's first bar.
-BLOCK, CHUNK, ENTRIES, FIRST = 16, 4096, 1 << 20, 4
+BLOCK, CHUNK, ENTRIES, FIRST = 16, 4096, 1 << 18, 4
 #: Words of the queries that are searched in one pass; more queries take several passes over the index.
 SHARD_WORDS = 200_000
 #: Length norm and saturation: m = 25 + 75 * length / mean length, impact = 10^9 tf / (1000 tf + 8 m).
