@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import attributes as A
+from foliant.operators import edited as E
 from foliant.operators import nested as N
 from foliant.operators import styling as Y
 
@@ -92,3 +93,54 @@ def nested_html(spark, sf_dir):
 @query(S.TREE + S.TREE_MARKDOWN)
 def nested_markdown(spark, sf_dir):
     return N.to_markdown_tree(tree_nodes(spark, sf_dir))
+
+
+# Edited tables: each customer's orders as paragraphs with a table of line items, of which some hold another table; the edit leaves out styles, changes and
+# removes cells, adds others, and gives every tenth customer one table more.
+
+
+def order_nodes(spark: SparkSession, sf_dir: str, edited: bool) -> DataFrame:
+    o, n, c = F.col("l_orderkey"), F.col("l_linenumber"), F.col("doc_id")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority")
+    # Line numbers repeat in an order, so lines are numbered anew.
+    lines = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity", "l_returnflag")
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", F.row_number().over(lines).alias("l_linenumber"), "l_partkey", F.col("l_quantity").cast("int").alias("q"), "l_returnflag").join(orders, "l_orderkey")
+    pairs = lambda **kv: F.create_map(*[x for k, v in kv.items() for x in (F.lit(k), v.cast("string") if not isinstance(v, str) else F.lit(v))])
+    node = lambda df, path, kind, attrs, text: df.select("doc_id", F.lit(0).alias("section"), path.alias("path"), F.lit(kind).alias("kind"), attrs.alias("attrs"), text.alias("text"))
+    par, nul = F.concat(F.lit("p"), o.cast("string")), F.lit(None).cast("string")
+    cell = lambda i: F.concat(par, F.lit("/t0/c"), (n * 2 + i).cast("string"))
+    deep = items.where(n % 3 == 0)
+    looks = (lambda x: pairs(style=(x % 5), para=(x % 4), runs=F.concat(F.lit("0:"), (x % 6).cast("string")), page_break=(x % 2))) if not edited else lambda x: pairs(style=F.when(x % 3 == 0, "9").otherwise("0"))
+    border = pairs(border=(o % 9 + 1), padding="1,2,3,4", spacing=(o % 3)) if not edited else pairs(border=F.when(o % 4 == 0, "7").otherwise("0"), padding="0,0,0,0")
+    said = F.concat("l_returnflag", F.lit(" "), F.col("l_partkey").cast("string"), F.lit("\nmore"))
+    if edited:
+        items, said = items.where("l_linenumber < 7"), F.when(n % 2 == 0, F.concat("l_returnflag", F.col("l_partkey").cast("string"))).otherwise(said)
+    amount = F.when((F.col("q") > 40) & F.lit(edited), F.col("q") + 1).otherwise(F.col("q")).cast("string")
+    out = node(orders, par, "paragraph", looks(o), F.col("o_orderpriority"))
+    out = out.unionByName(node(items.select("doc_id", "l_orderkey").distinct(), F.concat(par, F.lit("/t0")), "table", border, nul))
+    for i, text in ((0, said), (1, amount)):
+        out = out.unionByName(node(items, cell(i), "cell", pairs(row=n - 1, col=F.lit(i)), nul))
+        out = out.unionByName(node(items, F.concat(cell(i), F.lit("/p0")), "paragraph", looks(n + i), text))
+    out = out.unionByName(node(deep, F.concat(cell(1), F.lit("/p0/t0")), "table", pairs(border=(n + 2)) if not edited else pairs(border="0"), nul))
+    out = out.unionByName(node(deep, F.concat(cell(1), F.lit("/p0/t0/c0")), "cell", pairs(row="0", col="0"), nul))
+    out = out.unionByName(node(deep, F.concat(cell(1), F.lit("/p0/t0/c0/p0")), "paragraph", looks(n), F.col("l_returnflag")))
+    if edited:
+        out = out.unionByName(node(orders.where(o % 7 == 0).join(items.select("l_orderkey").distinct(), "l_orderkey"), F.concat(par, F.lit("/t0/c99")), "cell", pairs(row="98", col="0"), nul))
+        out = out.unionByName(node(orders.where(c % 10 == 3).select("doc_id").distinct(), F.lit("p0/t9"), "table", pairs(border="0"), nul))
+    return out
+
+
+@query(S.EDITED + S.EDITED_CELLS)
+def edited_cells(spark, sf_dir):
+    """Cells of paired tables that the edit kept, took away or added."""
+    own = E.paired_cells(order_nodes(spark, sf_dir, False), order_nodes(spark, sf_dir, True))
+    state = F.when(F.col("path").isNull(), "removed").when(F.col("old_path").isNull(), "added").otherwise("kept")
+    return own.select("doc_id", "tbl", "row", "col", state.alias("state"))
+
+
+@query(S.EDITED + S.EDITED_NODES)
+def edited_nodes(spark, sf_dir):
+    """All nodes of the edit with what they take over from the original."""
+    own = E.taken_over(order_nodes(spark, sf_dir, False), order_nodes(spark, sf_dir, True))
+    look = [F.try_element_at("attrs", F.lit(n)).alias(n) for n in ("style", "para", "runs", "page_break", "border", "padding", "spacing")]
+    return own.select("doc_id", "path", "kind", *look, "text")

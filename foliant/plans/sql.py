@@ -361,3 +361,48 @@ events AS (
     FROM filled c JOIN shaped h ON h.doc_id = c.doc_id AND h.path = c.tbl AND how = 'list' LEFT JOIN idle e ON e.doc_id = c.doc_id AND e.tbl = c.tbl AND e.r = c.r AND c.c BETWEEN first AND last WHERE first IS NULL OR first = c.c)
 SELECT doc_id, string_agg(x, '' ORDER BY spot) AS markdown FROM events GROUP BY doc_id
 """
+
+#: Orders with their line items as tables, before and after an edit. Tables are numbered by order and, within one, by the line that holds them.
+EDITED = r"""
+WITH items AS (
+  SELECT o_custkey AS doc_id, l_orderkey AS o, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_returnflag) AS n, CAST(l_quantity AS INTEGER) AS q, l_returnflag AS flag, l_partkey AS part FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+old_tables AS (
+  SELECT doc_id, 'p' || o || '/t0' AS path, o, 0 AS n, CAST(o % 9 + 1 AS VARCHAR) AS border, '1,2,3,4' AS padding, CAST(o % 3 AS VARCHAR) AS spacing FROM items GROUP BY doc_id, o
+  UNION ALL SELECT doc_id, 'p' || o || '/t0/c' || (n * 2 + 1) || '/p0/t0', o, n, CAST(n + 2 AS VARCHAR), NULL, NULL FROM items WHERE n % 3 = 0),
+new_tables AS (
+  SELECT doc_id, 'p' || o || '/t0' AS path, o, 0 AS n, CASE WHEN o % 4 = 0 THEN '7' ELSE '0' END AS border, '0,0,0,0' AS padding FROM items WHERE n < 7 GROUP BY doc_id, o
+  UNION ALL SELECT doc_id, 'p' || o || '/t0/c' || (n * 2 + 1) || '/p0/t0', o, n, '0', NULL FROM items WHERE n % 3 = 0
+  UNION ALL SELECT DISTINCT o_custkey, 'p0/t9', 0, 0, '0', NULL FROM orders WHERE o_custkey % 10 = 3),
+old_ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY o, n) AS rank, count(*) OVER (PARTITION BY doc_id) AS total FROM old_tables),
+new_ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY o, n) AS rank, count(*) OVER (PARTITION BY doc_id) AS total FROM new_tables),
+pairs AS (SELECT w.*, v.path AS old_path, v.o AS old_o, v.n AS old_n, v.border AS old_border, v.padding AS old_padding, v.spacing AS old_spacing FROM new_ranked w JOIN old_ranked v USING (doc_id, rank, total)),
+old_cells AS (SELECT doc_id, 'p' || o || '/t0' AS tbl, n - 1 AS row, i AS col, o, n FROM items, (VALUES (0), (1)) v(i) UNION ALL SELECT doc_id, 'p' || o || '/t0/c' || (n * 2 + 1) || '/p0/t0', 0, 0, o, n FROM items WHERE n % 3 = 0),
+new_cells AS (
+  SELECT doc_id, 'p' || o || '/t0' AS tbl, n - 1 AS row, i AS col, o, n FROM items, (VALUES (0), (1)) v(i) WHERE n < 7
+  UNION ALL SELECT doc_id, 'p' || o || '/t0/c' || (n * 2 + 1) || '/p0/t0', 0, 0, o, n FROM items WHERE n % 3 = 0
+  UNION ALL SELECT DISTINCT doc_id, 'p' || o || '/t0', 98, 0, o, 0 FROM items WHERE o % 7 = 0 AND n < 7)
+"""
+EDITED_CELLS = """, ours AS (SELECT p.doc_id, p.path AS tbl, c.row, c.col FROM pairs p JOIN new_cells c ON c.doc_id = p.doc_id AND c.tbl = p.path),
+theirs AS (SELECT p.doc_id, p.path AS tbl, c.row, c.col FROM pairs p JOIN old_cells c ON c.doc_id = p.doc_id AND c.tbl = p.old_path)
+SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.tbl, b.tbl) AS tbl, CAST(coalesce(a.row, b.row) AS INTEGER) AS row, CAST(coalesce(a.col, b.col) AS INTEGER) AS col,
+  CASE WHEN a.doc_id IS NULL THEN 'removed' WHEN b.doc_id IS NULL THEN 'added' ELSE 'kept' END AS state
+FROM ours a FULL JOIN theirs b ON a.doc_id = b.doc_id AND a.tbl = b.tbl AND a.row = b.row AND a.col = b.col
+"""
+EDITED_NODES = r""", looked AS (
+  SELECT doc_id, 'p' || o || '/t0/c' || (n * 2 + i) || '/p0' AS path, 'p' || o || '/t0' AS tbl, n - 1 AS row, i AS col, n + i AS x,
+    CASE WHEN i = 1 THEN CAST(CASE WHEN q > 40 THEN q + 1 ELSE q END AS VARCHAR) WHEN n % 2 = 0 THEN flag || part ELSE flag || ' ' || part || chr(10) || 'more' END AS text,
+    CASE WHEN i = 0 AND n % 2 = 0 THEN flag || ' ' || part || chr(10) || 'more' END AS whole, o, n, n < 7 AS own FROM items, (VALUES (0), (1)) v(i)
+  UNION ALL SELECT doc_id, 'p' || o || '/t0/c' || (n * 2 + 1) || '/p0/t0/c0/p0', 'p' || o || '/t0/c' || (n * 2 + 1) || '/p0/t0', 0, 0, n, flag, NULL, o, n, true FROM items WHERE n % 3 = 0),
+kept AS (
+  SELECT l.*, p.doc_id IS NOT NULL AS paired FROM looked l LEFT JOIN pairs p ON p.doc_id = l.doc_id AND p.path = l.tbl WHERE l.own),
+styled AS (
+  SELECT doc_id, path, paired, x, CASE WHEN x % 3 = 0 THEN '9' WHEN paired AND x % 5 > 0 THEN CAST(x % 5 AS VARCHAR) ELSE '0' END AS style, CASE WHEN paired AND x % 4 > 0 THEN CAST(x % 4 AS VARCHAR) END AS para,
+    CASE WHEN paired THEN '0:' || x % 6 END AS runs, CASE WHEN paired AND x % 2 = 1 THEN '1' END AS page_break, CASE WHEN paired THEN coalesce(whole, text) ELSE text END AS text FROM kept),
+tops AS (
+  SELECT o_custkey AS doc_id, 'p' || o_orderkey AS path, o_orderkey AS x, p.doc_id IS NOT NULL AS paired, o_orderpriority AS text FROM orders LEFT JOIN pairs p ON p.doc_id = o_custkey AND p.path = 'p' || o_orderkey || '/t0')
+SELECT doc_id, path, 'paragraph' AS kind, style, para, runs, page_break, NULL AS border, NULL AS padding, NULL AS spacing, text FROM styled
+UNION ALL SELECT doc_id, path, 'paragraph', CASE WHEN x % 3 = 0 THEN '9' WHEN paired AND x % 5 > 0 THEN CAST(x % 5 AS VARCHAR) ELSE '0' END, CASE WHEN paired AND x % 4 > 0 THEN CAST(x % 4 AS VARCHAR) END, CASE WHEN paired THEN '0:' || x % 6 END, NULL, NULL, NULL, NULL, text FROM tops
+UNION ALL SELECT w.doc_id, w.path, 'table', NULL, NULL, NULL, NULL, CASE WHEN w.border = '0' THEN coalesce(p.old_border, '0') ELSE w.border END, CASE WHEN coalesce(w.padding, '0,0,0,0') = '0,0,0,0' THEN coalesce(p.old_padding, w.padding) ELSE w.padding END,
+    CASE WHEN p.old_spacing <> '0' THEN p.old_spacing END, NULL FROM new_ranked w LEFT JOIN pairs p ON p.doc_id = w.doc_id AND p.path = w.path
+UNION ALL SELECT doc_id, CASE WHEN n = 0 THEN tbl || '/c99' WHEN tbl LIKE '%/p0/t0' THEN tbl || '/c0' ELSE tbl || '/c' || (n * 2 + col) END, 'cell', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM new_cells
+"""
