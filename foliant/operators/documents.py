@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.functions.text import atx_level, atx_text, clean_lines, cleaned_heading_level, escape_record
+from foliant.functions.text import atx_level, atx_text, clean_lines, cleaned_heading_level, escape_html, escape_record, visible
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
@@ -79,6 +79,44 @@ def chapter_depths(docs: DataFrame) -> DataFrame:
     return marked.select("doc_id", F.inline(spans)).select("doc_id", F.explode(F.sequence("first", "last")).alias("seq"), "depth")
 
 
+def chapter_html(docs: DataFrame) -> DataFrame:
+    """(doc_id, html) of whole texts: headings open chapters, nested sections that end at the next heading of their level or a lower one; lines below a heading
+    are indented by its level. Lines that show nothing leave nothing; a null text is an empty document.
+
+    A text's headings are folded over a stack of open levels, in the row that holds it: no shuffle, and lines are only gathered by chapter."""
+    mark = "struct<at:int,level:int>"
+    own = docs.select("doc_id", clean_lines(F.coalesce("text", F.lit(""))).alias("lines"))
+    heads = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("at"), cleaned_heading_level(x).alias("level")).cast(mark)), lambda h: h["level"].isNotNull())
+    own = own.withColumn("heads", heads)
+    start = F.struct(F.array().cast("array<int>").alias("open"), F.array().cast("array<int>").alias("closes"))
+
+    def step(acc: Column, h: Column) -> Column:
+        kept = F.filter(acc["open"], lambda lv: lv < h["level"])
+        return F.struct(F.concat(kept, F.array(h["level"])).alias("open"), F.concat(acc["closes"], F.array(F.size(acc["open"]) - F.size(kept))).alias("closes"))
+
+    own = own.withColumn("stack", F.aggregate("heads", start, step))
+    number = lambda i: i.cast("string")
+
+    def element(x: Column, i: Column, tag: Column, indent: Column) -> Column:
+        style = F.when(indent > 0, F.concat(F.lit(' style="padding-left:'), number(indent), F.lit('em"'))).otherwise("")
+        return F.when(visible(x) != "", F.concat(F.lit("<"), tag, F.lit(' id="par-s0-p'), number(i), F.lit('"'), style, F.lit(">"), escape_html(x), F.lit("</"), tag, F.lit(">\n"))).otherwise("")
+
+    def body(first: Column, stop: Column, level: Column) -> Column:
+        """Lines from first to before stop, none of them a heading."""
+        rows = F.slice("lines", first + 1, F.greatest(stop - first, F.lit(0)))
+        return F.array_join(F.transform(rows, lambda x, i: element(x, first + i, F.lit("p"), level)), "")
+
+    def chapter(h: Column, i: Column) -> Column:
+        close = F.repeat(F.lit("</section>\n"), F.get("stack.closes", i))
+        open_ = F.concat(F.lit('<section class="chapter lv-'), number(h["level"]), F.lit('" id="sec-s0-p'), number(h["at"]), F.lit('">\n'))
+        title = element(F.get("lines", h["at"]), h["at"], F.concat(F.lit("h"), number(h["level"])), h["level"] - 1)
+        return F.concat(close, open_, title, body(h["at"] + 1, F.coalesce(F.get("heads", i + 1)["at"], F.size("lines")), h["level"]))
+
+    lead = body(F.lit(0), F.coalesce(F.get("heads", F.lit(0))["at"], F.size("lines")), F.lit(0))
+    whole = F.concat(F.lit('<article>\n<section id="sec-0">\n'), lead, F.array_join(F.transform("heads", chapter), ""), F.repeat(F.lit("</section>\n"), F.size("stack.open") + 1), F.lit("</article>\n"))
+    return own.select("doc_id", whole.alias("html"))
+
+
 def run_bounds(runs: DataFrame) -> DataFrame:
     """(par, start, stop, char_shape_id): equal neighbours are one run, and a run ends where the next begins, the last at null."""
     w = Window.partitionBy("par").orderBy("start")

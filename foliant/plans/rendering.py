@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import attributes as A
+from foliant.operators import documents as D
 from foliant.operators import edited as E
 from foliant.operators import nested as N
 from foliant.operators import styling as Y
@@ -144,3 +145,48 @@ def edited_nodes(spark, sf_dir):
     own = E.taken_over(order_nodes(spark, sf_dir, False), order_nodes(spark, sf_dir, True))
     look = [F.try_element_at("attrs", F.lit(n)).alias(n) for n in ("style", "para", "runs", "page_break", "border", "padding", "spacing")]
     return own.select("doc_id", "path", "kind", *look, "text")
+
+
+# Chapters: the lines of documents, of which every seventh starts with a number of one to four parts
+
+
+@query(S.CHAPTERS)
+def chapter_html(spark, sf_dir):
+    doc, part = F.col("doc_id"), lambda i, k: ((i * k + F.col("doc_id")) % 9 + 1).cast("string")
+    numbered = lambda x, i: F.when((i + doc) % 7 == 0, F.concat(F.array_join(F.slice(F.array(part(i, 1), part(i, 2), part(i, 3), part(i, 5)), F.lit(1), ((i * 3 + F.floor(i / 7) + doc) % 4 + 1).cast("int")), "."), F.lit(" "), F.substring(x, 1, 60))).otherwise(x)
+    return D.chapter_html(table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), numbered), "\n").alias("text")))
+
+
+# Files: packages and texts with assets made from pages, written by the sink and read again by the source
+
+
+@query("""SELECT 'd' || page_id || '.zip' AS document, 'Contents/section' || s || '.xml' AS part, octet_length(encode(CASE s WHEN 0 THEN coalesce(html, '') ELSE url END)) AS size,
+  md5(CASE s WHEN 0 THEN coalesce(html, '') ELSE url END) AS digest FROM pages, (VALUES (0), (1)) v(s)""")
+def parts_read(spark, sf_dir):
+    """The sections of packages that also hold an image and settings; only sections are inflated."""
+    from foliant.sources import files as L
+    from foliant.sources import packages as Z
+
+    L.register(spark)
+    own = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("html"), F.encode("url", "UTF-8").alias("url"))
+    part = lambda name, column: F.struct(F.lit(name).alias("name"), F.col(column).alias("bytes"))
+    parts = own.select("doc_id", F.inline(F.array(part("Contents/section0.xml", "html"), part("Contents/section1.xml", "url"), part("BinData/image1.png", "html"), part("settings.xml", "url"))))
+    folder = L.shared_folder(spark, "packages")
+    Z.packages(parts).select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".zip")).alias("file"), F.col("content").alias("bytes")).write.format("document_files").mode("append").save(folder)
+    read = spark.read.format("document_parts").load(folder).where("kind = 'section'")
+    return read.select("document", "part", "size", F.md5("bytes").alias("digest"))
+
+
+@query("""SELECT 'page-' || page_id || '.md' AS file, md5(coalesce(html, '')) AS digest FROM pages
+UNION ALL SELECT 'page-' || page_id || '.assets/' || CASE i WHEN 0 THEN 'an-image.png' WHEN 1 THEN 'An-Image~2.png' WHEN 2 THEN 'an-image~3.png' ELSE 'file' END, md5(url || CASE i WHEN 0 THEN 2 WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE 3 END) FROM pages, (VALUES (0), (1), (2), (3)) v(i)""")
+def files_roundtrip(spark, sf_dir):
+    """Pages as texts, each with four assets of which three names clash, committed together and read back."""
+    from foliant.sources import files as L
+
+    L.register(spark)
+    own = table(spark, sf_dir, "pages").select(F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("document"), "html", "url")
+    names = F.array(*map(F.lit, ("x/An Image.png", "y\\an image.png", "../an-image.png", "...")))
+    assets = own.select("document", "url", F.posexplode(names).alias("i", "name")).select("document", "name", F.encode(F.concat("url", F.col("i").cast("string")), "UTF-8").alias("bytes"))
+    folder = L.shared_folder(spark, "texts")
+    L.companions(own.select("document", F.col("html").alias("text")), assets).write.format("document_files").mode("append").save(folder)
+    return spark.read.format("document_files").load(folder).select("file", F.md5("bytes").alias("digest"))

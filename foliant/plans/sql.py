@@ -406,3 +406,24 @@ UNION ALL SELECT w.doc_id, w.path, 'table', NULL, NULL, NULL, NULL, CASE WHEN w.
     CASE WHEN p.old_spacing <> '0' THEN p.old_spacing END, NULL FROM new_ranked w LEFT JOIN pairs p ON p.doc_id = w.doc_id AND p.path = w.path
 UNION ALL SELECT doc_id, CASE WHEN n = 0 THEN tbl || '/c99' WHEN tbl LIKE '%/p0/t0' THEN tbl || '/c0' ELSE tbl || '/c' || (n * 2 + col) END, 'cell', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM new_cells
 """
+
+#: Chapters by a self join: a heading ends those earlier ones of no lower level that no heading between them ended.
+CHAPTERS = rf"""
+WITH raw AS (SELECT doc_id, i - 1 AS i, l[i] AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) AS u(i)),
+lines AS (
+  SELECT doc_id, i, {clean("CASE WHEN (i + doc_id) % 7 = 0 THEN array_to_string(list_slice([(i + doc_id) % 9 + 1, (2 * i + doc_id) % 9 + 1, (3 * i + doc_id) % 9 + 1, (5 * i + doc_id) % 9 + 1], 1, (i * 3 + i // 7 + doc_id) % 4 + 1), '.') || ' ' || left(x, 60) ELSE x END")} AS x FROM raw),
+leveled AS (SELECT *, {text_level('x')} AS level FROM lines),
+heads AS (SELECT doc_id, i, level FROM leveled WHERE level IS NOT NULL),
+ended AS (
+  SELECT a.doc_id, a.i AS opened, min(b.i) AS stop FROM heads a JOIN heads b ON a.doc_id = b.doc_id AND b.i > a.i AND b.level <= a.level GROUP BY a.doc_id, a.i),
+closes AS (SELECT doc_id, stop AS i, count(*) AS n FROM ended GROUP BY doc_id, stop),
+left_open AS (SELECT h.doc_id, count(*) AS n FROM heads h LEFT JOIN ended e ON e.doc_id = h.doc_id AND e.opened = h.i WHERE e.stop IS NULL GROUP BY h.doc_id),
+placed AS (SELECT *, coalesce(last_value(level IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i), 0) AS depth FROM leveled),
+shaped AS (
+  SELECT p.doc_id, p.i, CASE WHEN level IS NOT NULL THEN repeat('</section>' || chr(10), coalesce(c.n, 0)) || '<section class="chapter lv-' || level || '" id="sec-s0-p' || p.i || '">' || chr(10) ELSE '' END
+    || CASE WHEN {visible('x')} <> '' THEN '<' || CASE WHEN level IS NULL THEN 'p' ELSE 'h' || level END || ' id="par-s0-p' || p.i || '"' || CASE WHEN coalesce(level - 1, depth) > 0 THEN ' style="padding-left:' || coalesce(level - 1, depth) || 'em"' ELSE '' END
+      || '>' || {escapes('x', '&#39;')} || '</' || CASE WHEN level IS NULL THEN 'p' ELSE 'h' || level END || '>' || chr(10) ELSE '' END AS x
+  FROM placed p LEFT JOIN closes c ON c.doc_id = p.doc_id AND c.i = p.i)
+SELECT s.doc_id, '<article>' || chr(10) || '<section id="sec-0">' || chr(10) || string_agg(x, '' ORDER BY i) || repeat('</section>' || chr(10), 1 + coalesce(any_value(o.n), 0)) || '</article>' || chr(10) AS html
+FROM shaped s LEFT JOIN left_open o USING (doc_id) GROUP BY s.doc_id
+"""
