@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import attributes as A
+from foliant.operators import catalogue as C
 from foliant.operators import documents as D
 from foliant.operators import edited as E
 from foliant.operators import nested as N
@@ -190,3 +191,56 @@ def files_roundtrip(spark, sf_dir):
     folder = L.shared_folder(spark, "texts")
     L.companions(own.select("document", F.col("html").alias("text")), assets).write.format("document_files").mode("append").save(folder)
     return spark.read.format("document_files").load(folder).select("file", F.md5("bytes").alias("digest"))
+
+
+# Catalogues: parts as the shapes and styles of 25 documents, in two halves of which one is merged into the other
+
+
+def half_catalogue(spark: SparkSession, sf_dir: str, second: bool) -> dict[str, DataFrame]:
+    k, i = F.col("p_partkey"), F.floor(F.col("p_partkey") / 50)
+    own = table(spark, sf_dir, "part").where((k % 50 >= 25) == F.lit(second)).select((k % 25).alias("doc_id"), i.alias("id"), k.alias("k"), "p_brand")
+    n = F.col("k")
+    return {
+        "chars": own.select("doc_id", "id", (n % 4 * 2).cast("int").alias("attr"), (800 + n % 3 * 100).alias("height"), F.when(n % 5 == 0, 255).otherwise(0).cast("long").alias("color")),
+        "paras": own.select("doc_id", "id", (n % 6).cast("int").alias("align")),
+        "styles": own.select("doc_id", "id", "p_brand", F.col("id").alias("char_shape"), (F.col("id") % 7).alias("para_shape"), (F.col("id") % 3).alias("next_style")),
+    }
+
+
+@query(S.CATALOGUE + S.CATALOGUE_STYLES)
+def catalogue_styles(spark, sf_dir):
+    """Styles of the merged catalogues with the shapes that they refer to."""
+    t, _ = C.merged(half_catalogue(spark, sf_dir, False), half_catalogue(spark, sf_dir, True))
+    chars = t["chars"].select("doc_id", F.col("id").alias("char_shape"), "attr", "height", "color")
+    return t["styles"].join(chars, ["doc_id", "char_shape"]).join(t["paras"].select("doc_id", F.col("id").alias("para_shape"), "align"), ["doc_id", "para_shape"], "left")
+
+
+@query(S.CATALOGUE + S.CATALOGUE_NODES)
+def catalogue_references(spark, sf_dir):
+    """Paragraphs made of customers that refer to the second half's entries, moved to the merged ones."""
+    c = F.col("c_custkey")
+    pairs = F.create_map(F.lit("style"), (c % 5).cast("string"), F.lit("para"), (c % 9).cast("string"), F.lit("runs"), F.concat(F.lit("0:"), (c % 4).cast("string"), F.lit("|7:"), (c % 999).cast("string")))
+    nodes = table(spark, sf_dir, "customer").select((c % 30).alias("doc_id"), c.alias("path"), pairs.alias("attrs"))
+    _, maps = C.merged(half_catalogue(spark, sf_dir, False), half_catalogue(spark, sf_dir, True))
+    return C.with_references(nodes, maps).select("doc_id", "path", *(F.col("attrs")[n].alias(n) for n in ("style", "para", "runs")))
+
+
+@query("""WITH c AS (SELECT p_partkey % 25 AS doc_id, p_partkey // 50 AS id, CAST(p_partkey % 4 * 2 AS INTEGER) AS attr, 800 + p_partkey % 3 * 100 AS height, CASE WHEN p_partkey % 5 = 0 THEN 255 ELSE 0 END AS color FROM part WHERE p_partkey % 50 < 25),
+f AS (SELECT doc_id, min(id) AS base, max(id) + 1 AS fresh FROM c GROUP BY doc_id)
+SELECT c.*, NULL AS edit_shape FROM c UNION ALL SELECT doc_id, fresh, attr, height, CASE WHEN doc_id % 2 = 0 THEN 16777216 // 4 + 18 + 52 * 256 ELSE 255 END, fresh FROM c JOIN f USING (doc_id) WHERE id = base""")
+def edit_shape(spark, sf_dir):
+    """A shape for edited text in each document: a copy of the first one in another colour."""
+    chars = half_catalogue(spark, sf_dir, False)["chars"]
+    colours = chars.select("doc_id", F.when(F.col("doc_id") % 2 == 0, "#123440").otherwise("#12").alias("colour"))
+    shapes, ids = C.with_edit_shape(chars, colours)
+    return shapes.join(ids.select(F.col("doc_id").alias("_d"), "edit_shape"), (F.col("doc_id") == F.col("_d")) & (F.col("id") == F.col("edit_shape")), "left").drop("_d")
+
+
+@query("""SELECT DISTINCT conv_id AS doc_id, id, CASE WHEN id = 0 THEN '본문' ELSE '개요 ' || id END AS name, CASE WHEN id = 0 THEN 'Body' ELSE 'Outline ' || id END AS english,
+  [1000, 2000, 1700, 1500, 1300, 1200, 1100][id + 1] AS height, id > 0 AS bold, id AS level FROM conversations, unnest(range(0, 7)) AS u(id)""")
+def heading_catalogue(spark, sf_dir):
+    """Styles for imported headings with their shapes, for each conversation."""
+    chars, paras, styles = C.heading_catalogue(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id")))
+    chars = chars.select("doc_id", F.col("id").alias("char_shape"), F.col("height").cast("int").alias("height"), (A.bits(F.col("attr"), *A.CHAR_BITS["bold"]) > 0).alias("bold"))
+    paras = paras.select("doc_id", F.col("id").alias("para_shape"), A.bits(F.col("attr"), *A.PARA_BITS["heading_level"]).cast("long").alias("level"))
+    return styles.join(chars, ["doc_id", "char_shape"]).join(paras, ["doc_id", "para_shape"]).select("doc_id", "id", "name", "english", "height", "bold", "level")

@@ -427,3 +427,38 @@ shaped AS (
 SELECT s.doc_id, '<article>' || chr(10) || '<section id="sec-0">' || chr(10) || string_agg(x, '' ORDER BY i) || repeat('</section>' || chr(10), 1 + coalesce(any_value(o.n), 0)) || '</article>' || chr(10) AS html
 FROM shaped s LEFT JOIN left_open o USING (doc_id) GROUP BY s.doc_id
 """
+
+#: Two halves of the parts as catalogues; entries of the second that the first has are the first's, others follow its greatest id.
+CATALOGUE = """
+WITH own AS (SELECT p_partkey % 25 AS doc_id, p_partkey // 50 AS id, p_partkey AS k, p_brand, p_partkey % 50 >= 25 AS second FROM part),
+chars AS (SELECT *, CAST(k % 4 * 2 AS INTEGER) AS attr, 800 + k % 3 * 100 AS height, CASE WHEN k % 5 = 0 THEN 255 ELSE 0 END AS color FROM own),
+char_first AS (SELECT doc_id, attr, height, color, min(id) FILTER (WHERE NOT second) AS known, min(id) FILTER (WHERE second) AS asked FROM chars GROUP BY ALL),
+char_new AS (
+  SELECT f.*, CASE WHEN known IS NOT NULL THEN known ELSE coalesce((SELECT max(id) FROM chars c WHERE c.doc_id = f.doc_id AND NOT second), -1) + row_number() OVER (PARTITION BY f.doc_id, known IS NULL ORDER BY asked) END AS new FROM char_first f WHERE asked IS NOT NULL),
+char_map AS (SELECT c.doc_id, c.id AS old, n.new FROM chars c JOIN char_new n USING (doc_id, attr, height, color) WHERE second),
+paras AS (SELECT *, CAST(k % 6 AS INTEGER) AS align FROM own),
+para_first AS (SELECT doc_id, align, min(id) FILTER (WHERE NOT second) AS known, min(id) FILTER (WHERE second) AS asked FROM paras GROUP BY ALL),
+para_new AS (
+  SELECT f.*, CASE WHEN known IS NOT NULL THEN known ELSE coalesce((SELECT max(id) FROM paras c WHERE c.doc_id = f.doc_id AND NOT second), -1) + row_number() OVER (PARTITION BY f.doc_id, known IS NULL ORDER BY asked) END AS new FROM para_first f WHERE asked IS NOT NULL),
+para_map AS (SELECT c.doc_id, c.id AS old, n.new FROM paras c JOIN para_new n USING (doc_id, align) WHERE second),
+styles AS (
+  SELECT o.doc_id, o.id, o.second, p_brand, o.id % 3 AS next, CASE WHEN second THEN coalesce(c.new, o.id) ELSE o.id END AS cs, CASE WHEN second THEN coalesce(p.new, o.id % 7) ELSE o.id % 7 END AS ps
+  FROM own o LEFT JOIN char_map c ON c.doc_id = o.doc_id AND c.old = o.id LEFT JOIN para_map p ON p.doc_id = o.doc_id AND p.old = o.id % 7),
+style_first AS (SELECT doc_id, p_brand, cs, ps, min(id) FILTER (WHERE NOT second) AS known, min(id) FILTER (WHERE second) AS asked FROM styles GROUP BY ALL),
+style_new AS (
+  SELECT f.*, CASE WHEN known IS NOT NULL THEN known ELSE coalesce((SELECT max(id) FROM styles c WHERE c.doc_id = f.doc_id AND NOT second), -1) + row_number() OVER (PARTITION BY f.doc_id, known IS NULL ORDER BY asked) END AS new FROM style_first f WHERE asked IS NOT NULL),
+style_map AS (SELECT c.doc_id, c.id AS old, n.new FROM styles c JOIN style_new n USING (doc_id, p_brand, cs, ps) WHERE second)
+"""
+CATALOGUE_STYLES = """, all_chars AS (SELECT doc_id, id, attr, height, color FROM chars WHERE NOT second UNION ALL SELECT doc_id, new, attr, height, color FROM char_new WHERE known IS NULL),
+all_paras AS (SELECT doc_id, id, align FROM paras WHERE NOT second UNION ALL SELECT doc_id, new, align FROM para_new WHERE known IS NULL),
+all_styles AS (
+  SELECT doc_id, id, p_brand, cs, ps, next FROM styles WHERE NOT second
+  UNION ALL SELECT n.doc_id, n.new, n.p_brand, n.cs, n.ps, coalesce(m.new, asked % 3) FROM style_new n LEFT JOIN style_map m ON m.doc_id = n.doc_id AND m.old = asked % 3 WHERE known IS NULL)
+SELECT s.doc_id, s.id, p_brand, cs AS char_shape, ps AS para_shape, next AS next_style, attr, height, color, align
+FROM all_styles s JOIN all_chars c ON c.doc_id = s.doc_id AND c.id = cs LEFT JOIN all_paras p ON p.doc_id = s.doc_id AND p.id = ps
+"""
+CATALOGUE_NODES = """, refs AS (SELECT c_custkey % 30 AS doc_id, c_custkey AS k FROM customer)
+SELECT r.doc_id, k AS path, CAST(coalesce(s.new, k % 5) AS VARCHAR) AS style, CAST(coalesce(p.new, k % 9) AS VARCHAR) AS para, '0:' || coalesce(a.new, k % 4) || '|7:' || coalesce(b.new, k % 999) AS runs
+FROM refs r LEFT JOIN style_map s ON s.doc_id = r.doc_id AND s.old = k % 5 LEFT JOIN para_map p ON p.doc_id = r.doc_id AND p.old = k % 9
+LEFT JOIN char_map a ON a.doc_id = r.doc_id AND a.old = k % 4 LEFT JOIN char_map b ON b.doc_id = r.doc_id AND b.old = k % 999
+"""
