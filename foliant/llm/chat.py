@@ -6,7 +6,7 @@ every attachment leaves an ordered placeholder, and records reference and expand
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -69,27 +69,32 @@ def flattened(turns: DataFrame) -> DataFrame:
     return turns.withColumn("_known", known).withColumns({"content": shown, "attachments": refs}).drop("_known")
 
 
+def _with(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def chat_format(turns: DataFrame) -> DataFrame:
-    """(conv_id, formatted, spans, attachments, attachment_tokens) of turns(conv_id, turn, role, parts).
+    """(conv_id, formatted, spans, byte_spans, attachments, attachment_tokens) of turns(conv_id, turn, role, parts).
 
     One row for each conv_id, null included; turns in order of turn (null first), ties by role and content, repeated rows kept.
-    A null role counts as empty. `spans` are the (start, length) code-point ranges of the formatted string on which loss is taken:
-    the content of every turn whose role is assistant, attachments' placeholders included. A conversation is one value of the
-    result, so its turns meet in one task; they are gathered there by a sort aggregate that spills.
+    A null role counts as empty. `spans` are the (start, length) code-point ranges of the formatted string on which loss is taken, byte_spans
+    the same in bytes: the content of every turn whose role is assistant, attachments' placeholders included. Where a turn begins is a running sum
+    over the turns before they are gathered. A conversation is one value of the result, so its turns meet in one task, sorted and
+    gathered there by operators that spill; the work grows with their number.
     """
     flat = flattened(turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), "parts"))
-    one = F.struct("turn", "role", "content", "attachments")
-    held = flat.groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("t"))
-    shown = F.transform("t", lambda x: F.concat(F.lit(START), escaped_role(x["role"]), F.lit("\n"), x["content"], F.lit(END + "\n")))
-    lengths = F.transform("t", lambda x: F.struct((F.length(escaped_role(x["role"])) + len(START) + 1).alias("head"), F.length(x["content"]).alias("body"), (x["role"] == "assistant").alias("loss")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
-    step = lambda acc, x: F.struct(
-        (acc["at"] + x["head"] + x["body"] + len(END) + 1).alias("at"),
-        F.when(x["loss"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["head"]).alias("start"), x["body"].alias("length"))))).otherwise(acc["spans"]).alias("spans"),
-    )
-    spans = F.aggregate(lengths, start, step, lambda acc: acc["spans"])
+    shown = F.concat(F.lit(START), escaped_role(F.col("role")), F.lit("\n"), "content", F.lit(END + "\n"))
+    flat = flat.withColumn("shown", shown)
+    order = ["turn", "role", "content", "attachments"]
+    before = Window.partitionBy("conv_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    tail = len(END) + 1
+    placed = flat.withColumns({f"{n}_at": F.coalesce(F.sum(size("shown")).over(before), F.lit(0)) for n, size in (("char", F.length), ("byte", F.octet_length))})
+    held = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(*order, "char_at", "byte_at", "shown"))).alias("t"))
+    loss = F.filter("t", lambda x: x["role"] == "assistant")
+    span = lambda n, size: F.transform(loss, lambda x: F.struct((x[f"{n}_at"] + size(x["shown"]) - size(x["content"]) - tail).cast("int").alias("start"), size(x["content"]).cast("int").alias("length")))
     refs = F.flatten(F.transform("t", lambda x, i: F.transform(x["attachments"], lambda a: F.struct(i.alias("turn"), a["ordinal"].alias("ordinal"), a["kind"].alias("kind"), a["ref"].alias("ref"), a["tokens"].alias("tokens")))))
-    out = held.select("conv_id", F.array_join(shown, "").alias("formatted"), spans.alias("spans"), refs.alias("attachments"))
+    out = held.select("conv_id", F.array_join(F.transform("t", lambda x: x["shown"]), "").alias("formatted"), span("char", F.length).alias("spans"), span("byte", F.octet_length).alias("byte_spans"), refs.alias("attachments"))
     return out.withColumn("attachment_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda a, x: a + x["tokens"]))
 
 
@@ -109,7 +114,9 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = rows.unionByName(probe).withColumn("parts", text_part(F.coalesce("text", F.lit(""))))
     out = chat_format(turns).withColumn("back", parsed(F.col("formatted")))
     told = F.array_join(F.transform("back", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    masked = F.array_join(F.transform("spans", lambda s: unescaped(F.substring(F.col("formatted"), s["start"] + 1, s["length"]))), "")
+    # Cut by bytes, which needs no walk from the beginning of the string to each span.
+    cut = lambda raw: F.transform("byte_spans", lambda s: unescaped(F.decode(F.substring(raw, s["start"] + 1, s["length"]), "UTF-8")))
+    masked = _with(F.col("formatted").cast("binary"), lambda raw: F.array_join(cut(raw), ""))
     out = out.withColumns({"told": told, "masked": masked})
     return out.select(
         "conv_id",

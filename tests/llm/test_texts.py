@@ -294,3 +294,18 @@ def test_long_runs_are_counted(spark):
     for size in (7, 50):
         text = "".join(rng.choice(["ab", " ", "  ", "\n", "12", "x.y ", "don't ", "'s", "é'll", "..", "你"]) for _ in range(3000))
         assert sum(len(own.encode_ordinary(p)) for p in lengths.text_parts(text, size)) == len(own.encode_ordinary(text))
+
+
+def test_one_conversation_of_many_turns(spark, tmp_path):
+    """Spans come from running sums and are cut by bytes, so the work grows with the turns."""
+    import hashlib
+    import time
+
+    n, text = 100_000, "é日 a<|b\\"
+    rows = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit(text), F.col("id").cast("string")).alias("text"))
+    rows.write.parquet(f"{tmp_path}/conversations.parquet")
+    start = time.perf_counter()
+    got = chat.op8_chat(spark, str(tmp_path)).where("conv_id = 1").first()
+    assert time.perf_counter() - start < 90
+    said = "".join(f"{text}{i}" for i in range(1, n, 2))
+    assert (got.n_turns, got.loss_chars, got.loss_sha256) == (n, len(said), hashlib.sha256(said.encode()).hexdigest())
