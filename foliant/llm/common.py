@@ -138,5 +138,13 @@ def shingle_parts(text: str | None, n: int) -> Iterator[np.ndarray]:
         yield hash_shingles(carry, n)
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """The name, or one made from it, that none of the columns has, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def parts_of(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

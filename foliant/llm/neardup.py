@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, parts_of, removed, shingle_parts, trimmed, written, written_at
+from .common import fresh, lean, parts_of, removed, shingle_parts, trimmed, written, written_at
 from .components import connected_components, forest
 from .simhash import _MOST_VARIANTS, _joined, _masks, _mixed, bit_counts
 
@@ -411,8 +411,9 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
 
 def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs, with all their columns, whose document stays by groups(); of repeated rows of one document, one."""
-    held = groups(docs, words, similarity).where("stays").select(F.col("h").alias("_h"), F.coalesce("doc_id", F.lit(2**63 - 1)).alias("_id"))
     columns = docs.columns
-    own = docs.withColumns({"_digest": F.md5(F.coalesce("text", F.lit("")).cast("binary")), "_key": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))})
-    kept = own.join(held, (own["_digest"] == held["_h"]) & (own["_key"] == held["_id"]), "left_semi")
-    return kept.dropDuplicates(["_digest", "_key"]).select(*columns)
+    digest, key = fresh(columns, "_digest"), fresh(columns, "_key")
+    none = F.lit(2**63 - 1)
+    held = groups(docs.select("doc_id", "text"), words, similarity).where("stays").select(F.col("h").alias(digest), F.coalesce("doc_id", none).alias(key))
+    own = docs.withColumns({digest: F.md5(F.coalesce("text", F.lit("")).cast("binary")), key: F.coalesce(F.col("doc_id").cast("long"), none)})
+    return own.join(held, [digest, key], "left_semi").dropDuplicates([digest, key]).select(*(F.col(f"`{c}`") for c in columns))
