@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import decontamination, neardup, pieces, toxicity
-from foliant.llm.common import table, written
+from foliant.llm.common import fresh, table, written
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops every document that a model fitted on the labelled rows of these documents scores 0.5 or more. The scores travel beside the
     rows, so repeated rows and clashing columns stay as they are."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.with_score(docs, model, "_toxicity").where(F.col("_toxicity") < 0.5).drop("_toxicity")
+    score = fresh(docs.columns, "_toxicity")
+    return toxicity.with_score(docs, model, score).where(F.col(score) < 0.5).drop(score)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
