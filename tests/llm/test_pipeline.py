@@ -34,3 +34,16 @@ def test_null_and_empty_rows(spark, sf_dir):
     empty = spark.createDataFrame([], schema)
     for name, stage in p.STAGES:
         assert stage(spark, empty, sf_dir).collect() == []
+
+
+def test_columns_of_any_name_stay(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    names = ("_digest", "_Key", "_toxicity", "__toxicity", "score", "toxic", "quality", "label", "h", "node", "stays", "predicted", "item_id", "row")
+    docs = table(spark, sf_dir, "documents")
+    wide = docs.withColumns({n: F.col("doc_id").cast("int") + i for i, n in enumerate(names)})
+    for name, stage in p.STAGES[:3]:
+        docs, wide = stage(spark, docs, sf_dir), stage(spark, wide, sf_dir)
+        assert wide.columns[5:] == list(names)
+    assert wide.where(" OR ".join(f"`{n}` <> doc_id + {i}" for i, n in enumerate(names))).count() == 0
+    assert sorted(r.doc_id for r in wide.collect()) == sorted(r.doc_id for r in docs.collect())
