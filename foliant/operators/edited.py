@@ -8,6 +8,7 @@ ranks over paths and joins.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,7 +116,8 @@ def taken_over(frozen: DataFrame, typed: DataFrame) -> DataFrame:
     A paired table takes border, padding and spacing, the paragraph that holds it style, shape and runs of the original's holder (of several tables, by the
     last). A paragraph of a paired cell takes the same, a page break, and the whole text where the edit holds only the first line of it."""
     nothing = F.create_map().cast("map<string,string>")
-    frozen, typed = (df.withColumn("attrs", F.coalesce("attrs", nothing)) for df in (frozen, typed))
+    # Both are met several times over; what is lost of them is computed again.
+    frozen, typed = (df.withColumn("attrs", F.coalesce("attrs", nothing)).persist(StorageLevel.MEMORY_AND_DISK) for df in (frozen, typed))
     tables = paired_tables(frozen, typed)
     of_tables = tables.select(*KEYS, _taken(TABLE_DEFAULTS).alias("attrs"), F.lit(None).cast("string").alias("text"))
 

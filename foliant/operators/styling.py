@@ -128,3 +128,50 @@ def html_paragraphs(nodes: DataFrame, shapes: DataFrame, paras: DataFrame, fonts
     aligned = own.join(looks, (F.col("doc_id") == F.col("_d")) & (F.col("_p") == F.col("_i")), "left").select(*KEYS, paragraph_style(F.col("indent"), F.col("align")).alias("style"))
     text = styled_paragraphs(nodes, shapes, fonts).where(has_visible_body(F.col("html")))
     return text.join(aligned, KEYS).select(*KEYS, F.concat(F.lit("<p"), "style", F.lit(">"), "html", F.lit("</p>")).alias("block"))
+
+
+# Styles as classes
+
+_SPAN, _CLASS = '<span style="', '<span class="'
+#: A rule of the style block that hoisting writes; the block ends at its own line.
+_RULE = r"(?m)^article \.(s[0-9]+) \{ ([^\n]*) \}$"
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _swapped(html: Column, head: str, other: str, known: Column) -> Column:
+    """html with `head` X `">` become `other` map[X] `">` wherever the map has X."""
+    name = lambda p: F.substring_index(p, '"', 1)
+    found = lambda p: F.when(F.startswith(F.substring(p, F.length(name(p)) + 1, F.lit(2)), F.lit('">')), F.try_element_at(known, name(p)))
+    rest = lambda p: F.substring(p, F.length(name(p)) + 1, F.length(p))
+    return F.array_join(F.transform(F.split(html, head), lambda p, i: F.when(i == 0, p).otherwise(F.coalesce(F.concat(F.lit(other), found(p), rest(p)), F.concat(F.lit(head), p)))), "")
+
+
+def hoisted(html: Column) -> Column:
+    """A document with the styles of its spans that stand twice or more as classes s0, s1 .., most frequent first, equal ones by their text; the rules stand before
+    it. Without such styles it stays as it is. Null stays null. Counting sorts the styles in the row, and each is looked up as the text is cut."""
+    styles = F.transform(F.slice(F.split(html, _SPAN), F.lit(2), F.size(F.split(html, _SPAN))), lambda p: F.substring_index(p, '"', 1))
+
+    def counted(s: Column) -> Column:
+        """(-count, style) of each style, sorted."""
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        sizes = lambda b: F.transform(b, lambda i, k: F.struct((i - F.coalesce(F.get(b, k + 1), F.size(s))).alias("n"), F.get(s, i).alias("style")))
+        return F.when(F.size(s) == 0, F.array().cast("array<struct<n:int,style:string>>")).otherwise(F.array_sort(_bound(starts, sizes)))
+
+    def written(top: Column) -> Column:
+        names = F.map_from_entries(F.transform(top, lambda x, i: F.struct(x["style"], F.concat(F.lit("s"), i.cast("string")))))
+        rules = F.array_join(F.transform(top, lambda x, i: F.concat(F.lit("article .s"), i.cast("string"), F.lit(" { "), x["style"], F.lit(" }\n"))), "")
+        return F.when(F.size(top) == 0, html).otherwise(F.concat(F.lit("<style>\n"), rules, F.lit("</style>\n"), _bound(names, lambda m: _swapped(html, _SPAN, _CLASS, m))))
+
+    return _bound(F.filter(_bound(F.sort_array(styles), counted), lambda x: x["n"] <= -2), written)
+
+
+def expanded(html: Column) -> Column:
+    """Inverse of hoisted() for documents whose own spans have no class s0, s1 ..: each such class is its rule's style again and the rules go."""
+    block = F.regexp_extract(html, r"^<style>\n((?:article \.s[0-9]+ \{ [^\n]* \}\n)+)</style>\n", 1)
+    rest = F.substring(html, F.length(block) + len("<style>\n</style>\n") + 1, F.length(html))
+    names = F.map_from_arrays(F.regexp_extract_all(block, F.lit(_RULE), 1), F.regexp_extract_all(block, F.lit(_RULE), 2))
+    return F.when(block == "", html).otherwise(_bound(names, lambda m: _swapped(rest, _CLASS, _SPAN, m)))

@@ -244,3 +244,16 @@ def heading_catalogue(spark, sf_dir):
     chars = chars.select("doc_id", F.col("id").alias("char_shape"), F.col("height").cast("int").alias("height"), (A.bits(F.col("attr"), *A.CHAR_BITS["bold"]) > 0).alias("bold"))
     paras = paras.select("doc_id", F.col("id").alias("para_shape"), A.bits(F.col("attr"), *A.PARA_BITS["heading_level"]).cast("long").alias("level"))
     return styles.join(chars, ["doc_id", "char_shape"]).join(paras, ["doc_id", "para_shape"]).select("doc_id", "id", "name", "english", "height", "bold", "level")
+
+
+# Styles as classes: pages with a span before every fifth tag, in seven styles and one of the page's own
+
+
+@query(S.HOISTED)
+def hoisted_html(spark, sf_dir):
+    """Repeated styles as classes, and back."""
+    i = lambda k: (k * F.col("page_id") % 7).cast("string")
+    span = lambda k: F.when(k % 35 == 5, F.concat(F.lit('<span style="one:'), k.cast("string"), F.lit('">'))).when(k % 5 == 0, F.concat(F.lit('<span style="w:'), i(k), F.lit('">'))).otherwise("")
+    html = F.array_join(F.transform(F.split(F.coalesce("html", F.lit("")), "<"), lambda x, k: F.concat(F.when(k == 0, "").otherwise(F.concat(span(k), F.lit("<"))), x)), "")
+    own = table(spark, sf_dir, "pages").select("page_id", html.alias("html")).withColumn("classed", Y.hoisted(F.col("html")))
+    return own.select("page_id", F.md5("classed").alias("digest"), (Y.expanded(F.col("classed")) == F.col("html")).alias("same"), F.length("classed").cast("long").alias("n"))

@@ -462,3 +462,15 @@ SELECT r.doc_id, k AS path, CAST(coalesce(s.new, k % 5) AS VARCHAR) AS style, CA
 FROM refs r LEFT JOIN style_map s ON s.doc_id = r.doc_id AND s.old = k % 5 LEFT JOIN para_map p ON p.doc_id = r.doc_id AND p.old = k % 9
 LEFT JOIN char_map a ON a.doc_id = r.doc_id AND a.old = k % 4 LEFT JOIN char_map b ON b.doc_id = r.doc_id AND b.old = k % 999
 """
+
+HOISTED = """
+WITH pieces AS (SELECT page_id, k - 1 AS k, l[k] AS x FROM (SELECT page_id, string_split(coalesce(html, ''), '<') AS l FROM pages), unnest(range(1, len(l) + 1)) AS u(k)),
+spans AS (SELECT *, CASE WHEN k = 0 THEN NULL WHEN k % 35 = 5 THEN 'one:' || k WHEN k % 5 = 0 THEN 'w:' || (k * page_id) % 7 END AS style FROM pieces),
+counts AS (SELECT page_id, style, count(*) AS n FROM spans WHERE style IS NOT NULL GROUP BY ALL HAVING count(*) > 1),
+names AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n DESC, style) - 1 AS i FROM counts),
+rules AS (SELECT page_id, '<style>' || chr(10) || string_agg('article .s' || i || ' { ' || style || ' }' || chr(10), '' ORDER BY i) || '</style>' || chr(10) AS head FROM names GROUP BY page_id),
+bodies AS (
+  SELECT s.page_id, string_agg(CASE WHEN s.style IS NULL THEN '' WHEN i IS NULL THEN '<span style="' || s.style || '">' ELSE '<span class="s' || i || '">' END || CASE WHEN k = 0 THEN '' ELSE '<' END || x, '' ORDER BY k) AS body
+  FROM spans s LEFT JOIN names n ON n.page_id = s.page_id AND n.style = s.style GROUP BY s.page_id)
+SELECT page_id, md5(coalesce(head, '') || body) AS digest, true AS same, length(coalesce(head, '') || body) AS n FROM bodies LEFT JOIN rules USING (page_id)
+"""

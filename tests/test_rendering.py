@@ -202,3 +202,35 @@ def test_flags_reach_outer_tables(spark, levels):
     nodes = spark.createDataFrame(rows, NODE)
     got = {x.path: x.found for x in N.any_nested(nodes, nodes.where(F.col("path").endswith("t3")), levels).collect()}
     assert [got[p] for _, _, _, p, *_ in rows] == [levels > 1, levels > 0, True, False]
+
+
+def test_hoisting_and_back(spark):
+    r = random.Random(12)
+    plain = ["", None, "no span", '<span style="a:1">x</span>', '<span style="a:1">x<span style="a:1">', '<span style="b">1<span style="a">2<span style="a">3<span style="b">4', '<span style="a" id="q"><span style="a">', '<span style="a"><span style="a', '<span class="own"><span style=""><span style="">', "<style>\nother\n</style>\n<p>"]
+    cases = plain + ["".join(r.choice(['<span style="c:%d">' % r.randrange(15), "text ", "</span>", "\n", '<b class="s1">']) for _ in range(r.randrange(0, 80))) for _ in range(150)]
+
+    def classed(html):
+        if html is None:
+            return None
+        styles = [p.split('"')[0] for p in html.split('<span style="')[1:]]
+        top = [s for s in sorted(set(styles), key=lambda s: (-styles.count(s), s)) if styles.count(s) > 1]
+        body = html
+        for i, s in enumerate(top):
+            body = body.replace(f'<span style="{s}">', f'<span class="s{i}">')
+        return "<style>\n" + "".join(f"article .s{i} {{ {s} }}\n" for i, s in enumerate(top)) + "</style>\n" + body if top else html
+
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, html string").withColumn("classed", Y.hoisted(F.col("html")))
+    got = {x.i: (x.html, x.classed, x.back) for x in df.withColumn("back", Y.expanded(F.col("classed"))).collect()}
+    assert {i: (h, c) for i, (h, c, _) in got.items()} == {i: (h, classed(h)) for i, h in enumerate(cases)}
+    assert all(b == h for h, _, b in got.values())
+
+
+def test_chapters_of_texts(spark):
+    r = random.Random(13)
+    lines = lambda n: "\n".join(r.choice(["", "plain <b>", "1. Head", "1.2 Sub", "1.2.3 Deep", "  spaced  ", "끝이다."]) for _ in range(n))
+    from foliant.operators.documents import chapter_html
+
+    docs = [(i, lines(r.randrange(0, 30))) for i in range(60)] + [(60, None), (61, "")]
+    got = {x.doc_id: x.html for x in chapter_html(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    level = {"1. Head": 1, "1.2 Sub": 2, "1.2.3 Deep": 3}.get
+    assert got == {i: html([(None, x, []) for x in (t or "").split("\n")], lambda x: level(x.strip())) for i, t in docs}
