@@ -302,7 +302,7 @@ def test_one_conversation_of_many_turns(spark, tmp_path):
     import time
 
     n, text = 100_000, "é日 a<|b\\"
-    rows = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit(text), F.col("id").cast("string")).alias("text"))
+    rows = spark.range(n).select(chat.F.lit(1).cast("long").alias("conv_id"), chat.F.col("id").alias("turn"), chat.F.when(chat.F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), chat.F.concat(chat.F.lit(text), chat.F.col("id").cast("string")).alias("text"))
     rows.write.parquet(f"{tmp_path}/conversations.parquet")
     start = time.perf_counter()
     got = chat.op8_chat(spark, str(tmp_path)).where("conv_id = 1").first()
