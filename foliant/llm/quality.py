@@ -90,22 +90,23 @@ def counted(docs: DataFrame, *carried: Column) -> DataFrame:
 
 @dataclass(frozen=True)
 class Measured:
-    """A rule with its share of rejected documents and its seconds over the sample."""
+    """A rule with its share of rejected documents and its seconds over the sample; times below `noise` can't be told apart."""
 
     rule: Rule
     share: float
     seconds: float
+    noise: float = 1e-4
 
     @property
     def gain(self) -> float:
-        return self.share / max(self.seconds, 1e-4)
+        return self.share / max(self.seconds, self.noise)
 
 
 def measured(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Measured]:
     """The rules in the order in which the cascade tests them: falling rejections per second, by name where they are equal.
 
     The sample is drawn from all rows (about sample_rows, counts and base rule applied as in the cascade) and written once; each rule is timed on it
-    alone, less what reading takes, the fastest of three runs."""
+    alone, less what reading takes, the fastest of three runs; less than half of what reading takes is noise and counts as that half."""
     total = docs.count()
     some = docs.sample(min(1.0, sample_rows / max(1, total)), seed=42)
     held, path = written_at(counted(some).where(f"NOT coalesce({BASE.rejects}, false)").repartition(2), "quality-sample")
@@ -117,7 +118,7 @@ def measured(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int
         share[r] = held.select(F.avg(F.coalesce(F.expr(r.rejects), F.lit(False)).cast("double"))).first()[0] or 0.0
         seconds[r] = min(seconds.get(r, 1e9), time.perf_counter() - start)
     removed(docs.sparkSession, path)
-    found = [Measured(r, share[r], max(0.0, seconds[r] - seconds[idle])) for r in rules]
+    found = [Measured(r, share[r], max(0.0, seconds[r] - seconds[idle]), seconds[idle] / 2) for r in rules]
     return sorted(found, key=lambda m: (-m.gain, m.rule.name))
 
 
