@@ -43,16 +43,22 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/foliant/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once as Parquet into the shared folder and reads it back: lineage ends there, and a lost executor costs a reread."""
-    return written_at(df, name)[0]
+def written(df: DataFrame, name: str, group_bytes: int | None = None) -> DataFrame:
+    """Writes df once as Parquet into the shared folder and reads it back: lineage ends there, and a lost executor costs a reread.
 
+    group_bytes bounds a row group, for tables of large rows: a task that writes holds one whole, and one that reads decodes as many of its rows at
+    once as a batch holds."""
+    return written_at(df, name, group_bytes)[0]
 
-def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+
+def written_at(df: DataFrame, name: str, group_bytes: int | None = None) -> tuple[DataFrame, str]:
     """As written(), with the table's path."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    writer = df.write
+    if group_bytes:
+        writer = writer.option("parquet.block.size", group_bytes).option("parquet.page.size.row.check.min", 8)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

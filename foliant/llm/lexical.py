@@ -31,6 +31,8 @@ from .common import lean, slices, table, written
 BLOCK, CHUNK, ENTRIES, FIRST = 16, 4096, 1 << 18, 4
 #: Words of the queries that are searched in one pass; more queries take several passes over the index.
 SHARD_WORDS = 200_000
+#: Bytes of a row group of the index. Spark decodes up to 4,096 rows of a group at once, and a block with its lists may take a megabyte.
+GROUP_BYTES = 4 << 20
 #: Length norm and saturation: m = 25 + 75 * length / mean length, impact = 10^9 tf / (1000 tf + 8 m).
 SCALE, TF, NORM = 10**9, 1000, 8
 
@@ -146,7 +148,7 @@ def index(docs: DataFrame) -> Index:
                         yield from flushed()
         yield from flushed()
 
-    return Index(written(own.mapInArrow(lean(work), INDEX), "lexical"), n_docs, n_terms)
+    return Index(written(own.mapInArrow(lean(work), INDEX), "lexical", GROUP_BYTES), n_docs, n_terms)
 
 
 @dataclass
@@ -275,7 +277,7 @@ def _searched(spark: SparkSession, index: Index, rows: list, k: int) -> DataFram
             yield pa.RecordBatch.from_arrays([b.column("block"), cut(number), cut(_lists(b.column("most"))[1].to_numpy()), cut(_lists(b.column("holders"))[1].to_numpy())], names=["block", "terms", "most", "holders"])
 
     seen = index.blocks.select("block", "terms", "most", "holders").mapInArrow(lean(relevant), "block long, terms array<long>, most array<long>, holders array<int>")
-    seen = written(seen, "relevant")
+    seen = written(seen, "relevant", GROUP_BYTES)
     one = F.explode(F.arrays_zip("terms", "holders"))
     df = {r.term: r.df for r in seen.select(one.alias("x")).groupBy(F.col("x.terms").alias("term")).agg(F.sum("x.holders").alias("df")).collect()}
     weights = np.array([math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df.get(t, 0) + 1))) for t in range(len(terms))], np.int64)

@@ -108,3 +108,16 @@ def test_bounds_hold_and_prune(spark, sf_dir):
                 assert block.scores(column_of, t, w).max() <= bounds[j]
             seen, pruned = seen + len(bounds), pruned + int((bounds == 0).sum())
     assert pruned > seen * 0.7
+
+
+def test_index_rows_are_read_few_at_a_time(spark):
+    """Row groups of the index are bounded, since a task decodes as many rows of a group at once as a batch holds."""
+    import pyarrow.parquet as pq
+
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"{rng.randrange(10**9):x}" for _ in range(2000))) for i in range(1000)]
+    whole = lexical.index(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    (path,) = [f.removeprefix("file:").replace("//", "/") for f in whole.blocks.inputFiles()]
+    meta = pq.ParquetFile(path).metadata
+    sizes = [meta.row_group(i).total_byte_size for i in range(meta.num_row_groups)]
+    assert len(sizes) > 4 and max(sizes) < 4 * lexical.GROUP_BYTES
