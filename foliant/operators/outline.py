@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 
 from foliant.functions.text import WHITE, clean_text, escape_record
 from foliant.sources.packages import NODE
+from foliant.spark import parts_of
 
 ANCHOR = "￼"
+#: Nodes of an Arrow batch, a document's last ones aside.
+NODES = 4096
 _HEAD = re.compile(r"(SECTION|PARAGRAPH|TABLE|CELL|FIGURE|END TABLE|TEXT)(?:\[([^\]]*)\])?(:?)(.*)", re.S)
 _ATX = re.compile(r"(#{1,6}) (.*)", re.S)
 _ESCAPE = re.compile(r"\\([\\nt])")
@@ -29,8 +32,8 @@ def _attributes(inside: str | None) -> dict[str, str]:
 
 
 def _number(a: dict[str, str], key: str, default: int = 0) -> int:
-    v = a.get(key, "")
-    return int(v) if re.fullmatch(r"[+-]?[0-9]{1,18}", v) else default
+    v = a.get(key)
+    return default if v is None else int(v) if re.fullmatch(r"[+-]?[0-9]{1,18}", v) else default
 
 
 class _Table:
@@ -144,16 +147,22 @@ def nodes_of_records(text: str) -> Iterator[tuple[int, int, str, str, dict[str,
 
 
 def nodes(records: DataFrame) -> DataFrame:
-    """NODE rows of records(doc_id, records). A null text has none. Documents are read one at a time, so memory follows the longest."""
+    """NODE rows of records(doc_id, records). A null text has none. Documents are read one at a time, so memory follows the longest; the nodes of many
+    short ones share a batch."""
     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string())
     names = ["doc_id", "section", "ord", "path", "kind", "attrs", "text"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+        rows: list[tuple] = []
         for b in batches:
-            for doc, text in zip(b.column(0), b.column(1)):
-                rows = [(doc.as_py(), s, i, path, kind, list(attrs.items()), body) for s, i, path, kind, attrs, body in nodes_of_records(text.as_py() or "")]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
+                rows += [(doc, s, i, path, kind, list(attrs.items()), body) for s, i, path, kind, attrs, body in nodes_of_records(text.as_py() or "")]
+                if len(rows) >= NODES:
+                    yield made(rows)
+                    rows = []
+        if rows:
+            yield made(rows)
 
     return records.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "records").mapInArrow(work, NODE)
 
@@ -177,13 +186,16 @@ def to_records(nodes: DataFrame) -> DataFrame:
     figure = F.concat(F.lit("FIGURE[id=fig-"), place, F.lit(",bin_id="), F.regexp_extract(a("bin"), "([0-9]*)$", 1), F.lit(",width_mm="), F.coalesce(mm("width"), F.lit("0")), F.lit(",height_mm="), F.coalesce(mm("height"), F.lit("0")), F.lit("]"))
     nested = F.col("path").contains("/")
     line = F.when(F.col("kind") == "paragraph", F.when(nested, inner).otherwise(top)).when(F.col("kind") == "table", table).when(F.col("kind") == "cell", cell).when(F.col("kind") == "picture", figure)
-    keys = ["doc_id", "section"]
-    lines = nodes.select(*keys, "ord", F.lit(0).alias("after"), line.alias("line")).where("line IS NOT NULL")
+    # Everything comes from one pass over the nodes, dealt out by document: a line for each node, and for each table that holds it, or is it, an end,
+    # of which the last counts. Deeper tables end first: the deepest has the smallest number after one node.
     steps = F.split("path", "/")
     above = F.transform(F.filter(F.sequence(F.lit(1), F.size(steps)), lambda i: F.get(steps, i - 1).startswith("t")), lambda i: F.array_join(F.slice(steps, 1, i), "/"))
-    ends = nodes.select(*keys, "ord", F.explode(above).alias("t")).groupBy(*keys, "t").agg(F.max("ord").alias("ord"))
-    # Deeper tables end first: the deepest has the smallest number after one node.
-    closing = ends.select(*keys, "ord", (F.lit(1_000_000) - F.size(F.split("t", "/"))).alias("after"), F.concat(F.lit("END TABLE[tbl-s"), F.col("section").cast("string"), F.lit("-"), F.replace(F.col("t"), F.lit("/"), F.lit("-")), F.lit("]")).alias("line"))
-    opening = nodes.select(*keys).distinct().select(*keys, F.lit(-1).alias("ord"), F.lit(0).alias("after"), F.concat(F.lit("SECTION[id=sec-"), F.col("section").cast("string"), F.lit("]")).alias("line"))
-    whole = lines.unionByName(closing).unionByName(opening).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("section", "ord", "after", "line"))).alias("l"))
-    return whole.select("doc_id", F.concat(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n")).alias("records"))
+    close = lambda t: F.concat(F.lit("END TABLE[tbl-s"), F.col("section").cast("string"), F.lit("-"), F.replace(t, F.lit("/"), F.lit("-")), F.lit("]"))
+    ends = F.transform(above, lambda t: F.struct(t.alias("t"), (F.lit(1_000_000) - F.size(F.split(t, "/"))).alias("after"), close(t).alias("line")))
+    dealt = nodes.select("doc_id", "section", "ord", line.alias("line"), ends.alias("ends")).repartition(parts_of(nodes.sparkSession), "doc_id")
+    # A line has its node's number for a table, so that it stays by itself.
+    rows = dealt.select("doc_id", "section", "ord", F.inline(F.concat(F.array(F.struct(F.concat(F.lit("#"), F.col("ord").cast("string")).alias("t"), F.lit(0).alias("after"), F.col("line").alias("line"))), "ends")))
+    last = rows.groupBy("doc_id", "section", "t").agg(F.max("ord").alias("ord"), F.first("after").alias("after"), F.first("line").alias("line"))
+    whole = last.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("section", "ord", "after", "line"))).alias("l"))
+    head = lambda x, i: F.when((i == 0) | (F.get("l", i - 1)["section"] != x["section"]), F.concat(F.lit("SECTION[id=sec-"), x["section"].cast("string"), F.lit("]")))
+    return whole.select("doc_id", F.concat(F.array_join(F.flatten(F.transform("l", lambda x, i: F.array(head(x, i), x["line"]))), "\n"), F.lit("\n")).alias("records"))

@@ -12,6 +12,7 @@ from foliant.operators import documents as D
 from foliant.operators import parts as P
 from foliant.operators import tables as T
 from foliant.sources import headers as H
+from foliant.spark import spread
 
 from . import sql as S
 from .fixtures import fixture, nodes, values
@@ -163,7 +164,7 @@ def record_tree(spark, sf_dir):
         F.lit("SECTION[id=sec-0]\nPARAGRAPH[id=x,para_shape=4]\nTEXT: ## "), "p_name", F.lit("\nPARAGRAPH[id=y,page_break=1]\nTABLE[id=t,border_fill=2]\nCELL[id=c,row=0,col=0,colspan=2]\nTEXT: head\nTEXT[par-z,char_shape=3]: more\nCELL[id=d,row=1,col=0]\nTABLE[id=u]\nCELL[row=0,col=0]\nTEXT: nested "), "p_name",
         F.lit("\nCELL[row=0,col=1]\nFIGURE[id=f,bin_id=3,width_mm=10,height_mm=20]\nCELL[row=1,col=0]\nEND TABLE[u]\nCELL[row=1,col=1]\nEND TABLE[t]\nFIGURE[id=g,bin_id=4]\n"),
     )
-    first = O.nodes(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), line.alias("records")))
+    first = O.nodes(spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").alias("doc_id"), line.alias("records")))
     back = O.nodes(O.to_records(first))
     of = lambda path, x: F.max(F.when(F.col("path") == path, x))
     return back.groupBy("doc_id").agg(

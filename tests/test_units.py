@@ -309,6 +309,8 @@ def test_record_trees(spark):
     assert got == rows(O.nodes(written))
     counts = {d.doc_id: d.records.count("\nEND TABLE[") for d in written.collect()}
     assert all(counts[d] == sum(x[0] == d and x[4] == "table" for x in got) for d in counts)
+    plan = written._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1, "the nodes are read once"
 
 
 def test_binary_data_records():
