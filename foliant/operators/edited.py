@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions.text import visible
 from foliant.operators.styling import KEYS
+from foliant.spark import parts_of
 
 #: What a table takes over, with the values that mean that the edit carried none.
 TABLE_DEFAULTS = {"border": ("0", ""), "padding": ("0,0,0,0", "0", ""), "spacing": ("0", "")}
@@ -116,8 +117,9 @@ def taken_over(frozen: DataFrame, typed: DataFrame) -> DataFrame:
     A paired table takes border, padding and spacing, the paragraph that holds it style, shape and runs of the original's holder (of several tables, by the
     last). A paragraph of a paired cell takes the same, a page break, and the whole text where the edit holds only the first line of it."""
     nothing = F.create_map().cast("map<string,string>")
-    # Both are met several times over; what is lost of them is computed again.
-    frozen, typed = (df.withColumn("attrs", F.coalesce("attrs", nothing)).persist(StorageLevel.MEMORY_AND_DISK) for df in (frozen, typed))
+    # Both are met several times over, by their keys, so they are dealt out by these; what is lost of them is computed again.
+    parts = parts_of(typed.sparkSession)
+    frozen, typed = (df.withColumn("attrs", F.coalesce("attrs", nothing)).repartition(parts, *KEYS).persist(StorageLevel.MEMORY_AND_DISK) for df in (frozen, typed))
     tables = paired_tables(frozen, typed)
     of_tables = tables.select(*KEYS, _taken(TABLE_DEFAULTS).alias("attrs"), F.lit(None).cast("string").alias("text"))
 

@@ -108,26 +108,28 @@ def order_nodes(spark: SparkSession, sf_dir: str, edited: bool) -> DataFrame:
     lines = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity", "l_returnflag")
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", F.row_number().over(lines).alias("l_linenumber"), "l_partkey", F.col("l_quantity").cast("int").alias("q"), "l_returnflag").join(orders, "l_orderkey")
     pairs = lambda **kv: F.create_map(*[x for k, v in kv.items() for x in (F.lit(k), v.cast("string") if not isinstance(v, str) else F.lit(v))])
-    node = lambda df, path, kind, attrs, text: df.select("doc_id", F.lit(0).alias("section"), path.alias("path"), F.lit(kind).alias("kind"), attrs.alias("attrs"), text.alias("text"))
+    one = lambda path, kind, attrs, text: F.struct(F.lit(0).alias("section"), path.alias("path"), F.lit(kind).alias("kind"), attrs.alias("attrs"), text.alias("text"))
+    node = lambda df, *of: df.select("doc_id", F.inline(F.array(one(*of))))
     par, nul = F.concat(F.lit("p"), o.cast("string")), F.lit(None).cast("string")
     cell = lambda i: F.concat(par, F.lit("/t0/c"), (n * 2 + i).cast("string"))
-    deep = items.where(n % 3 == 0)
     looks = (lambda x: pairs(style=(x % 5), para=(x % 4), runs=F.concat(F.lit("0:"), (x % 6).cast("string")), page_break=(x % 2))) if not edited else lambda x: pairs(style=F.when(x % 3 == 0, "9").otherwise("0"))
     border = pairs(border=(o % 9 + 1), padding="1,2,3,4", spacing=(o % 3)) if not edited else pairs(border=F.when(o % 4 == 0, "7").otherwise("0"), padding="0,0,0,0")
     said = F.concat("l_returnflag", F.lit(" "), F.col("l_partkey").cast("string"), F.lit("\nmore"))
     if edited:
-        items, said = items.where("l_linenumber < 7"), F.when(n % 2 == 0, F.concat("l_returnflag", F.col("l_partkey").cast("string"))).otherwise(said)
+        said = F.when(n % 2 == 0, F.concat("l_returnflag", F.col("l_partkey").cast("string"))).otherwise(said)
     amount = F.when((F.col("q") > 40) & F.lit(edited), F.col("q") + 1).otherwise(F.col("q")).cast("string")
-    out = node(orders, par, "paragraph", looks(o), F.col("o_orderpriority"))
-    out = out.unionByName(node(items.select("doc_id", "l_orderkey").distinct(), F.concat(par, F.lit("/t0")), "table", border, nul))
+    # All nodes of a line are made in its row, those of its order in the row of the first one.
+    first, third, kept = n == 1, n % 3 == 0, n < 7 if edited else F.lit(True)
+    made = [F.when(first, one(F.concat(par, F.lit("/t0")), "table", border, nul))]
     for i, text in ((0, said), (1, amount)):
-        out = out.unionByName(node(items, cell(i), "cell", pairs(row=n - 1, col=F.lit(i)), nul))
-        out = out.unionByName(node(items, F.concat(cell(i), F.lit("/p0")), "paragraph", looks(n + i), text))
-    out = out.unionByName(node(deep, F.concat(cell(1), F.lit("/p0/t0")), "table", pairs(border=(n + 2)) if not edited else pairs(border="0"), nul))
-    out = out.unionByName(node(deep, F.concat(cell(1), F.lit("/p0/t0/c0")), "cell", pairs(row="0", col="0"), nul))
-    out = out.unionByName(node(deep, F.concat(cell(1), F.lit("/p0/t0/c0/p0")), "paragraph", looks(n), F.col("l_returnflag")))
+        made += [F.when(kept, one(cell(i), "cell", pairs(row=n - 1, col=F.lit(i)), nul)), F.when(kept, one(F.concat(cell(i), F.lit("/p0")), "paragraph", looks(n + i), text))]
+    made.append(F.when(third, one(F.concat(cell(1), F.lit("/p0/t0")), "table", pairs(border=(n + 2)) if not edited else pairs(border="0"), nul)))
+    made.append(F.when(third, one(F.concat(cell(1), F.lit("/p0/t0/c0")), "cell", pairs(row="0", col="0"), nul)))
+    made.append(F.when(third, one(F.concat(cell(1), F.lit("/p0/t0/c0/p0")), "paragraph", looks(n), F.col("l_returnflag"))))
+    if edited:
+        made.append(F.when(first & (o % 7 == 0), one(F.concat(par, F.lit("/t0/c99")), "cell", pairs(row="98", col="0"), nul)))
+    out = items.select("doc_id", F.inline(F.array_compact(F.array(*made)))).unionByName(node(orders, par, "paragraph", looks(o), F.col("o_orderpriority")))
     if edited:
-        out = out.unionByName(node(orders.where(o % 7 == 0).join(items.select("l_orderkey").distinct(), "l_orderkey"), F.concat(par, F.lit("/t0/c99")), "cell", pairs(row="98", col="0"), nul))
         out = out.unionByName(node(orders.where(c % 10 == 3).select("doc_id").distinct(), F.lit("p0/t9"), "table", pairs(border="0"), nul))
     return out
 
