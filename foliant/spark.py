@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,12 @@ def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -
     return run
 
 
+def batched(rows: Iterator[tuple], names: list[str], kinds: tuple[pa.DataType, ...], size: int = 4096) -> Iterator[pa.RecordBatch]:
+    """The rows as record batches of at most so many rows, so that what is made of an input batch is never held whole."""
+    while part := list(islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part), kinds)], names=names)
+
+
 def trimmed() -> None:
     pa.default_memory_pool().release_unused()
     try:

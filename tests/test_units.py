@@ -396,3 +396,15 @@ def test_first_difference(spark):
     rows = [(b"abc", b"abd"), (b"ab", b"abc"), (b"", b""), (b"", b"x"), (None, b"x"), (b"same", b"same")]
     df = spark.createDataFrame([tuple(bytearray(x) if x is not None else None for x in r) for r in rows], "a binary, b binary")
     assert [r.x for r in df.select(first_difference(df.a, df.b).alias("x")).collect()] == [2, 2, None, 0, None, None]
+
+
+def test_readers_hold_no_whole_batch():
+    import pyarrow as pa
+
+    from foliant.spark import batched
+
+    taken = []
+    rows = ((taken.append(i) or i, str(i)) for i in range(10_000))
+    made = batched(rows, ["i", "s"], (pa.int64(), pa.string()), 1000)
+    assert next(made).num_rows == 1000 and len(taken) == 1000
+    assert sum(b.num_rows for b in made) == 9000 and not list(batched(iter(()), ["i"], (pa.int64(),)))
