@@ -1,13 +1,18 @@
 """Tables inside tables, to any depth, without a loop over levels.
 
-A node's path names all its ancestors (p3/t0/c1/p0/t1 ..), so whatever a node needs of them comes from one join: the path's prefixes are exploded, meet
-the ancestors' rows, and are gathered again by node. Order is an array of numbers, one for each step of the path, with a cell's row and
-column in place of its number; arrays that share a beginning sort as the tree is walked. A document is then written as events, what opens
-and what closes at a node's place, sorted by these arrays: one gathering for each document, whatever the depth.
+A node's path names all its ancestors (p3/t0/c1/p0/t1 ..), so rows sorted by path are met as the tree is walked, and what a node needs of its ancestors
+is carried along on a stack. Rows are dealt out in ranges of that order; the few ancestors of a range's first row come to it from the ranges before. Order
+is an array of numbers, one for each step of the path, with a cell's row and column in place of its number; arrays that share a beginning sort as the
+tree is walked, and so do the bytes that stand for them. A document is then written as events, what opens and what closes at a node's place, sorted by
+these bytes across all tasks, joined to pieces where they lie and gathered as pieces.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,15 +20,16 @@ from pyspark.sql import functions as F
 from foliant.functions.text import clean_text, escape_html, has_visible_body, text_heading_level
 from foliant.operators import tables as T
 from foliant.operators.styling import KEYS, paragraph_style
+from foliant.sources.files import shared_folder
+from foliant.spark import batched, lean, parts_of
 
 #: A row's share of the numbers that order a table's cells, and the number after all of a node's children.
 ROW, LAST = 1 << 20, 1 << 60
 #: Paragraphs whose text counts for a table's topic, and the characters of a list item's text that fit into its line.
 TOPIC_BUDGET, INLINE = 64, 200
-
-
-def _step(token: Column) -> Column:
-    return F.substring(token, F.lit(2), F.length(token)).try_cast("bigint")
+#: Characters after which a piece of a document is complete.
+PIECE = 1 << 20
+_NUMBER = re.compile(r"[+-]?[0-9]+")
 
 
 def _attr(name: str, default: int, least: int = 0) -> Column:
@@ -37,23 +43,105 @@ def prefixes(path: Column, kind: str) -> Column:
     return F.transform(F.filter(all_, lambda x: F.startswith(x["s"], F.lit(kind))), lambda x: F.struct(x["level"].alias("level"), x["prefix"].alias("prefix")))
 
 
+def _shared(df: DataFrame) -> DataFrame:
+    """Written and read again, since several of the events of a document are made from it; a plan that held it anew each time would double with every join."""
+    folder = shared_folder(df.sparkSession, "shared")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def carried(rows: DataFrame, value: Column, make: Callable[[tuple | None, str, object, int], tuple], fields: dict[str, tuple[str, pa.DataType]]) -> DataFrame:
+    """rows(doc_id, section, path, ..) with the fields (DDL and Arrow type by name) that make(above, rest, value, section) gives of a row: above is what it
+    gave the nearest ancestor whose value isn't null, rest the path after that one's. Rows of one path have what its first one with a value has;
+    rows without section or path are left out."""
+    order = ["doc_id", "section", "_walked"]
+    named = rows.where("section IS NOT NULL AND path IS NOT NULL").withColumns({"_value": value, "_walked": F.translate("path", "/", "\x01")})
+    dealt = named.repartitionByRange(parts_of(rows.sparkSession), *order).sortWithinPartitions(*order, F.col("_value").isNull()).drop("_walked")
+    own = dealt.withColumns({"_range": F.spark_partition_id(), "_first": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0}).persist(StorageLevel.MEMORY_AND_DISK)
+    steps = F.split("path", "/")
+    firsts = own.where("_first").select(F.col("_range").alias("_r"), F.col("doc_id").alias("_d"), F.col("section").alias("_s"), F.explode(F.transform(F.slice(steps, F.lit(1), F.size(steps) - 1), lambda s, i: F.array_join(F.slice(steps, 1, i + 1), "/"))).alias("_p"))
+    met = own.where("_value IS NOT NULL").join(F.broadcast(firsts), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("section") == F.col("_s")) & (F.col("path") == F.col("_p")))
+    above = met.groupBy("_r").agg(F.array_sort(F.collect_list(F.struct(F.length("path").alias("n"), F.col("path").alias("path"), F.col("_value").alias("value")))).alias("_above"))
+    met = own.join(F.broadcast(above), F.col("_range") == F.col("_r"), "left").withColumn("_above", F.when(F.col("_first"), F.col("_above")))
+    kept = [c for c in rows.columns]
+    met = met.select(*kept, "_value", "_above")
+    names, kinds = list(fields), [k for _, k in fields.values()]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stack: list[tuple[str, str, tuple]] = []
+        at = None
+
+        def given(path: str, val: object, section: int) -> tuple:
+            while stack and not (path.startswith(stack[-1][1]) or path == stack[-1][0]):
+                stack.pop()
+            if stack and path == stack[-1][0]:
+                return stack[-1][2]
+            out = make(stack[-1][2], path[len(stack[-1][1]) :], val, section) if stack else make(None, path, val, section)
+            if val is not None:
+                stack.append((path, path + "/", out))
+            return out
+
+        for b in batches:
+            column = lambda n: b.column(b.schema.get_field_index(n)).to_pylist()  # noqa: B023, E731
+            made = []
+            for doc, section, path, val, before in zip(*map(column, ("doc_id", "section", "path", "_value", "_above"))):
+                if (doc, section) != at or before is not None:
+                    at = doc, section
+                    stack.clear()
+                    for x in before or []:
+                        given(x["path"], x["value"], section)
+                made.append(given(path, val, section))
+            new = [pa.array(c, k) for c, k in zip(zip(*made), kinds)] if made else [pa.array([], k) for k in kinds]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], *new], names=[*kept, *names])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), *(f"`{n}` {d}" for n, (d, _) in fields.items())])
+    return met.mapInArrow(lean(work), schema)
+
+
+def _number(token: str) -> int | None:
+    n = int(token[1:].strip()) if _NUMBER.fullmatch(token[1:].strip()) else None
+    return n if n is not None and -(1 << 63) <= n < 1 << 63 else None
+
+
+def _bytes(n: int | None) -> bytes:
+    """A number so that bytes sort as numbers do, none first, and none's bytes begin another's."""
+    if n is None:
+        return b"\x00"
+    if n < 0:
+        return b"\x7f" + n.to_bytes(8, "big", signed=True)
+    size = max(1, (n.bit_length() + 7) // 8)
+    return bytes([0x80 + size]) + n.to_bytes(size, "big")
+
+
+def _coded(n: Column) -> Column:
+    """The same of a column."""
+    raw = F.unhex(F.hex(n.cast("bigint")))
+    return F.coalesce(F.when(n < 0, F.concat(F.lit(b"\x7f"), raw)).otherwise(F.concat(F.unhex(F.hex(F.octet_length(raw) + 0x80)), raw)), F.lit(b"\x00"))
+
+
+def _placed(above: tuple | None, rest: str, cell: dict | None, section: int) -> tuple:
+    key, sort, place = above if above else ([section], _bytes(section), f"s{section}")
+    steps = rest.split("/")
+    numbers, tokens = [], []
+    for i, s in enumerate(steps):
+        n = _number(s)
+        if not s.startswith("c"):
+            numbers.append(n or 0)
+            tokens.append("c" + s[1:] if s.startswith("t") else s)
+        elif cell is not None and i == len(steps) - 1:
+            numbers.append(cell["row"] * ROW + cell["col"] + 1)
+            tokens.append(f"r{cell['row']}c{cell['col']}")
+        else:
+            numbers.append(None if n is None else n + 1)
+            tokens.append(s)
+    return key + numbers, sort + b"".join(map(_bytes, numbers)), "-".join([place, *tokens])
+
+
 def with_places(nodes: DataFrame) -> DataFrame:
-    """Adds key (array<bigint>, order in the tree), place (the id's end: `s0-p3-c0-r1c2-p0`), parent and depth (steps of the path). Cells stand by row and
-    column, then by number. Nodes of a path that isn't unique in its section keep what their path gives."""
-    cells = nodes.where("kind = 'cell'").select(*(F.col(k).alias(f"_{k}") for k in KEYS), _attr("row", 0).alias("_row"), _attr("col", 0).alias("_col")).dropDuplicates(["_doc_id", "_section", "_path"])
-    own = nodes.select(*KEYS, F.explode_outer(prefixes(F.col("path"), "c")).alias("x")).select(*KEYS, "x.*").dropDuplicates()
-    match = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("section") == F.col("_section")) & (F.col("prefix") == F.col("_path"))
-    found = own.join(cells, match, "left").groupBy(*KEYS).agg(F.collect_list(F.when(F.col("_row").isNotNull(), F.struct("level", "_row", "_col"))).alias("_cells"))
-    steps, is_ = F.split("path", "/"), lambda s, kind: F.startswith(s, F.lit(kind))
-    cell_at = lambda i: F.get(F.filter("_cells", lambda c: c["level"] == i + 1), F.lit(0))
-    number = lambda s, i: F.when(is_(s, "c"), F.coalesce(cell_at(i)["_row"].cast("bigint") * ROW + cell_at(i)["_col"] + 1, _step(s) + 1)).otherwise(F.coalesce(_step(s), F.lit(0).cast("bigint")))
-    token = lambda s, i: F.when(is_(s, "c"), F.concat(F.lit("r"), cell_at(i)["_row"].cast("string"), F.lit("c"), cell_at(i)["_col"].cast("string"))).when(is_(s, "t"), F.concat(F.lit("c"), F.substring(s, F.lit(2), F.length(s)))).otherwise(s)
-    keyed = found.select(
-        *(F.col(k).alias(f"_{k}") for k in KEYS),
-        F.concat(F.array(F.col("section").cast("bigint")), F.transform(steps, number)).alias("key"),
-        F.concat(F.lit("s"), F.col("section").cast("string"), F.lit("-"), F.array_join(F.transform(steps, lambda s, i: F.coalesce(token(s, i), s)), "-")).alias("place"),
-    )
-    out = nodes.join(keyed, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("section") == F.col("_section")) & (F.col("path") == F.col("_path"))).drop("_doc_id", "_section", "_path")
+    """Adds key (array<bigint>, order in the tree), sort (bytes of the same order), place (the id's end: `s0-p3-c0-r1c2-p0`), parent and depth (steps of the
+    path). Cells stand by row and column, then by number. Nodes of a path that isn't unique in its section keep what their path gives."""
+    cell = F.when((F.col("kind") == "cell") & F.col("path").rlike("(^|/)c[^/]*$"), F.struct(_attr("row", 0).alias("row"), _attr("col", 0).alias("col")))
+    out = carried(nodes, cell, _placed, {"key": ("array<bigint>", pa.list_(pa.int64())), "sort": ("binary", pa.binary()), "place": ("string", pa.string())})
     return out.withColumns({"parent": F.regexp_replace("path", "/?[^/]*$", ""), "depth": F.size(F.split("path", "/"))})
 
 
@@ -64,17 +152,17 @@ def table_corpora(nodes: DataFrame, budget: int = TOPIC_BUDGET) -> DataFrame:
     paragraph, and the table's own later paragraphs don't pay for it. So a paragraph counts if its rank among its table's paragraphs and the ranks of
     the paragraphs that hold it, up to the table, add up to no more than the budget."""
     placed = with_places(nodes)
-    own = placed.where("kind = 'paragraph' AND depth > 1").withColumn("_table", F.regexp_replace("parent", "/[^/]*$", ""))
+    own = placed.where("kind = 'paragraph' AND depth > 1").select(*KEYS, F.regexp_replace("parent", "/[^/]*$", "").alias("_table"), F.col("sort").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     ranked = own.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id", "section", "_table").orderBy("key")))
-    holders = ranked.select(*(F.col(k).alias(f"_{k}") for k in KEYS), F.col("rank").alias("_rank"), "_table")
-    steps = ranked.select(*KEYS, F.explode(prefixes(F.col("path"), "p")).alias("x")).select(*KEYS, "x.*").where("level > 1")
-    met = steps.join(holders, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("section") == F.col("_section")) & (F.col("prefix") == F.col("_path")))
-    # From the paragraph outward: ranks up to each table that holds it.
-    sums = F.sum("_rank").over(Window.partitionBy(*KEYS).orderBy(F.desc("level")))
-    paid = met.withColumn("paid", sums).where(F.col("paid") <= budget).select(*KEYS, F.col("_table").alias("root"))
-    texts = ranked.select(*(F.col(k).alias(f"_{k}") for k in KEYS), "key", F.coalesce("text", F.lit("")).alias("text"))
-    lines = paid.join(texts, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("section") == F.col("_section")) & (F.col("path") == F.col("_path")))
-    made = lines.groupBy("doc_id", "section", F.col("root").alias("path")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "text"))), lambda x: F.concat(x["text"], F.lit("\n"))), "").alias("corpus"))
+
+    def paid(above: tuple | None, rest: str, value: dict, section: int) -> tuple:
+        """From the paragraph outward: the tables that hold it and the ranks up to each, as far as the budget goes."""
+        held = [{"root": value["tbl"], "paid": value["rank"]}, *({"root": x["root"], "paid": x["paid"] + value["rank"]} for x in (above[0] if above else []))]
+        return ([x for x in held if x["paid"] <= budget],)
+
+    kind = pa.list_(pa.struct([("root", pa.string()), ("paid", pa.int64())]))
+    lines = carried(ranked, F.struct(F.col("_table").alias("tbl"), "rank"), paid, {"roots": ("array<struct<root:string,paid:bigint>>", kind)}).select("doc_id", "section", F.explode("roots.root").alias("path"), "key", "text")
+    made = lines.groupBy(*KEYS).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "text"))), lambda x: F.concat(x["text"], F.lit("\n"))), "").alias("corpus"))
     tables = nodes.where("kind = 'table'").select(*KEYS)
     return tables.join(made, KEYS, "left").select(*KEYS, F.coalesce("corpus", F.lit("")).alias("corpus"))
 
@@ -89,19 +177,34 @@ def any_nested(nodes: DataFrame, flagged: DataFrame, levels: int = 1) -> DataFra
 # Writing
 
 
-def _shared(df: DataFrame) -> DataFrame:
-    """Kept in memory or on disk, since several of the events of a document are made from it; what is lost is computed again."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def _written(events: DataFrame, column: str, before: str = "", after: str = "") -> DataFrame:
-    """(doc_id, column) of events(doc_id, key, text): a document is one value, so its events meet in one row."""
-    whole = events.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "text"))), lambda e: e["text"]), "").alias(column))
-    return whole.select("doc_id", F.concat(F.lit(before), column, F.lit(after)).alias(column))
+    """(doc_id, column) of events(doc_id, key, text): sorted across all tasks and joined to pieces there, so that only a document's pieces meet in one row."""
+    kind = events.schema["doc_id"].dataType.simpleString()
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        at, held, size, i = None, [], 0, 0
+        for b in batches:
+            for doc, part, text in zip(*(c.to_pylist() for c in b.columns)):
+                if held and (size > PIECE or doc != at):
+                    yield at, part, i, "".join(held)
+                    held, size, i = [], 0, i + 1
+                at = doc
+                held.append(text or "")
+                size += len(held[-1])
+                last = part
+        if held:
+            yield at, last, i, "".join(held)
+
+    own = events.repartitionByRange(parts_of(events.sparkSession), "doc_id", "key").sortWithinPartitions("doc_id", "key", "text").select("doc_id", F.spark_partition_id().alias("part"), "text")
+    doc = pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()
+    work = lambda batches: batched(pieces(batches), ["doc_id", "part", "i", "piece"], (doc, pa.int32(), pa.int32(), pa.string()), 8)
+    joined = own.mapInArrow(lean(work), f"doc_id {kind}, part int, i int, piece string")
+    whole = joined.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("part", "i", "piece"))).alias("all"))
+    return whole.select("doc_id", F.array_join(F.concat(F.array(F.lit(before)), F.col("all.piece"), F.array(F.lit(after))), "").alias(column))
 
 
 def _last(key: Column) -> Column:
-    return F.concat(key, F.array(F.lit(LAST)))
+    return F.concat(key, _coded(F.lit(LAST)))
 
 
 def chapters(paragraphs: DataFrame, levels: int = 6) -> DataFrame:
@@ -133,7 +236,7 @@ def to_html_tree(nodes: DataFrame, styled: DataFrame | None = None, aligns: Data
     styled(doc_id, section, path, html) has the paragraphs' inner HTML (operators.styling), else their clean text is shown; aligns(doc_id, section, path,
     align) their alignment. A column `level` of the nodes gives the headings' levels (1 to 6), else number prefixes do. What follows a heading is
     indented by its level. Paragraphs that show nothing leave nothing; other kinds of nodes aren't written."""
-    placed = _shared(with_places(nodes))
+    placed = _shared(with_places(nodes).drop("key").withColumnRenamed("sort", "key"))
     plain = escape_html(clean_text(F.coalesce("text", F.lit(""))))
     for extra, column in ((styled, "html"), (aligns, "align")):
         if extra is not None:
@@ -151,8 +254,8 @@ def to_html_tree(nodes: DataFrame, styled: DataFrame | None = None, aligns: Data
     events = top.select("doc_id", "key", F.concat(opening, block).alias("text"))
     ends = top.groupBy("doc_id", "section").agg(F.max_by("open_after", "key").alias("open"))
     number = F.col("section").cast("bigint")
-    events = events.unionByName(ends.select("doc_id", F.array(number).alias("key"), F.concat(F.lit('<section id="sec-'), F.col("section").cast("string"), F.lit('">\n')).alias("text")))
-    events = events.unionByName(ends.select("doc_id", F.array(number, F.lit(LAST)).alias("key"), F.repeat(F.lit("</section>\n"), F.col("open") + 1).alias("text")))
+    events = events.unionByName(ends.select("doc_id", _coded(number).alias("key"), F.concat(F.lit('<section id="sec-'), F.col("section").cast("string"), F.lit('">\n')).alias("text")))
+    events = events.unionByName(ends.select("doc_id", _last(_coded(number)).alias("key"), F.repeat(F.lit("</section>\n"), F.col("open") + 1).alias("text")))
 
     # In cells: a line break between paragraphs that show something.
     shown_before = F.coalesce(F.max(F.col("seen").cast("int")).over(Window.partitionBy("doc_id", "section", "parent").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) > 0
@@ -167,8 +270,8 @@ def to_html_tree(nodes: DataFrame, styled: DataFrame | None = None, aligns: Data
     events = events.unionByName(held.select("doc_id", "key", F.concat(div, F.lit('<table id="tbl-'), "place", F.lit('">\n')).alias("text")))
     events = events.unionByName(held.select("doc_id", _last(F.col("key")).alias("key"), F.concat(F.lit("</table>\n"), F.when(F.col("deep") > 0, "</div>\n").otherwise("")).alias("text")))
     lines = held.where("rows > 0").select("doc_id", "key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rows").cast("bigint") - 1)).alias("r"))
-    events = events.unionByName(lines.select("doc_id", F.concat("key", F.array(F.col("r") * ROW)).alias("key"), F.lit("  <tr>\n").alias("text")))
-    events = events.unionByName(lines.select("doc_id", F.concat("key", F.array(F.col("r") * ROW + ROW - 1)).alias("key"), F.lit("  </tr>\n").alias("text")))
+    events = events.unionByName(lines.select("doc_id", F.concat("key", _coded(F.col("r") * ROW)).alias("key"), F.lit("  <tr>\n").alias("text")))
+    events = events.unionByName(lines.select("doc_id", F.concat("key", _coded(F.col("r") * ROW + ROW - 1)).alias("key"), F.lit("  </tr>\n").alias("text")))
 
     cells = placed.where("kind = 'cell'")
     span = lambda n, a: F.when(_attr(n, 1) > 1, F.concat(F.lit(f' {a}="'), _attr(n, 1).cast("string"), F.lit('"'))).otherwise("")
@@ -196,7 +299,7 @@ def to_markdown_tree(nodes: DataFrame, styled: DataFrame | None = None) -> DataF
 
     styled(doc_id, section, path, markdown) has the top-level paragraphs' text. A cell that only wraps one table leaves that table in its own table's
     place. Item texts are joined by ` · ` up to INLINE characters, else each is an item below; two or more plain empty cells side by side are one item."""
-    placed = _shared(with_places(nodes))
+    placed = _shared(with_places(nodes).drop("key").withColumnRenamed("sort", "key"))
     if styled is not None:
         placed = placed.join(styled.select(*KEYS, F.col("markdown").alias("_m")), KEYS, "left")
     shown = F.coalesce("_m", clean_text(F.coalesce("text", F.lit("")))) if styled is not None else clean_text(F.coalesce("text", F.lit("")))
@@ -206,12 +309,18 @@ def to_markdown_tree(nodes: DataFrame, styled: DataFrame | None = None) -> DataF
 
     named = lambda df: df.withColumn("_t", F.to_json(F.struct("doc_id", "section", "tbl"))).drop("tbl").withColumnRenamed("_t", "tbl")
     cells = _cell_facts(placed)
-    tables = placed.where("kind = 'table'").select("doc_id", "section", "key", F.col("path").alias("tbl"), _attr("rows", 0).alias("rows"), _attr("cols", 0).alias("cols"), prefixes(F.col("path"), "t").alias("up"))
+    tables = placed.where("kind = 'table'").select("doc_id", "section", "key", F.col("path").alias("tbl"), _attr("rows", 0).alias("rows"), _attr("cols", 0).alias("cols"))
     wraps = cells.groupBy("doc_id", "section", "tbl").agg((F.count("*") == 1).alias("one"), F.sum(F.size("lines")).alias("n"), F.sum("nested").alias("k"), F.sum("controls").alias("c"))
     wraps = wraps.where("one AND n = 0 AND k = 1 AND c = 1").select(F.col("doc_id").alias("_doc_id"), F.col("section").alias("_section"), F.col("tbl").alias("_wrap"))
     # A table's depth: the tables around it that aren't mere wrappers.
-    ups = tables.select("doc_id", "section", "tbl", F.explode(F.slice("up", F.lit(1), F.size("up") - 1)).alias("u")).join(wraps, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("section") == F.col("_section")) & (F.col("u.prefix") == F.col("_wrap")), "left_anti")
-    tables = tables.drop("up").join(ups.groupBy("doc_id", "section", "tbl").agg(F.count("*").cast("int").alias("depth")), ["doc_id", "section", "tbl"], "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
+    met = tables.join(wraps, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("section") == F.col("_section")) & (F.col("tbl") == F.col("_wrap")), "left")
+    met = met.select("doc_id", "section", F.col("tbl").alias("path"), "key", "rows", "cols", F.col("_wrap").isNotNull().alias("_mere"))
+
+    def inside(above: tuple | None, rest: str, mere: bool, section: int) -> tuple:
+        depth = above[1] if above else 0
+        return depth, depth + (not mere)
+
+    tables = carried(met, F.col("_mere"), inside, {"depth": ("int", pa.int32()), "_below": ("int", pa.int32())}).withColumnRenamed("path", "tbl").drop("_mere", "_below")
     all_tables, all_cells = _shared(named(tables)), _shared(named(cells))
     forms = T.table_form(all_cells, all_tables).select("tbl", "form", "level", F.col("text").alias("said"))
     grids = T.markdown_grid(all_cells, all_tables)

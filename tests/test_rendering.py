@@ -234,3 +234,35 @@ def test_chapters_of_texts(spark):
     got = {x.doc_id: x.html for x in chapter_html(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     level = {"1. Head": 1, "1.2 Sub": 2, "1.2.3 Deep": 3}.get
     assert got == {i: html([(None, x, []) for x in (t or "").split("\n")], lambda x: level(x.strip())) for i, t in docs}
+
+
+def test_ancestors_reach_other_ranges(spark):
+    """Twelve tables deep and dealt out in forty ranges, nodes have what their paths say, a document of many pieces is whole, and plans don't double."""
+    rows, path, key, place = [], "p0", [0, 0], "s0-p0"
+    want = {path: (key, place)}
+    rows.append((1, 0, path, "paragraph", {}, "top"))
+    for d in range(12):
+        for c in range(3):
+            rows.append((1, 0, f"{path}/t0/c{c}", "cell", {"row": str(c), "col": str(2 - c)}, None))
+            rows.append((1, 0, f"{path}/t0/c{c}/p0", "paragraph", {}, f"x{d}-{c}"))
+            want[f"{path}/t0/c{c}/p0"] = (key + [0, c * N.ROW + 2 - c + 1, 0], f"{place}-c0-r{c}c{2 - c}-p0")
+        rows.append((1, 0, f"{path}/t0", "table", {"rows": "3", "cols": "3"}, None))
+        path = f"{path}/t0/c1/p0"
+        key, place = want[path]
+    nodes = spark.createDataFrame(rows, NODE.replace("ord int, ", "")).repartition(3)
+    old = spark.conf.get("spark.sql.shuffle.partitions"), N.PIECE
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        N.PIECE = 20
+        got = N.with_places(nodes).collect()
+        assert {x.path: (x.key, x.place) for x in got if x.kind == "paragraph"} == want
+        assert [x.path for x in sorted(got, key=lambda x: x.key)] == [x.path for x in sorted(got, key=lambda x: bytes(x.sort))]
+        (html,) = [x.html for x in N.to_html_tree(nodes).collect()]
+        assert [html.count(f">x{d}-{c}") for d in range(12) for c in range(3)] == [1] * 36
+        assert html.count("<table") == html.count("</table>") == 12
+        told = N.to_markdown_tree(nodes)
+        assert len(told._jdf.queryExecution().optimizedPlan().toString()) < 1_000_000
+        assert told.count() == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old[0])
+        N.PIECE = old[1]
