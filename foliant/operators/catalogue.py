@@ -1,7 +1,7 @@
 """Catalogues of shapes and styles: new entries beside a document's own, merging without clashes, and rewriting of what refers to them.
 
 Ids are dense numbers after each document's greatest one, given by one window over the new entries. Entries of the same content are one entry: what
-a catalogue has already is not added again. References follow by one row of maps for each document.
+a catalogue has already is not added again. References follow by joins on document and id.
 """
 
 from __future__ import annotations
@@ -97,14 +97,15 @@ def merged(target: dict[str, DataFrame], source: dict[str, DataFrame]) -> tuple[
 
 
 def with_references(nodes: DataFrame, maps: dict[str, DataFrame]) -> DataFrame:
-    """nodes whose attributes style, para and runs refer to the merged entries; ids that the maps lack stay. A document's maps are one row, met once."""
-    whole = None
-    for kind in ("chars", "paras", "styles"):
-        one = maps[kind].groupBy(F.col("doc_id").alias("_d")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("old").cast("string"), F.col("new").cast("string")))).alias(f"_{kind}"))
-        whole = one if whole is None else whole.join(one, "_d", "full")
-    joined = nodes.join(whole, F.col("doc_id") == F.col("_d"), "left")
-    to = lambda kind, x: F.coalesce(F.try_element_at(f"_{kind}", x), x)
-    run = lambda r: F.concat(F.regexp_extract(r, "^([^:]*:?)", 1), to("chars", F.regexp_extract(r, "^[^:]*:?(.*)$", 1)))
-    runs = lambda v: F.array_join(F.transform(F.split(v, r"\|"), run), "|")
-    moved = F.transform_values("attrs", lambda k, v: F.when(k == "style", to("styles", v)).when(k == "para", to("paras", v)).when(k == "runs", runs(v)).otherwise(v))
-    return joined.withColumn("attrs", moved).select(*nodes.columns)
+    """nodes whose attributes style, para and runs refer to the merged entries; ids that the maps lack stay. References meet the maps by document and id;
+    of runs each document's different values do, once."""
+    known = {kind: m.select(F.col("doc_id").alias(f"_{kind}_d"), F.col("old").cast("string").alias(f"_{kind}_o"), F.col("new").cast("string").alias(f"_{kind}")) for kind, m in maps.items()}
+    meet = lambda df, kind, x: df.join(known[kind], (F.col("doc_id") == F.col(f"_{kind}_d")) & (x == F.col(f"_{kind}_o")), "left").drop(f"_{kind}_d", f"_{kind}_o")
+    value = lambda n: F.try_element_at("attrs", F.lit(n))
+    listed = nodes.select("doc_id", value("runs").alias("_was")).where("_was IS NOT NULL").distinct().select("doc_id", "_was", F.posexplode(F.split("_was", r"\|")).alias("_i", "_r"))
+    met = meet(listed.withColumn("_id", F.regexp_extract("_r", "^[^:]*:?(.*)$", 1)), "chars", F.col("_id"))
+    run = F.concat(F.regexp_extract("_r", "^([^:]*:?)", 1), F.coalesce("_chars", "_id"))
+    runs = met.groupBy(F.col("doc_id").alias("_d"), "_was").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", run.alias("x")))), lambda r: r["x"]), "|").alias("_runs"))
+    joined = meet(meet(nodes, "styles", value("style")), "paras", value("para")).join(runs, (F.col("doc_id") == F.col("_d")) & (value("runs") == F.col("_was")), "left")
+    to = lambda k, v: F.when(k == "style", F.coalesce("_styles", v)).when(k == "para", F.coalesce("_paras", v)).when(k == "runs", F.coalesce("_runs", v)).otherwise(v)
+    return joined.withColumn("attrs", F.transform_values("attrs", to)).select(*nodes.columns)

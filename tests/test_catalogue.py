@@ -53,3 +53,16 @@ def test_copies_are_numbered_after_the_greatest(spark):
 
     got = sorted(tuple(x) for x in C.with_copies(entries, copies, {"x": F.concat("x", F.lit(" "), "y")}).collect())
     assert got == [(1, 0, "a"), (1, 7, "b"), (1, 8, "a first"), (1, 9, "b new"), (2, 3, "c")]
+
+
+def test_references_of_a_large_catalogue(spark):
+    """A document of 40,000 entries is no row of maps that each of its nodes is looked up in."""
+    from pyspark.sql import functions as F
+
+    one = spark.range(40000).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").alias("old"), (F.col("id") + 7).alias("new"), F.lit(True).alias("added"))
+    attrs = F.create_map(F.lit("style"), F.col("id").cast("string"), F.lit("para"), F.lit("none"), F.lit("runs"), F.concat(F.lit("0:"), F.col("id").cast("string"), F.lit("|4:x|9")))
+    nodes = spark.range(39990, 40010).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").alias("path"), attrs.alias("attrs"))
+    moved = C.with_references(nodes, dict.fromkeys(("chars", "paras", "styles"), one))
+    assert "map_from_entries" not in moved._jdf.queryExecution().optimizedPlan().toString()
+    to = lambda n: n + 7 if n < 40000 else n
+    assert {(x.path, x.attrs["style"], x.attrs["para"], x.attrs["runs"]) for x in moved.collect()} == {(n, str(to(n)), "none", f"0:{to(n)}|4:x|9") for n in range(39990, 40010)}
