@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import io
 import re
+import struct
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -17,19 +18,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.spark import lean, trimmed
+
 #: The media type part and the XML namespaces.
 MIMETYPE = b"application/hwp+zip"
 NAMESPACES = {"hp": "http://www.hancom.co.kr/hwpml/2011/paragraph", "hs": "http://www.hancom.co.kr/hwpml/2011/section", "hc": "http://www.hancom.co.kr/hwpml/2011/core"}
+#: Bytes of a document from which on a worker gives back what writing it took.
+LARGE = 1 << 20
 NODE = "doc_id long, section int, ord int, path string, kind string, attrs map<string,string>, text string"
 _SECTION = re.compile(r"^Contents/section([0-9]+)\.xml$")
 
 
-def unzip(data: bytes) -> list[tuple[str, bytes]]:
+def unzipped(data: bytes | memoryview) -> Iterator[tuple[str, bytes]]:
+    """The parts one after the other; each is inflated when it is asked for."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        return [(n, z.read(n)) for n in z.namelist() if not n.endswith("/")]
+        for n in z.namelist():
+            if not n.endswith("/"):
+                yield n, z.read(n)
+
+
+def unzip(data: bytes) -> list[tuple[str, bytes]]:
+    return list(unzipped(data))
 
 
-def zip_parts(parts: list[tuple[str, bytes]]) -> bytes:
+def zip_parts(parts: list[tuple[str, bytes | memoryview]]) -> bytes:
     """The package: the media type first and stored, then the others in their order, deflated."""
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
@@ -144,10 +156,13 @@ def parts(files: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for doc, content in zip(b.column(0), b.column(1)):
-                found = unzip(content.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()] * len(found), pa.int64()), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.binary())], names=["doc_id", "name", "bytes"])
+                # A part leaves on its own and isn't copied: the next one is inflated once this one is gone.
+                for name, body in unzipped(memoryview(content.as_buffer())):
+                    held = pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(struct.pack("<2i", 0, len(body))), pa.py_buffer(body)])
+                    yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()], pa.int64()), pa.array([name], pa.string()), held], names=["doc_id", "name", "bytes"])
+                    del body, held
 
-    return files.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "content").mapInArrow(work, "doc_id long, name string, bytes binary")
+    return files.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "content").mapInArrow(lean(work), "doc_id long, name string, bytes binary")
 
 
 def section_nodes(parts: DataFrame) -> DataFrame:
@@ -181,8 +196,15 @@ def packages(parts: DataFrame) -> DataFrame:
     content is taken."""
 
     def work(key: tuple, t: pa.Table) -> pa.Table:
-        held = dict(sorted(((r["name"], r["bytes"]) for r in t.to_pylist()), reverse=True))
+        # Parts are read where they lie; only those of one name are compared.
+        held: dict[str, memoryview | bytes] = {}
+        for name, body in zip(t.column("name"), t.column("bytes")):
+            n, x = name.as_py(), memoryview(body.as_buffer())
+            held[n] = x if n not in held else min(held[n], x, key=bytes)
         held.setdefault("mimetype", MIMETYPE)
-        return pa.table({"doc_id": pa.array([key[0].as_py()], pa.int64()), "content": pa.array([zip_parts(sorted(held.items()))], pa.binary())})
+        out = pa.table({"doc_id": pa.array([key[0].as_py()], pa.int64()), "content": pa.array([zip_parts(sorted(held.items(), key=lambda p: p[0]))], pa.binary())})
+        if t.nbytes > LARGE:
+            trimmed()
+        return out
 
     return parts.groupBy("doc_id").applyInArrow(work, "doc_id long, content binary")

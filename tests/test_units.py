@@ -408,3 +408,18 @@ def test_readers_hold_no_whole_batch():
     made = batched(rows, ["i", "s"], (pa.int64(), pa.string()), 1000)
     assert next(made).num_rows == 1000 and len(taken) == 1000
     assert sum(b.num_rows for b in made) == 9000 and not list(batched(iter(()), ["i"], (pa.int64(),)))
+
+
+def test_parts_are_inflated_one_by_one():
+    """Reading a package holds one part at a time, and writing takes bytes where they lie."""
+    import tracemalloc
+
+    from foliant.sources import packages
+
+    data = packages.zip_parts([(f"p{i}", memoryview(bytes(4 << 20))) for i in range(8)])
+    tracemalloc.start()
+    try:
+        assert [(n, len(x)) for n, x in packages.unzipped(memoryview(data))] == [(f"p{i}", 4 << 20) for i in range(8)]
+        assert tracemalloc.get_traced_memory()[1] < 20 << 20
+    finally:
+        tracemalloc.stop()
