@@ -60,20 +60,38 @@ def paired_tables(frozen: DataFrame, typed: DataFrame) -> DataFrame:
     return new.join(old, match).select(*KEYS, "old_path", "attrs", "old_attrs")
 
 
-def _cells(nodes: DataFrame) -> DataFrame:
-    """(doc_id, section, tbl, row, col, path): of several cells at one place, the first."""
+def _grid_rows(nodes: DataFrame, side: int) -> DataFrame:
+    """(doc_id, section, side, tbl, step, row, col) of the tables and cells, with the last step of a cell's path; a table has no step."""
     at = lambda n: F.coalesce(F.try_element_at("attrs", F.lit(n)).try_cast("int"), F.lit(0)).alias(n)
-    own = nodes.where("kind = 'cell'").select(*SECTION, _parent("path").alias("tbl"), at("row"), at("col"), "path", tree_order(F.col("path")).alias("_k"))
-    return own.groupBy(*SECTION, "tbl", "row", "col").agg(F.min_by("path", "_k").alias("path"))
+    head, step = F.col("kind") == "table", F.substring_index("path", "/", -1)
+    table = F.when(head, F.col("path")).otherwise(F.substring("path", F.lit(1), F.length("path") - F.length(step) - 1))
+    own = nodes.where("kind IN ('table', 'cell') AND doc_id IS NOT NULL AND section IS NOT NULL")
+    return own.select(*SECTION, F.lit(side).alias("side"), table.alias("tbl"), F.when(~head, step).alias("step"), at("row"), at("col"))
 
 
 def paired_cells(frozen: DataFrame, typed: DataFrame) -> DataFrame:
     """(doc_id, section, tbl, old_tbl, row, col, path, old_path) of all cells of paired tables: path is null where the edit took a cell away, old_path where
-    it added one."""
-    pairs = paired_tables(frozen, typed).select(*SECTION, F.col("path").alias("tbl"), F.col("old_path").alias("old_tbl"))
-    new = pairs.join(_cells(typed), [*SECTION, "tbl"])
-    old = pairs.join(_cells(frozen).select(*SECTION, F.col("tbl").alias("old_tbl"), "row", "col", F.col("path").alias("old_path")), [*SECTION, "old_tbl"])
-    return new.join(old.select(*SECTION, "tbl", "old_tbl", "row", "col", "old_path"), [*SECTION, "tbl", "old_tbl", "row", "col"], "full")
+    it added one. Of several cells at one place the first counts.
+
+    Both sides are dealt out once, by section; there, each cell stands behind its table as the tables are walked, and what has one rank, row and column meets."""
+    both = _grid_rows(frozen, 0).unionByName(_grid_rows(typed, 1)).repartition(parts_of(typed.sparkSession), *SECTION)
+    head = F.col("step").isNull()
+    # A table stands before its cells: nulls come first.
+    walk = Window.partitionBy(*SECTION, "side").orderBy("_k", "tbl", F.col("step").asc_nulls_first())
+    ranked = both.withColumn("_k", tree_order(F.col("tbl"))).withColumns({"rank": F.count_if(head).over(walk), "_t": F.last(F.when(head, F.col("tbl")), ignorenulls=True).over(walk)})
+    tables = lambda side: F.count_if(head & (F.col("side") == side)).over(Window.partitionBy(*SECTION))
+    met = ranked.withColumns({"_old": tables(0), "_new": tables(1)}).where((F.col("_old") == F.col("_new")) & (F.col("_t") == F.col("tbl")))
+    number = F.coalesce(F.substring("step", F.lit(2), F.length("step")).try_cast("bigint"), F.lit(0))
+    of = lambda side, x: F.when(F.col("side") == side, x)
+    # The tables themselves are kept until all their cells have both names.
+    spots = met.groupBy(*SECTION, "rank", head.alias("head"), "row", "col").agg(
+        F.max(of(1, F.col("tbl"))).alias("_tbl"), F.max(of(0, F.col("tbl"))).alias("_old_tbl"),
+        F.min(of(1, F.struct(number, "step"))).alias("_s"), F.min(of(0, F.struct(number, "step"))).alias("_o"),
+    )
+    pair = Window.partitionBy(*SECTION, "rank")
+    named = spots.withColumns({"tbl": F.max("_tbl").over(pair), "old_tbl": F.max("_old_tbl").over(pair)}).where("NOT head")
+    path = lambda table, s: F.when(F.col(s).isNotNull(), F.concat(table, F.lit("/"), F.col(s)["step"]))
+    return named.select(*SECTION, "tbl", "old_tbl", "row", "col", path("tbl", "_s").alias("path"), path("old_tbl", "_o").alias("old_path"))
 
 
 def _cell_paragraphs(nodes: DataFrame, cells: DataFrame, path: str) -> DataFrame:

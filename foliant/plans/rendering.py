@@ -118,17 +118,27 @@ def order_nodes(spark: SparkSession, sf_dir: str, edited: bool) -> DataFrame:
     if edited:
         said = F.when(n % 2 == 0, F.concat("l_returnflag", F.col("l_partkey").cast("string"))).otherwise(said)
     amount = F.when((F.col("q") > 40) & F.lit(edited), F.col("q") + 1).otherwise(F.col("q")).cast("string")
-    # All nodes of a line are made in its row, those of its order in the row of the first one.
+    # A line's row is dealt out to the nodes made of it, those of its order to the first line's; each then makes only its own columns.
     first, third, kept = n == 1, n % 3 == 0, n < 7 if edited else F.lit(True)
-    made = [F.when(first, one(F.concat(par, F.lit("/t0")), "table", border, nul))]
+    made = [(first, F.concat(par, F.lit("/t0")), "table", border, nul)]
     for i, text in ((0, said), (1, amount)):
-        made += [F.when(kept, one(cell(i), "cell", pairs(row=n - 1, col=F.lit(i)), nul)), F.when(kept, one(F.concat(cell(i), F.lit("/p0")), "paragraph", looks(n + i), text))]
-    made.append(F.when(third, one(F.concat(cell(1), F.lit("/p0/t0")), "table", pairs(border=(n + 2)) if not edited else pairs(border="0"), nul)))
-    made.append(F.when(third, one(F.concat(cell(1), F.lit("/p0/t0/c0")), "cell", pairs(row="0", col="0"), nul)))
-    made.append(F.when(third, one(F.concat(cell(1), F.lit("/p0/t0/c0/p0")), "paragraph", looks(n), F.col("l_returnflag"))))
+        made += [(kept, cell(i), "cell", pairs(row=n - 1, col=F.lit(i)), nul), (kept, F.concat(cell(i), F.lit("/p0")), "paragraph", looks(n + i), text)]
+    made.append((third, F.concat(cell(1), F.lit("/p0/t0")), "table", pairs(border=(n + 2)) if not edited else pairs(border="0"), nul))
+    made.append((third, F.concat(cell(1), F.lit("/p0/t0/c0")), "cell", pairs(row="0", col="0"), nul))
+    made.append((third, F.concat(cell(1), F.lit("/p0/t0/c0/p0")), "paragraph", looks(n), F.col("l_returnflag")))
     if edited:
-        made.append(F.when(first & (o % 7 == 0), one(F.concat(par, F.lit("/t0/c99")), "cell", pairs(row="98", col="0"), nul)))
-    out = items.select("doc_id", F.inline(F.array_compact(F.array(*made)))).unionByName(node(orders, par, "paragraph", looks(o), F.col("o_orderpriority")))
+        made.append((first & (o % 7 == 0), F.concat(par, F.lit("/t0/c99")), "cell", pairs(row="98", col="0"), nul))
+    whens, paths, kinds, attrs, texts = zip(*made)
+
+    def chosen(values):
+        out = F
+        for i, x in enumerate(values):
+            out = out.when(F.col("_i") == i, x)
+        return out
+
+    dealt = items.withColumn("_i", F.explode(F.array(*map(F.lit, range(len(made)))))).where(chosen(whens))
+    of_lines = dealt.select("doc_id", F.lit(0).alias("section"), chosen(paths).alias("path"), chosen(map(F.lit, kinds)).alias("kind"), chosen(attrs).alias("attrs"), chosen(texts).alias("text"))
+    out = of_lines.unionByName(node(orders, par, "paragraph", looks(o), F.col("o_orderpriority")))
     if edited:
         out = out.unionByName(node(orders.where(c % 10 == 3).select("doc_id").distinct(), F.lit("p0/t9"), "table", pairs(border="0"), nul))
     return out

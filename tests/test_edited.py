@@ -118,3 +118,16 @@ def test_empty_edits(spark):
     none = spark.createDataFrame([], NODE)
     one = spark.createDataFrame([(1, 0, "p0", "paragraph", None, "x"), (1, 0, "p0/t0", "table", None, None)], NODE)
     assert E.taken_over(none, none).count() == 0 and E.taken_over(one, none).count() == 0 and E.taken_over(none, one).count() == 2
+
+
+def test_cells_meet_after_one_shuffle_of_both_sides(spark):
+    at = lambda r, c: {"row": str(r), "col": str(c)}
+    old = [(1, 0, "p2/t0", "table", {}, None), (1, 0, "p2/t0/c1", "cell", at(0, 0), None), (1, 0, "p2/t0/c10", "cell", at(0, 1), None), (1, 0, "p2/t0/c9", "cell", at(0, 1), None), (1, 0, "p10/t0", "table", {}, None),
+           (1, 0, "p10/t0/c0", "cell", None, None), (1, 1, "p0/t0", "table", {}, None), (1, 0, "p7/t0/c0", "cell", at(0, 0), None), (None, 0, "p0/t0", "table", {}, None), (None, 0, "p0/t0/c0", "cell", at(0, 0), None)]
+    new = [(1, 0, "p3/t1", "table", {}, None), (1, 0, "p3/t1/c0", "cell", at(0, 0), None), (1, 0, "p3/t1/c4", "cell", at(5, 0), None), (1, 0, "p4/t0", "table", {}, None), (1, 1, "p0/t0", "table", {}, None), (1, 1, "p0/t1", "table", {}, None), (1, 1, "p0/t0/c0", "cell", at(0, 0), None),
+           (None, 0, "p0/t0", "table", {}, None), (None, 0, "p0/t0/c0", "cell", at(0, 0), None)]
+    cells = E.paired_cells(spark.createDataFrame(old, NODE), spark.createDataFrame(new, NODE))
+    assert cells._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert sorted((tuple(r) for r in cells.collect()), key=str) == sorted([
+        (1, 0, "p3/t1", "p2/t0", 0, 0, "p3/t1/c0", "p2/t0/c1"), (1, 0, "p3/t1", "p2/t0", 0, 1, None, "p2/t0/c9"), (1, 0, "p3/t1", "p2/t0", 5, 0, "p3/t1/c4", None), (1, 0, "p4/t0", "p10/t0", 0, 0, None, "p10/t0/c0"),
+    ], key=str)
