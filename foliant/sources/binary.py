@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 import pyarrow as pa
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 
 from foliant.functions.attributes import looks_like_image
 from foliant.operators.parts import binary_id
+from foliant.spark import batched, lean
 
 from . import body, compound
 from . import records as R
@@ -48,7 +50,7 @@ def streams(files: DataFrame) -> DataFrame:
                 columns = ([doc.as_py()] * len(plain), list(plain), list(plain.values()), [version] * len(plain), [flags] * len(plain))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "stream", "bytes", "version", "flags"])
 
-    return files.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "content").mapInArrow(work, "doc_id long, stream string, bytes binary, version long, flags int")
+    return files.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "content").mapInArrow(lean(work), "doc_id long, stream string, bytes binary, version long, flags int")
 
 
 def record_rows(streams: DataFrame) -> DataFrame:
@@ -143,14 +145,24 @@ def files(streams: DataFrame, compressed: bool = True) -> DataFrame:
     """(doc_id, content) of inflated streams(doc_id, stream, bytes), one task to a document. DocInfo and the sections are deflated; the file
     header is written anew; DocInfo is empty where it lacks. Of two streams of one name the first by content is taken."""
 
-    def work(key: tuple, t: pa.Table) -> pa.Table:
-        held = dict(sorted(((r["stream"], r["bytes"] or b"") for r in t.to_pylist()), reverse=True))
-        held.setdefault("/DocInfo", b"")
-        out = {n: R.deflate(x) if compressed and (n == "/DocInfo" or _SECTION.match(n)) else x for n, x in held.items()}
-        out["/FileHeader"] = file_header(COMPRESSED if compressed else 0)
-        return pa.table({"doc_id": pa.array([key[0].as_py()], pa.int64()), "content": pa.array([compound.write(out)], pa.binary())})
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        each = ((d.as_py(), n.as_py(), x) for b in batches for d, n, x in zip(*b.columns))
+        for doc, own in groupby(each, lambda r: r[0]):
+            out: dict[str, bytes] = {}
+            for _, name, data in own:
+                # Streams come by name and content, so the first of a name counts; each is deflated as it comes.
+                if name not in out:
+                    plain = data.as_py() or b""
+                    out[name] = R.deflate(plain) if compressed and (name == "/DocInfo" or _SECTION.match(name)) else plain
+            out.setdefault("/DocInfo", R.deflate(b"") if compressed else b"")
+            out["/FileHeader"] = file_header(COMPRESSED if compressed else 0)
+            yield doc, compound.write(out)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batched(rows_of(batches), ["doc_id", "content"], (pa.int64(), pa.binary()), 1)
 
-    return streams.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "stream", "bytes").groupBy("doc_id").applyInArrow(work, "doc_id long, content binary")
+    own = streams.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "stream", "bytes").repartition("doc_id").sortWithinPartitions("doc_id", "stream", F.coalesce("bytes", F.lit("").cast("binary")))
+    return own.mapInArrow(lean(work), "doc_id long, content binary")
 
 
 def binaries(streams: DataFrame) -> DataFrame:
