@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import attributes as A
@@ -611,28 +611,37 @@ def stored_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliant.sources import binary as B
     from foliant.sources import records as R
 
-    return B.nodes(B.streams(B.files(R.streams(B.section_records(customer_nodes(spark, sf_dir))))))
+    # Files are dealt out before they are read: a task then holds one Python worker, and a share of the files that parts_of bounds.
+    return B.nodes_of_files(spread(B.files(R.streams(B.section_records(customer_nodes(spark, sf_dir))))))
+
+
+def beside(rows: DataFrame, owner: str, place: Column, held: Column, *own: Column) -> DataFrame:
+    """doc_id, the fields of held and own fields of nodes for which their section has a node of the owner's kind at the same place; held is the
+    owner's. Both meet in one window, so that what makes the nodes runs once and not for either side of a join."""
+    w = Window.partitionBy("doc_id", "section", "_p")
+    few = rows.select("doc_id", "section", "kind", place.alias("_p"), F.when(F.col("kind") == owner, held).alias("_h"), *own)
+    return few.withColumn("_h", F.first("_h", ignorenulls=True).over(w)).where((F.col("kind") != owner) & F.col("_h").isNotNull()).drop("section", "kind", "_p")
 
 
 @query("""SELECT c_custkey // 100 AS doc_id, CAST(c_custkey % 100 AS INTEGER) AS row, 0 AS col, 0 AS style, 1 AS border, c_name AS text FROM customer
 UNION ALL SELECT c_custkey // 100, CAST(c_custkey % 100 AS INTEGER), 1, 1, 2, c_mktsegment FROM customer""")
 def binary_tables(spark, sf_dir):
     """The cells of tables that were written into binary documents, with the text of their paragraphs."""
-    rows = stored_nodes(spark, sf_dir)
-    number = lambda a, n: F.col(a)[n].cast("int").alias(n)
-    cells = rows.where("kind = 'cell'").select("doc_id", "path", number("attrs", "row"), number("attrs", "col"), number("attrs", "border"))
-    inner = rows.where("kind = 'paragraph' AND path LIKE '%/c%'").select("doc_id", F.regexp_replace("path", "/p[0-9]+$", "").alias("path"), number("attrs", "style"), "text")
-    return cells.join(inner, ["doc_id", "path"]).drop("path")
+    number = lambda n: F.col("attrs")[n].cast("int").alias(n)
+    rows = stored_nodes(spark, sf_dir).where("kind = 'cell' OR (kind = 'paragraph' AND path LIKE '%/c%')")
+    cell = F.when(F.col("kind") == "cell", F.col("path")).otherwise(F.regexp_replace("path", "/p[0-9]+$", ""))
+    return beside(rows, "cell", cell, F.struct(*map(number, ("row", "col", "border"))), number("style"), F.col("text")).select("doc_id", "_h.*", "style", "text")
 
 
 @query("""SELECT DISTINCT c_custkey // 100 AS doc_id, CAST(c_custkey // 100 % 1000 AS INTEGER) AS bin, CAST(c_custkey // 100 % 999 + 1 AS INTEGER) AS width, CAST(c_custkey // 100 % 777 + 1 AS INTEGER) AS height,
 '0:1|3:' || (c_custkey // 100 % 7 + 2) AS runs, 'fig' || chr(65532) || (c_custkey // 100) AS text FROM customer""")
 def binary_pictures(spark, sf_dir):
     """Pictures of binary documents with the text and the runs of the paragraphs that hold them."""
-    rows = stored_nodes(spark, sf_dir)
     number = lambda n: F.col("attrs")[n].cast("int").alias(n)
-    pictures = rows.where("kind = 'picture'").select("doc_id", F.regexp_replace("path", "/i[0-9]+$", "").alias("path"), number("bin"), number("width"), number("height"))
-    return pictures.join(rows.select("doc_id", "path", F.col("attrs")["runs"].alias("runs"), "text"), ["doc_id", "path"]).drop("path")
+    rows = stored_nodes(spark, sf_dir).where("kind IN ('picture', 'paragraph')")
+    paragraph = F.regexp_replace("path", "/i[0-9]+$", "")
+    held = F.struct(F.col("attrs")["runs"].alias("runs"), "text")
+    return beside(rows, "paragraph", paragraph, held, number("bin"), number("width"), number("height")).select("doc_id", "bin", "width", "height", "_h.*")
 
 
 def info_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -659,7 +668,7 @@ def stored_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliant.sources import binary as B
     from foliant.sources import records as R
 
-    return B.record_rows(B.streams(B.files(R.streams(info_records(spark, sf_dir)))))
+    return B.record_rows_of_files(spread(B.files(R.streams(info_records(spark, sf_dir)))))
 
 
 @query("""SELECT p_partkey % 50 AS doc_id, row_number() OVER (PARTITION BY p_partkey % 50 ORDER BY p_partkey) - 1 AS slot, CASE WHEN p_partkey % 3 = 0 THEN 16 ELSE p_partkey % 3 END AS property,

@@ -31,24 +31,34 @@ def file_header(flags: int = COMPRESSED, version: int = 0x05000300) -> bytes:
     return (SIGNATURE.ljust(32, b"\0") + struct.pack("<II", version, flags)).ljust(HEADER_SIZE, b"\0")
 
 
+def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, dict[str, bytes]]]:
+    """(document, version, flags, streams as they are stored) of each file of the batches, one after the other."""
+    for b in batches:
+        for doc, content in zip(b.column(0), b.column(1)):
+            held = compound.read(content.as_py())
+            head = held.get("/FileHeader", b"")
+            if len(head) < 40 or not head.startswith(SIGNATURE):
+                raise ValueError("no document header")
+            version, flags = struct.unpack_from("<II", head, 32)
+            if flags & ENCRYPTED:
+                raise ValueError("the document is encrypted")
+            yield doc.as_py(), version, flags, held
+
+
+def inflated(name: str, data: bytes, flags: int) -> bytes:
+    return R.inflate(data) if flags & COMPRESSED and data and (name == "/DocInfo" or _SECTION.match(name)) else data
+
+
 def streams(files: DataFrame) -> DataFrame:
     """(doc_id, stream, bytes, version, flags) of files(doc_id, content): one row for each stream, DocInfo and sections inflated where the
     header says so. Encrypted files raise an error, as does what isn't a document of this kind."""
     kinds = (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.int32())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for doc, content in zip(b.column(0), b.column(1)):
-                held = compound.read(content.as_py())
-                head = held.get("/FileHeader", b"")
-                if len(head) < 40 or not head.startswith(SIGNATURE):
-                    raise ValueError("no document header")
-                version, flags = struct.unpack_from("<II", head, 32)
-                if flags & ENCRYPTED:
-                    raise ValueError("the document is encrypted")
-                plain = {n: R.inflate(x) if flags & COMPRESSED and x and (n == "/DocInfo" or _SECTION.match(n)) else x for n, x in held.items()}
-                columns = ([doc.as_py()] * len(plain), list(plain), list(plain.values()), [version] * len(plain), [flags] * len(plain))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "stream", "bytes", "version", "flags"])
+        for doc, version, flags, held in opened(batches):
+            plain = [inflated(n, x, flags) for n, x in held.items()]
+            columns = ([doc] * len(held), list(held), plain, [version] * len(held), [flags] * len(held))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "stream", "bytes", "version", "flags"])
 
     return files.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "content").mapInArrow(lean(work), "doc_id long, stream string, bytes binary, version long, flags int")
 
@@ -59,6 +69,16 @@ def record_rows(streams: DataFrame) -> DataFrame:
     return R.records(own, compressed=False)
 
 
+def record_rows_of_files(files: DataFrame) -> DataFrame:
+    """record_rows of the streams of files(doc_id, content), read by one worker a task."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = ((doc, n, inflated(n, x, flags)) for doc, _, flags, held in opened(batches) for n, x in held.items() if n == "/DocInfo" or _SECTION.match(n))
+        yield from R.record_batches(own)
+
+    return files.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "content").mapInArrow(lean(work), R.RECORD)
+
+
 def typed(records: DataFrame, name: str) -> DataFrame:
     """The records of one kind with a slot number in record order and their fields as columns: integers, lists of integers and texts."""
     fields = R.columns_of(name)
@@ -107,19 +127,31 @@ def paragraphs(records: DataFrame) -> DataFrame:
     return held.select("doc_id", F.regexp_extract("stream", _SECTION.pattern, 1).cast("int").alias("section"), "seq", "level", F.coalesce(text_of(data), F.lit("")).alias("text"))
 
 
+def _node_batches(sections: Iterator[tuple[int, str, bytes]]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string())
+    for doc, name, data in sections:
+        section = int(_SECTION.match(name)[1])
+        rows = [(doc, section, i, path, kind, list(attrs.items()), text) for i, (path, kind, attrs, text) in enumerate(body.nodes_of(R.split(data)))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 7, kinds)], names=["doc_id", "section", "ord", "path", "kind", "attrs", "text"])
+
+
 def nodes(streams: DataFrame) -> DataFrame:
     """The sections of inflated streams as rows of packages.NODE: paragraphs, tables, cells, pictures and other controls."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string())
-        for b in batches:
-            for doc, name, data in zip(*b.columns):
-                section = int(_SECTION.match(name.as_py())[1])
-                rows = [(doc.as_py(), section, i, path, kind, list(attrs.items()), text) for i, (path, kind, attrs, text) in enumerate(body.nodes_of(R.split(data.as_py() or b"")))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 7, kinds)], names=["doc_id", "section", "ord", "path", "kind", "attrs", "text"])
+        yield from _node_batches((doc.as_py(), name.as_py(), data.as_py() or b"") for b in batches for doc, name, data in zip(*b.columns))
 
     own = streams.where(F.col("stream").rlike(_SECTION.pattern))
-    return own.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "stream", "bytes").mapInArrow(work, NODE)
+    return own.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "stream", "bytes").mapInArrow(lean(work), NODE)
+
+
+def nodes_of_files(files: DataFrame) -> DataFrame:
+    """nodes of the streams of files(doc_id, content), read by one worker a task; only sections are inflated."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _node_batches((doc, n, inflated(n, x, flags)) for doc, _, flags, held in opened(batches) for n, x in held.items() if _SECTION.match(n))
+
+    return files.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "content").mapInArrow(lean(work), NODE)
 
 
 def section_records(nodes: DataFrame) -> DataFrame:
@@ -170,11 +202,11 @@ def binaries(streams: DataFrame) -> DataFrame:
     stay as they are."""
 
     @F.pandas_udf(T.BinaryType())
-    def inflated(data: pd.Series) -> pd.Series:
+    def image_of(data: pd.Series) -> pd.Series:
         return data.map(R.inflated_or_none, na_action="ignore")
 
     own = streams.select("doc_id", binary_id(F.col("stream")).alias("id"), "bytes", "flags").where("id IS NOT NULL")
-    plain = F.when(F.col("flags").bitwiseAND(COMPRESSED) != 0, inflated("bytes"))
+    plain = F.when(F.col("flags").bitwiseAND(COMPRESSED) != 0, image_of("bytes"))
     held = own.withColumn("_p", plain)
     return held.select("doc_id", "id", F.when(looks_like_image(F.col("_p")), F.col("_p")).otherwise(F.col("bytes")).alias("bytes"))
 

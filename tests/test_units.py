@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -423,3 +424,25 @@ def test_parts_are_inflated_one_by_one():
         assert tracemalloc.get_traced_memory()[1] < 20 << 20
     finally:
         tracemalloc.stop()
+
+
+def test_files_are_read_once_by_one_worker_a_task(spark, sf_dir):
+    from foliant.plans import registry
+    from foliant.sources import binary, compound, records
+
+    section = records.join([(records.TAGS["PARA_HEADER"], 0, bytes(22)), (records.TAGS["PARA_TEXT"], 1, "a\nb".encode("utf-16-le"))])
+    info = records.join([(records.TAGS["FACE_NAME"], 0, b"\0" * 5)])
+    for flags, packed in ((binary.COMPRESSED, records.deflate), (0, bytes)):
+        held = {"/FileHeader": binary.file_header(flags), "/DocInfo": packed(info), "/BodyText/Section0": packed(section), "/BodyText/Section12": b"", "/BinData/BIN0001.png": b"x"}
+        files = spark.createDataFrame([(7, bytearray(compound.write(held)))], "doc_id long, content binary")
+        streams = binary.streams(files)
+        assert sorted(map(str, binary.nodes_of_files(files).collect())) == sorted(map(str, binary.nodes(streams).collect())) != []
+        assert sorted(map(str, binary.record_rows_of_files(files).collect())) == sorted(map(str, binary.record_rows(streams).collect())) != []
+    for flags in (binary.ENCRYPTED, None):
+        files = spark.createDataFrame([(7, bytearray(compound.write({"/FileHeader": binary.file_header(flags)} if flags else {"/x": b"y"})))], "doc_id long, content binary")
+        with pytest.raises(Exception, match="encrypted|no document header"):
+            binary.nodes_of_files(files).collect()
+    for name in ("binary_tables", "binary_pictures", "info_binaries"):
+        plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        steps = re.findall("MapInArrow|Exchange", plan)
+        assert steps.count("MapInArrow") == 3 and ("MapInArrow", "MapInArrow") not in zip(steps, steps[1:]), steps
