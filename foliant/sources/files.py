@@ -2,8 +2,9 @@
 
 `spark.read.format("document_parts").load(folder)` has a row for each part of each package. Filters on document, part and kind reach the reader: files
 that no filter admits aren't opened, and of a package only the admitted parts are inflated. `df.write.format("document_files")` writes rows (file, bytes)
-in two phases: each task writes into a folder of its own, and one manifest, written last, names the tasks' folders that count. Until it
-is there, readers of the folder see nothing of the write; a failed write leaves no file that is read. Its size is one line a task.
+in two phases: each task writes into a folder of its own, with lists of what it wrote, and one manifest, written last, names the tasks' folders that
+count and the number of their lists. Until it is there, readers of the folder see nothing of the write; a failed write leaves no file that is read.
+The manifest's size is one entry a task. What was written is read again by its lists, one or more a task, so the driver lists no files then.
 
 Files are reached through Arrow's file systems: local paths, HDFS and object stores by their addresses.
 """
@@ -14,6 +15,7 @@ import json
 import posixpath
 import re
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -26,6 +28,8 @@ PARTS = "document string, part string, kind string, size long, bytes binary, err
 FILES = "file string, bytes binary"
 #: Bytes of the files that one partition takes up, about; bytes of an inflated part beyond which it is an error row.
 GROUP_BYTES, PART_BYTES = 64 << 20, 256 << 20
+#: Files that one list of a task, and one partition of a read, names at most: small files cost more than their bytes tell.
+GROUP_FILES = 10_000
 _KINDS = (("section", r"^Contents/section[0-9]+\.xml$"), ("header", r"^Contents/header\.xml$"), ("binary", r"^BinData/"), ("meta", r"^(mimetype$|META-INF/|version\.xml$|settings\.xml$)"))
 _MANIFEST = re.compile(r"^commit-[0-9a-f]+\.json$")
 
@@ -40,21 +44,36 @@ def _system(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-def listed(path: str) -> list[tuple[str, str, int]]:
-    """(name, path, bytes) of the files of a folder, without hidden ones. Where the folder has manifests, what no manifest names isn't there."""
+def _committed(system, root: str) -> dict[str, int | None] | None:
+    """The folders of tasks that count, with the number of their lists; None where nothing was ever written by the sink. Looks at top folders only."""
+    from pyarrow import fs
+
+    top = [x.base_name for x in system.get_file_info(fs.FileSelector(root, allow_not_found=True))]
+    if not any(n == "_committed" or n.startswith("_task-") for n in top):
+        return None
+    counted: dict[str, int | None] = {}
+    for x in system.get_file_info(fs.FileSelector(f"{root}/_committed", allow_not_found=True)):
+        if _MANIFEST.match(x.base_name):
+            with system.open_input_stream(x.path) as f:
+                held = json.loads(f.read())
+            counted.update(held if isinstance(held, dict) else dict.fromkeys(held))
+    return counted
+
+
+def _found(system, root: str) -> list[tuple[str, str, int]]:
+    """(name, path, bytes) of the files below a folder, without hidden ones."""
     from pyarrow import fs
 
-    system, root = _system(path)
     found = system.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
     names = [(posixpath.relpath(x.path, root), x.path, x.size) for x in found if x.type == fs.FileType.File]
-    manifests = [p for n, p, _ in names if n.startswith("_committed/") and _MANIFEST.match(n[11:])]
-    if manifests or any(n.startswith(("_committed/", "_task-")) for n, _, _ in names):
-        counted = set()
-        for p in manifests:
-            with system.open_input_stream(p) as f:
-                counted.update(json.loads(f.read()))
-        names = [(n.partition("/")[2], p, size) for n, p, size in names if n.partition("/")[0] in counted]
-    return sorted(x for x in names if not any(s.startswith((".", "_")) for s in x[0].split("/")))
+    return [x for x in names if not any(s.startswith((".", "_")) for s in x[0].split("/"))]
+
+
+def listed(path: str) -> list[tuple[str, str, int]]:
+    """(name, path, bytes) of the files of a folder, without hidden ones. Where the folder has manifests, what no manifest names isn't there."""
+    system, root = _system(path)
+    counted = _committed(system, root)
+    return sorted(_found(system, root) if counted is None else [x for folder in counted for x in _found(system, f"{root}/{folder}")])
 
 
 def _admits(filters: list[Filter], values: dict[str, str]) -> bool:
@@ -67,9 +86,11 @@ def _admits(filters: list[Filter], values: dict[str, str]) -> bool:
 
 
 class _Group(InputPartition):
-    def __init__(self, files: list[tuple[str, str]]) -> None:
+    """Files, or a task's folder that the sink wrote with the number of one of its lists (None if it has none)."""
+
+    def __init__(self, files: list[tuple[str, str]], folder: str | None = None, number: int | None = None) -> None:
         super().__init__(len(files))
-        self.files = files
+        self.files, self.folder, self.number = files, folder, number
 
 
 class _PartsReader(DataSourceReader):
@@ -87,21 +108,37 @@ class _PartsReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
+        counted = _committed(*_system(self.path))
+        if counted is not None:
+            return [_Group([], folder, i) for folder, n in sorted(counted.items()) for i in ([None] if n is None else range(n))] or [_Group([])]
         groups: list[list[tuple[str, str]]] = [[]]
         held = 0
         for name, path, size in listed(self.path):
             if not _admits(self.filters, {"document": name}):
                 continue
-            if held + size > self.group and groups[-1]:
+            if groups[-1] and (held + size > self.group or len(groups[-1]) >= GROUP_FILES):
                 groups.append([])
                 held = 0
             groups[-1].append((name, path))
             held += size
         return [_Group(g) for g in groups if g] or [_Group([])]
 
+    def files_of(self, system, root: str, partition: _Group) -> Iterator[tuple[str, str]]:
+        """(name, path) of the files of a partition that the filters admit."""
+        if partition.folder is None:
+            yield from partition.files
+            return
+        base = f"{root}/{partition.folder}"
+        if partition.number is None:
+            names = [n for n, *_ in _found(system, base)]
+        else:
+            with system.open_input_stream(_list_path(base, partition.number)) as f:
+                names = json.loads(f.read())
+        yield from ((n, f"{base}/{n}") for n in names if _admits(self.filters, {"document": n}))
+
     def read(self, partition: _Group) -> Iterator[tuple]:
-        system, _ = _system(self.path)
-        for name, path in partition.files:
+        system, root = _system(self.path)
+        for name, path in self.files_of(system, root, partition):
             try:
                 with system.open_input_file(path) as f, zipfile.ZipFile(f) as z:
                     for info in z.infolist():
@@ -137,39 +174,73 @@ class DocumentParts(DataSource):
         return _PartsReader(dict(self.options))
 
 
+def _list_path(folder: str, number: int) -> str:
+    return f"{folder}/_lists/{number}.json"
+
+
 class _Written(WriterCommitMessage):
-    def __init__(self, folder: str, files: int) -> None:
-        self.folder, self.files = folder, files
+    def __init__(self, folder: str, lists: int) -> None:
+        self.folder, self.lists = folder, lists
 
 
 class _FilesWriter(DataSourceWriter):
     def __init__(self, options: dict[str, str], overwrite: bool) -> None:
         self.path, self.overwrite, self.job = options["path"], overwrite, uuid.uuid4().hex
+        # Tasks make folders inside this one only, so that one that outlives its write finds no place any more.
+        system, root = _system(self.path)
+        system.create_dir(f"{root}/_task-{self.job}", recursive=True)
 
     def write(self, rows) -> _Written:
         from pyspark import TaskContext
 
         system, root = _system(self.path)
         task = TaskContext.get()
-        folder = f"_task-{self.job}-{task.partitionId()}-{task.attemptNumber()}-{uuid.uuid4().hex[:8]}"
+        folder = f"_task-{self.job}/{task.partitionId()}-{task.attemptNumber()}-{uuid.uuid4().hex[:8]}"
+        base = f"{root}/{folder}"
         seen: set[str] = set()
+        made: set[str] = set()
+        names: list[str] = []
+        lists = held = 0
+
+        def within(place: str) -> str:
+            """Makes the missing folders of a file, one by one: none outside the job's."""
+            steps = place.split("/")[:-1]
+            for i in range(len(steps) + 1):
+                if (own := "/".join([base, *steps[:i]])) not in made:
+                    system.create_dir(own, recursive=False)
+                    made.add(own)
+            return f"{base}/{place}"
+
+        def put_list() -> None:
+            nonlocal lists, held
+            within("_lists/x")
+            with system.open_output_stream(_list_path(base, lists)) as out:
+                out.write(json.dumps(names).encode())
+            lists, held = lists + 1, 0
+            names.clear()
+
         try:
             for row in rows:
-                name = safe_path(row["file"])
+                name, data = safe_path(row["file"]), bytes(row["bytes"] or b"")
                 if name in seen:
                     raise ValueError(f"two rows for the file {name}")
                 seen.add(name)
-                system.create_dir(posixpath.dirname(f"{root}/{folder}/{name}"), recursive=True)
-                with system.open_output_stream(f"{root}/{folder}/{name}") as out:
-                    out.write(bytes(row["bytes"] or b""))
+                with system.open_output_stream(within(name)) as out:
+                    out.write(data)
+                if names and (held + len(data) > GROUP_BYTES or len(names) >= GROUP_FILES):
+                    put_list()
+                names.append(name)
+                held += len(data)
+            if names:
+                put_list()
         except BaseException:
-            system.delete_dir_contents(f"{root}/{folder}", missing_dir_ok=True)
+            system.delete_dir_contents(base, missing_dir_ok=True)
             raise
-        return _Written(folder, len(seen))
+        return _Written(folder, lists)
 
     def commit(self, messages: list[_Written | None]) -> None:
         system, root = _system(self.path)
-        done = [m.folder for m in messages if m is not None and m.files]
+        done = {m.folder: m.lists for m in messages if m is not None and m.lists}
         system.create_dir(f"{root}/_committed", recursive=True)
         earlier = [x.path for x in self._manifests(system, root)] if self.overwrite else []
         # A manifest counts once it has its name.
@@ -182,12 +253,17 @@ class _FilesWriter(DataSourceWriter):
 
     def abort(self, messages: list[_Written | None]) -> None:
         """Removes what tasks of this write have left, those of failed attempts too. What it can't remove no manifest names."""
-        from pyarrow import fs
-
         system, root = _system(self.path)
-        for x in system.get_file_info(fs.FileSelector(root, allow_not_found=True)):
-            if x.base_name.startswith(f"_task-{self.job}-"):
-                system.delete_dir(x.path)
+        for again in range(10):
+            try:
+                system.delete_dir(f"{root}/_task-{self.job}")
+                return
+            except FileNotFoundError:
+                return
+            except OSError:  # a task that is being ended still writes there
+                if again == 9:
+                    raise
+                time.sleep(0.2)
 
     def _manifests(self, system, root: str) -> list:
         from pyarrow import fs
@@ -223,8 +299,8 @@ class _FilesReader(_PartsReader):
                 yield f
 
     def read(self, partition: _Group) -> Iterator[tuple]:
-        system, _ = _system(self.path)
-        for name, path in partition.files:
+        system, root = _system(self.path)
+        for name, path in self.files_of(system, root, partition):
             with system.open_input_stream(path) as f:
                 yield name, f.read()
 

@@ -119,3 +119,53 @@ def test_names_of_companions(spark):
     got = [r.file for r in L.companions(texts, assets).collect()]
     assert len(got) == len({x.lower() for x in got}) == 13
     assert {"A-b.md", "c.md", "A-b.assets/p.png", "A-b.assets/P~2.png", "A-b.assets/한-글.jpg", "c.assets/p.png", "c.assets/p~2.png"} <= set(got)
+
+
+def test_what_was_written_is_read_by_lists_of_tasks(spark, tmp_path, folder, monkeypatch):
+    rows = [(f"{'d/' * (i % 3)}f{i}.md", b"%d" % i) for i in range(50)]
+    written(spark, rows, folder, parts=2)
+    monkeypatch.setattr(L, "_found", lambda *a: pytest.fail("files are listed"))
+    reader = L._FilesReader({"path": folder})
+    groups = reader.partitions()
+    assert len(groups) == 2 and not any(g.files for g in groups)
+    assert sorted(r for g in groups for r in reader.read(g)) == sorted(rows)
+    assert len(list((tmp_path / "out" / "_committed").glob("commit-*.json"))) == 1
+
+
+def test_lists_are_bounded_and_older_manifests_count(tmp_path, monkeypatch):
+    import json
+
+    import pyspark
+
+    monkeypatch.setattr(pyspark.TaskContext, "get", staticmethod(lambda: type("Task", (), {"partitionId": lambda _: 0, "attemptNumber": lambda _: 0})()))
+    monkeypatch.setattr(L, "GROUP_FILES", 4)
+    writer = L._FilesWriter({"path": str(tmp_path)}, False)
+    rows = [(f"a/f{i}", b"x" * i) for i in range(10)]
+    writer.commit([writer.write(iter([{"file": n, "bytes": b} for n, b in rows]))])
+    reader = L._FilesReader({"path": str(tmp_path)})
+    groups = reader.partitions()
+    assert [len(list(reader.read(g))) for g in groups] == [4, 4, 2]
+    assert sorted(r for g in groups for r in reader.read(g)) == rows
+    (tmp_path / "_task-old-0" / "b").mkdir(parents=True)
+    (tmp_path / "_task-old-0" / "b" / "g").write_bytes(b"g")
+    (tmp_path / "_committed" / "commit-0.json").write_text(json.dumps(["_task-old-0"]))
+    assert sorted(r for g in reader.partitions() for r in reader.read(g)) == [*rows, ("b/g", b"g")]
+    assert [(n, size) for n, _, size in L.listed(str(tmp_path))] == [*((n, len(b)) for n, b in rows), ("b/g", 1)]
+
+
+def test_a_task_that_outlives_its_write_finds_no_place(tmp_path, monkeypatch):
+    import pyspark
+
+    monkeypatch.setattr(pyspark.TaskContext, "get", staticmethod(lambda: type("Task", (), {"partitionId": lambda _: 0, "attemptNumber": lambda _: 0})()))
+    writer = L._FilesWriter({"path": str(tmp_path)}, False)
+
+    def rows():
+        yield {"file": "d/a", "bytes": b"1"}
+        writer.abort([])
+        yield {"file": "d/b", "bytes": b"2"}
+
+    with pytest.raises(OSError):
+        writer.write(rows())
+    with pytest.raises(OSError):
+        writer.write(iter([{"file": "c", "bytes": b"3"}]))
+    assert list(tmp_path.iterdir()) == []
