@@ -131,3 +131,20 @@ def test_cells_meet_after_one_shuffle_of_both_sides(spark):
     assert sorted((tuple(r) for r in cells.collect()), key=str) == sorted([
         (1, 0, "p3/t1", "p2/t0", 0, 0, "p3/t1/c0", "p2/t0/c1"), (1, 0, "p3/t1", "p2/t0", 0, 1, None, "p2/t0/c9"), (1, 0, "p3/t1", "p2/t0", 5, 0, "p3/t1/c4", None), (1, 0, "p4/t0", "p10/t0", 0, 0, None, "p10/t0/c0"),
     ], key=str)
+
+
+def test_nodes_meet_after_one_shuffle_of_both_sides(spark):
+    at, kind = {"row": "0", "col": "0"}, NODE + ", ord int, held string"
+    look = {"style": "3", "para": "2", "runs": "0:1", "page_break": "1"}
+    old = [(1, 0, "p5", "paragraph", look, "x"), (1, 0, "p5/t0", "table", {"border": "4"}, None), (1, 0, "p5/t0/c9", "cell", at, None), (1, 0, "p5/t0/c9/p0", "paragraph", look, "late"), (1, 0, "p5/t0/c2", "cell", at, None),
+           (1, 0, "p5/t0/c2/p10", "paragraph", look, "b\nmore"), (1, 0, "p5/t0/c2/p9", "paragraph", {"style": "7"}, "a"), (None, 0, "p0/t0", "table", {"border": "4"}, None)]
+    new = [(1, 0, "p1", "paragraph", {"style": "9"}, "y", 5, "k"), (1, 0, "p1/t0", "table", None, None, 6, "side"), (1, 0, "p1/t0/c0", "cell", at, None, 7, None), (1, 0, "p1/t0/c0/p0", "paragraph", {}, "new", 8, "l"), (1, 0, "p1/t0/c0/p1", "paragraph", {"runs": "5:5"}, "b", 9, "m"),
+           (1, 0, "p1/t0/c0/p2", "paragraph", {}, "third", 10, "n"), (None, 0, "p0/t0", "table", {}, None, 11, "o")]
+    taken = E.taken_over(spark.createDataFrame(old, NODE), spark.createDataFrame(new, kind))
+    assert taken.columns == ["doc_id", "section", "path", "kind", "attrs", "text", "ord", "held"]
+    assert taken._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    # The cell with the smallest number counts; "a" and "b\nmore" differ from all, so the first meet, and the second.
+    assert {r.ord: (r.doc_id, r.path, r.kind, r.attrs, r.text, r.held) for r in taken.collect()} == {
+        5: (1, "p1", "paragraph", {"style": "9", "para": "2", "runs": "0:1"}, "y", "k"), 6: (1, "p1/t0", "table", {"border": "4"}, None, "side"), 7: (1, "p1/t0/c0", "cell", at, None, None),
+        8: (1, "p1/t0/c0/p0", "paragraph", {"style": "7"}, "new", "l"), 9: (1, "p1/t0/c0/p1", "paragraph", {"style": "3", "para": "2", "runs": "0:1", "page_break": "1"}, "b\nmore", "m"), 10: (1, "p1/t0/c0/p2", "paragraph", {}, "third", "n"), 11: (None, "p0/t0", "table", {}, None, "o"),
+    }
