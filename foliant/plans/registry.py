@@ -313,7 +313,7 @@ def font_slots(spark, sf_dir):
 
 def header_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     k = F.col("p_partkey")
-    own = table(spark, sf_dir, "part").select((k % 50).alias("doc_id"), k.alias("id"), "p_name", "p_brand")
+    own = spread(table(spark, sf_dir, "part")).select((k % 50).alias("doc_id"), k.alias("id"), "p_name", "p_brand")
     n = F.col("id")
     seven = lambda m, a: F.array(*[((n * (i + 3)) % m + a).cast("int") for i in range(7)])
     attr = sum((F.when(n % m == 0, F.lit(1 << A.CHAR_BITS[b][0])).otherwise(0) for b, m in S.HEADER_BITS.items()), F.lit(0))
@@ -330,36 +330,37 @@ def header_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
-def stored_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stored_headers(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table of the headers, which are written and read whole."""
     from foliant.sources import packages as Z
 
     t = header_tables(spark, sf_dir)
-    return H.headers(Z.parts(Z.packages(H.header_parts(t["fonts"], t["fills"], t["chars"], t["paras"], t["styles"]))))
+    return H.headers_of(Z.packages_of(H.header_pieces(t["fonts"], t["fills"], t["chars"], t["paras"], t["styles"])), table)
 
 
 @query(S.HEADER_FONTS)
 def header_fonts(spark, sf_dir):
-    return H.fonts(stored_headers(spark, sf_dir))
+    return H.fonts(stored_headers(spark, sf_dir, "fontfaces"))
 
 
 @query("SELECT p_partkey % 50 AS doc_id, p_partkey AS id, CASE WHEN p_partkey % 3 > 0 AND p_partkey * 7919 % 16777216 <> 16777215 THEN p_partkey * 7919 % 16777216 END AS face FROM part")
 def header_fills(spark, sf_dir):
-    return H.border_fills(stored_headers(spark, sf_dir))
+    return H.border_fills(stored_headers(spark, sf_dir, "borderFills"))
 
 
 @query(S.HEADER_CHARS)
 def header_chars(spark, sf_dir):
-    return H.char_shapes(stored_headers(spark, sf_dir))
+    return H.char_shapes(stored_headers(spark, sf_dir, "charProperties"))
 
 
 @query("SELECT p_partkey % 50 AS doc_id, p_partkey AS id, CAST(p_partkey % 6 AS INTEGER) AS align FROM part")
 def header_paras(spark, sf_dir):
-    return H.para_shapes(stored_headers(spark, sf_dir))
+    return H.para_shapes(stored_headers(spark, sf_dir, "paraProperties"))
 
 
 @query("""SELECT p_partkey % 50 AS doc_id, p_partkey AS id, p_partkey % 4 = 0 AS is_char, '개요 ' || p_partkey % 9 AS name, p_name || chr(39) || '"&' AS english, p_partkey % 11 AS para_shape, p_partkey % 13 AS char_shape, p_partkey % 7 AS next_style, CAST(p_partkey % 1042 AS INTEGER) AS lang FROM part""")
 def header_styles(spark, sf_dir):
-    return H.styles(stored_headers(spark, sf_dir))
+    return H.styles(stored_headers(spark, sf_dir, "styles"))
 
 
 def shaped_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -378,7 +379,7 @@ FROM conversations WHERE conv_id > 0 AND conv_id < 50 AND (conv_id + 50 * turn)
 def styled_headings(spark, sf_dir):
     """Paragraphs of fifty packages whose paragraph style the header knows, with the levels that the style's names give."""
     nodes = shaped_nodes(spark, sf_dir).where("doc_id > 0 AND doc_id < 50")
-    styles = H.styles(stored_headers(spark, sf_dir)).where("NOT is_char")
+    styles = H.styles(stored_headers(spark, sf_dir, "styles")).where("NOT is_char")
     known = styles.select("doc_id", F.col("id").cast("string").alias("_s"))
     listed = nodes.withColumn("_s", F.col("attrs")["style"]).join(known, ["doc_id", "_s"], "left_semi").drop("_s")
     return H.with_heading_levels(listed, styles).select("doc_id", "ord", "level")

@@ -1,16 +1,25 @@
 """The header part of packages: fonts, border fills, character and paragraph shapes and styles as rows, and the way back.
 
-Reading is from_xml over the part and writing is string expressions, so neither leaves the JVM. A header that isn't well-formed has no rows.
-Of several entries with one id the last counts; entries without an id have the number 0.
+A header holds all entries of its document, so it is never a row: it is written from entries that pass in order, and cut where it is read into pieces
+of neighbouring entries, each of which from_xml parses. A header that isn't well-formed has no rows. Of several entries with one id the last
+counts; entries without an id have the number 0.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import io
+import zipfile
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
+from xml.parsers import expat
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.attributes import CHAR_BITS, bits, colour_hex, tone
 from foliant.functions.text import escape_xml, style_heading_level, text_heading_level
+from foliant.spark import batched, lean
 
 PART = "Contents/header.xml"
 #: Script slots, namespaces, alignments by number, line styles by number, and spacing kinds by number.
@@ -27,31 +36,202 @@ DEFAULT_HEIGHT = 1000
 _SEVEN = "STRUCT<" + ", ".join(f"_{s}: STRING" for s in SLOTS) + ">"
 _LINE = "STRUCT<_shape: STRING, _color: STRING>"
 _FACE = "STRUCT<_faceColor: STRING>"
-_TABLES = f"""fontfaces: STRUCT<fontface: ARRAY<STRUCT<_lang: STRING, font: ARRAY<STRUCT<_face: STRING>>>>>,
-borderFills: STRUCT<borderFill: ARRAY<STRUCT<_id: STRING, fillBrush: STRUCT<winBrush: {_FACE}, fillColor: {_FACE}>>>>,
-charProperties: STRUCT<charPr: ARRAY<STRUCT<_id: STRING, _height: STRING, _textColor: STRING, _shadeColor: STRING, _borderFillIDRef: STRING, bold: STRING, italic: STRING, underline: {_LINE},
-  strikeout: {_LINE}, fontRef: {_SEVEN}, ratio: {_SEVEN}, relSz: {_SEVEN}, spacing: {_SEVEN}, offset: {_SEVEN}>>>,
-paraProperties: STRUCT<paraPr: ARRAY<STRUCT<_id: STRING, align: STRUCT<_horizontal: STRING>>>>,
-styles: STRUCT<style: ARRAY<STRUCT<_id: STRING, _type: STRING, _name: STRING, _engName: STRING, _paraPrIDRef: STRING, _charPrIDRef: STRING, _nextStyleIDRef: STRING, _langID: STRING>>>"""
-SCHEMA = f"STRUCT<refList: STRUCT<{_TABLES}>, {_TABLES}>"
-
-
-def headers(parts: DataFrame) -> DataFrame:
-    """(doc_id, header) of parts(doc_id, name, bytes): the parsed header part."""
-    xml = F.decode("bytes", "UTF-8")
+#: The entries of each table of a header.
+_ENTRIES = {
+    "fontfaces": ("fontface", "_lang: STRING, font: ARRAY<STRUCT<_face: STRING>>"),
+    "borderFills": ("borderFill", f"_id: STRING, fillBrush: STRUCT<winBrush: {_FACE}, fillColor: {_FACE}>"),
+    "charProperties": ("charPr", f"""_id: STRING, _height: STRING, _textColor: STRING, _shadeColor: STRING, _borderFillIDRef: STRING, bold: STRING, italic: STRING, underline: {_LINE},
+  strikeout: {_LINE}, fontRef: {_SEVEN}, ratio: {_SEVEN}, relSz: {_SEVEN}, spacing: {_SEVEN}, offset: {_SEVEN}"""),
+    "paraProperties": ("paraPr", "_id: STRING, align: STRUCT<_horizontal: STRING>"),
+    "styles": ("style", "_id: STRING, _type: STRING, _name: STRING, _engName: STRING, _paraPrIDRef: STRING, _charPrIDRef: STRING, _nextStyleIDRef: STRING, _langID: STRING"),
+}
+_NAMES = {table: entry for table, (entry, _) in _ENTRIES.items()}
+#: Entries and bytes of a piece of a header, and bytes that are inflated at a time.
+PIECE, PIECE_BYTES, CHUNK = 256, 1 << 18, 1 << 16
+
+
+def _scanned(stream: BinaryIO, started: Callable[[list[str], int], None], ended: Callable[[list[str], int], None]) -> Iterator[tuple[bytes, int]]:
+    """Calls started and ended with the names of an element and those around it, as far as an entry's or a font's, and its offset; after each chunk, gives
+    it and the offset before which nothing starts any more."""
+    parser, names, depth, deepest = expat.ParserCreate("UTF-8"), [], 0, 4
+    parser.ordered_attributes = True
+
+    def start(name: str, _: list) -> None:
+        nonlocal depth, deepest
+        depth += 1
+        if depth <= deepest:
+            names.append(name.rpartition(":")[2])
+            started(names, parser.CurrentByteIndex)
+            if depth == 4:
+                deepest = 5 if names[3] == "fontface" else 4
+
+    def end(_: str) -> None:
+        nonlocal depth
+        if depth <= deepest:
+            ended(names, parser.CurrentByteIndex)
+            names.pop()
+        depth -= 1
+
+    parser.StartElementHandler, parser.EndElementHandler = start, end
+    while chunk := stream.read(CHUNK):
+        parser.Parse(chunk, False)
+        yield chunk, max(parser.CurrentByteIndex, 0)
+    parser.Parse(b"", True)
+    yield b"", max(parser.CurrentByteIndex, 0)
+
+
+def _table(names: list[str]) -> tuple[str, bool] | None:
+    """The table that the innermost element is, and whether it stands in the list of references."""
+    listed = len(names) == 3 and names[1] == "refList"
+    return (names[-1], listed) if (listed or len(names) == 2) and names[-1] in _NAMES else None
+
+
+def _chosen(stream: BinaryIO) -> dict[str, int]:
+    """By its name, the number of the table that counts, of all tables in their order: the last one in the last list of references or, if that has no
+    entries, the last outside. None if the header isn't well-formed."""
+    number, last, filled = -1, {}, set()
+
+    def started(names: list[str], _: int) -> None:
+        nonlocal number
+        if len(names) == 2 and names[1] == "refList":
+            for key in [k for k in last if k[1]]:  # the last list counts
+                del last[key]
+        if key := _table(names):
+            number += 1
+            last[key] = number
+        elif (key := _table(names[:-1])) and names[-1] == _NAMES[key[0]]:
+            filled.add(number)
+
+    try:
+        for _ in _scanned(stream, started, lambda *_: None):
+            filled.intersection_update(last.values())
+    except expat.ExpatError:
+        return {}
+    return {t: next(n for n in own if n in filled) for t in _NAMES if filled.intersection(own := (last.get((t, True)), last.get((t, False))))}
+
+
+def _pieces(opened: Callable[[], BinaryIO], tables: tuple[str, ...]) -> Iterator[tuple[str, int, int, str]]:
+    """(table, at, seq, xml): runs of neighbouring entries of the tables that count, or of one font face's fonts, whose face is the at-th. The header is
+    read twice, since it may turn out at its end that it isn't well-formed."""
+    with opened() as stream:
+        chosen = {n for t, n in _chosen(stream).items() if t in tables}
+    if not chosen:
+        return
+    final = max(chosen)
+    out: list[tuple[str, int, int, str]] = []
+    held, base = bytearray(), 0
+    # Of the table that is open: its name, the offsets where a face and a run start, the face's number and what stands before its fonts.
+    number, inside, face, run, count, at, seq, before = -1, None, None, None, 0, -1, 0, b""
+    cut = lambda start, stop: bytes(held[start - base : stop - base])
+
+    def leave(stop: int) -> None:
+        nonlocal run, count, seq
+        if run is not None:
+            after = b"</fontface>" if inside == "fontfaces" else b""
+            out.append((inside, max(at, 0), seq, (before + cut(run, stop) + after).decode()))
+            run, count, seq = None, 0, seq + 1
+
+    def started(names: list[str], offset: int) -> None:
+        nonlocal number, inside, face, run, count, at, before
+        if key := _table(names):
+            number += 1
+            inside, at, before = (key[0] if number in chosen else None), -1, b""
+        elif inside and (key := _table(names[:-1])) and names[-1] == _NAMES[key[0]] and inside == "fontfaces":
+            at, face = at + 1, offset
+        elif inside == "fontfaces":
+            if names[-1] == "font" and names[-2] == "fontface" and _table(names[:-2]):
+                entry(offset)
+        elif inside and key and names[-1] == _NAMES[key[0]]:
+            entry(offset)
+
+    def entry(offset: int) -> None:
+        nonlocal run, count, face, before
+        if face is not None:
+            # The face's own tag, under the name that closes it here.
+            head = cut(face, offset)
+            before, face = b"<fontface" + head[min(i for i in (head.find(c) for c in (b" ", b"\t", b"\r", b"\n", b">")) if i > 0) :], None
+        if count >= PIECE or (run is not None and offset - run >= PIECE_BYTES):
+            leave(offset)
+        run, count = offset if run is None else run, count + 1
+
+    def ended(names: list[str], offset: int) -> None:
+        nonlocal inside, face
+        if inside == "fontfaces" and names[-1] == "fontface" and _table(names[:-1]):
+            leave(offset)
+            face = None
+        elif inside and _table(names):
+            leave(offset)
+            inside = None
+
+    with opened() as stream:
+        # A chunk is there before what starts in it is named.
+        for _, done in _scanned(_Kept(stream, held), started, ended):
+            yield from out
+            out.clear()
+            if inside is None and number >= final:
+                return
+            first = min(x for x in (done, run, face) if x is not None)
+            if first - base > PIECE_BYTES:
+                del held[: first - base]
+                base = first
+
+
+class _Kept:
+    """A stream whose bytes are also appended to held as they are read."""
+
+    def __init__(self, stream: BinaryIO, held: bytearray):
+        self.stream, self.held = stream, held
+
+    def read(self, n: int) -> bytes:
+        chunk = self.stream.read(n)
+        self.held += chunk
+        return chunk
+
+
+_HEADER = ("doc_id", "tbl", "at", "seq", "xml")
+_KINDS = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string())
+
+
+def _cut(source: DataFrame, opened: Callable[[pa.Scalar], Callable[[], BinaryIO] | None], tables: tuple[str, ...]) -> DataFrame:
+    wanted = tables or tuple(_NAMES)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc, content in zip(b.column(0), b.column(1)):
+                if content.is_valid and (open_part := opened(content)):
+                    yield from batched(((doc.as_py(), *piece) for piece in _pieces(open_part, wanted)), list(_HEADER), _KINDS, 16)
+
+    return source.mapInArrow(lean(work), "doc_id long, tbl string, at int, seq int, xml string")
+
+
+def headers(parts: DataFrame, *tables: str) -> DataFrame:
+    """(doc_id, tbl, at, seq, xml) of parts(doc_id, name, bytes): the header part in pieces, of these tables or of all."""
+    own = parts.where(F.col("name") == PART).selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "bytes")
+    return _cut(own, lambda content: lambda: io.BytesIO(memoryview(content.as_buffer())), tables)
+
+
+def headers_of(packages: DataFrame, *tables: str) -> DataFrame:
+    """The same of packages(doc_id, content): the header part is inflated as it is cut and never whole."""
+
+    def opened(content: pa.Scalar) -> Callable[[], BinaryIO] | None:
+        package = zipfile.ZipFile(pa.BufferReader(content.as_buffer()))
+        return (lambda: package.open(PART)) if PART in package.namelist() else None
+
+    return _cut(packages.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "content"), opened, tables)
+
+
+def _entries(headers: DataFrame, table: str) -> DataFrame:
+    """(doc_id, at, seq, i, e): the entries of a table; at, seq and i give their order."""
+    entry, fields = _ENTRIES[table]
     options = {"ignoreNamespace": "true", "attributePrefix": "_", "nullValue": "\x00", "mode": "PERMISSIVE"}
-    return parts.where(F.col("name") == PART).select("doc_id", F.from_xml(xml, SCHEMA, options).alias("header"))
-
+    parsed = F.from_xml(F.concat(F.lit("<t>"), "xml", F.lit("</t>")), f"STRUCT<{entry}: ARRAY<STRUCT<{fields}>>>", options)
+    return headers.where(F.col("tbl") == table).select("doc_id", "at", "seq", parsed.alias("p")).select("doc_id", "at", "seq", F.posexplode(f"p.{entry}").alias("i", "e"))
 
-def _entries(headers: DataFrame, table: str, entry: str) -> DataFrame:
-    return headers.select("doc_id", F.coalesce(F.col(f"header.refList.{table}.{entry}"), F.col(f"header.{table}.{entry}")).alias("all"))
 
-
-def _by_id(headers: DataFrame, table: str, entry: str) -> DataFrame:
-    """(doc_id, id, e): the last entry of each id, found in the row itself by sorting on id and place."""
-    placed = _entries(headers, table, entry).select("doc_id", F.array_sort(F.transform("all", lambda e, i: F.struct(F.coalesce(_number(e["_id"]), F.lit(0)).alias("id"), i.alias("i"), e.alias("e")))).alias("s"))
-    last = F.filter("s", lambda x, i: F.coalesce(F.get("s", i + 1)["id"] != x["id"], F.lit(True)))
-    return placed.select("doc_id", F.explode(last).alias("x")).select("doc_id", "x.id", "x.e")
+def _by_id(headers: DataFrame, table: str) -> DataFrame:
+    """(doc_id, id, e): the last entry of each id."""
+    own = _entries(headers, table).select("doc_id", F.coalesce(_number(F.col("e._id")), F.lit(0)).alias("id"), "seq", "i", "e")
+    return own.withColumn("_next", F.lead("i").over(Window.partitionBy("doc_id", "id").orderBy("seq", "i"))).where("_next IS NULL").select("doc_id", "id", "e")
 
 
 def _number(x: Column) -> Column:
@@ -72,16 +252,15 @@ def _seven(x: Column, default: int, low: int, high: int) -> Column:
 
 def fonts(headers: DataFrame) -> DataFrame:
     """(doc_id, slot, idx, name): the faces of each script slot in their order; faces of an unknown language are in `other`."""
-    faces = _entries(headers, "fontfaces", "fontface").select("doc_id", F.posexplode("all").alias("at", "f"))
-    slot = F.lower("f._lang")
-    named = faces.select("doc_id", F.when(slot.isin(*SLOTS), slot).otherwise("other").alias("slot"), "at", F.posexplode("f.font").alias("i", "font"))
-    listed = named.groupBy("doc_id", "slot").agg(F.array_sort(F.collect_list(F.struct("at", "i", F.coalesce("font._face", F.lit("")).alias("face")))).alias("l"))
-    return listed.select("doc_id", "slot", F.posexplode("l.face").alias("idx", "name"))
+    slot = F.lower("e._lang")
+    faces = _entries(headers, "fontfaces").select("doc_id", F.when(slot.isin(*SLOTS), slot).otherwise("other").alias("slot"), "at", "seq", F.posexplode("e.font").alias("i", "font"))
+    place = F.row_number().over(Window.partitionBy("doc_id", "slot").orderBy("at", "seq", "i")) - 1
+    return faces.select("doc_id", "slot", place.alias("idx"), F.coalesce("font._face", F.lit("")).alias("name"))
 
 
 def border_fills(headers: DataFrame) -> DataFrame:
     """(doc_id, id, face): the colour of a solid face as a number 0x00BBGGRR, null without one."""
-    rows = _by_id(headers, "borderFills", "borderFill")
+    rows = _by_id(headers, "borderFills")
     brush = F.col("e.fillBrush")
     return rows.select("doc_id", "id", F.coalesce(_colour(brush["winBrush"]["_faceColor"]), _colour(brush["fillColor"]["_faceColor"])).alias("face"))
 
@@ -94,7 +273,7 @@ def char_shapes(headers: DataFrame) -> DataFrame:
     line = lambda n: e[n].isNotNull() & (F.upper(F.coalesce(e[n]["_shape"], F.lit(""))) != "NONE")
     bit = lambda on, n: F.when(on, 1 << CHAR_BITS[n][0]).otherwise(0)
     attr = bit(e["italic"].isNotNull(), "italic") + bit(e["bold"].isNotNull(), "bold") + bit(line("underline"), "underline_kind") + bit(line("strikeout"), "strike")
-    return _by_id(headers, "charProperties", "charPr").select(
+    return _by_id(headers, "charProperties").select(
         "doc_id", "id", attr.alias("attr"), F.coalesce(_number(e["_height"]), F.lit(DEFAULT_HEIGHT)).alias("height"), F.coalesce(_colour(e["_textColor"]), F.lit(0)).alias("color"),
         F.coalesce(_colour(e["_shadeColor"]), F.lit(0)).alias("shade"), _number(e["_borderFillIDRef"]).alias("border_fill"), F.coalesce(F.when(line("underline"), _colour(e["underline"]["_color"])), F.lit(0)).alias("underline_color"),
         F.when(line("strikeout"), _colour(e["strikeout"]["_color"])).alias("strike_color"), _seven(e["fontRef"], 0, 0, 65535).alias("fonts"), _seven(e["ratio"], 100, 0, 255).alias("ratios"),
@@ -106,7 +285,7 @@ def para_shapes(headers: DataFrame) -> DataFrame:
     """(doc_id, id, align): the number of the alignment; 1, left, for an unknown one and 0 without one."""
     name = F.upper("e.align._horizontal")
     number = F.array_position(F.array(*map(F.lit, ALIGNMENTS)), name).cast("int") - 1
-    return _by_id(headers, "paraProperties", "paraPr").select("doc_id", "id", F.when(name.isNull(), 0).when(number < 0, 1).otherwise(number).alias("align"))
+    return _by_id(headers, "paraProperties").select("doc_id", "id", F.when(name.isNull(), 0).when(number < 0, 1).otherwise(number).alias("align"))
 
 
 def styles(headers: DataFrame) -> DataFrame:
@@ -114,7 +293,7 @@ def styles(headers: DataFrame) -> DataFrame:
     e = F.col("e")
     number = lambda n: F.coalesce(_number(e[n]), F.lit(0))
     text = lambda n: F.coalesce(e[n], F.lit(""))
-    return _by_id(headers, "styles", "style").select(
+    return _by_id(headers, "styles").select(
         "doc_id", "id", (text("_type") == "CHAR").alias("is_char"), text("_name").alias("name"), text("_engName").alias("english"), number("_paraPrIDRef").alias("para_shape"), number("_charPrIDRef").alias("char_shape"),
         number("_nextStyleIDRef").alias("next_style"), F.coalesce(e["_langID"].try_cast("smallint"), F.lit(0)).cast("int").alias("lang"),
     )
@@ -215,24 +394,31 @@ def border_fill_xml() -> Column:
     return _tag("hh:borderFill", {"id": _text("id"), "threeD": "0", "shadow": "0", "centerLine": "NONE"}, *lines, F.when(F.col("face").isNotNull() & (F.col("face") != 0xFFFFFF), brush).otherwise(""))
 
 
-def header_parts(fonts: DataFrame, fills: DataFrame, chars: DataFrame, paras: DataFrame, styles: DataFrame) -> DataFrame:
-    """(doc_id, name, bytes): the header part of each document in any of the tables. A document's entries meet in one row, since they are
-    one part; each container holds the count of its children."""
-    face = fonts.groupBy("doc_id", "slot").agg(F.array_sort(F.collect_list(F.struct("idx", "name"))).alias("f"))
-    inner = F.array_join(F.transform("f", lambda x: F.concat(F.lit('<hh:font id="'), x["idx"].cast("string"), F.lit('" face="'), escape_xml(x["name"]), F.lit('"/>'))), "")
-    slot = face.select("doc_id", F.array_position(F.array(*map(F.lit, SLOTS)), F.col("slot")).cast("bigint").alias("id"), _tag("hh:fontface", {"lang": F.upper("slot"), "fontCnt": F.size("f").cast("string")}, inner).alias("xml"))
-    tables = {"fontfaces": slot, "borderFills": fills.select("doc_id", "id", border_fill_xml().alias("xml")), "charProperties": chars.select("doc_id", "id", char_shape_xml().alias("xml"))}
-    tables |= {"paraProperties": paras.select("doc_id", "id", para_shape_xml().alias("xml")), "styles": styles.select("doc_id", "id", style_xml().alias("xml"))}
-    rows = None
-    for i, t in enumerate(tables.values()):
-        one = t.select("doc_id", F.lit(i).alias("t"), "id", "xml")
-        rows = one if rows is None else rows.unionByName(one)
-    whole = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("t", "id", "xml"))).alias("all"))
-
-    def container(i: int, name: str) -> Column:
-        own = F.filter("all", lambda x: x["t"] == i)
-        return _tag(f"hh:{name}", {"itemCnt": F.size(own).cast("string")}, F.array_join(F.transform(own, lambda x: x["xml"]), ""))
-
-    spaces = {f"xmlns:{k}": v for k, v in NAMESPACES.items()}
-    body = _tag("hh:head", spaces, _tag("hh:refList", {}, *(container(i, n) for i, n in enumerate(tables))))
-    return whole.select("doc_id", F.lit(PART).alias("name"), F.encode(F.concat(F.lit('<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'), body), "UTF-8").alias("bytes"))
+def header_pieces(fonts: DataFrame, fills: DataFrame, chars: DataFrame, paras: DataFrame, styles: DataFrame) -> DataFrame:
+    """(doc_id, name, place, bytes): the header part of each document in any of the tables, in pieces that make it up in the order of place: its entries,
+    and the tags around them; each container holds the count of its children."""
+    slot = F.array_position(F.array(*map(F.lit, SLOTS)), F.col("slot")).cast("bigint")
+    # In a container 0 opens it, 1 are its children and 2 closes it; so do the last three of a font face among these.
+    place = lambda t, part=1, a=None, slot=None, inner=1, b=None, name=None: F.struct(
+        F.lit(t).alias("t"), F.lit(part).alias("part"), (F.lit(None).cast("bigint") if a is None else a).alias("a"), F.upper(F.lit(slot) if slot is None else slot).cast("string").alias("lang"), (F.lit(slot) if slot is None else slot).cast("string").alias("slot"),
+        F.lit(inner).alias("inner"), F.lit(b).cast("bigint").alias("b") if b is None else F.col(b).cast("bigint").alias("b"), F.lit(None).cast("string").alias("name") if name is None else F.col(name).alias("name"),
+    )
+    piece = lambda df, at, xml: df.select("doc_id", at.alias("place"), xml.alias("xml"))
+    faces = fonts.groupBy("doc_id", "slot").agg(F.count("*").alias("n"))
+    font = F.concat(F.lit('<hh:font id="'), _text("idx"), F.lit('" face="'), escape_xml(F.col("name")), F.lit('"/>'))
+    face_tag = F.concat(F.lit("<hh:fontface"), F.coalesce(F.concat(F.lit(' lang="'), F.upper("slot"), F.lit('"')), F.lit("")), F.lit(' fontCnt="'), _text("n"), F.lit('">'))
+    at_slot = lambda inner, **more: place(0, 1, slot, F.col("slot"), inner, **more)
+    tables = {"fontfaces": faces, "borderFills": fills, "charProperties": chars, "paraProperties": paras, "styles": styles}
+    rows = piece(faces, at_slot(0), face_tag).unionByName(piece(fonts, at_slot(1, b="idx", name="name"), font)).unionByName(piece(faces, at_slot(2), F.lit("</hh:fontface>")))
+    counted = faces.select("doc_id", F.lit(0).alias("t"))
+    for i, (t, xml) in enumerate(zip([fills, chars, paras, styles], [border_fill_xml(), char_shape_xml(), para_shape_xml(), style_xml()]), 1):
+        rows = rows.unionByName(piece(t, place(i, b="id"), xml))
+        counted = counted.unionByName(t.select("doc_id", F.lit(i).alias("t")))
+    spaces = "".join(f' xmlns:{k}="{v}"' for k, v in NAMESPACES.items())
+    around = [F.struct(place(-1).alias("place"), F.lit(f'<?xml version="1.0" encoding="UTF-8" standalone="yes"?><hh:head{spaces}><hh:refList>').alias("xml"))]
+    for i, name in enumerate(tables):
+        around.append(F.struct(place(i, 0).alias("place"), F.concat(F.lit(f'<hh:{name} itemCnt="'), _text(f"_{i}"), F.lit('">')).alias("xml")))
+        around.append(F.struct(place(i, 2).alias("place"), F.lit(f"</hh:{name}>").alias("xml")))
+    around.append(F.struct(place(len(tables)).alias("place"), F.lit("</hh:refList></hh:head>").alias("xml")))
+    tags = counted.groupBy("doc_id").agg(*(F.count_if(F.col("t") == i).alias(f"_{i}") for i in range(len(tables)))).select("doc_id", F.inline(F.array(*around)))
+    return rows.unionByName(tags).select("doc_id", F.lit(PART).alias("name"), "place", F.encode(F.coalesce("xml", F.lit("")), "UTF-8").alias("bytes"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.spark import lean, trimmed
+from foliant.spark import lean, parts_of, trimmed
 
 #: The media type part and the XML namespaces.
 MIMETYPE = b"application/hwp+zip"
@@ -208,3 +208,48 @@ def packages(parts: DataFrame) -> DataFrame:
         return out
 
     return parts.groupBy("doc_id").applyInArrow(work, "doc_id long, content binary")
+
+
+def packages_of(pieces: DataFrame) -> DataFrame:
+    """(doc_id, content) of pieces(doc_id, name, place, bytes): a part's pieces follow each other by place and are deflated as they pass, so that no part
+    is ever whole; the media type part is added where it lacks."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, package, part, at = io.BytesIO(), None, None, None
+
+        def begun(name: str):
+            info = zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0))
+            info.compress_type = zipfile.ZIP_STORED if name == "mimetype" else zipfile.ZIP_DEFLATED
+            return package.open(info, "w", force_zip64=True)
+
+        def done() -> pa.RecordBatch:
+            part.close()
+            package.close()
+            size = out.tell()
+            held = pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(struct.pack("<2i", 0, size)), pa.py_buffer(out.getbuffer()[:size])])
+            return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int64()), held], names=["doc_id", "content"])
+
+        for b in batches:
+            keys, body = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist())), b.column(2)
+            start = 0
+            while start < len(keys):
+                key = keys[start]
+                stop = next((i for i in range(start + 1, len(keys)) if keys[i] != key), len(keys))
+                if at is None or key[0] != at[0]:
+                    if at is not None:
+                        yield done()
+                    out = io.BytesIO()
+                    package = zipfile.ZipFile(out, "w")
+                    if key[1] != "mimetype":
+                        package.writestr(zipfile.ZipInfo("mimetype", (1980, 1, 1, 0, 0, 0)), MIMETYPE)
+                    part, at = begun(key[1]), key
+                elif key != at:
+                    part.close()
+                    part, at = begun(key[1]), key
+                part.write(b"".join(body.slice(start, stop - start).to_pylist()))
+                start = stop
+        if at is not None:
+            yield done()
+
+    own = pieces.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "name", "place", "coalesce(bytes, X'') AS bytes").repartition(parts_of(pieces.sparkSession), "doc_id")
+    return own.sortWithinPartitions("doc_id", F.col("name") != "mimetype", "name", "place", "bytes").select("doc_id", "name", "bytes").mapInArrow(lean(work), "doc_id long, content binary")

@@ -446,3 +446,73 @@ def test_files_are_read_once_by_one_worker_a_task(spark, sf_dir):
         plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
         steps = re.findall("MapInArrow|Exchange", plan)
         assert steps.count("MapInArrow") == 3 and ("MapInArrow", "MapInArrow") not in zip(steps, steps[1:]), steps
+
+
+def test_headers_pass_in_pieces(spark):
+    import io
+    import zipfile
+    from xml.etree import ElementTree
+
+    from pyspark.sql import functions as F
+
+    from foliant.sources import headers as H
+    from foliant.sources import packages as Z
+
+    n = 3000
+    own = spark.range(n).select(F.when(F.col("id") < n - 2, 1).otherwise(None).cast("long").alias("doc_id"), "id")
+    fonts = own.select("doc_id", F.when(F.col("id") % 2 == 0, "latin").otherwise("user").alias("slot"), F.col("id").alias("idx"), F.concat(F.lit("<&\""), F.col("id").cast("string")).alias("name"))
+    fills, paras = own.select("doc_id", "id", F.col("id").alias("face")), own.select("doc_id", "id", (F.col("id") % 6).cast("int").alias("align"))
+    seven = F.array(*[F.lit(9)] * 7)
+    chars = own.select("doc_id", "id", F.lit(1).alias("attr"), *(F.col("id").alias(c) for c in ("height", "color", "shade", "border_fill", "underline_color", "strike_color")), *(seven.alias(c) for c in ("fonts", "ratios", "sizes", "spacings", "offsets")))
+    styles = own.where("doc_id = 1").select("doc_id", "id", F.lit(False).alias("is_char"), F.lit("가").alias("name"), F.repeat(F.lit("x"), 300).alias("english"), *(F.col("id").alias(c) for c in ("para_shape", "char_shape", "next_style")), F.lit(0).alias("lang"))
+    pieces = H.header_pieces(fonts, fills, chars, paras, styles)
+    packages = Z.packages_of(pieces).persist()
+    # Neither a piece that is written nor one that is read holds more than a part of the header, and no row gathers them.
+    for df in (pieces, packages, H.headers_of(packages)):
+        assert "collect_list" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert pieces.agg(F.max(F.octet_length("bytes"))).first()[0] < 2000
+    assert H.headers_of(packages).agg(F.max(F.octet_length("xml"))).first()[0] < H.PIECE_BYTES + 2000
+    for r in packages.collect():
+        own_n = n - 2 if r.doc_id == 1 else 2
+        package = zipfile.ZipFile(io.BytesIO(r.content))
+        assert package.namelist() == ["mimetype", H.PART] and package.read("mimetype") == Z.MIMETYPE
+        root = ElementTree.fromstring(package.read(H.PART))
+        got = {t.tag.rpartition("}")[2]: (t.get("itemCnt"), len(t)) for t in root[0]}
+        assert list(got) == ["fontfaces", "borderFills", "charProperties", "paraProperties", "styles"]
+        assert got["fontfaces"] == ("2", 2) and got["charProperties"] == (str(own_n), own_n) and got["styles"] == ((str(own_n), own_n) if r.doc_id else ("0", 0))
+        assert [int(e.get("id")) for e in root[0][1]] == list(range(own_n) if r.doc_id else range(n - 2, n)) and [f.get("lang") for f in root[0][0]] == ["LATIN", "USER"]
+    rows = lambda df, *c: sorted(map(tuple, df.select(*c).collect()), key=str)
+    faces = [(d, s, i, f'<&"{k}') for d, ids in ((1, range(n - 2)), (None, range(n - 2, n))) for s, m in (("latin", 0), ("user", 1)) for i, k in enumerate(k for k in ids if k % 2 == m)]
+    assert rows(H.fonts(H.headers_of(packages, "fontfaces")), "doc_id", "slot", "idx", "name") == sorted(faces, key=str)
+    assert rows(H.para_shapes(H.headers_of(packages)), "doc_id", "id", "align") == rows(paras, "doc_id", "id", "align")
+    assert rows(H.styles(H.headers_of(packages, "styles")), "doc_id", "id", "name", "english") == rows(styles, "doc_id", "id", "name", "english")
+    assert rows(H.char_shapes(H.headers(Z.parts(packages))), "doc_id", "id", "height", "sizes") == rows(chars, "doc_id", "id", F.when(F.col("height") > -1, F.col("height")), F.array(*[F.lit(9)] * 7))
+
+
+def test_pieces_of_odd_headers(monkeypatch):
+    import io
+
+    from foliant.sources import headers as H
+
+    def read(xml, *tables):
+        return [(t, at, x) for t, at, _, x in H._pieces(lambda: io.BytesIO(xml.encode()), tables or tuple(H._NAMES))]
+
+    for chunk, piece in ((1, 1), (7, 2), (1 << 16, 256)):
+        monkeypatch.setattr(H, "CHUNK", chunk)
+        monkeypatch.setattr(H, "PIECE", piece)
+        monkeypatch.setattr(H, "PIECE_BYTES", 1 << 18 if chunk > 7 else 5)
+        joined = lambda xml, *t: "".join(x for _, _, x in read(xml, *t))
+        # The last of several tables counts, those in the list of references before others, and an empty one not.
+        assert joined("<h><styles><style id='1'/></styles><styles><style id='2'/></styles><refList><styles/></refList></h>") == "<style id='2'/>"
+        assert joined("<h><styles><style id='1'/></styles><refList><styles><style id='2'/><a><style id='9'/></a></styles></refList></h>") == "<style id='2'/><a><style id='9'/></a>"
+        assert joined("<h><refList><styles><style id='1'/></styles></refList><refList><paraProperties><paraPr/></paraProperties></refList></h>") == "<paraPr/>"
+        assert joined("<h><x:refList xmlns:x='y'><x:styles><!-- <style id='1'> --><x:style name='a>b'><![CDATA[</style>]]></x:style>가</x:styles></x:refList></h>") == "<x:style name='a>b'><![CDATA[</style>]]></x:style>가"
+        # Every piece of a font face has the face's own tag.
+        xml = "<h><refList><fontfaces><f:fontface xmlns:f='g'\n lang='LATIN'><font face='1'/><font face='2'/><font face='3'/></f:fontface><fontface/><fontface><font/></fontface></fontfaces><styles><style/></styles></refList></h>"
+        got = read(xml, "fontfaces")
+        assert [at for _, at, _ in got] == sorted(at for _, at, _ in got) and {at for _, at, _ in got} == {0, 2}
+        assert all(x.startswith("<fontface xmlns:f='g'\n lang='LATIN'>") and x.endswith("</fontface>") for _, at, x in got if at == 0)
+        assert "".join(x for _, at, x in got if at == 0).count("<font ") == 3 and joined(xml, "fontfaces").endswith("<fontface><font/></fontface>")
+        # What isn't well-formed has none, however late that shows.
+        for end in ("", "</refList>", "</refList></h><x>", "</refList></h>x", "</refList>&no;</h>"):
+            assert read("<h><refList><styles><style/></styles>" + "<a/>" * 50 + end) == []
