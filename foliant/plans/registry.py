@@ -379,10 +379,8 @@ FROM conversations WHERE conv_id > 0 AND conv_id < 50 AND (conv_id + 50 * turn)
 def styled_headings(spark, sf_dir):
     """Paragraphs of fifty packages whose paragraph style the header knows, with the levels that the style's names give."""
     nodes = shaped_nodes(spark, sf_dir).where("doc_id > 0 AND doc_id < 50")
-    styles = H.styles(stored_headers(spark, sf_dir, "styles")).where("NOT is_char")
-    known = styles.select("doc_id", F.col("id").cast("string").alias("_s"))
-    listed = nodes.withColumn("_s", F.col("attrs")["style"]).join(known, ["doc_id", "_s"], "left_semi").drop("_s")
-    return H.with_heading_levels(listed, styles).select("doc_id", "ord", "level")
+    styles = H.styles(stored_headers(spark, sf_dir, "styles"))
+    return H.with_heading_levels(nodes, styles, known=True).select("doc_id", "ord", "level")
 
 
 # Assets

@@ -302,11 +302,11 @@ def styles(headers: DataFrame) -> DataFrame:
 # What sections refer to
 
 
-def with_heading_levels(nodes: DataFrame, styles: DataFrame) -> DataFrame:
+def with_heading_levels(nodes: DataFrame, styles: DataFrame, known: bool = False) -> DataFrame:
     """NODE rows with level: of a paragraph's style by its names, else of its number; null for text and for other nodes. A paragraph
-    without a style has style 0."""
+    without a style has style 0. With known, only nodes whose style is there."""
     own = styles.where("NOT is_char").select(F.col("doc_id").alias("_d"), F.col("id").alias("_s"), style_heading_level(F.col("name"), F.col("english")).alias("_l"))
-    joined = nodes.join(own, (F.col("doc_id") == F.col("_d")) & (F.coalesce(F.col("attrs")["style"].try_cast("bigint"), F.lit(0)) == F.col("_s")), "left")
+    joined = nodes.join(own, (F.col("doc_id") == F.col("_d")) & (F.coalesce(F.col("attrs")["style"].try_cast("bigint"), F.lit(0)) == F.col("_s")), "inner" if known else "left")
     return joined.withColumn("level", F.when(F.col("kind") == "paragraph", F.coalesce("_l", text_heading_level(F.col("text"))))).drop("_d", "_s", "_l")
 
 

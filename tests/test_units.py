@@ -516,3 +516,15 @@ def test_pieces_of_odd_headers(monkeypatch):
         # What isn't well-formed has none, however late that shows.
         for end in ("", "</refList>", "</refList></h><x>", "</refList></h>x", "</refList>&no;</h>"):
             assert read("<h><refList><styles><style/></styles>" + "<a/>" * 50 + end) == []
+
+
+def test_headings_of_known_styles_read_the_headers_once(spark, sf_dir):
+    from foliant.plans import registry
+    from foliant.sources import headers as H
+
+    nodes = spark.createDataFrame([(1, "a", "paragraph", {"style": "3"}, "x"), (1, "b", "paragraph", {"style": "4"}, "1. x"), (1, "c", "paragraph", {}, "1. x"), (2, "d", "table", {"style": "3"}, None)], "doc_id long, path string, kind string, attrs map<string,string>, text string")
+    styles = spark.createDataFrame([(1, 3, False, "개요 2", ""), (1, 4, True, "", ""), (1, 0, False, "", ""), (2, 3, False, "개요 1", "")], "doc_id long, id long, is_char boolean, name string, english string")
+    assert {(r.path, r.level) for r in H.with_heading_levels(nodes, styles, known=True).collect()} == {("a", 2), ("c", 1), ("d", None)}
+    plan = registry.QUERIES["styled_headings"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    # Sections and headers are each read by two steps in Python.
+    assert plan.count("MapInArrow") == 4
